@@ -6,6 +6,7 @@ import importlib
 
 PLAN_MODULES = (
     "offerlake.plans.market_queries",
+    "offerlake.plans.extract_queries",
 )
 
 
