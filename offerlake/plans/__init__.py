@@ -7,6 +7,7 @@ import importlib
 PLAN_MODULES = (
     "offerlake.plans.market_queries",
     "offerlake.plans.extract_queries",
+    "offerlake.plans.profile_queries",
 )
 
 
