@@ -284,7 +284,7 @@ def city_from_text(text: Column) -> Column:
         out = F.when(cond, F.lit(city)) if out is None else out.when(cond, F.lit(city))
     cp = F.regexp_extract(text, r"(^|[^\pL\pN_])(\d{5})([^\pL\pN_]|$)", 2)
     prefix_map = F.create_map(*[F.lit(x) for kv in POSTCODE_PREFIX for x in kv])
-    by_cp = F.when(cp != "", F.element_at(prefix_map, F.substring(cp, 1, 2)))
+    by_cp = F.when(cp != "", F.try_element_at(prefix_map, F.substring(cp, 1, 2)))
     return F.when(text.isNotNull(), out.otherwise(by_cp))
 
 

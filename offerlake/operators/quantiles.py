@@ -102,3 +102,27 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: list[float],
 def median_by(df: DataFrame, value: str, by: list[str] | tuple = (), name: str = "median",
               weight: str | None = None) -> DataFrame:
     return exact_quantiles(df, value, [0.5], by, [name], weight=weight)
+
+
+def rank_within(df: DataFrame, by: list[str] | tuple, order: str) -> DataFrame:
+    """Adds ``_rank`` (0-based position by ``order`` inside its ``by`` group) and
+    ``_group_n``, without a window over a whole group: range-partition on
+    (by, order), number rows inside each slice, and offset each slice by the
+    sizes of the slices before it (small table). ``order`` should be unique
+    within a group (ties get an arbitrary but consistent order)."""
+    by = list(by)
+    ranged = df.repartitionByRange(*[F.col(b) for b in by], F.col(order)) \
+        .withColumn("_pid", F.spark_partition_id())
+    local = ranged.withColumn("_lr", F.row_number().over(
+        Window.partitionBy("_pid", *by).orderBy(order)) - 1)
+    totals = ranged.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_pn"))
+    group_w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    offsets = totals.select(
+        "_pid", *by,
+        F.coalesce(F.sum("_pn").over(group_w.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"),
+        F.sum("_pn").over(group_w).alias("_group_n"))
+    keys = ["_pid", *by]
+    out = local.join(offsets, _null_safe_on(local, offsets, keys))
+    return out.select(*[local[c] for c in df.columns],
+                      (offsets["_off"] + local["_lr"]).alias("_rank"), offsets["_group_n"])

@@ -94,7 +94,7 @@ def skill_roadmap(profiles: DataFrame, offers: DataFrame, scorer, skills: list[t
 def effort_impact(roadmap: DataFrame, months: dict | None = None) -> DataFrame:
     """Effort months, ROI per month and the Quick Win / Investissement /
     Équilibré class; skills without a months entry are skipped."""
-    m = F.element_at(_months_map(months or ROADMAP_MONTHS), F.col("skill"))
+    m = F.try_element_at(_months_map(months or ROADMAP_MONTHS), F.col("skill"))
     r = roadmap.withColumn("effort", m).where(F.col("effort").isNotNull())
     return r.select("profile_id", "skill", "effort", F.col("gain").alias("impact"),
                     (F.col("gain") / F.col("effort")).alias("roi_per_month"),
@@ -119,7 +119,7 @@ def role_transitions(profiles: DataFrame, gaps: DataFrame, scorer, cols, months:
                      k: int = 3) -> DataFrame:
     """Score each profile as each other role; gain, missing demanded skills,
     total learning months (default 6 per skill), gain per month; top k by gain."""
-    months_col = F.coalesce(F.element_at(_months_map(months or ROADMAP_MONTHS), F.col("skill")),
+    months_col = F.coalesce(F.try_element_at(_months_map(months or ROADMAP_MONTHS), F.col("skill")),
                             F.lit(DEFAULT_MONTHS))
     per_role = gaps.groupBy("profile_id", "role", "offer_count").agg(
         F.sum(F.when(F.col("skill").isNotNull(), months_col).otherwise(0)).alias("learning_months"),

@@ -16,25 +16,34 @@ from pyspark.sql import functions as F
 
 from offerlake.operators.market import experience_range_bin
 from offerlake.operators.quantiles import median_by
+from offerlake.session import materialize
 
 SKILL_BONUS = 1000.0
 
 
 class RuleScorer:
+    """Statistics are learned once from ``offers``: every row is expanded into its
+    five (kind, key) statistic groups and ONE exact-median pass computes them all;
+    the result (one row per group value, bounded by the vocabularies) is
+    checkpointed so every later scoring plan reads a small table."""
+
     def __init__(self, offers: DataFrame, cols, skill_bonus: float = SKILL_BONUS):
         self.cols = cols
         self.skill_bonus = skill_bonus
         rows = offers.where(F.col(cols.salary).isNotNull())
-        self.global_median = median_by(rows, cols.salary, name="g").select("g")
-
-        def medians(df, key, name):
-            return median_by(df.where(F.col(key).isNotNull()), cols.salary, [key], name=name).drop("_count")
-
-        self.job_median = medians(rows, cols.job, "job_median")
-        self.city_median = medians(rows, cols.city, "city_median")
-        self.sector_median = medians(rows, cols.sector, "sector_median")
-        binned = rows.withColumn("exp_bin", experience_range_bin(F.col(cols.experience)))
-        self.exp_median = medians(binned, "exp_bin", "exp_median")
+        kinds = F.array(
+            F.struct(F.lit("global").alias("kind"), F.lit("").alias("key")),
+            F.struct(F.lit("job").alias("kind"), F.col(cols.job).cast("string").alias("key")),
+            F.struct(F.lit("city").alias("kind"), F.col(cols.city).cast("string").alias("key")),
+            F.struct(F.lit("sector").alias("kind"), F.col(cols.sector).cast("string").alias("key")),
+            F.struct(F.lit("exp").alias("kind"), experience_range_bin(F.col(cols.experience)).alias("key")))
+        expanded = rows.select(F.col(cols.salary).alias("v"), F.explode(kinds).alias("g")) \
+            .select("g.kind", "g.key", "v").where(F.col("key").isNotNull())
+        self.stats = materialize(median_by(expanded, "v", ["kind", "key"], name="m").drop("_count"))
+
+    def _median(self, kind: str, name: str) -> DataFrame:
+        return self.stats.where(F.col("kind") == kind).select(F.col("key").alias(f"_k_{name}"),
+                                                              F.col("m").alias(name))
 
     def skills_count(self, df: DataFrame) -> F.Column:
         return reduce(lambda a, b: a + b, [F.coalesce(F.col(c).cast("int"), F.lit(0))
@@ -44,15 +53,13 @@ class RuleScorer:
                  sector: str | None = None, experience: str | None = None) -> DataFrame:
         c = self.cols
         job, city, sector, experience = job or c.job, city or c.city, sector or c.sector, experience or c.experience
-        # The statistic tables have one row per group value (bounded by the
-        # vocabularies), so these joins broadcast a small side.
-        g = self.global_median.scalar()
-        out = (df.withColumn("_exp_bin", experience_range_bin(F.col(experience)))
-               .join(F.broadcast(self.job_median.withColumnRenamed(c.job, "_j")), F.col(job) == F.col("_j"), "left")
-               .join(F.broadcast(self.city_median.withColumnRenamed(c.city, "_c")), F.col(city) == F.col("_c"), "left")
-               .join(F.broadcast(self.sector_median.withColumnRenamed(c.sector, "_s")),
-                     F.col(sector) == F.col("_s"), "left")
-               .join(F.broadcast(self.exp_median), F.col("_exp_bin") == F.col("exp_bin"), "left"))
+        g = self.stats.where(F.col("kind") == "global").select("m").scalar()
+        out = df.withColumn("_exp_bin", experience_range_bin(F.col(experience)))
+        # statistic tables hold one row per group value (bounded by the vocabularies)
+        for kind, key, name in (("job", job, "job_median"), ("city", city, "city_median"),
+                                ("sector", sector, "sector_median"), ("exp", "_exp_bin", "exp_median")):
+            out = out.join(F.broadcast(self._median(kind, name)),
+                           F.col(key).cast("string") == F.col(f"_k_{name}"), "left").drop(f"_k_{name}")
 
         def factor(m):
             return F.coalesce(F.col(m) / g, F.lit(1.0))
@@ -60,23 +67,23 @@ class RuleScorer:
         pred = (F.coalesce(F.col("job_median"), g) * factor("city_median") * factor("sector_median")
                 * factor("exp_median") + F.lit(self.skill_bonus) * self.skills_count(df))
         return out.withColumn("prediction", pred).drop(
-            "_exp_bin", "_j", "job_median", "_c", "city_median", "_s", "sector_median", "exp_bin", "exp_median")
+            "_exp_bin", "job_median", "city_median", "sector_median", "exp_median")
 
 
 def rule_scorer_sql(profiles: str, job="job_type", city="location", sector="sector", experience="experience",
                     skills=("f_economy", "f_large", "f_medium", "f_promo", "f_small", "f_standard"),
-                    bins=((0, 1), (1, 3), (3, 5), (5, 8), (8, 12), (12, 30))) -> str:
-    """The same scorer as SQL over CTE ``offers`` for the rows of ``profiles`` (a CTE name).
+                    bins=((0, 1), (1, 3), (3, 5), (5, 8), (8, 12), (12, 30)), stats: str = "offers") -> str:
+    """The same scorer as SQL, statistics from CTE ``stats``, for the rows of ``profiles`` (a CTE name).
     Returns a SELECT with all profile columns plus ``prediction``."""
     bin_case = "CASE " + " ".join(f"WHEN {{e}} >= {lo} AND {{e}} < {hi} THEN '{lo}-{hi}'" for lo, hi in bins) + " END"
     skill_sum = " + ".join(f"coalesce(CAST(p.{s} AS INTEGER), 0)" for s in skills)
-    return f"""SELECT p.*, coalesce(jm.m, (SELECT median(salary_mid) FROM offers WHERE salary_mid IS NOT NULL))
+    return f"""SELECT p.*, coalesce(jm.m, (SELECT median(salary_mid) FROM {stats} WHERE salary_mid IS NOT NULL))
          * coalesce(cm.m / gm.g, 1.0) * coalesce(sm.m / gm.g, 1.0) * coalesce(em.m / gm.g, 1.0)
          + {SKILL_BONUS} * ({skill_sum}) AS prediction
 FROM {profiles} p
-CROSS JOIN (SELECT median(salary_mid) AS g FROM offers WHERE salary_mid IS NOT NULL) gm
-LEFT JOIN (SELECT job_type AS k, median(salary_mid) AS m FROM offers WHERE salary_mid IS NOT NULL AND job_type IS NOT NULL GROUP BY 1) jm ON p.{job} = jm.k
-LEFT JOIN (SELECT location AS k, median(salary_mid) AS m FROM offers WHERE salary_mid IS NOT NULL AND location IS NOT NULL GROUP BY 1) cm ON p.{city} = cm.k
-LEFT JOIN (SELECT sector AS k, median(salary_mid) AS m FROM offers WHERE salary_mid IS NOT NULL AND sector IS NOT NULL GROUP BY 1) sm ON p.{sector} = sm.k
-LEFT JOIN (SELECT {bin_case.format(e='experience')} AS k, median(salary_mid) AS m FROM offers
+CROSS JOIN (SELECT median(salary_mid) AS g FROM {stats} WHERE salary_mid IS NOT NULL) gm
+LEFT JOIN (SELECT job_type AS k, median(salary_mid) AS m FROM {stats} WHERE salary_mid IS NOT NULL AND job_type IS NOT NULL GROUP BY 1) jm ON p.{job} = jm.k
+LEFT JOIN (SELECT location AS k, median(salary_mid) AS m FROM {stats} WHERE salary_mid IS NOT NULL AND location IS NOT NULL GROUP BY 1) cm ON p.{city} = cm.k
+LEFT JOIN (SELECT sector AS k, median(salary_mid) AS m FROM {stats} WHERE salary_mid IS NOT NULL AND sector IS NOT NULL GROUP BY 1) sm ON p.{sector} = sm.k
+LEFT JOIN (SELECT {bin_case.format(e='experience')} AS k, median(salary_mid) AS m FROM {stats}
            WHERE salary_mid IS NOT NULL GROUP BY 1 HAVING k IS NOT NULL) em ON {bin_case.format(e='p.' + experience)} = em.k"""

@@ -8,6 +8,7 @@ PLAN_MODULES = (
     "offerlake.plans.market_queries",
     "offerlake.plans.extract_queries",
     "offerlake.plans.profile_queries",
+    "offerlake.plans.model_queries",
 )
 
 

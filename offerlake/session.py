@@ -44,3 +44,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df):
+    """Cut the lineage of a reused intermediate: a reliable checkpoint written to
+    the cluster's shared ``spark.checkpoint.dir`` (survives executor loss, unlike
+    cache or local checkpoints)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
