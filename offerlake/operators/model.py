@@ -14,13 +14,16 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,56 +122,69 @@ def batch_predict(scored: DataFrame, error_p75: float, mae: float, version: str,
 
 
 # --------------------------------------------------------------------- M2-M4
-class FrequentCategories(Transformer):
+class _JsonState(Params):
+    state = Param(Params._dummy(), "state", "fitted state as JSON", typeConverter=TypeConverters.toString)
+
+    def _state(self) -> dict:
+        return json.loads(self.getOrDefault(self.state))
+
+
+class FrequentCategories(Transformer, _JsonState, DefaultParamsReadable, DefaultParamsWritable):
     """Keeps the ``max_categories - 1`` most frequent values of each column
-    (ties by value) and maps the rest, and NULL, to 'infrequent' / 'Missing'.
+    (ties by value) and maps the rest to 'infrequent', NULL to 'Missing'.
     Learned on fit rows by ``fit_frequent``; the kept sets are bounded by
-    max_categories, so they travel as small literal arrays."""
+    max_categories, so they travel as small literal arrays (and persist as JSON)."""
 
-    def __init__(self, kept: dict[str, list[str]]):
+    def __init__(self, kept: dict[str, list[str]] | None = None):
         super().__init__()
-        self.kept = kept
+        self._set(state=json.dumps(kept or {}))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({
             f"{c}_cat": F.when(F.col(c).isNull(), F.lit("Missing"))
             .when(F.col(c).cast("string").isin(vals), F.col(c).cast("string")).otherwise(F.lit("infrequent"))
-            for c, vals in self.kept.items()})
+            for c, vals in self._state().items()})
 
 
 def fit_frequent(df: DataFrame, columns: list[str], max_categories: int = 20) -> FrequentCategories:
-    kept = {}
-    for c in columns:
-        top = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count()
-               .orderBy(F.col("count").desc(), "v").limit(max_categories - 1))
-        kept[c] = [r["v"] for r in top.collect()]     # <= max_categories - 1 values
+    """One pass over (column, value) pairs: counts, then the top values of each
+    column by a per-column row_number (WindowGroupLimit keeps it to k rows)."""
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
+                                          for c in columns])).alias("p")).select("p.*").where(F.col("v").isNotNull())
+    counts = pairs.groupBy("c", "v").count()
+    w = Window.partitionBy("c").orderBy(F.col("count").desc(), "v")
+    top = counts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") < max_categories)
+    kept = {c: [] for c in columns}
+    for r in top.orderBy("c", "_rn").collect():     # <= len(columns) * (max_categories - 1) rows
+        kept[r["c"]].append(r["v"])
     return FrequentCategories(kept)
 
 
-class RobustScale(Transformer):
+class RobustScale(Transformer, _JsonState, DefaultParamsReadable, DefaultParamsWritable):
     """(x - median) / IQR with exact medians and quartiles learned by ``fit_robust``
     (one small row of statistics per column); NULL -> median before scaling."""
 
-    def __init__(self, stats: dict[str, tuple[float, float]]):
+    def __init__(self, stats: dict[str, tuple[float, float]] | None = None):
         super().__init__()
-        self.stats = stats
+        self._set(state=json.dumps(stats or {}))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         out = {}
-        for c, (med, iqr) in self.stats.items():
+        for c, (med, iqr) in self._state().items():
             x = F.coalesce(F.col(c).cast("double"), F.lit(med))
             out[f"{c}_scaled"] = (x - F.lit(med)) / F.lit(iqr if iqr else 1.0)
         return df.withColumns(out)
 
 
 def fit_robust(df: DataFrame, columns: list[str]) -> RobustScale:
+    """Exact quartiles of every column in one rank pass over (column, value) pairs."""
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v"))
+                                          for c in columns])).alias("p")).select("p.*")
+    q = {r["c"]: r for r in exact_quantiles(pairs, "v", [0.25, 0.5, 0.75], ["c"], ["q1", "m", "q3"]).collect()}
     stats = {}
-    for c in columns:
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75], names=["q1", "m", "q3"]).collect()
-        if q:
-            stats[c] = (q[0]["m"] or 0.0, (q[0]["q3"] or 0.0) - (q[0]["q1"] or 0.0))
-        else:
-            stats[c] = (0.0, 1.0)
+    for c in columns:                                   # one row per column
+        r = q.get(c)
+        stats[c] = ((r["m"] or 0.0), (r["q3"] or 0.0) - (r["q1"] or 0.0)) if r else (0.0, 1.0)
     return RobustScale(stats)
 
 

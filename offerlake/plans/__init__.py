@@ -9,6 +9,7 @@ PLAN_MODULES = (
     "offerlake.plans.extract_queries",
     "offerlake.plans.profile_queries",
     "offerlake.plans.model_queries",
+    "offerlake.plans.io_queries",
 )
 
 

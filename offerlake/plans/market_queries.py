@@ -326,19 +326,22 @@ def q_skill_roi(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- A14
-def _stack_sql():
+def stack_predicates_sql() -> dict[str, str]:
     s = {n: f"{C.skill(n)} = 1" if C.skill(n) else "FALSE" for n in (
         "python", "machine_learning", "aws", "azure", "gcp", "spark", "sql", "tableau", "power_bi")}
-    preds = {
+    return {
         "Data Scientist (Full Stack)": f"{s['python']} AND {s['machine_learning']} AND ({s['aws']} OR {s['azure']} OR {s['gcp']})",
         "Data Engineer (Cloud)": f"{s['python']} AND {s['spark']} AND ({s['aws']} OR {s['azure']})",
         "BI Analyst": f"{s['sql']} AND ({s['tableau']} OR {s['power_bi']})",
         "ML Engineer": f"{s['python']} AND {s['machine_learning']} AND {s['spark']}",
         "Full Stack Data": f"{s['python']} AND {s['sql']} AND ({s['aws']} OR {s['azure']} OR {s['gcp']})",
     }
+
+
+def _stack_sql():
     parts = [f"""SELECT '{name}' AS stack, {_r('median(salary_mid)')} AS median, {_r('avg(salary_mid)')} AS mean,
        {_r('quantile_cont(salary_mid, 0.25)')} AS q25, {_r('quantile_cont(salary_mid, 0.75)')} AS q75, count(*) AS n
-FROM offers WHERE {p} HAVING count(*) >= 5""" for name, p in preds.items()]
+FROM offers WHERE {p} HAVING count(*) >= 5""" for name, p in stack_predicates_sql().items()]
     return with_offers("\nUNION ALL\n".join(parts))
 
 

@@ -246,7 +246,7 @@ CATEGORICAL = [C.job, C.city, C.sector, C.contract]
 
 def _train_test(spark, sf_dir):
     sp = split_offers(spark, sf_dir).withColumnRenamed(C.salary, "label")
-    train = M.fold_column(sp.where(F.col("is_test") == 0), C.id, 5)
+    train = materialize(M.fold_column(sp.where(F.col("is_test") == 0), C.id, 5))
     return train, sp.where(F.col("is_test") == 1)
 
 
@@ -254,7 +254,7 @@ def _train_test(spark, sf_dir):
 def q_train_and_predict(spark, sf_dir):
     """M2-M4: GBT pipeline tuned by 5-fold CV on MAE; test-set predictions."""
     train, test = _train_test(spark, sf_dir)
-    cv = M.train_model(train, NUMERIC, CATEGORICAL, "gbt", {"maxDepth": [3, 4], "maxIter": [10]})
+    cv = M.train_model(train, NUMERIC, CATEGORICAL, "gbt", {"maxDepth": [3, 4], "maxIter": [10]}, parallelism=4)
     return cv.bestModel.transform(test).select(C.id, "label", "prediction")
 
 
