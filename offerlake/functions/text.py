@@ -167,13 +167,24 @@ def normalize_text_sql(c: str) -> str:
 
 
 # --------------------------------------------------------------------- E2-E4
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` (a lambda
+    variable), so a long expression does not repeat it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _pattern_years(text: Column, pat: str, kind: str) -> Column:
-    a = F.regexp_extract(text, pat, 1).try_cast("double")
-    ok_a = (a >= 0) & (a <= 100)
+    def years(a: Column, b: Column | None) -> Column:
+        ok_a = (a >= 0) & (a <= 100)
+        if b is None:
+            return F.when(ok_a, a)
+        return F.when(ok_a & (b >= 0) & (b <= 100) & (a <= b), (a + b) / 2)
+
     if kind == "single":
-        return F.when(ok_a, a)
-    b = F.regexp_extract(text, pat, 2).try_cast("double")
-    return F.when(ok_a & (b >= 0) & (b <= 100) & (a <= b), (a + b) / 2)
+        return let(F.regexp_extract(text, pat, 1).try_cast("double"), lambda a: years(a, None))
+    groups = F.struct(F.regexp_extract(text, pat, 1).try_cast("double").alias("a"),
+                      F.regexp_extract(text, pat, 2).try_cast("double").alias("b"))
+    return let(groups, lambda g: years(g["a"], g["b"]))
 
 
 def _pattern_years_sql(text: str, pat: str, kind: str) -> str:
@@ -191,13 +202,15 @@ def _word(w: str) -> str:
 
 def experience_years(raw: Column) -> Column:
     """E2 specific patterns, else E3 seniority words, else E4 general patterns."""
-    t = normalize_text(raw)
-    specific = [_pattern_years(t, p, k) for p, k in EXPERIENCE_SPECIFIC]
-    words = reduce(lambda acc, wy: acc.when(t.rlike("(?iu)" + _word(wy[0])), F.lit(wy[1])),
-                   SENIORITY_YEARS[1:],
-                   F.when(t.rlike("(?iu)" + _word(SENIORITY_YEARS[0][0])), F.lit(SENIORITY_YEARS[0][1])))
-    general = [_pattern_years(t, p, k) for p, k in EXPERIENCE_GENERAL]
-    return F.when(raw.isNotNull(), F.coalesce(*specific, words, *general))
+    def from_text(t: Column) -> Column:
+        specific = [_pattern_years(t, p, k) for p, k in EXPERIENCE_SPECIFIC]
+        words = reduce(lambda acc, wy: acc.when(t.rlike("(?iu)" + _word(wy[0])), F.lit(wy[1])),
+                       SENIORITY_YEARS[1:],
+                       F.when(t.rlike("(?iu)" + _word(SENIORITY_YEARS[0][0])), F.lit(SENIORITY_YEARS[0][1])))
+        general = [_pattern_years(t, p, k) for p, k in EXPERIENCE_GENERAL]
+        return F.coalesce(*specific, words, *general)
+
+    return F.when(raw.isNotNull(), let(normalize_text(raw), from_text))
 
 
 def experience_years_sql(raw: str) -> str:
@@ -227,9 +240,8 @@ def correct_extreme_sql(v: str) -> str:
 def experience_final(sources: list[Column]) -> Column:
     """Mean over the sources that yield a value, then extreme-value correction."""
     vals = F.filter(F.array(*[experience_years(s) for s in sources]), lambda x: x.isNotNull())
-    mean = F.when(F.size(vals) > 0,
-                  F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x) / F.size(vals))
-    return correct_extreme(mean)
+    mean = let(vals, lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x) / F.size(v)))
+    return let(mean, correct_extreme)
 
 
 # --------------------------------------------------------------------- E7, E8
@@ -237,7 +249,8 @@ def parse_salary(raw: Column) -> Column:
     """lower, drop U+0020; with a 'k': first number before k x1000; else first digit run."""
     s = F.regexp_replace(F.lower(raw), " ", "")
     k_num = F.regexp_extract(s, r"(\d+\.?\d*)\s*k", 1)
-    digits = F.regexp_extract(s, r"([\d\s]+)", 1)
+    # (?U): Python's \s also matches NBSP, so '45\u00a0000' yields no integer (kept)
+    digits = F.regexp_extract(s, r"(?U)([\d\s]+)", 1)
     return (F.when(raw.isNull(), F.lit(None).cast("double"))
             .when(s.contains("k") & (k_num != ""), k_num.try_cast("double") * 1000)
             .when(digits != "", digits.try_cast("long").cast("double")))

@@ -120,8 +120,9 @@ def percentile_rank(profiles: DataFrame, value_col: str, market: DataFrame, mark
     below = local.where(F.col("_side") == 0).join(offs, "_pid").select(
         "v", (F.col("_off") + F.col("_cum")).alias("below"))
     total = mk.select(F.sum("n")).scalar()
-    pct = F.when(F.coalesce(total, F.lit(0)) == 0, F.lit(50.0)).otherwise(
-        F.least(F.greatest(F.col("below") * 100.0 / total, F.lit(0.0)), F.lit(100.0)))
+    pct = (F.when(F.col("v").isNull(), F.lit(None).cast("double"))
+           .when(F.coalesce(total, F.lit(0)) == 0, F.lit(50.0))
+           .otherwise(F.least(F.greatest(F.col("below") * 100.0 / total, F.lit(0.0)), F.lit(100.0))))
     return (profiles.select("profile_id", F.col(value_col).cast("double").alias("v"))
             .join(below, "v", "left").select("profile_id", pct.alias("percentile")))
 

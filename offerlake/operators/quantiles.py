@@ -16,6 +16,13 @@ Interpolation is numpy's default ("linear"), which is also DuckDB
 ``quantile_cont`` / ``median`` and pandas ``quantile``. NULLs are ignored.
 Both uses of the range-partitioned table share one exchange (Spark reuses it),
 so every row sees the same partition boundaries, also after a recomputation.
+
+Size-checked fast path: one small job measures the largest number of distinct
+values in any group of the pre-aggregated table. When it is at most
+``offerlake.quantile.maxDistinctPerGroup`` (default 1,000,000 -> a value map of
+tens of MB in one task), Spark's exact frequency-weighted ``percentile`` runs
+on that table (one aggregate); beyond it, the rank path above. Both are exact
+(linear interpolation), and only differ in floating-point rounding.
 """
 
 from __future__ import annotations
@@ -53,6 +60,18 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: list[float],
             F.sum("_w").alias("_count"))
 
     counts = base.groupBy(*by, "_v").agg(F.sum("_w").alias("_n"))
+    limit = int(df.sparkSession.conf.get("offerlake.quantile.maxDistinctPerGroup", "1000000"))
+    widest = counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if widest <= limit:
+        return counts.groupBy(*by).agg(
+            F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_n")).alias("_q"),
+            F.sum("_n").alias("_count")).select(
+            *by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)], "_count")
+    return _rank_quantiles(counts, probs, by, names)
+
+
+def _rank_quantiles(counts: DataFrame, probs: list[float], by: list[str], names: list[str]) -> DataFrame:
+    """The rank path on a (by..., _v, _n) table."""
     ranged = counts.repartitionByRange(*[F.col(b) for b in by], F.col("_v")) \
         .withColumn("_pid", F.spark_partition_id())
 
