@@ -19,6 +19,7 @@ from offerlake.plans.model_queries import CATEGORICAL, NUMERIC, _train_test
 from offerlake.plans.registry import finish, query, with_offers
 from offerlake.sources import sinks as SK
 from offerlake.sources.offers import OFFER_COLUMNS as C
+from offerlake.session import materialize
 from offerlake.streaming.dedup import collect_offers, offer_records, shared_scratch
 
 
@@ -85,7 +86,9 @@ UNION ALL SELECT 'statistics', '', 'count', CAST(count(salary_mid) AS DOUBLE) FR
 def q_market_report(spark, sf_dir):
     off = offers(spark, sf_dir)
     meta = off.agg(F.count(F.lit(1)).alias("n_offers"))
-    report = SK.market_report(meta, A.salary_summary(off, C.salary),
+    # the one-row summary already holds scalar subqueries: checkpoint it before it is
+    # nested as a scalar itself (nested scalar merging trips a Spark optimizer bug)
+    report = SK.market_report(meta, materialize(A.salary_summary(off, C.salary)),
                               A.group_multiplier(off, C.city, C.salary).select(C.city, "multiplier"),
                               A.skill_impact(off, list(C.skills), C.salary, 5),
                               A.stack_stats(off, C.skill, C.salary, 5), C.city)
