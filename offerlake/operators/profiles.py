@@ -135,9 +135,12 @@ def position_label(pct: Column) -> Column:
 # --------------------------------------------------------------------- J4, K5
 def peer_median(profiles: DataFrame, offers: DataFrame, cols, tolerance: float = 1.0) -> DataFrame:
     """Median salary of offers with the same job, city and sector and experience
-    within +/- tolerance. Band join: each offer is copied to the neighbouring
-    integer experience buckets, then an equi-join on (job, city, sector, bucket)."""
+    within +/- tolerance. Computed once per distinct profile key (job, city,
+    sector, experience) - profiles sharing a key share the answer - by a band
+    join: each offer is copied to the neighbouring integer experience buckets,
+    then an equi-join on (job, city, sector, bucket) and the exact range test."""
     span = int(tolerance) + 1
+    keys = ["_job", "_city", "_sector", "_pexp"]
     o = offers.where(F.col(cols.salary).isNotNull() & F.col(cols.experience).isNotNull()).select(
         F.col(cols.job).alias("_job"), F.col(cols.city).alias("_city"), F.col(cols.sector).alias("_sector"),
         F.col(cols.experience).alias("_oexp"), F.col(cols.salary).alias("_sal"),
@@ -145,12 +148,12 @@ def peer_median(profiles: DataFrame, offers: DataFrame, cols, tolerance: float =
                              F.floor(F.col(cols.experience)).cast("int") + span)).alias("_b"))
     p = profiles.where(F.col(cols.experience).isNotNull()).select(
         "profile_id", F.col(cols.job).alias("_job"), F.col(cols.city).alias("_city"),
-        F.col(cols.sector).alias("_sector"), F.col(cols.experience).alias("_pexp"),
-        F.floor(F.col(cols.experience)).cast("int").alias("_b"))
-    peers = p.join(o, ["_job", "_city", "_sector", "_b"]).where(
+        F.col(cols.sector).alias("_sector"), F.col(cols.experience).alias("_pexp"))
+    pk = p.select(*keys).distinct().withColumn("_b", F.floor(F.col("_pexp")).cast("int"))
+    peers = pk.join(o, ["_job", "_city", "_sector", "_b"]).where(
         F.abs(F.col("_oexp") - F.col("_pexp")) <= tolerance)
-    return exact_quantiles(peers, "_sal", [0.5], ["profile_id"], ["peer_median"]) \
-        .withColumnRenamed("_count", "n_peers")
+    med = exact_quantiles(peers, "_sal", [0.5], keys, ["peer_median"]).withColumnRenamed("_count", "n_peers")
+    return p.join(med, keys).select("profile_id", "peer_median", "n_peers")
 
 
 def profile_estimate(profiles: DataFrame, offers: DataFrame, cols, scorer, min_peers: int = 3) -> DataFrame:
@@ -238,3 +241,32 @@ def role_gap(profiles: DataFrame, offers: DataFrame, cols, skills: list[tuple[st
     gaps = miss.join(F.broadcast(need), "skill").select("profile_id", "role", "skill", "rate")
     return pr.join(gaps, ["profile_id", "role"], "left").select(
         "profile_id", "role", "offer_count", "skill", "rate")
+
+
+# --------------------------------------------------------------------- J2, J3
+DEFAULT_JOB_RANGE = (35000, 60000)     # fixed values: fallback ranges of the reference
+DEFAULT_EXP_RANGE = (60000, 90000)
+
+
+def profile_ranges(profiles: DataFrame, job_ranges: DataFrame, exp_ranges: DataFrame, cols,
+                   last_bin: str = "12-30") -> DataFrame:
+    """The profile's job P25/P75 (default 35000-60000). J3: the range of the
+    left-closed experience bin holding the profile (bins with too few rows are
+    absent); otherwise the last bin's range, else 60000-90000. Both range tables
+    have one row per group value, so they are broadcast."""
+    from offerlake.operators.market import experience_range_bin
+    last = exp_ranges.where(F.col("exp_bin") == last_bin)
+    last_lo = last.select(F.max("p25")).scalar()
+    last_hi = last.select(F.max("p75")).scalar()
+    j = (profiles.select("profile_id", F.col(cols.job).alias("_job"),
+                         experience_range_bin(F.col(cols.experience)).alias("_bin"))
+         .join(F.broadcast(job_ranges.select(F.col(cols.job).alias("_job"), F.col("p25").alias("job_lo"),
+                                             F.col("p75").alias("job_hi"))), "_job", "left")
+         .join(F.broadcast(exp_ranges.select(F.col("exp_bin").alias("_bin"), F.col("p25").alias("exp_lo"),
+                                             F.col("p75").alias("exp_hi"))), "_bin", "left"))
+    return j.select(
+        "profile_id",
+        F.coalesce("job_lo", F.lit(DEFAULT_JOB_RANGE[0]).cast("long")).alias("job_low"),
+        F.coalesce("job_hi", F.lit(DEFAULT_JOB_RANGE[1]).cast("long")).alias("job_high"),
+        F.coalesce("exp_lo", last_lo, F.lit(DEFAULT_EXP_RANGE[0]).cast("long")).alias("exp_low"),
+        F.coalesce("exp_hi", last_hi, F.lit(DEFAULT_EXP_RANGE[1]).cast("long")).alias("exp_high"))

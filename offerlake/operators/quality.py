@@ -43,10 +43,10 @@ def iqr_trim(df: DataFrame, value: str, factor: float = 1.5, max_share: float =
 
 
 def profile_warnings(df: DataFrame, contract: str, ml: Column, dl: Column, experience: str,
-                     sector: str) -> DataFrame:
+                     sector: str, cdi_value: str = "CDI") -> DataFrame:
     """Q4: array of warning codes per profile; 'standard' when none applies."""
     w = F.filter(F.array(
-        F.when(F.col(contract) != "CDI", F.lit("non_cdi")),
+        F.when(F.col(contract) != cdi_value, F.lit("non_cdi")),
         F.when(ml & dl, F.lit("ml_and_dl")),
         F.when(F.col(experience) < 0.5, F.lit("very_junior")),
         F.when(F.col(experience) >= 15, F.lit("very_senior")),

@@ -123,9 +123,16 @@ def q_title_rules(spark, sf_dir):
                            E.simplify_job_type(jt).alias("job_type_simplified")))
 
 
-@query("city_extract")
+_CITY_SQL = ("CASE WHEN location_text IS NULL THEN NULL "
+             + " ".join("WHEN " + " OR ".join(f"contains(lower(location_text), {E._sq(k)})" for k in kws)
+                        + f" THEN {E._sq(city)}" for city, kws in E.CITY_KEYWORDS)
+             + " ELSE CASE substring(regexp_extract(location_text, '(^|[^\\pL\\pN_])(\\d{5})([^\\pL\\pN_]|$)', 2), 1, 2) "
+             + " ".join(f"WHEN '{p}' THEN '{c}'" for p, c in E.POSTCODE_PREFIX) + " END END")
+
+
+@query("city_extract", _built(f"SELECT p_partkey, {_CITY_SQL} AS city FROM built"))
 def q_city_extract(spark, sf_dir):
-    """Keyword and postcode rules (no SQL form: a map lookup on a regex group)."""
+    """Keyword rules in order, else the postcode-prefix map."""
     b = built_text(spark, sf_dir)
     return b.select("p_partkey", E.city_from_text(F.col("location_text")).alias("city"))
 

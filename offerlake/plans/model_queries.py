@@ -14,6 +14,7 @@ from offerlake.functions import text as E
 from offerlake.operators import market as A
 from offerlake.operators import model as M
 from offerlake.operators.profiles import representative_profiles
+from offerlake.operators.quality import generalisation_verdict
 from offerlake.operators.scoring import RuleScorer, rule_scorer_sql
 from offerlake.plans.market_queries import offers
 from offerlake.plans.registry import finish, query, with_offers
@@ -278,7 +279,9 @@ def q_model_ranking(spark, sf_dir):
     # five numbers per candidate model: a bounded result table
     res = spark.createDataFrame(rows, "model string, train_r2 double, test_r2 double, test_mae double, "
                                       "cv_r2 double, cv_mae double")
-    return M.composite_ranking(res)
+    ranked = M.composite_ranking(res)
+    return ranked.withColumn("verdict", generalisation_verdict(F.col("train_r2"), F.col("test_r2"),
+                                                               F.col("test_mae"), F.col("cv_mae")))
 
 
 @query("contributions")
@@ -293,3 +296,14 @@ def q_contributions(spark, sf_dir):
     feats = NUMERIC + CATEGORICAL
     contrib = M.shapley_contributions(model, test, bg, C.id, feats, orderings=4)
     return M.contribution_report(contrib, C.id, min_abs=100.0, k=10)
+
+
+@query("contribution_rollup")
+def q_contribution_rollup(spark, sf_dir):
+    """Contributions of the individual skill flags rolled up into one 'skills'
+    source per row, ordered by absolute contribution."""
+    train, test = _train_test(spark, sf_dir)
+    model = M.fit_pipeline(train, NUMERIC, CATEGORICAL, "linear", {"regParam": 0.1})
+    bg = train.withColumn("_h", M.hash_key(F.col(C.id), 7)).orderBy("_h").limit(20).drop("_h")
+    contrib = M.shapley_contributions(model, test, bg, C.id, NUMERIC + CATEGORICAL, orderings=4)
+    return M.rollup_one_hot(contrib, C.id, {c: "skills" for c in FLAG_COLUMNS + ("skills_count",)})

@@ -362,3 +362,47 @@ FROM ({rule_scorer_sql('fs')}) s JOIN ({rule_scorer_sql('profiles')}) b ON s.pro
 def q_first_skill_boost(spark, sf_dir):
     _, prof, scorer = setup(spark, sf_dir)
     return finish(S.first_skill_boost(prof, scorer, _TARGETS))
+
+
+# --------------------------------------------------------------------- J2, J3
+_RANGE_BIN = "CASE " + " ".join(f"WHEN {{e}} >= {lo} AND {{e}} < {hi} THEN '{lo}-{hi}'"
+                                for lo, hi in ((0, 1), (1, 3), (3, 5), (5, 8), (8, 12), (12, 30))) + " END"
+_RANGES = f"""jr AS (SELECT job_type, CAST(trunc(quantile_cont(salary_mid, 0.25)) AS BIGINT) AS lo,
+                    CAST(trunc(quantile_cont(salary_mid, 0.75)) AS BIGINT) AS hi
+             FROM offers WHERE salary_mid IS NOT NULL AND job_type IS NOT NULL GROUP BY job_type HAVING count(*) >= 10),
+er AS (SELECT b, CAST(trunc(quantile_cont(salary_mid, 0.25)) AS BIGINT) AS lo,
+              CAST(trunc(quantile_cont(salary_mid, 0.75)) AS BIGINT) AS hi
+       FROM (SELECT salary_mid, {_RANGE_BIN.format(e='experience')} AS b FROM offers WHERE salary_mid IS NOT NULL)
+       WHERE b IS NOT NULL GROUP BY b HAVING count(*) >= 10)"""
+
+
+@query("profile_ranges", _sql(f"""
+SELECT p.profile_id, coalesce(jr.lo, 35000) AS job_low, coalesce(jr.hi, 60000) AS job_high,
+       coalesce(er.lo, (SELECT max(lo) FROM er WHERE b = '12-30'), 60000) AS exp_low,
+       coalesce(er.hi, (SELECT max(hi) FROM er WHERE b = '12-30'), 90000) AS exp_high
+FROM profiles p LEFT JOIN jr ON p.job_type = jr.job_type
+LEFT JOIN er ON {_RANGE_BIN.format(e='p.experience')} = er.b""", _RANGES))
+def q_profile_ranges(spark, sf_dir):
+    from offerlake.operators import market as A
+    off, prof, _ = setup(spark, sf_dir)
+    jobs = A.group_iqr_range(off, C.job, C.salary, 10)
+    exps = A.experience_range(off, C.experience, C.salary, 10)
+    return finish(K.profile_ranges(prof, jobs, exps, C))
+
+
+# --------------------------------------------------------------------- Q4
+@query("profile_warnings", _sql("""
+SELECT profile_id, array_to_string(CASE WHEN len(w) = 0 THEN ['standard'] ELSE w END, ',') AS warnings FROM (
+  SELECT profile_id, list_filter([CASE WHEN contract <> 'O' THEN 'non_cdi' END,
+                                  CASE WHEN FALSE THEN 'ml_and_dl' END,
+                                  CASE WHEN experience < 0.5 THEN 'very_junior' END,
+                                  CASE WHEN experience >= 15 THEN 'very_senior' END,
+                                  CASE WHEN sector = 'Non spécifié' THEN 'sector_unspecified' END],
+                                 lambda x: x IS NOT NULL) AS w FROM profiles)"""))
+def q_profile_warnings(spark, sf_dir):
+    from offerlake.operators.quality import profile_warnings
+    _, prof, _ = setup(spark, sf_dir)
+    # proxy binding: the open-ended contract is 'O'; deep learning has no column (never owned)
+    ml = F.coalesce(F.col(C.skill("machine_learning")).cast("boolean"), F.lit(False))
+    out = profile_warnings(prof, C.contract, ml, F.lit(False), C.experience, C.sector, cdi_value="O")
+    return out.select("profile_id", F.array_join("warnings", ",").alias("warnings"))
