@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlake.operators.quantiles import exact_quantiles, median_by
+from offerlake.session import materialize
 
 ERROR_P75 = 7417.0  # fixed value: P75 absolute error of the reference model (EUR)
 
@@ -57,33 +58,69 @@ def employability(profiles: DataFrame, offers: DataFrame, skill_cols: list[str],
 
 
 # --------------------------------------------------------------------- K2, T3, A28
+SAME_SECTOR, SAME_CITY, EXP_W, STACK_W = 1.0, 0.8, 0.3, 0.2   # fixed values: similarity weights
+
+
 def similar_offers(profiles: DataFrame, offers: DataFrame, cols, stack_cols: list[str],
                    k: int = 5) -> DataFrame:
     """Top-k offers by -0.3|d exp| - 0.2|d stack| + 1.0 same sector + 0.8 same city;
-    ties broken by offer id. Offers with unknown experience never score."""
+    ties broken by offer id. Offers with unknown experience never score.
+
+    Exact with equi-joins only:
+    1. offers collapse to (sector, city, exp, stack) cells keeping the k smallest
+       ids (WindowGroupLimit trims each cell map-side; a hot cell never travels
+       whole); profiles collapse to distinct keys (same key, same answer);
+    2. cells of the profile's own (sector, city) - bonus 1.8 - give each key its
+       k-th best score T (equi-join on sector, city);
+    3. any other offer scores at most 1.0 - 0.3|d exp|, so it can only reach T
+       when |d exp| <= (1.0 - T) / 0.3: a band join on integer experience
+       buckets within that radius (the whole experience range only for keys
+       whose own cell holds fewer than k offers);
+    4. union, rank, keep k, join back to the profiles."""
     stack = reduce(lambda a, b: a + b, [F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in stack_cols])
     o = offers.where(F.col(cols.experience).isNotNull()).select(
         F.col(cols.id).alias("offer_id"), F.col(cols.sector).alias("o_sector"),
         F.col(cols.city).alias("o_city"), F.col(cols.experience).alias("o_exp"), stack.alias("o_stack"),
         F.col(cols.salary).alias("o_salary"))
-    # the k smallest ids of each (sector, city, exp, stack) cell: WindowGroupLimit
-    # trims each cell to k rows on the map side, so a hot cell never travels whole
     w = Window.partitionBy("o_sector", "o_city", "o_exp", "o_stack").orderBy("offer_id")
-    cells = o.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+    # used four times below and bounded by the vocabularies: checkpointed once
+    cells = materialize(o.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+                        .withColumn("_bucket", F.floor("o_exp").cast("long")))
     p = profiles.where(F.col(cols.experience).isNotNull()).select(
         "profile_id", F.col(cols.sector).alias("p_sector"), F.col(cols.city).alias("p_city"),
         F.col(cols.experience).alias("p_exp"), stack.alias("p_stack"))
-    pkeys = p.select("p_sector", "p_city", "p_exp", "p_stack").distinct()
-    score = (-F.abs(F.col("o_exp") - F.col("p_exp")) * 0.3
-             - F.abs(F.col("o_stack") - F.col("p_stack")) * 0.2
-             + F.when(F.col("o_sector") == F.col("p_sector"), 1.0).otherwise(0.0)
-             + F.when(F.col("o_city") == F.col("p_city"), 0.8).otherwise(0.0))
-    # profile keys x cell rows: both bounded by vocabulary x k, never rows x rows
-    scored = pkeys.crossJoin(cells).withColumn("similarity", score)
-    wk = Window.partitionBy("p_sector", "p_city", "p_exp", "p_stack").orderBy(
-        F.col("similarity").desc(), F.col("offer_id"))
-    top = scored.withColumn("rank", F.row_number().over(wk)).where(F.col("rank") <= k)
-    return (p.join(top, ["p_sector", "p_city", "p_exp", "p_stack"])
+    key = ["p_sector", "p_city", "p_exp", "p_stack"]
+    pkeys = p.select(*key).distinct()
+
+    def score() -> Column:
+        return (-F.abs(F.col("o_exp") - F.col("p_exp")) * EXP_W
+                - F.abs(F.col("o_stack") - F.col("p_stack")) * STACK_W
+                + F.when(F.col("o_sector") == F.col("p_sector"), SAME_SECTOR).otherwise(0.0)
+                + F.when(F.col("o_city") == F.col("p_city"), SAME_CITY).otherwise(0.0))
+
+    def top(df: DataFrame) -> DataFrame:
+        wk = Window.partitionBy(*key).orderBy(F.col("similarity").desc(), F.col("offer_id"))
+        return df.withColumn("rank", F.row_number().over(wk)).where(F.col("rank") <= k)
+
+    own = top(pkeys.join(cells, (F.col("o_sector") == F.col("p_sector")) & (F.col("o_city") == F.col("p_city")))
+              .withColumn("similarity", score()))
+    kth = own.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("similarity").alias("_t"))
+    lo_b = cells.select(F.min("_bucket")).scalar()
+    hi_b = cells.select(F.max("_bucket")).scalar()
+    radius = F.ceil((F.lit(SAME_SECTOR) - F.col("_t")) / EXP_W).cast("long")
+    band = (pkeys.join(kth, key, "left")
+            .withColumn("_full", F.coalesce(F.col("_n"), F.lit(0)) < k)
+            .withColumn("_pb", F.floor("p_exp").cast("long"))
+            .withColumn("_bucket", F.explode(F.sequence(
+                F.when(F.col("_full"), lo_b).otherwise(F.greatest(F.col("_pb") - radius - 1, lo_b)),
+                F.when(F.col("_full"), hi_b).otherwise(F.least(F.col("_pb") + radius + 1, hi_b))))))
+    others = (band.join(cells, "_bucket")
+              .where(~((F.col("o_sector") == F.col("p_sector")) & (F.col("o_city") == F.col("p_city"))))
+              .withColumn("similarity", score())
+              .where(F.col("_full") | (F.col("similarity") >= F.col("_t"))))
+    cand = own.drop("rank").select(*key, "offer_id", "similarity", "o_salary").unionByName(
+        others.select(*key, "offer_id", "similarity", "o_salary"))
+    return (p.join(top(cand), key)
             .select("profile_id", "rank", "offer_id", "similarity", "o_salary"))
 
 

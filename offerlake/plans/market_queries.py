@@ -10,15 +10,15 @@ from offerlake.operators import filters as P
 from offerlake.operators import market as A
 from offerlake.operators import quality as Q
 from offerlake.plans.registry import finish, query, with_offers
-from offerlake.sources.offers import FLAG_COLUMNS, OFFER_COLUMNS as C, offers_view
+from offerlake.sources.offers import FLAG_COLUMNS, OFFER_COLUMNS as C, offers_table
 from offerlake.sources.tables import read_table
 
 SKILLS_SUM_SQL = "(" + " + ".join(FLAG_COLUMNS) + ")"
 
 
 def offers(spark, sf_dir):
-    off = offers_view(spark, sf_dir)
-    return off.withColumn("skills_count", reduce(lambda a, b: a + b, [F.col(c) for c in FLAG_COLUMNS]))
+    """The offers table (with skills_count), written once per application."""
+    return offers_table(spark, sf_dir)
 
 
 def skill_pairs():
