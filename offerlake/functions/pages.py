@@ -71,9 +71,10 @@ def _first_sql(text: str, patterns, group: int = 0, flags: str = "(?i)") -> str:
     return parts[0] if len(parts) == 1 else "coalesce(" + ", ".join(parts) + ")"
 
 
-def page_fields(url: Column, html: Column) -> dict[str, Column]:
-    """E20 listing fields and E21 detail fields of one page."""
-    text = strip_tags(html)
+def page_fields(url: Column, html: Column, text: Column | None = None) -> dict[str, Column]:
+    """E20 listing fields and E21 detail fields of one page. Pass ``text`` (the
+    stripped page, computed in an earlier projection) so it is built once."""
+    text = strip_tags(html) if text is None else text
     contract = None
     for c in CONTRACTS:
         cond = text.rlike("(?i)" + JS_L + c + JS_R)

@@ -472,8 +472,12 @@ def parse_list(raw: Column) -> Column:
 # --------------------------------------------------------------------- E22
 def dictionary_tags(text: Column, words=TAG_SKILLS) -> Column:
     """Words found in the text, case-insensitive substring, in dictionary order."""
-    low = F.lower(text)
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(F.lower(w)))
+    words_arr = F.array(*[F.lit(w.lower()) for w in words])
+    names = F.array(*[F.lit(w) for w in words])
+    # lower-case the text once per row, not once per dictionary word
+    return let(F.lower(text), lambda low: F.filter(
+        F.transform(F.arrays_zip(names.alias("n"), words_arr.alias("l")),
+                    lambda z: F.when(low.contains(z["l"]), z["n"])), lambda x: x.isNotNull()))
 
 
 def dictionary_tags_sql(text: str, words=TAG_SKILLS) -> str:

@@ -16,7 +16,7 @@ from offerlake.functions import text as E
 from offerlake.operators import market as A
 from offerlake.operators.filters import title_length_filter
 from offerlake.plans.registry import finish, query
-from offerlake.sources.tables import read_table
+from offerlake.sources.tables import read_table, spread_for_cpu
 
 # --------------------------------------------------------------------- built text
 BUILT_SQL = """SELECT p_partkey,
@@ -164,7 +164,7 @@ def q_list_parse(spark, sf_dir):
 SELECT doc_id, md5({E.clean_description_sql('text')}) AS cleaned_md5,
        CAST(length({E.clean_description_sql('text')}) AS BIGINT) AS cleaned_chars FROM documents""")
 def q_clean_description(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    d = spread_for_cpu(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
     cleaned = E.clean_description(F.col("text"))
     return d.select("doc_id", F.md5(cleaned).alias("cleaned_md5"),
                     F.length(cleaned).cast("long").alias("cleaned_chars"))
@@ -177,7 +177,7 @@ _FLAGS_SQL = E.skill_flags_sql("text")
 @query("skill_flags", "SELECT doc_id, " + ", ".join(
     f"CAST({v} AS BIGINT) AS {k}" for k, v in _FLAGS_SQL.items()) + " FROM documents")
 def q_skill_flags(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    d = spread_for_cpu(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
     return finish(d.select("doc_id", *[v.alias(k) for k, v in E.skill_flags(F.col("text")).items()]))
 
 
@@ -188,7 +188,7 @@ _METRICS_SQL = E.text_metrics_sql("text")
 @query("text_metrics", "SELECT doc_id, " + ", ".join(
     f"CAST({v} AS BIGINT) AS {k}" for k, v in _METRICS_SQL.items()) + " FROM documents")
 def q_text_metrics(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    d = spread_for_cpu(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
     return finish(d.select("doc_id", *[v.alias(k) for k, v in E.text_metrics(F.col("text")).items()]))
 
 
@@ -197,7 +197,7 @@ def q_text_metrics(spark, sf_dir):
 SELECT doc_id, array_to_string({E.dictionary_tags_sql('text')}, ',') AS skills,
        array_to_string({E.dictionary_tags_sql('text', E.TAG_BENEFITS)}, ',') AS benefits FROM documents""")
 def q_dictionary_tags(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    d = spread_for_cpu(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
     return d.select("doc_id", F.array_join(E.dictionary_tags(F.col("text")), ",").alias("skills"),
                     F.array_join(E.dictionary_tags(F.col("text"), E.TAG_BENEFITS), ",").alias("benefits"))
 
@@ -210,7 +210,7 @@ SELECT doc_id, source, fingerprint FROM (
                             ORDER BY doc_id) AS rn
   FROM documents WHERE length(text) > 5) WHERE rn = 1""")
 def q_offer_dedup(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source", "lang"])
+    d = spread_for_cpu(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source", "lang"]))
     fp = d.select("doc_id", "source",
                   E.offer_fingerprint(F.col("text"), F.col("source"), F.col("lang")).alias("fingerprint"),
                   "text")
@@ -224,7 +224,7 @@ SELECT source, count(*) AS collected, count(DISTINCT md5(text)) AS unique_offers
        count(*) - count(DISTINCT md5(text)) AS duplicates
 FROM documents WHERE source IS NOT NULL GROUP BY source ORDER BY collected DESC, source LIMIT 20""")
 def q_crawl_keyword_counts(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents", ["source", "text"])
+    d = spread_for_cpu(read_table(spark, sf_dir, "documents", ["source", "text"]))
     # distinct per source via a two-level aggregate (source, hash) -> counts;
     # partial aggregation keeps a hot source from landing whole in one task
     per_hash = d.where(F.col("source").isNotNull()).groupBy("source", F.md5("text").alias("h")) \
@@ -243,7 +243,7 @@ SELECT source, CAST(trunc(quantile_cont(w, 0.1)) AS BIGINT) AS p10, CAST(trunc(q
        CAST(trunc(quantile_cont(w, 0.9)) AS BIGINT) AS p90, CAST(trunc(avg(w)) AS BIGINT) AS mean, count(w) AS count
 FROM (SELECT source, len(regexp_extract_all(text, '\\S+')) AS w FROM documents) GROUP BY source""")
 def q_distribution_profile(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents", ["source", "text"]) \
+    d = spread_for_cpu(read_table(spark, sf_dir, "documents", ["source", "text"])) \
         .select("source", E.word_count(F.col("text")).alias("w"))
     return A.distribution_profile(d, "w", ["source"])
 
@@ -255,7 +255,7 @@ SELECT round(CASE WHEN regr_count(w, n_chars) < 10 THEN 15.0 ELSE regr_slope(w,
 FROM (SELECT CAST(len(regexp_extract_all(text, '\\S+')) AS DOUBLE) AS w, CAST(n_chars AS DOUBLE) AS n_chars,
              CAST(len(string_split(text, chr(10))) AS DOUBLE) AS n_lines FROM documents)""")
 def q_length_slopes(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents", ["text", "n_chars"]).select(
+    d = spread_for_cpu(read_table(spark, sf_dir, "documents", ["text", "n_chars"])).select(
         E.word_count(F.col("text")).cast("double").alias("w"), F.col("n_chars").cast("double").alias("n_chars"),
         F.size(F.split("text", "\n", -1)).cast("double").alias("n_lines"))
     a = A.regression_slope(d, "w", "n_chars", 15.0, name="slope_chars")
@@ -268,7 +268,7 @@ def q_length_slopes(spark, sf_dir):
 SELECT lang, CAST(trunc(median(w) - (SELECT median(len(regexp_extract_all(text, '\\S+'))) FROM documents)) AS BIGINT) AS adjustment
 FROM (SELECT lang, len(regexp_extract_all(text, '\\S+')) AS w FROM documents) GROUP BY lang""")
 def q_group_adjustments(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents", ["lang", "text"]).select(
+    d = spread_for_cpu(read_table(spark, sf_dir, "documents", ["lang", "text"])).select(
         "lang", E.word_count(F.col("text")).alias("w"))
     return A.group_adjustments(d, "lang", "w")
 
@@ -281,8 +281,9 @@ _PAGE_SQL = PG.page_fields_sql("url", "html")
     (f"CAST({v} AS BIGINT) AS {k}" if k in ("text_chars", "n_links") else f"{v} AS {k}")
     for k, v in _PAGE_SQL.items()) + " FROM pages WHERE length(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))) BETWEEN 5 AND 200")
 def q_page_records(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
-    fields = PG.page_fields(F.col("url"), F.col("html"))
+    p = spread_for_cpu(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])) \
+        .withColumn("_text", PG.strip_tags(F.col("html")))
+    fields = PG.page_fields(F.col("url"), F.col("html"), F.col("_text"))
     out = p.select("page_id", *[v.alias(k) for k, v in fields.items()])
     return finish(out.where(F.length("title").between(5, 200)))
 
@@ -290,7 +291,7 @@ def q_page_records(spark, sf_dir):
 @query("page_sections")
 def q_page_sections(spark, sf_dir):
     """E21 sections use look-ahead stops (no RE2 form): rows-only check."""
-    p = read_table(spark, sf_dir, "pages", ["page_id", "html"])
+    p = spread_for_cpu(read_table(spark, sf_dir, "pages", ["page_id", "html"]))
     s = PG.page_sections(F.col("html"))
     return p.select("page_id", F.length(s["missions"]).alias("missions_chars"),
                     F.length(s["profile_sought"]).alias("profile_chars"),

@@ -43,3 +43,12 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     if missing:
         raise ValueError(f"missing required columns: {missing}")
     return df
+
+
+def spread_for_cpu(df: DataFrame) -> DataFrame:
+    """CPU-heavy per-row work (regexes over whole texts) wants at least one task
+    per core. A large input already scans into many splits and is left alone;
+    only an input that arrives in fewer partitions than the default parallelism
+    (e.g. one small file with one row group) is round-robin repartitioned."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
