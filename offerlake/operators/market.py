@@ -1,8 +1,8 @@
 """Market aggregates and sort/top-k/dedup.
 
 All functions are DataFrame -> DataFrame and take column names as parameters.
-Medians and quantiles go through ``exact_quantiles`` (rank-based, no group is
-gathered into one task). One-row global statistics enter other plans as scalar
+Medians and quantiles go through ``exact_quantiles`` (exact; size-checked, so
+no group with an unbounded number of distinct values is gathered into one task). One-row global statistics enter other plans as scalar
 subqueries (``DataFrame.scalar()``), which Spark evaluates once.
 """
 
@@ -102,7 +102,7 @@ def group_multiplier(df: DataFrame, group: str, value: str = "salary_mid") -> Da
     """median(group) / median(all), over rows with a value."""
     rows = df.where(F.col(value).isNotNull())
     g = median_by(rows, value, name="g").select("g").scalar()
-    per = median_by(rows, value, [group], name="group_median")
+    per = median_by(rows.where(F.col(group).isNotNull()), value, [group], name="group_median")
     return per.select(group, "group_median", (F.col("group_median") / g).alias("multiplier"))
 
 
@@ -209,9 +209,11 @@ def skill_frequency(df: DataFrame, skills: list[tuple[str, str]]) -> DataFrame:
 
 # --------------------------------------------------------------------------- A12 / T2
 def skill_impact(df: DataFrame, skills: list[tuple[str, str]], value: str = "salary_mid",
-                 min_holders: int = 5) -> DataFrame:
+                 min_holders: int = 5, drop_zero: bool = False, top: int | None = None,
+                 by_abs: bool = True) -> DataFrame:
     """median(value | skill) - median(value | no skill) per skill with >= min_holders
-    holders; sorted by absolute impact."""
+    holders. Variants: sorted by absolute impact (default), or dropping zero
+    impacts and keeping the ``top`` largest (``by_abs=False``)."""
     pairs = unpivot_flags(df, skills, [value])
     holders = pairs.groupBy("skill").agg(F.sum("flag").alias("holders"))
     med = exact_quantiles(pairs, value, [0.5], ["skill", "flag"], ["median"])
@@ -223,7 +225,10 @@ def skill_impact(df: DataFrame, skills: list[tuple[str, str]], value: str = "sal
            .select("skill", "holders", "median_with", "median_without",
                    (F.col("median_with") - F.col("median_without")).alias("impact"))
            .where(F.col("impact").isNotNull()))
-    return out.orderBy(F.abs("impact").desc(), "skill")
+    if drop_zero:
+        out = out.where(F.col("impact") != 0)
+    out = out.orderBy(F.abs("impact").desc() if by_abs else F.col("impact").desc(), "skill")
+    return out.limit(top) if top else out
 
 
 # --------------------------------------------------------------------------- A13

@@ -307,3 +307,20 @@ def profile_ranges(profiles: DataFrame, job_ranges: DataFrame, exp_ranges: DataF
         F.coalesce("job_hi", F.lit(DEFAULT_JOB_RANGE[1]).cast("long")).alias("job_high"),
         F.coalesce("exp_lo", last_lo, F.lit(DEFAULT_EXP_RANGE[0]).cast("long")).alias("exp_low"),
         F.coalesce("exp_hi", last_hi, F.lit(DEFAULT_EXP_RANGE[1]).cast("long")).alias("exp_high"))
+
+
+# --------------------------------------------------------------------- K6 axes
+def profile_axes(profiles: DataFrame, city_mult: DataFrame, sector_mult: DataFrame, cols,
+                 skill_cols: list[str]) -> DataFrame:
+    """K6 comparison axes on a 0-100 scale: experience / 15, city and sector
+    multipliers (default 1.0), skills / 8. The multiplier tables have one row
+    per group value (broadcast)."""
+    skills = reduce(lambda a, b: a + b, [F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in skill_cols])
+    cm = city_mult.select(F.col(cols.city).alias("_c"), F.col("multiplier").alias("_cm"))
+    sm = sector_mult.select(F.col(cols.sector).alias("_s"), F.col("multiplier").alias("_sm"))
+    j = (profiles.join(F.broadcast(cm), F.col(cols.city) == F.col("_c"), "left")
+         .join(F.broadcast(sm), F.col(cols.sector) == F.col("_s"), "left"))
+    return j.select("profile_id", (F.col(cols.experience) / 15 * 100).alias("axis_experience"),
+                    (F.coalesce("_cm", F.lit(1.0)) * 100).alias("axis_city"),
+                    (F.coalesce("_sm", F.lit(1.0)) * 100).alias("axis_sector"),
+                    (skills / 8 * 100).alias("axis_skills"))

@@ -312,6 +312,30 @@ def q_skill_impact(spark, sf_dir):
     return finish(A.skill_impact(offers(spark, sf_dir), skill_pairs(), C.salary, 5))
 
 
+@query("skill_impact_top3", with_offers(f"""
+SELECT skill, holders, {_r('median_with')} AS median_with, {_r('median_without')} AS median_without,
+       {_r('median_with - median_without')} AS impact
+FROM imp WHERE median_with - median_without IS NOT NULL AND median_with - median_without <> 0
+ORDER BY median_with - median_without DESC, skill LIMIT 3""", extra=f"imp AS ({_IMPACT_SQL})"))
+def q_skill_impact_top3(spark, sf_dir):
+    """A12 overview variant: no holder threshold, zero impacts dropped, top 3 by impact."""
+    return finish(A.skill_impact(offers(spark, sf_dir), skill_pairs(), C.salary, min_holders=0,
+                                 drop_zero=True, top=3, by_abs=False))
+
+
+# ----------------------------------------------------------------- S3
+@query("career_load", with_offers(f"""
+SELECT offer_id, {_r('salary_mid')} AS salary_mid, {_r('experience')} AS experience FROM offers
+WHERE salary_mid IS NOT NULL AND experience IS NOT NULL"""))
+def q_career_load(spark, sf_dir):
+    """S3: required columns (raises when one is missing), numeric coercion, rows
+    without salary or experience dropped."""
+    from offerlake.sources.tables import require_columns
+    off = require_columns(offers(spark, sf_dir), [C.job, C.city, C.salary, C.experience])
+    coerced = P.coerce_numeric(off, [C.salary, C.experience]).na.drop(subset=[C.salary, C.experience])
+    return finish(coerced.select(C.id, C.salary, C.experience))
+
+
 # ----------------------------------------------------------------- A13
 _MONTHS_VALUES = ", ".join(f"('{k}', {v})" for k, v in A.SKILL_LEARNING_MONTHS.items())
 

@@ -73,7 +73,8 @@ SELECT offer_id, seniority, CAST({_case_map('seniority', FT.SENIORITY_ORDINAL, 0
             WHEN kw > 5 AND kw <= 10 THEN 'Élevée' WHEN kw > 10 THEN 'Très élevée' END AS tech_complexity,
        CAST(CASE WHEN kw <= 2 THEN 0 WHEN kw <= 5 THEN 1 WHEN kw <= 10 THEN 2 ELSE 3 END AS BIGINT) AS tech_complexity_encoded,
        {_r(f'{_TECH_SQL} * ln(1 + coalesce(experience, 8.0))')} AS tech_exp_interaction,
-       {_r("CAST(0.5 AS DOUBLE)")} AS telework_numeric
+       {_r("CAST(0.5 AS DOUBLE)")} AS telework_numeric, {_r("CAST(kw AS DOUBLE)")} AS nb_mots_cles_techniques,
+       CAST(0 AS BIGINT) AS benefits_score
 FROM (SELECT *, {_SEN_SQL} AS seniority, 2 * ({_SKILLS_COUNT_SQL}) AS kw FROM offers)"""))
 def q_feature_row(spark, sf_dir):
     df = FT.bools_to_int(feature_offers(spark, sf_dir))
@@ -94,7 +95,9 @@ def q_feature_row(spark, sf_dir):
         FT.skills_count(df).alias("skills_count"), tech.alias("technical_score"),
         FT.complexity_band(kw).alias("tech_complexity"), FT.complexity_ordinal(kw).alias("tech_complexity_encoded"),
         FT.tech_exp_interaction(tech, F.coalesce(F.col(C.experience), F.lit(8.0))).alias("tech_exp_interaction"),
-        FT.telework_of_profile(F.lit(None).cast("string")).alias("telework_numeric"))
+        FT.telework_of_profile(F.lit(None).cast("string")).alias("telework_numeric"),
+        FT.numeric_repair(kw).alias("nb_mots_cles_techniques"),
+        FT.benefits_score(df).alias("benefits_score"))   # no benefit flags in the proxy: all absent
     return finish(out)
 
 

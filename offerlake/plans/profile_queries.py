@@ -406,3 +406,39 @@ def q_profile_warnings(spark, sf_dir):
     ml = F.coalesce(F.col(C.skill("machine_learning")).cast("boolean"), F.lit(False))
     out = profile_warnings(prof, C.contract, ml, F.lit(False), C.experience, C.sector, cdi_value="O")
     return out.select("profile_id", F.array_join("warnings", ",").alias("warnings"))
+
+
+# --------------------------------------------------------------------- F23, K6 axes
+@query("profile_summary", _sql(f"""
+SELECT profile_id, concat_ws(' | ', job_type, sen, location, sector, printf('%.1f', experience) || ' ans',
+                             CAST(sk AS VARCHAR) || ' compétences', 'score ' || CAST(least(ts, 15) AS VARCHAR)) AS summary
+FROM (SELECT *, CASE WHEN experience IS NULL THEN NULL WHEN experience < 1 THEN 'Stage/Alternance'
+                     WHEN experience <= 3 THEN 'Junior (1-3 ans)' WHEN experience <= 5 THEN 'Mid-level'
+                     WHEN experience <= 8 THEN 'Senior (5-8 ans)' ELSE 'Expert (8-12 ans)' END AS sen,
+             {STACK_SQL} AS sk,
+             {' + '.join(f"{c} * {w}" for c, w in ((C.skill(n), w) for n, w in (('python', 2), ('sql', 2), ('machine_learning', 2), ('aws', 1), ('spark', 1), ('tableau', 1))))} AS ts
+      FROM profiles)"""))
+def q_profile_summary(spark, sf_dir):
+    from offerlake.functions import features as FT
+    _, prof, _ = setup(spark, sf_dir)
+    x = prof.withColumns({f"contient_{n}": F.col(c) for n, c in SKILLS})
+    tech = FT.technical_score(x)
+    sk = FT.skills_count(x)
+    sen = FT.seniority_from_experience(F.col(C.experience))
+    return x.select("profile_id", FT.profile_summary(F.col(C.job), sen, F.col(C.city), F.col(C.sector),
+                                                     F.col(C.experience), sk, tech).alias("summary"))
+
+
+@query("profile_axes", _sql(f"""
+SELECT p.profile_id, {_r('p.experience / 15 * 100')} AS axis_experience,
+       {_r('coalesce(cm.m / g.g, 1.0) * 100')} AS axis_city, {_r('coalesce(sm.m / g.g, 1.0) * 100')} AS axis_sector,
+       {_r(f'({STACK_SQL}) / 8 * 100')} AS axis_skills
+FROM profiles p
+CROSS JOIN (SELECT median(salary_mid) AS g FROM offers WHERE salary_mid IS NOT NULL) g
+LEFT JOIN (SELECT location AS k, median(salary_mid) AS m FROM offers WHERE salary_mid IS NOT NULL GROUP BY 1) cm ON p.location = cm.k
+LEFT JOIN (SELECT sector AS k, median(salary_mid) AS m FROM offers WHERE salary_mid IS NOT NULL GROUP BY 1) sm ON p.sector = sm.k"""))
+def q_profile_axes(spark, sf_dir):
+    from offerlake.operators.market import group_multiplier
+    off, prof, _ = setup(spark, sf_dir)
+    return finish(K.profile_axes(prof, group_multiplier(off, C.city, C.salary),
+                                 group_multiplier(off, C.sector, C.salary), C, list(FLAG_COLUMNS)))
