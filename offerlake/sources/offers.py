@@ -144,7 +144,7 @@ def offers_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     predicate pushdown. NaN is already NULL in the stored file, so range
     predicates on salary reach the reader."""
     from offerlake.session import checkpoint_dir
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (spark.conf.get("spark.app.id", "app"), os.path.abspath(sf_dir))
     path = _WRITTEN.get(key)
     if path is None:
         path = f"{checkpoint_dir(spark).rstrip('/')}/offerlake/tables/offers-{uuid.uuid4().hex}"

@@ -50,5 +50,9 @@ def spread_for_cpu(df: DataFrame) -> DataFrame:
     per core. A large input already scans into many splits and is left alone;
     only an input that arrives in fewer partitions than the default parallelism
     (e.g. one small file with one row group) is round-robin repartitioned."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no JVM context (e.g. a Connect session): leave the plan as is
+        return df
+    return df.repartition(want) if have < want else df
