@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlake.operators.quantiles import exact_quantiles, median_by
+from offerlake.operators.quantiles import exact_quantiles
 from offerlake.session import materialize
 
 ERROR_P75 = 7417.0  # fixed value: P75 absolute error of the reference model (EUR)
@@ -270,12 +270,12 @@ def role_gap(profiles: DataFrame, offers: DataFrame, cols, skills: list[tuple[st
     the profile lacks that more than ``min_rate`` of the role's offers require."""
     demand = role_skill_demand(offers, cols, skills, min_offers)
     roles = demand.select("role", "offer_count").distinct()
-    # roles are bounded by the job vocabulary: a small broadcast side
+    # one row per role (an aggregate): AQE measures it and broadcasts it when small
     pr = profiles.select("profile_id", F.col(cols.job).alias("current_role")).join(
-        F.broadcast(roles), F.col("role") != F.col("current_role"))
+        roles, F.col("role") != F.col("current_role"))
     miss = missing_skills(profiles, skills)
     need = demand.where(F.col("rate") > min_rate).select("role", "skill", "rate")
-    gaps = miss.join(F.broadcast(need), "skill").select("profile_id", "role", "skill", "rate")
+    gaps = miss.join(need, "skill").select("profile_id", "role", "skill", "rate")
     return pr.join(gaps, ["profile_id", "role"], "left").select(
         "profile_id", "role", "offer_count", "skill", "rate")
 
@@ -289,18 +289,18 @@ def profile_ranges(profiles: DataFrame, job_ranges: DataFrame, exp_ranges: DataF
                    last_bin: str = "12-30") -> DataFrame:
     """The profile's job P25/P75 (default 35000-60000). J3: the range of the
     left-closed experience bin holding the profile (bins with too few rows are
-    absent); otherwise the last bin's range, else 60000-90000. Both range tables
-    have one row per group value, so they are broadcast."""
+    absent); otherwise the last bin's range, else 60000-90000. The range tables
+    are aggregates (one row per group value); AQE broadcasts them when small."""
     from offerlake.operators.market import experience_range_bin
     last = exp_ranges.where(F.col("exp_bin") == last_bin)
     last_lo = last.select(F.max("p25")).scalar()
     last_hi = last.select(F.max("p75")).scalar()
     j = (profiles.select("profile_id", F.col(cols.job).alias("_job"),
                          experience_range_bin(F.col(cols.experience)).alias("_bin"))
-         .join(F.broadcast(job_ranges.select(F.col(cols.job).alias("_job"), F.col("p25").alias("job_lo"),
-                                             F.col("p75").alias("job_hi"))), "_job", "left")
-         .join(F.broadcast(exp_ranges.select(F.col("exp_bin").alias("_bin"), F.col("p25").alias("exp_lo"),
-                                             F.col("p75").alias("exp_hi"))), "_bin", "left"))
+         .join(job_ranges.select(F.col(cols.job).alias("_job"), F.col("p25").alias("job_lo"),
+                                 F.col("p75").alias("job_hi")), "_job", "left")
+         .join(exp_ranges.select(F.col("exp_bin").alias("_bin"), F.col("p25").alias("exp_lo"),
+                                 F.col("p75").alias("exp_hi")), "_bin", "left"))
     return j.select(
         "profile_id",
         F.coalesce("job_lo", F.lit(DEFAULT_JOB_RANGE[0]).cast("long")).alias("job_low"),
@@ -313,13 +313,13 @@ def profile_ranges(profiles: DataFrame, job_ranges: DataFrame, exp_ranges: DataF
 def profile_axes(profiles: DataFrame, city_mult: DataFrame, sector_mult: DataFrame, cols,
                  skill_cols: list[str]) -> DataFrame:
     """K6 comparison axes on a 0-100 scale: experience / 15, city and sector
-    multipliers (default 1.0), skills / 8. The multiplier tables have one row
-    per group value (broadcast)."""
+    multipliers (default 1.0), skills / 8. The multiplier tables are aggregates
+    (one row per group value); AQE broadcasts them when small."""
     skills = reduce(lambda a, b: a + b, [F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in skill_cols])
     cm = city_mult.select(F.col(cols.city).alias("_c"), F.col("multiplier").alias("_cm"))
     sm = sector_mult.select(F.col(cols.sector).alias("_s"), F.col("multiplier").alias("_sm"))
-    j = (profiles.join(F.broadcast(cm), F.col(cols.city) == F.col("_c"), "left")
-         .join(F.broadcast(sm), F.col(cols.sector) == F.col("_s"), "left"))
+    j = (profiles.join(cm, F.col(cols.city) == F.col("_c"), "left")
+         .join(sm, F.col(cols.sector) == F.col("_s"), "left"))
     return j.select("profile_id", (F.col(cols.experience) / 15 * 100).alias("axis_experience"),
                     (F.coalesce("_cm", F.lit(1.0)) * 100).alias("axis_city"),
                     (F.coalesce("_sm", F.lit(1.0)) * 100).alias("axis_sector"),

@@ -55,10 +55,12 @@ class RuleScorer:
         job, city, sector, experience = job or c.job, city or c.city, sector or c.sector, experience or c.experience
         g = self.stats.where(F.col("kind") == "global").select("m").scalar()
         out = df.withColumn("_exp_bin", experience_range_bin(F.col(experience)))
-        # statistic tables hold one row per group value (bounded by the vocabularies)
+        # statistic tables hold one row per group value; they are checkpointed
+        # files, so the planner sees their real size and broadcasts them only
+        # when they are below the broadcast threshold (no unconditional hint)
         for kind, key, name in (("job", job, "job_median"), ("city", city, "city_median"),
                                 ("sector", sector, "sector_median"), ("exp", "_exp_bin", "exp_median")):
-            out = out.join(F.broadcast(self._median(kind, name)),
+            out = out.join(self._median(kind, name),
                            F.col(key).cast("string") == F.col(f"_k_{name}"), "left").drop(f"_k_{name}")
 
         def factor(m):
