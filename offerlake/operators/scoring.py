@@ -27,9 +27,10 @@ class RuleScorer:
     the result (one row per group value, bounded by the vocabularies) is
     checkpointed so every later scoring plan reads a small table."""
 
-    def __init__(self, offers: DataFrame, cols, skill_bonus: float = SKILL_BONUS):
+    def __init__(self, offers: DataFrame, cols, skill_bonus: float = SKILL_BONUS, use_experience: bool = True):
         self.cols = cols
         self.skill_bonus = skill_bonus
+        self.use_experience = use_experience   # False = the K5 market rule exactly
         rows = offers.where(F.col(cols.salary).isNotNull())
         kinds = F.array(
             F.struct(F.lit("global").alias("kind"), F.lit("").alias("key")),
@@ -66,21 +67,25 @@ class RuleScorer:
         def factor(m):
             return F.coalesce(F.col(m) / g, F.lit(1.0))
 
-        pred = (F.coalesce(F.col("job_median"), g) * factor("city_median") * factor("sector_median")
-                * factor("exp_median") + F.lit(self.skill_bonus) * self.skills_count(df))
+        base = F.coalesce(F.col("job_median"), g) * factor("city_median") * factor("sector_median")
+        if self.use_experience:
+            base = base * factor("exp_median")
+        pred = base + F.lit(self.skill_bonus) * self.skills_count(df)
         return out.withColumn("prediction", pred).drop(
             "_exp_bin", "job_median", "city_median", "sector_median", "exp_median")
 
 
 def rule_scorer_sql(profiles: str, job="job_type", city="location", sector="sector", experience="experience",
                     skills=("f_economy", "f_large", "f_medium", "f_promo", "f_small", "f_standard"),
-                    bins=((0, 1), (1, 3), (3, 5), (5, 8), (8, 12), (12, 30)), stats: str = "offers") -> str:
+                    bins=((0, 1), (1, 3), (3, 5), (5, 8), (8, 12), (12, 30)), stats: str = "offers",
+                    use_experience: bool = True) -> str:
     """The same scorer as SQL, statistics from CTE ``stats``, for the rows of ``profiles`` (a CTE name).
     Returns a SELECT with all profile columns plus ``prediction``."""
     bin_case = "CASE " + " ".join(f"WHEN {{e}} >= {lo} AND {{e}} < {hi} THEN '{lo}-{hi}'" for lo, hi in bins) + " END"
     skill_sum = " + ".join(f"coalesce(CAST(p.{s} AS INTEGER), 0)" for s in skills)
+    exp_factor = " * coalesce(em.m / gm.g, 1.0)" if use_experience else ""
     return f"""SELECT p.*, coalesce(jm.m, (SELECT median(salary_mid) FROM {stats} WHERE salary_mid IS NOT NULL))
-         * coalesce(cm.m / gm.g, 1.0) * coalesce(sm.m / gm.g, 1.0) * coalesce(em.m / gm.g, 1.0)
+         * coalesce(cm.m / gm.g, 1.0) * coalesce(sm.m / gm.g, 1.0){exp_factor}
          + {SKILL_BONUS} * ({skill_sum}) AS prediction
 FROM {profiles} p
 CROSS JOIN (SELECT median(salary_mid) AS g FROM {stats} WHERE salary_mid IS NOT NULL) gm

@@ -135,7 +135,7 @@ SELECT s.profile_id, {_r('s.prediction')} AS prediction,
        {_r('(SELECT quantile_cont(salary_mid, 0.25) FROM offers)')} AS market_q1,
        {_r('(SELECT quantile_cont(salary_mid, 0.75) FROM offers)')} AS market_q3,
        (SELECT count(*) FROM offers) AS dataset_rows
-FROM scored s""", PQ._SCORED))
+FROM scored s""", f"scored AS ({PQ.rule_scorer_sql('profiles')})"))
 def q_prediction_report(spark, sf_dir):
     off, prof, scorer = PQ.setup(spark, sf_dir)
     pred = scorer(prof).select("profile_id", "prediction")

@@ -103,7 +103,7 @@ def q_percentile_rank(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- J4, K5
-_SCORED = f"scored AS ({rule_scorer_sql('profiles')})"
+_SCORED = f"scored AS ({rule_scorer_sql('profiles', use_experience=False)})"   # the K5 market rule
 _PEERS = """peers AS (
   SELECT p.profile_id, count(o.salary_mid) AS n_peers, median(o.salary_mid) AS peer_median
   FROM profiles p LEFT JOIN offers o ON o.job_type = p.job_type AND o.location = p.location
@@ -115,11 +115,16 @@ _EST = f"""est AS (
   FROM scored s JOIN peers pe ON s.profile_id = pe.profile_id)"""
 
 
+def k5_scorer(off):
+    """K5 fallback: job median x city x sector multipliers + 1000 per skill."""
+    return RuleScorer(off, C, use_experience=False)
+
+
 @query("profile_estimate", _sql(f"SELECT profile_id, n_peers, {_r('estimate')} AS estimate FROM est",
                                 _SCORED, _PEERS, _EST))
 def q_profile_estimate(spark, sf_dir):
-    off, prof, scorer = setup(spark, sf_dir)
-    return finish(K.profile_estimate(prof, off, C, scorer))
+    off, prof, _ = setup(spark, sf_dir)
+    return finish(K.profile_estimate(prof, off, C, k5_scorer(off)))
 
 
 # --------------------------------------------------------------------- A24, K7, P8
@@ -145,8 +150,8 @@ SELECT e.profile_id, {_r('greatest(e.estimate - 7417.0, b.band_min)')} AS lower,
             ELSE 'in_market' END AS position
 FROM est e JOIN band b ON e.profile_id = b.profile_id""", _SCORED, _PEERS, _EST, _BAND))
 def q_negotiation_band(spark, sf_dir):
-    off, prof, scorer = setup(spark, sf_dir)
-    est = K.profile_estimate(prof, off, C, scorer)
+    off, prof, _ = setup(spark, sf_dir)
+    est = K.profile_estimate(prof, off, C, k5_scorer(off))
     return finish(K.negotiation_band(est, K.peer_band(prof, off, C)))
 
 
@@ -162,8 +167,8 @@ FROM (SELECT e.profile_id AS profile_a, e.estimate AS salary_a,
       FROM est e JOIN profiles p ON e.profile_id = p.profile_id) WHERE profile_b IS NOT NULL""",
     _SCORED, _PEERS, _EST))
 def q_pair_compare(spark, sf_dir):
-    off, prof, scorer = setup(spark, sf_dir)
-    est = K.profile_estimate(prof, off, C, scorer)
+    off, prof, _ = setup(spark, sf_dir)
+    est = K.profile_estimate(prof, off, C, k5_scorer(off))
     return finish(K.pair_compare(est, prof, C, C.job))
 
 
