@@ -169,3 +169,37 @@ def first_skill_boost(profiles: DataFrame, scorer, targets: list[tuple[str, str]
     base = scorer(profiles).select("profile_id", F.col("prediction").alias("base_prediction"))
     return scorer(_set_skill(x, targets)).join(base, "profile_id").select(
         "profile_id", "skill", "prediction", (F.col("prediction") - F.col("base_prediction")).alias("boost"))
+
+
+def _interp(pts: Column, x: Column) -> Column:
+    """numpy.interp over an array of struct(e, p) sorted by e: clamped at both ends,
+    slope * (x - e_j) + p_j inside [e_j, e_{j+1}]."""
+    n = F.size(pts)
+    i = F.size(F.filter(pts, lambda t: t["e"] <= x))          # points at or left of x
+    lo = F.element_at(pts, F.greatest(i, F.lit(1)))
+    hi = F.element_at(pts, F.least(i + 1, n))
+    slope = (hi["p"] - lo["p"]) / (hi["e"] - lo["e"])
+    return (F.when(i == 0, F.element_at(pts, 1)["p"])
+            .when(i >= n, F.element_at(pts, -1)["p"])
+            .otherwise(slope * (x - lo["e"]) + lo["p"]))
+
+
+def experience_insights(scores: DataFrame, profiles: DataFrame, experience: str,
+                        prefix: str = "experience:") -> DataFrame:
+    """C7 for the experience series of C1: total and average annual growth across
+    the series, and the salary 5 years ahead (capped at the last point) by
+    linear interpolation. The series per profile is bounded by the grid size."""
+    s = scores.where(F.col("scenario_id").startswith(prefix)).select(
+        "profile_id", F.struct(F.col(experience).cast("double").alias("e"), F.col("prediction").alias("p")).alias("pt"))
+    series = s.groupBy("profile_id").agg(F.array_sort(F.collect_list("pt")).alias("pts"))
+    j = series.join(profiles.select("profile_id", F.col(experience).cast("double").alias("cur")), "profile_id")
+    first, last = F.element_at("pts", 1), F.element_at("pts", -1)
+    span = last["e"] - first["e"]
+    total = last["p"] - first["p"]
+    future_e = F.least(F.col("cur") + 5, last["e"])
+    now = _interp(F.col("pts"), F.col("cur"))
+    later = _interp(F.col("pts"), future_e)
+    return j.where(F.col("cur").isNotNull()).select(
+        "profile_id", total.alias("total_growth"),
+        F.when(span > 0, total / span).otherwise(F.lit(0.0)).alias("avg_annual_growth"),
+        future_e.alias("future_experience"), later.alias("future_salary"), (later - now).alias("five_year_growth"))

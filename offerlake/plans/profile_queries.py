@@ -242,6 +242,30 @@ def q_scenario_insights(spark, sf_dir):
     return finish(S.scenario_insights(_scenario_scores(spark, sf_dir)))
 
 
+def _interp_sql(pts: str, x: str) -> str:
+    i = f"len(list_filter({pts}, lambda t: t.e <= {x}))"
+    lo = f"{pts}[greatest({i}, 1)]"
+    hi = f"{pts}[least({i} + 1, len({pts}))]"
+    return (f"CASE WHEN {i} = 0 THEN {pts}[1].p WHEN {i} >= len({pts}) THEN {pts}[-1].p "
+            f"ELSE ({hi}.p - {lo}.p) / ({hi}.e - {lo}.e) * ({x} - {lo}.e) + {lo}.p END")
+
+
+@query("experience_insights", _sql(f"""
+SELECT profile_id, {_r('pts[-1].p - pts[1].p')} AS total_growth,
+       {_r('CASE WHEN pts[-1].e - pts[1].e > 0 THEN (pts[-1].p - pts[1].p) / (pts[-1].e - pts[1].e) ELSE 0.0 END')} AS avg_annual_growth,
+       {_r('least(cur + 5, pts[-1].e)')} AS future_experience,
+       {_r(_interp_sql('pts', 'least(cur + 5, pts[-1].e)'))} AS future_salary,
+       {_r(_interp_sql('pts', 'least(cur + 5, pts[-1].e)') + ' - ' + _interp_sql('pts', 'cur'))} AS five_year_growth
+FROM (SELECT s.profile_id, list_sort(list({{'e': CAST(s.experience AS DOUBLE), 'p': s.prediction}})) AS pts,
+             max(CAST(p.experience AS DOUBLE)) AS cur
+      FROM ss s JOIN profiles p ON s.profile_id = p.profile_id
+      WHERE starts_with(s.scenario_id, 'experience:') GROUP BY s.profile_id)
+WHERE cur IS NOT NULL""", _SCEN, _SCEN_SCORED))
+def q_experience_insights(spark, sf_dir):
+    _, prof, _ = setup(spark, sf_dir)
+    return finish(S.experience_insights(_scenario_scores(spark, sf_dir), prof, C.experience))
+
+
 # --------------------------------------------------------------------- C2, C3, C4, A26
 _SET_FLAGS = ", ".join(f"CASE WHEN m.skill = '{n}' THEN 1 ELSE p.{c} END AS {c}" for n, c in SKILLS)
 _ROAD = f"""mod AS (

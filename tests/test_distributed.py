@@ -152,3 +152,13 @@ def test_similar_offers_matches_brute_force(spark):
     a = sorted((r[0], r[1], r[2]) for r in fast.select("profile_id", "rank", "offer_id").collect())
     b = sorted((r[0], r[1], r[2]) for r in brute.select("profile_id", "rank", "offer_id").collect())
     assert a == b
+
+
+def test_interp_matches_numpy(spark):
+    from offerlake.operators.scenarios import _interp
+    xp, fp = [0.0, 2.0, 5.0, 10.0], [100.0, 140.0, 150.0, 400.0]
+    xs = [-1.0, 0.0, 1.0, 2.0, 3.5, 9.99, 10.0, 42.0]
+    pts = F.array(*[F.struct(F.lit(e).alias("e"), F.lit(p).alias("p")) for e, p in zip(xp, fp)])
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r[0] for r in df.select(_interp(pts, F.col("x"))).collect()]
+    assert got == pytest.approx(list(np.interp(xs, xp, fp)), rel=1e-12)
