@@ -32,10 +32,28 @@ def _r(x: str) -> str:
     return f"round({x}, 4)"
 
 
+class _LazyScorer:
+    """The rule scorer is fitted (one statistics job) only when first used."""
+
+    def __init__(self, off):
+        self._off, self._s = off, None
+
+    def _get(self):
+        if self._s is None:
+            self._s = RuleScorer(self._off, C)
+        return self._s
+
+    def __call__(self, *a, **k):
+        return self._get()(*a, **k)
+
+    def __getattr__(self, name):
+        return getattr(self._get(), name)
+
+
 def setup(spark, sf_dir):
     off = offers(spark, sf_dir)
     prof = K.representative_profiles(off.drop("skills_count"), C, [C.job, C.city])
-    return off, prof, RuleScorer(off, C)
+    return off, prof, _LazyScorer(off)
 
 
 def _sql(body: str, *extra: str) -> str:

@@ -50,8 +50,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut the lineage of a reused intermediate: a reliable checkpoint written to
-    the cluster's shared ``spark.checkpoint.dir`` (survives executor loss, unlike
-    cache or local checkpoints)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of a reused intermediate: write it as Parquet under the
+    cluster's shared ``spark.checkpoint.dir`` and read it back (survives executor
+    loss, unlike cache or local checkpoints). Reading the written files also
+    gives the planner their real size, so a small result is broadcast where it
+    is joined."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/offerlake/materialized/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
