@@ -320,10 +320,15 @@ def job_type(title: Column, description: Column | None = None) -> Column:
     return F.when(title.isNull(), F.lit("Autre")).otherwise(F.coalesce(t, F.lit("Autre")))
 
 
-def job_type_sql(title: str) -> str:
-    cases = " ".join(f"WHEN regexp_matches(lower({title}), {_sq('(?i)(' + '|'.join(p) + ')')}) THEN {_sq(c)}"
-                     for c, p in JOB_TYPE_PATTERNS)
-    return f"CASE WHEN {title} IS NULL THEN 'Autre' {cases} ELSE 'Autre' END"
+def job_type_sql(title: str, description: str | None = None) -> str:
+    def cases(col: str, suffix: str = "") -> str:
+        return " ".join(f"WHEN regexp_matches(lower({col}), {_sq('(?i)(' + '|'.join(p) + ')')}) "
+                        f"THEN {_sq(c + suffix)}" for c, p in JOB_TYPE_PATTERNS)
+    desc = ""
+    if description:
+        desc = (f" WHEN coalesce({description}, '') <> '' THEN CASE {cases(description, ' (via description)')} "
+                f"ELSE 'Autre' END")
+    return f"CASE WHEN {title} IS NULL THEN 'Autre' {cases(title)}{desc} ELSE 'Autre' END"
 
 
 # --------------------------------------------------------------------- E12

@@ -37,7 +37,8 @@ BUILT_SQL = """SELECT p_partkey,
   CASE p_partkey % 4
     WHEN 0 THEN 'Télétravail partiel' WHEN 1 THEN '100% remote' WHEN 2 THEN 'Non' ELSE NULL END AS telework,
   concat('Site ', lpad(CAST(p_size AS VARCHAR), 2, '0'), '000 ', p_brand) AS location_text,
-  concat('[''', replace(p_name, ' ', ''', '''), ''']') AS skills_raw
+  concat('[''', replace(p_name, ' ', ''', '''), ''']') AS skills_raw,
+  CASE p_partkey % 8 WHEN 3 THEN concat('Mission : data pipeline ', p_name) WHEN 7 THEN '' ELSE p_name END AS description
 FROM part"""
 
 
@@ -66,6 +67,8 @@ def built_text(spark, sf_dir):
         F.concat(F.lit("Site "), F.lpad(size.cast("string"), 2, "0"), F.lit("000 "), "p_brand")
         .alias("location_text"),
         F.concat(F.lit("['"), F.replace("p_name", F.lit(" "), F.lit("', '")), F.lit("']")).alias("skills_raw"),
+        F.when(F.col("p_partkey") % 8 == 3, F.concat(F.lit("Mission : data pipeline "), "p_name"))
+        .when(F.col("p_partkey") % 8 == 7, F.lit("")).otherwise(F.col("p_name")).alias("description"),
     )
 
 
@@ -109,14 +112,14 @@ def q_company_extract(spark, sf_dir):
 
 # --------------------------------------------------------------------- E10-E12, E18, E19
 @query("title_rules", _built(f"""
-SELECT p_partkey, {E.job_type_sql('text')} AS job_type,
+SELECT p_partkey, {E.job_type_sql('text', 'description')} AS job_type,
        {E.seniority_from_title_sql('text')} AS seniority,
-       CAST({E.job_type_sql('text')} <> 'Autre' AS INTEGER) AS is_data_job,
-       {E.simplify_job_type_sql(E.job_type_sql('text'))} AS job_type_simplified
+       CAST({E.job_type_sql('text', 'description')} <> 'Autre' AS INTEGER) AS is_data_job,
+       {E.simplify_job_type_sql(E.job_type_sql('text', 'description'))} AS job_type_simplified
 FROM built"""))
 def q_title_rules(spark, sf_dir):
     b = built_text(spark, sf_dir)
-    jt = E.job_type(F.col("text"))
+    jt = E.job_type(F.col("text"), F.col("description"))
     return finish(b.select("p_partkey", jt.alias("job_type"),
                            E.seniority_from_title(F.col("text")).alias("seniority"),
                            E.is_data_job(jt).cast("int").alias("is_data_job"),

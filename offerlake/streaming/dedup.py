@@ -38,6 +38,8 @@ def read_offer_stream(spark: SparkSession, folder: str, table: str, max_files: i
 def dedup_stream(stream: DataFrame, key: str, event_time: str | None = None,
                  watermark: str | None = None) -> DataFrame:
     if event_time and watermark:
+        if dict(stream.dtypes).get(event_time) == "timestamp_ntz":   # watermarks need TIMESTAMP
+            stream = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
         return stream.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key])
     return stream.dropDuplicates([key])
 
