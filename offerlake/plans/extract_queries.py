@@ -114,7 +114,7 @@ def q_company_extract(spark, sf_dir):
 @query("title_rules", _built(f"""
 SELECT p_partkey, {E.job_type_sql('text', 'description')} AS job_type,
        {E.seniority_from_title_sql('text')} AS seniority,
-       CAST({E.job_type_sql('text', 'description')} <> 'Autre' AS INTEGER) AS is_data_job,
+       CAST({E.job_type_sql('text', 'description')} <> 'Autre' AS BIGINT) AS is_data_job,
        {E.simplify_job_type_sql(E.job_type_sql('text', 'description'))} AS job_type_simplified
 FROM built"""))
 def q_title_rules(spark, sf_dir):
@@ -254,7 +254,7 @@ def q_distribution_profile(spark, sf_dir):
 @query("length_slopes", """
 SELECT round(CASE WHEN regr_count(w, n_chars) < 10 THEN 15.0 ELSE regr_slope(w, n_chars) END, 4) AS slope_chars,
        round(CASE WHEN regr_count(w, n_lines) < 10 THEN 10.0 ELSE regr_slope(w, n_lines) END, 4) AS slope_lines,
-       regr_count(w, n_chars) AS pairs
+       CAST(regr_count(w, n_chars) AS BIGINT) AS pairs
 FROM (SELECT CAST(len(regexp_extract_all(text, '\\S+')) AS DOUBLE) AS w, CAST(n_chars AS DOUBLE) AS n_chars,
              CAST(len(string_split(text, chr(10))) AS DOUBLE) AS n_lines FROM documents)""")
 def q_length_slopes(spark, sf_dir):

@@ -145,7 +145,7 @@ def q_filter_bounds(spark, sf_dir):
 @query("market_load", with_offers(f"""
 SELECT offer_id, job_type, coalesce(location, 'Non spécifié') AS location,
        coalesce(sector, 'Non spécifié') AS sector, {_r('salary_mid')} AS salary_mid,
-       {_r('experience')} AS experience, {SKILLS_SUM_SQL} AS skills_count
+       {_r('experience')} AS experience, CAST({SKILLS_SUM_SQL} AS BIGINT) AS skills_count
 FROM offers WHERE (job_type IS NOT NULL OR salary_mid IS NOT NULL)
   AND job_type <> 'HOUSEHOLD' AND salary_mid IS NOT NULL"""))
 def q_market_load(spark, sf_dir):

@@ -86,7 +86,7 @@ _SIM_SQL = f"""sim AS (
 
 
 @query("similar_offers", _sql(f"""
-SELECT profile_id, CAST(rank AS INTEGER) AS rank, offer_id, {_r('similarity')} AS similarity,
+SELECT profile_id, CAST(rank AS BIGINT) AS rank, offer_id, {_r('similarity')} AS similarity,
        {_r('o_salary')} AS o_salary FROM sim""", _SIM_SQL))
 def q_similar_offers(spark, sf_dir):
     off, prof, _ = setup(spark, sf_dir)
@@ -309,14 +309,14 @@ def _roadmap(spark, sf_dir):
 
 
 @query("skill_roadmap", _sql(f"""
-SELECT profile_id, skill, skill_pos, {_r('gain')} AS gain, {_r('frequency')} AS frequency, {_r('roi')} AS roi,
+SELECT profile_id, skill, CAST(skill_pos AS BIGINT) AS skill_pos, {_r('gain')} AS gain, {_r('frequency')} AS frequency, {_r('roi')} AS roi,
        {_r('rarity')} AS rarity FROM road""", _DEMAND, _MISS, _ROAD))
 def q_skill_roadmap(spark, sf_dir):
     return finish(_roadmap(spark, sf_dir))
 
 
 @query("effort_impact", _sql(f"""
-SELECT profile_id, skill, CAST(effort AS INTEGER) AS effort, {_r('impact')} AS impact,
+SELECT profile_id, skill, CAST(effort AS BIGINT) AS effort, {_r('impact')} AS impact,
        {_r('roi_per_month')} AS roi_per_month, category FROM eff""", _DEMAND, _MISS, _ROAD, _EFFORT))
 def q_effort_impact(spark, sf_dir):
     return finish(S.effort_impact(_roadmap(spark, sf_dir)))
@@ -355,7 +355,7 @@ trans AS (
 @query("role_transitions", _sql(f"""
 SELECT profile_id, role, offer_count, {_r('salary')} AS salary, {_r('gain')} AS gain, missing_skills,
        CAST(learning_months AS BIGINT) AS learning_months, {_r('roi_per_month')} AS roi_per_month,
-       CAST(rank AS INTEGER) AS rank
+       CAST(rank AS BIGINT) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY gain DESC, role) AS rank FROM trans)
 WHERE rank <= 3""", _DEMAND, _MISS, _GAPS, _TRANS))
 def q_role_transitions(spark, sf_dir):
@@ -385,11 +385,11 @@ _PROJ = f"""proj AS (
 
 
 @query("projection", _sql(f"""
-SELECT profile_id, CAST(year AS INTEGER) AS year, strategy, {_r('experience')} AS experience,
+SELECT profile_id, CAST(year AS BIGINT) AS year, strategy, {_r('experience')} AS experience,
        {_r('prediction')} AS prediction FROM ({rule_scorer_sql('proj')})""", _PROJ))
 def q_projection(spark, sf_dir):
     _, prof, scorer = setup(spark, sf_dir)
-    return finish(S.projection(prof, scorer, C, SKILLS)).withColumn("year", F.col("year").cast("int"))
+    return finish(S.projection(prof, scorer, C, SKILLS))
 
 
 # --------------------------------------------------------------------- C8

@@ -44,7 +44,10 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            out.append(F.round(c.cast("double"), digits).alias(f.name))
+            # round(x * 10^d) / 10^d on the binary value, as DuckDB's round(x, d) does;
+            # Spark's round(x, d) rounds the shortest decimal string, which differs on ties
+            scale = float(10 ** digits)
+            out.append((F.round(c.cast("double") * scale, 0) / scale).alias(f.name))
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             out.append(c.cast("long").alias(f.name))
         else:
