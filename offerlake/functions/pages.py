@@ -142,6 +142,18 @@ def page_sections(html: Column) -> dict[str, Column]:
     }
 
 
+def page_sections_sql(html: str) -> dict[str, str]:
+    """Same sections for RE2 (no look-ahead): the stop words are consumed by a
+    non-capturing group instead, which leaves capture group 1 unchanged."""
+    text = strip_tags_sql(html)
+    return {
+        "missions": (f"nullif(trim(regexp_extract({text}, '(?is)(?:Missions?|Vos missions|Responsabilités)"
+                     f"[:\\s]+(.*?)(?:\n\n|Profil|Compétences|$)', 1)), '')"),
+        "profile_sought": (f"nullif(trim(regexp_extract({text}, '(?is)(?:Profil recherché|Profil|Vous êtes)"
+                           f"[:\\s]+(.*?)(?:\n\n|Nous offrons|Avantages|$)', 1)), '')"),
+    }
+
+
 def multi_card_links(html: Column) -> Column:
     """Listing pages hold many cards: every offer link (/emplois/<id>.html) -> array of ids."""
     return F.regexp_extract_all(html, F.lit(r"/emplois/(\d+)\.html"), 1)

@@ -291,11 +291,18 @@ def q_page_records(spark, sf_dir):
     return finish(out.where(F.length("title").between(5, 200)))
 
 
-@query("page_sections")
+_SECTIONS_SQL = PG.page_sections_sql("html")
+
+
+@query("page_sections", f"""
+SELECT page_id, CAST(length({_SECTIONS_SQL['missions']}) AS BIGINT) AS missions_chars,
+       CAST(length({_SECTIONS_SQL['profile_sought']}) AS BIGINT) AS profile_chars,
+       CAST(len(regexp_extract_all(html, '/emplois/(\\d+)\\.html', 1)) AS BIGINT) AS n_offer_links
+FROM pages""")
 def q_page_sections(spark, sf_dir):
-    """E21 sections use look-ahead stops (no RE2 form): rows-only check."""
+    """E21 sections (missions, profile sought) and listing links per page."""
     p = spread_for_cpu(read_table(spark, sf_dir, "pages", ["page_id", "html"]))
     s = PG.page_sections(F.col("html"))
-    return p.select("page_id", F.length(s["missions"]).alias("missions_chars"),
-                    F.length(s["profile_sought"]).alias("profile_chars"),
-                    F.size(PG.multi_card_links(F.col("html"))).alias("n_offer_links"))
+    return finish(p.select("page_id", F.length(s["missions"]).alias("missions_chars"),
+                           F.length(s["profile_sought"]).alias("profile_chars"),
+                           F.size(PG.multi_card_links(F.col("html"))).alias("n_offer_links")))
