@@ -266,19 +266,27 @@ def q_train_and_predict(spark, sf_dir):
 def q_model_ranking(spark, sf_dir):
     """M5 + M6: train / test metrics and 5-fold CV metrics (refit on the other
     folds) of three candidate models, then the composite ranking."""
+    from concurrent.futures import ThreadPoolExecutor
     train, test = _train_test(spark, sf_dir)
+    candidates = (("linear", "linear", {"regParam": 0.1}),
+                  ("ridge", "linear", {"regParam": 10.0}),
+                  ("gbt", "gbt", {"maxDepth": 4, "maxIter": 10}))
+
+    def fold_metrics(job):
+        kind, params, k = job
+        fit = M.fit_pipeline(train.where(F.col("fold") != k), NUMERIC, CATEGORICAL, kind, params)
+        return M.regression_metrics(fit.transform(train.where(F.col("fold") == k))).first()
+
     rows = []
-    for name, kind, params in (("linear", "linear", {"regParam": 0.1}),
-                               ("ridge", "linear", {"regParam": 10.0}),
-                               ("gbt", "gbt", {"maxDepth": 4, "maxIter": 10})):
-        model = M.fit_pipeline(train, NUMERIC, CATEGORICAL, kind, params)
-        tr = M.regression_metrics(model.transform(train)).first()
-        te = M.regression_metrics(model.transform(test)).first()
-        folds = [M.regression_metrics(M.fit_pipeline(train.where(F.col("fold") != k), NUMERIC, CATEGORICAL,
-                                                     kind, params).transform(train.where(F.col("fold") == k))).first()
-                 for k in range(5)]
-        rows.append((name, tr["r2"], te["r2"], te["mae"], sum(m["r2"] for m in folds) / 5,
-                     sum(m["mae"] for m in folds) / 5))
+    # fold fits are independent jobs: submitted concurrently, as CrossValidator(parallelism=n) does
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        for name, kind, params in candidates:
+            folds = list(pool.map(fold_metrics, [(kind, params, k) for k in range(5)]))
+            model = M.fit_pipeline(train, NUMERIC, CATEGORICAL, kind, params)
+            tr = M.regression_metrics(model.transform(train)).first()
+            te = M.regression_metrics(model.transform(test)).first()
+            rows.append((name, tr["r2"], te["r2"], te["mae"], sum(m["r2"] for m in folds) / 5,
+                         sum(m["mae"] for m in folds) / 5))
     # five numbers per candidate model: a bounded result table
     res = spark.createDataFrame(rows, "model string, train_r2 double, test_r2 double, test_mae double, "
                                       "cv_r2 double, cv_mae double")
