@@ -280,7 +280,7 @@ def distribution_profile(df: DataFrame, value: str, by: list[str] | tuple = ())
     q = exact_quantiles(df, value, [0.1, 0.25, 0.5, 0.75, 0.9], by,
                         ["p10", "p25", "median", "p75", "p90"])
     m = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.avg(value).alias("mean"))
-    joined = q.join(m, by, "left") if by else q.join(m)  # both sides are one row without `by`
+    joined = q.join(m, by, "left") if by else q.select("*", m.select("mean").scalar().alias("mean"))
     return joined.select(*by, *[F.col(c).cast("long").alias(c) for c in
                                 ["p10", "p25", "median", "p75", "p90", "mean"]],
                          F.col("_count").alias("count"))
