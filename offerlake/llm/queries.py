@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlake.llm import archive, sharding, tokens, urls
+from offerlake.llm import archive, neardup, sharding, tokens, urls
 from offerlake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_vector_shards")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.pack_shards(read(spark, sf_dir, "documents"))
+
+
+@query("op10_superminhash_neardup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
