@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from offerlake.llm import archive, neardup, sharding, tokens, urls
+from offerlake.llm import archive, lm, neardup, sharding, tokens, urls
 from offerlake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +46,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_superminhash_neardup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op8_kneser_ney")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    return lm.score_texts(read(spark, sf_dir, "documents"), learned)
