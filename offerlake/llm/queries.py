@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm import archive, lm, neardup, sharding, tokens, urls
+from offerlake.llm import archive, langid, lm, neardup, sharding, tokens, urls
 from offerlake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
     return lm.score_texts(read(spark, sf_dir, "documents"), learned)
+
+
+@query("op9_word_backoff_langid")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+    return langid.identify(read(spark, sf_dir, "documents"), learned)
