@@ -35,7 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from offerlake.llm.common import written
 from offerlake.llm.hashing import U64, Words, mix, words_of
 
 SIMILARITY_PERCENT = 80
@@ -242,27 +244,49 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                item_id_col: str = "item_id", item_text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """``id_col``, ``item_id_col``, start_word, end_word, edits, item_words, similarity of every
     benchmark item that a text holds."""
-    spark = docs.sparkSession
-    rows = items.select(F.col(item_id_col).alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull())
-    block = F.floor(F.row_number().over(_item_order()) / BLOCK_ITEMS)
-    blocked = rows.withColumn("block", block)
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-    count = rows.count()
     out = None
-    for k in range(count // BLOCK_ITEMS + 1):
-        held = blocked.where(F.col("block") == k).collect() if count > BLOCK_ITEMS else rows.collect()
-        shared = spark.sparkContext.broadcast(([r["i"] for r in held], [r["t"] for r in held]))
+    for shared in _blocks(items, item_id_col, item_text_col):
         found = texts.mapInArrow(_finder(shared, percent, id_col, item_id_col),
                                  f"`{id_col}` {kinds[0]}, `{item_id_col}` {kinds[1]}, start_word long, end_word long, edits long, item_words long")
         out = found if out is None else out.unionByName(found)
     return out.withColumn("similarity", F.lit(1.0) - F.col("edits") / F.col("item_words"))
 
 
-def _item_order():
-    from pyspark.sql.window import Window
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
+                      item_text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no benchmark item."""
+    place = docs.columns.index(text_col)
+    for shared in _blocks(items, item_id_col, item_text_col):
+        docs = docs.mapInArrow(_cleaner(shared, percent, place), docs.schema)
+    return docs
 
-    return Window.orderBy("i", "t")
+
+def _blocks(items: DataFrame, id_col: str, text_col: str) -> list:
+    """The items in broadcast blocks of at most ``BLOCK_ITEMS`` each; one empty block if there are none."""
+    rows = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
+    count, spark = rows.count(), items.sparkSession
+    if count <= BLOCK_ITEMS:
+        parts = [rows]
+    else:
+        number = F.row_number().over(Window.orderBy("i", "t")) - 1
+        numbered = written(rows.withColumn("block", F.floor(number / BLOCK_ITEMS)))
+        parts = [numbered.where(F.col("block") == k) for k in range(-(-count // BLOCK_ITEMS))]
+    held = [part.select("i", "t").collect() for part in parts]
+    return [spark.sparkContext.broadcast(([r["i"] for r in h], [r["t"] for r in h])) for h in held]
+
+
+def _cleaner(shared, percent: int, place: int):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(*shared.value, percent)
+        for batch in batches:
+            clean_rows = np.ones(batch.num_rows, bool)
+            for words in words_of(batch.column(place), piece=1 << 22):
+                for found in items.find(words):
+                    clean_rows[words.low + found[0]] = False
+            yield batch.filter(pa.array(clean_rows))
+    return clean
 
 
 def _finder(shared, percent: int, id_col: str, item_id_col: str):

@@ -148,3 +148,19 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col), (~train).alias("held_out"), F.col(text_col).alias("_text"))
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(predict, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, train: Column, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
+                    lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is found with at least ``min_score``."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(fit(docs, F.coalesce(train, F.lit(True)), id_col, text_col, lang_col, sample))
+    place = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value)
+        for batch in batches:
+            found = [scorer.predict(t.as_py()) for t in batch.column(place)]
+            yield batch.filter(pa.array([lang != "und" and score >= min_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

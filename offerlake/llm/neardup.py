@@ -289,3 +289,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     return signed.join(labels, F.col("id") == F.col("_id"), "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"),
         F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one document of each group of near-duplicates: that with the
+    smallest id. Of rows that share an id one stays; rows with a null id all stay."""
+    labels = near_duplicates(docs, percent, id_col, text_col)
+    kept = labels.where("kept").select(F.col(id_col).cast("long").alias("_kept")).where("_kept is not null").distinct()
+    one = docs.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    return one.unionByName(docs.where(F.col(id_col).isNull()))

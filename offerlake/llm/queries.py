@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm import archive, langid, lm, neardup, sharding, tokens, urls
+from offerlake.llm import ann, archive, decontam, langid, lm, neardup, packing, sharding, tokens, urls
 from offerlake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
     return langid.identify(read(spark, sf_dir, "documents"), learned)
+
+
+@query("op3_length_buckets")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_batches(read(spark, sf_dir, "documents"))
+
+
+@query("op4_cgk_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op7_pruned_graph_ann")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
