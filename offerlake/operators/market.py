@@ -1,8 +1,8 @@
 """Market aggregates and sort/top-k/dedup.
 
 All functions are DataFrame -> DataFrame and take column names as parameters.
-Medians and quantiles go through ``exact_quantiles`` (exact; size-checked, so
-no group with an unbounded number of distinct values is gathered into one task). One-row global statistics enter other plans as scalar
+Medians and quantiles go through ``exact_quantiles`` (exact, one path at
+every size, no group gathered into one task). One-row global statistics enter other plans as scalar
 subqueries (``DataFrame.scalar()``), which Spark evaluates once.
 """
 

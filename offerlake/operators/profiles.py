@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlake.operators.quantiles import exact_quantiles
+from offerlake.operators.quantiles import count_below, exact_quantiles
 from offerlake.session import materialize
 
 ERROR_P75 = 7417.0  # fixed value: P75 absolute error of the reference model (EUR)
@@ -138,30 +138,14 @@ def percentile_rank(profiles: DataFrame, value_col: str, market: DataFrame, mark
     """100 x share of market values strictly below the profile's value (denominator:
     non-null market values), clipped to 0..100; empty market -> 50.
 
-    Exact and distributed: market values become (value, n) counts; each distinct
-    profile value is placed in the same rank table as a zero-weight row sorted
-    before equal market values, and the rank machinery's running count gives the
-    number of market values below it. No profile meets raw market rows."""
-    mk = market.where(F.col(market_col).isNotNull()).groupBy(F.col(market_col).cast("double").alias("v")) \
-        .agg(F.count(F.lit(1)).alias("n")).withColumn("_side", F.lit(1))
-    pv = profiles.where(F.col(value_col).isNotNull()).select(F.col(value_col).cast("double").alias("v")) \
-        .distinct().withColumn("n", F.lit(0).cast("long")).withColumn("_side", F.lit(0))
-    both = mk.unionByName(pv)
-    ranked = both.repartitionByRange("v", "_side").withColumn("_pid", F.spark_partition_id())
-    local = ranked.withColumn("_cum", F.sum("n").over(
-        Window.partitionBy("_pid").orderBy("v", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    totals = ranked.groupBy("_pid").agg(F.sum("n").alias("_pn"))
-    offs = totals.select("_pid", F.coalesce(F.sum("_pn").over(
-        Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    below = local.where(F.col("_side") == 0).join(offs, "_pid").select(
-        "v", (F.col("_off") + F.col("_cum")).alias("below"))
-    total = mk.select(F.sum("n")).scalar()
+    Exact and distributed: see ``count_below``; no profile meets raw market rows."""
+    pv = profiles.select("profile_id", F.col(value_col).cast("double").alias("v"))
+    below = count_below(pv, market, market_col)
+    total = market.select(F.count(market_col)).scalar()
     pct = (F.when(F.col("v").isNull(), F.lit(None).cast("double"))
            .when(F.coalesce(total, F.lit(0)) == 0, F.lit(50.0))
            .otherwise(F.least(F.greatest(F.col("below") * 100.0 / total, F.lit(0.0)), F.lit(100.0))))
-    return (profiles.select("profile_id", F.col(value_col).cast("double").alias("v"))
-            .join(below, "v", "left").select("profile_id", pct.alias("percentile")))
+    return pv.join(below, "v", "left").select("profile_id", pct.alias("percentile"))
 
 
 def position_label(pct: Column) -> Column:

@@ -1,28 +1,22 @@
-"""Exact quantiles without gathering a group into one task.
+"""Exact quantiles and ranks without gathering a group into one task.
 
 Spark's ``percentile`` keeps a value->count map per group and merges it in a
 single task; for a global median over billions of distinct salaries that map
-does not fit. Here the quantiles are found by rank instead:
+does not fit, and a window over a whole group sorts the group in one task. Here
+ranks are found in two levels, at every size in the same way:
 
 1. pre-aggregate ``(group, value) -> n`` (partial aggregation before the shuffle);
-2. range-partition that table on ``(group, value)``, so each partition holds a
-   contiguous, size-balanced slice even when one group holds most rows;
-3. running sum of ``n`` inside each (partition, group) slice, plus one small
-   table of slice totals (rows = partitions x groups per partition) whose
-   running sum gives each slice its offset;
-4. keep the few rows that cover the target ranks and interpolate.
-
-Interpolation is numpy's default ("linear"), which is also DuckDB
-``quantile_cont`` / ``median`` and pandas ``quantile``. NULLs are ignored.
-Both uses of the range-partitioned table share one exchange (Spark reuses it),
-so every row sees the same partition boundaries, also after a recomputation.
-
-Size-checked fast path: one small job measures the largest number of distinct
-values in any group of the pre-aggregated table. When it is at most
-``offerlake.quantile.maxDistinctPerGroup`` (default 1,000,000 -> a value map of
-tens of MB in one task), Spark's exact frequency-weighted ``percentile`` runs
-on that table (one aggregate); beyond it, the rank path above. Both are exact
-(linear interpolation), and only differ in floating-point rounding.
+2. every row falls into a *bucket*, a fixed monotone function of its value (256
+   buckets per doubling of a number, the leading digits of a hash), so the bucket
+   of a row does not depend on sampling, partition bounds or the other rows;
+3. a small table of bucket totals per group (its rows are bounded by the range of
+   the values, not by the data) has running sums: the offset of each bucket;
+4. rows are numbered inside (group, bucket), so a hot group is spread over many
+   tasks, and the offset is added.
+
+Quantiles only join the buckets that hold a wanted rank. Interpolation is numpy's
+default ("linear"), which is also DuckDB ``quantile_cont`` / ``median`` and pandas
+``quantile``. NULLs are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +26,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKETS_PER_DOUBLING = 256
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+
+def _joined(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null; the facts' copies of the keys are dropped."""
+    renamed = facts.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in facts.columns])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return rows.join(renamed, on).drop(*[f"_k_{k}" for k in keys])
 
 
 def _qname(p: float) -> str:
@@ -42,9 +41,23 @@ def _qname(p: float) -> str:
     return f"q{s}"
 
 
+def number_bucket(v: Column) -> Column:
+    """Monotone integer bucket of a number: about 0.3 % wide, the same everywhere."""
+    return (F.signum(v) * F.floor(F.log2(F.abs(v) + 1.0) * BUCKETS_PER_DOUBLING)).cast("long")
+
+
+def _offsets(bucketed: DataFrame, by: list[str], weight: Column) -> DataFrame:
+    """(by..., _b): weight of the bucket (``_bn``), of all before it (``_off``) and of the group (``_tot``)."""
+    totals = bucketed.groupBy(*by, "_b").agg(F.sum(weight).alias("_bn"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.withColumns({"_off": F.coalesce(F.sum("_bn").over(before), F.lit(0)),
+                               "_tot": F.sum("_bn").over(group)})
+
+
 def exact_quantiles(df: DataFrame, value: str | Column, probs: list[float],
                     by: list[str] | tuple = (), names: list[str] | None = None,
-                    weight: str | None = None, approx: bool = False) -> DataFrame:
+                    weight: str | None = None) -> DataFrame:
     """One row per group of ``by``: ``names[i]`` = quantile ``probs[i]`` of ``value``,
     plus ``_count`` (non-null rows). ``weight`` is an optional row multiplicity."""
     by = list(by)
@@ -52,70 +65,29 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: list[float],
     vcol = F.col(value) if isinstance(value, str) else value
     base = df.select(*[F.col(b) for b in by], vcol.cast("double").alias("_v"),
                      (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("_w"))
-    base = base.where(F.col("_v").isNotNull())
-
-    if approx:
-        return base.groupBy(*by).agg(
-            *[F.percentile_approx("_v", p, 10000).alias(n) for p, n in zip(probs, names)],
-            F.sum("_w").alias("_count"))
-
-    counts = base.groupBy(*by, "_v").agg(F.sum("_w").alias("_n"))
-    limit = int(df.sparkSession.conf.get("offerlake.quantile.maxDistinctPerGroup", "1000000"))
-    widest = counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if widest <= limit:
-        return counts.groupBy(*by).agg(
-            F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_n")).alias("_q"),
-            F.sum("_n").alias("_count")).select(
-            *by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)], "_count")
-    return _rank_quantiles(counts, probs, by, names)
-
-
-def _rank_quantiles(counts: DataFrame, probs: list[float], by: list[str], names: list[str]) -> DataFrame:
-    """The rank path on a (by..., _v, _n) table."""
-    ranged = counts.repartitionByRange(*[F.col(b) for b in by], F.col("_v")) \
-        .withColumn("_pid", F.spark_partition_id())
-
-    slice_w = Window.partitionBy("_pid", *by).orderBy("_v") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("_cum", F.sum("_n").over(slice_w))
-
-    totals = ranged.groupBy("_pid", *by).agg(F.sum("_n").alias("_pn"))
-    group_w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
-    offsets = totals.select(
-        "_pid", *by,
-        F.coalesce(F.sum("_pn").over(group_w.orderBy("_pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_pn").over(group_w).alias("_tot"))
-
-    keys = ["_pid", *by]
-    ranked = local.join(offsets, _null_safe_on(local, offsets, keys)).select(
-        *[local[b] for b in by], local["_v"], local["_n"],
-        (offsets["_off"] + local["_cum"] - local["_n"]).alias("_start"),
-        (offsets["_off"] + local["_cum"] - 1).alias("_end"),
-        offsets["_tot"])
-
-    hits = []
-    for i, p in enumerate(probs):
-        h = (F.col("_tot") - 1) * F.lit(float(p))
-        lo = F.floor(h)
-        hi = F.least(lo + 1, F.col("_tot") - 1)
-        hits.append((F.col("_start") <= lo) & (lo <= F.col("_end")))
-        hits.append((F.col("_start") <= hi) & (hi <= F.col("_end")))
-        ranked = ranked.withColumn(f"_lo{i}", hits[-2]).withColumn(f"_hi{i}", hits[-1])
-    picked = ranked.where(reduce(lambda a, b: a | b, hits))
-
-    aggs = [F.max("_tot").alias("_count")]
-    for i in range(len(probs)):
-        aggs.append(F.max(F.when(F.col(f"_lo{i}"), F.col("_v"))).alias(f"_vlo{i}"))
-        aggs.append(F.max(F.when(F.col(f"_hi{i}"), F.col("_v"))).alias(f"_vhi{i}"))
-    grouped = picked.groupBy(*by).agg(*aggs)
-
+    counts = base.where(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.sum("_w").alias("_n")) \
+        .withColumn("_b", number_bucket(F.col("_v")))
+
+    ranks = []       # wanted 0-based ranks: the two around each quantile
+    for p in probs:
+        lo = F.floor((F.col("_tot") - 1) * F.lit(float(p)))
+        ranks += [lo, F.least(lo + 1, F.col("_tot") - 1)]
+    holds = reduce(lambda a, b: a | b, [(F.col("_off") <= r) & (r < F.col("_off") + F.col("_bn")) for r in ranks])
+    wanted = _offsets(counts, by, F.col("_n")).where(holds)
+
+    keys = [*by, "_b"]
+    inside = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = _joined(counts, wanted, keys).withColumn("_end", F.col("_off") + F.sum("_n").over(inside))   # ranks [_end - _n, _end)
+    at = [F.max(F.when((F.col("_end") - F.col("_n") <= r) & (r < F.col("_end")), F.col("_v"))).alias(f"_r{i}")
+          for i, r in enumerate(ranks)]
+    grouped = placed.groupBy(*by).agg(F.max("_tot").alias("_count"), *at)
     outs = []
     for i, (p, n) in enumerate(zip(probs, names)):
         h = (F.col("_count") - 1) * F.lit(float(p))
-        frac = h - F.floor(h)
-        outs.append((F.col(f"_vlo{i}") + frac * (F.col(f"_vhi{i}") - F.col(f"_vlo{i}"))).alias(n))
-    return grouped.select(*by, *outs, "_count")
+        low, high = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
+        outs.append((low + (h - F.floor(h)) * (high - low)).alias(n))
+    out = grouped.select(*by, *outs, "_count")
+    return out if by else out.where(F.col("_count").isNotNull())
 
 
 def median_by(df: DataFrame, value: str, by: list[str] | tuple = (), name: str = "median",
@@ -123,25 +95,30 @@ def median_by(df: DataFrame, value: str, by: list[str] | tuple = (), name: str =
     return exact_quantiles(df, value, [0.5], by, [name], weight=weight)
 
 
-def rank_within(df: DataFrame, by: list[str] | tuple, order: str) -> DataFrame:
+def rank_within(df: DataFrame, by: list[str] | tuple, order: str, digits: int = 4) -> DataFrame:
     """Adds ``_rank`` (0-based position by ``order`` inside its ``by`` group) and
-    ``_group_n``, without a window over a whole group: range-partition on
-    (by, order), number rows inside each slice, and offset each slice by the
-    sizes of the slices before it (small table). ``order`` should be unique
-    within a group (ties get an arbitrary but consistent order)."""
+    ``_group_n``. ``order`` is a hash in hex, unique within a group; its first ``digits``
+    digits are the bucket, so each group is dealt over 16^digits even buckets and no
+    row can get lost between the rows and the table of bucket sizes."""
     by = list(by)
-    ranged = df.repartitionByRange(*[F.col(b) for b in by], F.col(order)) \
-        .withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_lr", F.row_number().over(
-        Window.partitionBy("_pid", *by).orderBy(order)) - 1)
-    totals = ranged.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_pn"))
-    group_w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    offsets = totals.select(
-        "_pid", *by,
-        F.coalesce(F.sum("_pn").over(group_w.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_pn").over(group_w).alias("_group_n"))
-    keys = ["_pid", *by]
-    out = local.join(offsets, _null_safe_on(local, offsets, keys))
-    return out.select(*[local[c] for c in df.columns],
-                      (offsets["_off"] + local["_lr"]).alias("_rank"), offsets["_group_n"])
+    bucketed = df.withColumn("_b", F.substring(order, 1, digits))
+    sizes = _offsets(bucketed, by, F.lit(1).cast("long"))
+    keys = [*by, "_b"]
+    local = bucketed.withColumn("_lr", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    return _joined(local, sizes, keys).select(
+        *df.columns, (F.col("_off") + F.col("_lr")).alias("_rank"), F.col("_tot").alias("_group_n"))
+
+
+def count_below(points: DataFrame, market: DataFrame, value: str) -> DataFrame:
+    """(v, below): for every distinct ``points.v`` the number of non-null ``market`` values
+    strictly below it. Points enter the table of market counts as rows of weight zero that
+    come before equal values; no point meets a market row."""
+    mk = market.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")) \
+        .agg(F.count(F.lit(1)).alias("n")).withColumn("_side", F.lit(1))
+    pv = points.where(F.col("v").isNotNull()).select(F.col("v").cast("double").alias("v")).distinct() \
+        .withColumn("n", F.lit(0).cast("long")).withColumn("_side", F.lit(0))
+    both = mk.unionByName(pv).withColumn("_b", number_bucket(F.col("v")))
+    sizes = _offsets(both, [], F.col("n")).select(F.col("_b").alias("_k"), "_off")
+    inside = Window.partitionBy("_b").orderBy("v", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = both.withColumn("_cum", F.sum("n").over(inside)).where(F.col("_side") == 0)
+    return local.join(sizes, F.col("_b") == F.col("_k")).select("v", (F.col("_off") + F.col("_cum")).alias("below"))

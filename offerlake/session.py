@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -24,7 +27,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("OFFERLAKE_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("OFFERLAKE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = builder.getOrCreate()
@@ -34,13 +37,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster (spark.checkpoint.dir).
+    """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) is a scratch folder created.
+    Where it is unset, a local-mode session (driver and executors are one process on one
+    machine, as in tests) gets a scratch folder of its own, removed at exit. On a cluster a
+    machine-local folder would not be seen by the others, so there it is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="offerlake-ckpt-")
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", current)
     try:
         spark.sparkContext.setCheckpointDir(current)
@@ -49,14 +58,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables in the shared checkpoint folder."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Connect sessions have no context
+        app = "shared"
+    return f"{checkpoint_dir(spark).rstrip('/')}/offerlake/{app}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df):
     """Cut the lineage of a reused intermediate: write it as Parquet under the
     cluster's shared ``spark.checkpoint.dir`` and read it back (survives executor
     loss, unlike cache or local checkpoints). Reading the written files also
     gives the planner their real size, so a small result is broadcast where it
-    is joined."""
-    import uuid
+    is joined. ``clear_scratch`` removes the files."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/offerlake/materialized/{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/materialized/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -143,11 +143,11 @@ def offers_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaning job's sink, S5), then scanned as Parquet with column pruning and
     predicate pushdown. NaN is already NULL in the stored file, so range
     predicates on salary reach the reader."""
-    from offerlake.session import checkpoint_dir
+    from offerlake.session import scratch_root
     key = (spark.conf.get("spark.app.id", "app"), os.path.abspath(sf_dir))
     path = _WRITTEN.get(key)
     if path is None:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/offerlake/tables/offers-{uuid.uuid4().hex}"
+        path = f"{scratch_root(spark)}/tables/offers-{uuid.uuid4().hex}"
         skills = reduce(lambda a, b: a + b, [F.col(c) for c in FLAG_COLUMNS])
         offers_view(spark, sf_dir).withColumn("skills_count", skills).write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path

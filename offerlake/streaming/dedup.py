@@ -19,12 +19,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.session import checkpoint_dir
+from offerlake.session import scratch_root
 
 
 def shared_scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster-shared checkpoint location."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/offerlake/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_offer_stream(spark: SparkSession, folder: str, table: str, max_files: int | None = None) -> DataFrame:
