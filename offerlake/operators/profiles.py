@@ -31,13 +31,15 @@ def skill_mask(df: DataFrame, skill_cols: list[str]) -> Column:
 
 
 def representative_profiles(offers: DataFrame, cols, keys: list[str]) -> DataFrame:
-    """One profile per cell of ``keys``: the offer with the smallest id (min of a
-    struct in a hash aggregate, so a hot cell is reduced map-side)."""
+    """One profile per cell of ``keys``: the offer with the smallest id. The smallest ids are
+    a hash aggregate (a hot cell is reduced map-side); the offers are then picked by a
+    semi join with that small table."""
     other = [c for c in offers.columns if c not in keys and c != cols.id]
-    packed = F.struct(F.col(cols.id), *[F.col(c) for c in other])
-    return (offers.groupBy(*keys).agg(F.min(packed).alias("_r"))
-            .select(*keys, "_r.*").withColumnRenamed(cols.id, "profile_id")
-            .select("profile_id", *keys, *other))
+    first = offers.groupBy(*keys).agg(F.min(cols.id).alias("_first")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first")
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return (offers.join(first, reduce(lambda a, b: a & b, on, F.col(cols.id) == F.col("_first")), "left_semi")
+            .withColumnRenamed(cols.id, "profile_id").select("profile_id", *keys, *other))
 
 
 # --------------------------------------------------------------------- K1

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from offerlake.operators.market import experience_range_bin
 from offerlake.operators.quantiles import median_by
 from offerlake.session import materialize
+from offerlake.sources.offers import FLAG_COLUMNS
 
 SKILL_BONUS = 1000.0
 
@@ -76,7 +77,7 @@ class RuleScorer:
 
 
 def rule_scorer_sql(profiles: str, job="job_type", city="location", sector="sector", experience="experience",
-                    skills=("f_economy", "f_large", "f_medium", "f_promo", "f_small", "f_standard"),
+                    skills=FLAG_COLUMNS,
                     bins=((0, 1), (1, 3), (3, 5), (5, 8), (8, 12), (12, 30)), stats: str = "offers",
                     use_experience: bool = True) -> str:
     """The same scorer as SQL, statistics from CTE ``stats``, for the rows of ``profiles`` (a CTE name).

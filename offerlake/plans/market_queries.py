@@ -103,11 +103,12 @@ SELECT (SELECT count(*) FROM f) AS n_offers,
        {_r('(SELECT count(*) FROM f) * 100.0 / (SELECT count(*) FROM offers)')} AS pct_of_total,
        {_r('median(salary_mid)')} AS median_salary,
        {_r('median(salary_mid) - (SELECT median(salary_mid) FROM offers)')} AS median_delta,
-       {_r('avg(salary_mid)')} AS mean_salary, {_r(f'avg({SKILLS_SUM_SQL})')} AS mean_skills
+       {_r('avg(salary_mid)')} AS mean_salary, {_r(f'avg({SKILLS_SUM_SQL})')} AS mean_skills,
+       {_r('avg(CASE WHEN telework > 0 THEN 1.0 ELSE 0.0 END) * 100')} AS telework_pct
 FROM f""", extra=f"f AS (SELECT * FROM offers WHERE {_KPI_WHERE})"))
 def q_market_kpis(spark, sf_dir):
     off, filt = filtered_offers(spark, sf_dir)
-    return finish(A.market_kpis(filt, off, C.salary, "skills_count").drop("telework_pct"))
+    return finish(A.market_kpis(filt, off, C.salary, "skills_count", C.telework))
 
 
 @query("compound_filter", with_offers(f"""

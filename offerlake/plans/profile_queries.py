@@ -219,18 +219,43 @@ def q_role_gap(spark, sf_dir):
 # --------------------------------------------------------------------- C1, J10, C7
 SECTOR_GRID = [{"scenario_id": f"sector:{s}", C.sector: s}
                for s in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]
-CITY_GRID = [{"scenario_id": f"city:{c}", C.city: c} for c in ("FRANCE", "GERMANY", "JAPAN", "PERU")]
-EXP_GRID = [{"scenario_id": f"experience:{e}", C.experience: float(e)} for e in (0, 2, 5, 10, 15)]
-GRID = SECTOR_GRID + CITY_GRID + EXP_GRID
-_GRID_VALUES = ", ".join(["('base', NULL, NULL, NULL)"] + [
-    f"('{g['scenario_id']}', {repr(g[C.sector]) if C.sector in g else 'NULL'}, "
-    f"{repr(g[C.city]) if C.city in g else 'NULL'}, {float(g[C.experience]) if C.experience in g else 'NULL'})"
-    for g in GRID])
-_SCEN = f"""scen AS (
+CITY_GRID = [{"scenario_id": f"city:{c}", C.city: c}
+             for c in ("FRANCE", "GERMANY", "JAPAN", "PERU", "BRAZIL", "CANADA", "INDIA", "KENYA")]
+# Experience points, boosted skills in their order, and the four ML/DL combinations.
+EXP_POINTS = (0.5, 1, 2, 3, 5, 7, 10, 12, 15, 20)
+TARGET_SKILLS = ("machine_learning", "deep_learning", "aws", "spark", "gcp", "azure", "sql")
+ML_DL = (("none", 0, 0), ("ml", 1, 0), ("dl", 0, 1), ("both", 1, 1))
+
+EXP_GRID = [{"scenario_id": f"experience:{e}", C.experience: float(e)} for e in EXP_POINTS]
+SKILL_GRID = [{"scenario_id": f"skill:{n}", C.skill(n): 1} for n in TARGET_SKILLS if C.skill(n)]
+ML_DL_GRID = [{"scenario_id": f"ml_dl:{name}", C.skill("machine_learning"): ml, C.skill("deep_learning"): dl}
+              for name, ml, dl in ML_DL]
+GRID = SECTOR_GRID + CITY_GRID + EXP_GRID + SKILL_GRID + ML_DL_GRID
+GRID_COLUMNS = [C.sector, C.city, C.experience, *FLAG_COLUMNS]
+_SCEN = """scen AS (
   SELECT p.profile_id, p.job_type, coalesce(g.city, p.location) AS location, coalesce(g.sector, p.sector) AS sector,
-         coalesce(CAST(g.exp AS DOUBLE), p.experience) AS experience, {', '.join('p.' + c for c in FLAG_COLUMNS)},
-         g.scenario_id
-  FROM profiles p, (VALUES {_GRID_VALUES}) g(scenario_id, sector, city, exp))"""
+         coalesce(g.exp, p.experience) AS experience, p.f_economy, coalesce(g.f_large, p.f_large) AS f_large,
+         coalesce(g.f_medium, p.f_medium) AS f_medium, coalesce(g.f_promo, p.f_promo) AS f_promo,
+         coalesce(g.f_small, p.f_small) AS f_small, p.f_standard, coalesce(g.f_deep, p.f_deep) AS f_deep, g.scenario_id
+  FROM profiles p, (
+    SELECT 'base' AS scenario_id, CAST(NULL AS VARCHAR) AS sector, CAST(NULL AS VARCHAR) AS city, CAST(NULL AS DOUBLE) AS exp,
+           CAST(NULL AS INTEGER) AS f_large, CAST(NULL AS INTEGER) AS f_medium, CAST(NULL AS INTEGER) AS f_promo,
+           CAST(NULL AS INTEGER) AS f_small, CAST(NULL AS INTEGER) AS f_deep
+    UNION ALL SELECT 'sector:' || s, s, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+      FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW')) t(s)
+    UNION ALL SELECT 'city:' || c, NULL, c, NULL, NULL, NULL, NULL, NULL, NULL
+      FROM (VALUES ('FRANCE'), ('GERMANY'), ('JAPAN'), ('PERU'), ('BRAZIL'), ('CANADA'), ('INDIA'), ('KENYA')) t(c)
+    UNION ALL SELECT 'experience:' || e, NULL, NULL, CAST(e AS DOUBLE), NULL, NULL, NULL, NULL, NULL
+      FROM (VALUES ('0.5'), ('1'), ('2'), ('3'), ('5'), ('7'), ('10'), ('12'), ('15'), ('20')) t(e)
+    UNION ALL VALUES ('skill:machine_learning', NULL, NULL, NULL, NULL, 1, NULL, NULL, NULL),
+                     ('skill:deep_learning', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 1),
+                     ('skill:aws', NULL, NULL, NULL, NULL, NULL, 1, NULL, NULL),
+                     ('skill:spark', NULL, NULL, NULL, NULL, NULL, NULL, 1, NULL),
+                     ('skill:sql', NULL, NULL, NULL, 1, NULL, NULL, NULL, NULL),
+                     ('ml_dl:none', NULL, NULL, NULL, NULL, 0, NULL, NULL, 0),
+                     ('ml_dl:ml', NULL, NULL, NULL, NULL, 1, NULL, NULL, 0),
+                     ('ml_dl:dl', NULL, NULL, NULL, NULL, 0, NULL, NULL, 1),
+                     ('ml_dl:both', NULL, NULL, NULL, NULL, 1, NULL, NULL, 1)) g)"""
 _SCEN_SCORED = f"""ss AS (
   SELECT *, prediction - max(CASE WHEN scenario_id = 'base' THEN prediction END) OVER (PARTITION BY profile_id) AS delta,
          max(CASE WHEN scenario_id = 'base' THEN prediction END) OVER (PARTITION BY profile_id) AS base_prediction
@@ -239,7 +264,7 @@ _SCEN_SCORED = f"""ss AS (
 
 def _scenario_scores(spark, sf_dir):
     _, prof, scorer = setup(spark, sf_dir)
-    return S.scenario_scores(prof, scorer, GRID, [C.sector, C.city, C.experience])
+    return S.scenario_scores(prof, scorer, GRID, GRID_COLUMNS)
 
 
 @query("scenario_scores", _sql(f"""
@@ -393,19 +418,23 @@ def q_projection(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- C8
-_TARGETS = SKILLS[:4]
-_FIRST = f"""fs AS (
-  SELECT p.profile_id, p.job_type, p.location, p.sector, p.experience,
-         {', '.join(f"CASE WHEN t.skill = '{n}' THEN 1 ELSE p.{c} END AS {c}" for n, c in SKILLS)}, t.skill
-  FROM profiles p JOIN (SELECT profile_id, skill FROM miss WHERE skill IN ({', '.join(repr(n) for n, _ in _TARGETS)})
-                        QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY idx) = 1) t
-  ON p.profile_id = t.profile_id)"""
+_TARGETS = [(n, C.skill(n)) for n in TARGET_SKILLS if C.skill(n)]
+_FIRST = """fs AS (
+  SELECT profile_id, job_type, location, sector, experience, f_economy, f_standard,
+         CASE WHEN skill = 'sql' THEN 1 ELSE f_large END AS f_large,
+         CASE WHEN skill = 'machine_learning' THEN 1 ELSE f_medium END AS f_medium,
+         CASE WHEN skill = 'aws' THEN 1 ELSE f_promo END AS f_promo,
+         CASE WHEN skill = 'spark' THEN 1 ELSE f_small END AS f_small,
+         CASE WHEN skill = 'deep_learning' THEN 1 ELSE f_deep END AS f_deep, skill
+  FROM (SELECT *, CASE WHEN f_medium = 0 THEN 'machine_learning' WHEN f_deep = 0 THEN 'deep_learning'
+                       WHEN f_promo = 0 THEN 'aws' WHEN f_small = 0 THEN 'spark' WHEN f_large = 0 THEN 'sql' END AS skill
+        FROM profiles) WHERE skill IS NOT NULL)"""
 
 
 @query("first_skill_boost", _sql(f"""
 SELECT s.profile_id, s.skill, {_r('s.prediction')} AS prediction, {_r('s.prediction - b.prediction')} AS boost
 FROM ({rule_scorer_sql('fs')}) s JOIN ({rule_scorer_sql('profiles')}) b ON s.profile_id = b.profile_id""",
-    _MISS, _FIRST))
+    _FIRST))
 def q_first_skill_boost(spark, sf_dir):
     _, prof, scorer = setup(spark, sf_dir)
     return finish(S.first_skill_boost(prof, scorer, _TARGETS))
@@ -441,7 +470,7 @@ def q_profile_ranges(spark, sf_dir):
 @query("profile_warnings", _sql("""
 SELECT profile_id, array_to_string(CASE WHEN len(w) = 0 THEN ['standard'] ELSE w END, ',') AS warnings FROM (
   SELECT profile_id, list_filter([CASE WHEN contract <> 'O' THEN 'non_cdi' END,
-                                  CASE WHEN FALSE THEN 'ml_and_dl' END,
+                                  CASE WHEN f_medium = 1 AND f_deep = 1 THEN 'ml_and_dl' END,
                                   CASE WHEN experience < 0.5 THEN 'very_junior' END,
                                   CASE WHEN experience >= 15 THEN 'very_senior' END,
                                   CASE WHEN sector = 'Non spécifié' THEN 'sector_unspecified' END],
@@ -449,9 +478,9 @@ SELECT profile_id, array_to_string(CASE WHEN len(w) = 0 THEN ['standard'] ELSE w
 def q_profile_warnings(spark, sf_dir):
     from offerlake.operators.quality import profile_warnings
     _, prof, _ = setup(spark, sf_dir)
-    # proxy binding: the open-ended contract is 'O'; deep learning has no column (never owned)
-    ml = F.coalesce(F.col(C.skill("machine_learning")).cast("boolean"), F.lit(False))
-    out = profile_warnings(prof, C.contract, ml, F.lit(False), C.experience, C.sector, cdi_value="O")
+    # proxy binding: the open-ended contract is 'O'
+    ml, dl = (F.coalesce(F.col(C.skill(n)).cast("boolean"), F.lit(False)) for n in ("machine_learning", "deep_learning"))
+    out = profile_warnings(prof, C.contract, ml, dl, C.experience, C.sector, cdi_value="O")
     return out.select("profile_id", F.array_join("warnings", ",").alias("warnings"))
 
 
@@ -463,7 +492,7 @@ FROM (SELECT *, CASE WHEN experience IS NULL THEN NULL WHEN experience < 1 THEN
                      WHEN experience <= 3 THEN 'Junior (1-3 ans)' WHEN experience <= 5 THEN 'Mid-level'
                      WHEN experience <= 8 THEN 'Senior (5-8 ans)' ELSE 'Expert (8-12 ans)' END AS sen,
              {STACK_SQL} AS sk,
-             {' + '.join(f"{c} * {w}" for c, w in ((C.skill(n), w) for n, w in (('python', 2), ('sql', 2), ('machine_learning', 2), ('aws', 1), ('spark', 1), ('tableau', 1))))} AS ts
+             {' + '.join(f"{c} * {w}" for c, w in ((C.skill(n), w) for n, w in (('python', 2), ('sql', 2), ('machine_learning', 2), ('aws', 1), ('spark', 1), ('tableau', 1), ('deep_learning', 2))))} AS ts
       FROM profiles)"""))
 def q_profile_summary(spark, sf_dir):
     from offerlake.functions import features as FT

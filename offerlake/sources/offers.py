@@ -19,7 +19,8 @@ from offerlake.sources.tables import read_table
 
 # Part types that stand in for skill flags, in their natural order.
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
-FLAG_COLUMNS = tuple(f"f_{t.lower()}" for t in PART_TYPES)
+# A part of the largest size (50) stands in for deep learning.
+FLAG_COLUMNS = (*(f"f_{t.lower()}" for t in PART_TYPES), "f_deep")
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,8 @@ class OfferColumns:
     salary_max: str = "salary_max"
     experience: str = "experience"
     posted_at: str = "posted_at"
-    # skill name -> 0/1 column. The proxy binds six skills to the six part types.
+    telework: str = "telework"
+    # skill name -> 0/1 column. The proxy binds six skills to the six part types, one to the part size.
     skills: tuple = field(default=(
         ("python", "f_economy"),
         ("sql", "f_large"),
@@ -44,6 +46,7 @@ class OfferColumns:
         ("aws", "f_promo"),
         ("spark", "f_small"),
         ("tableau", "f_standard"),
+        ("deep_learning", "f_deep"),
     ))
 
     @property
@@ -76,19 +79,21 @@ def offers_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
     lineitem = read_table(spark, sf_dir, "lineitem", [
-        "l_orderkey", "l_partkey", "l_extendedprice", "l_quantity"])
-    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_type"])
+        "l_orderkey", "l_partkey", "l_extendedprice", "l_quantity", "l_discount"])
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_size"])
 
     flag_aggs = [
         F.max(F.when(F.col("p_type") == t, F.lit(1)).otherwise(F.lit(0))).alias(c)
         for t, c in zip(PART_TYPES, FLAG_COLUMNS)
-    ]
+    ] + [F.max(F.when(F.col("p_size") == 50, F.lit(1)).otherwise(F.lit(0))).alias("f_deep")]
+    top_discount = F.max("l_discount")
     per_order = (
         lineitem.join(part, lineitem.l_partkey == part.p_partkey)
         .groupBy("l_orderkey")
         .agg(F.min("l_extendedprice").alias("salary_min"),
              F.max("l_extendedprice").alias("salary_max"),
              (F.min("l_quantity") - 1).alias("experience"),
+             F.when(top_discount >= 0.1, 1.0).when(top_discount >= 0.08, 0.5).otherwise(0.0).alias("telework"),
              *flag_aggs)
     )
     joined = (
@@ -104,7 +109,7 @@ def offers_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus").alias("contract"),
         F.col("o_orderdate").alias("posted_at"),
         F.col("o_totalprice").alias("salary_mid"),
-        "salary_min", "salary_max", "experience",
+        "salary_min", "salary_max", "experience", "telework",
         *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in FLAG_COLUMNS],
     )
 
@@ -113,10 +118,11 @@ def offers_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 OFFERS_SQL = """
 SELECT o.o_orderkey AS offer_id, c.c_mktsegment AS job_type, n.n_name AS location,
        o.o_orderpriority AS sector, o.o_orderstatus AS contract, o.o_orderdate AS posted_at,
-       o.o_totalprice AS salary_mid, l.salary_min, l.salary_max, l.experience,
+       o.o_totalprice AS salary_mid, l.salary_min, l.salary_max, l.experience, l.telework,
        coalesce(l.f_economy, 0) AS f_economy, coalesce(l.f_large, 0) AS f_large,
        coalesce(l.f_medium, 0) AS f_medium, coalesce(l.f_promo, 0) AS f_promo,
-       coalesce(l.f_small, 0) AS f_small, coalesce(l.f_standard, 0) AS f_standard
+       coalesce(l.f_small, 0) AS f_small, coalesce(l.f_standard, 0) AS f_standard,
+       coalesce(l.f_deep, 0) AS f_deep
 FROM orders o
 JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN nation n ON c.c_nationkey = n.n_nationkey
@@ -128,7 +134,10 @@ LEFT JOIN (
          max(CASE WHEN p_type = 'MEDIUM' THEN 1 ELSE 0 END) AS f_medium,
          max(CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END) AS f_promo,
          max(CASE WHEN p_type = 'SMALL' THEN 1 ELSE 0 END) AS f_small,
-         max(CASE WHEN p_type = 'STANDARD' THEN 1 ELSE 0 END) AS f_standard
+         max(CASE WHEN p_type = 'STANDARD' THEN 1 ELSE 0 END) AS f_standard,
+         max(CASE WHEN p_size = 50 THEN 1 ELSE 0 END) AS f_deep,
+         CASE WHEN max(l_discount) >= 0.1 THEN 1.0::DOUBLE WHEN max(l_discount) >= 0.08 THEN 0.5::DOUBLE
+              ELSE 0.0::DOUBLE END AS telework
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey
 ) l ON o.o_orderkey = l.l_orderkey
 """
