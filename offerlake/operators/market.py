@@ -39,13 +39,11 @@ def _flag(df: DataFrame, col: str | None) -> Column:
     return F.coalesce(F.col(col).cast("int"), F.lit(0))
 
 
-def unpivot_flags(df: DataFrame, skills: list[tuple[str, str]], keep: list[str],
-                  skill_col: str = "skill", flag_col: str = "flag") -> DataFrame:
-    """(row, skill) pairs: a narrow Expand, no shuffle. One row per bound skill."""
-    bound = [(n, c) for n, c in skills if c in df.columns]
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(n).alias(skill_col), _flag(df, c).alias(flag_col)) for n, c in bound]))
-    return df.select(*keep, pairs.alias("_p")).select(*keep, f"_p.{skill_col}", f"_p.{flag_col}")
+def flag_counts(df: DataFrame, flags: list[Column], value: str) -> DataFrame:
+    """(mask, value) -> n: the flags of a row packed into one integer (bit i = flag i), rows
+    pre-aggregated once for all flags. Per-flag statistics unpivot this table, never the rows."""
+    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(f.cast("long"), i) for i, f in enumerate(flags)])
+    return df.select(mask.alias("mask"), F.col(value).alias("v")).groupBy("mask", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --------------------------------------------------------------------------- A1
@@ -214,9 +212,13 @@ def skill_impact(df: DataFrame, skills: list[tuple[str, str]], value: str = "sal
     """median(value | skill) - median(value | no skill) per skill with >= min_holders
     holders. Variants: sorted by absolute impact (default), or dropping zero
     impacts and keeping the ``top`` largest (``by_abs=False``)."""
-    pairs = unpivot_flags(df, skills, [value])
-    holders = pairs.groupBy("skill").agg(F.sum("flag").alias("holders"))
-    med = exact_quantiles(pairs, value, [0.5], ["skill", "flag"], ["median"])
+    bound = [(n, c) for n, c in skills if c in df.columns]
+    bits = F.explode(F.array(*[F.struct(F.lit(n).alias("skill"), F.shiftright("mask", i).bitwiseAND(1).alias("flag"))
+                               for i, (n, _) in enumerate(bound)]))
+    counts = flag_counts(df, [_flag(df, c) for _, c in bound], value)
+    pairs = counts.select("v", "n", bits.alias("_p")).select("v", "n", "_p.skill", "_p.flag")
+    holders = pairs.groupBy("skill").agg(F.sum(F.col("n") * F.col("flag")).alias("holders"))
+    med = exact_quantiles(pairs, "v", [0.5], ["skill", "flag"], ["median"], weight="n")
     wide = med.groupBy("skill").agg(
         F.max(F.when(F.col("flag") == 1, F.col("median"))).alias("median_with"),
         F.max(F.when(F.col("flag") == 0, F.col("median"))).alias("median_without"))
@@ -261,14 +263,29 @@ def stack_predicates(df: DataFrame, skill_of) -> dict[str, Column]:
     }
 
 
-def stack_stats(df: DataFrame, skill_of, value: str = "salary_mid", min_count: int = 5) -> DataFrame:
+def export_stacks(df: DataFrame, skill_of) -> dict[str, Column]:
+    """The three stacks of the market export (looser than the five above)."""
+    s = {n: _flag(df, skill_of(n)) == 1 for n in (
+        "python", "machine_learning", "aws", "azure", "spark", "sql", "tableau", "power_bi")}
+    # fixed values: the rules of the export
+    return {
+        "Data Scientist": s["python"] & s["machine_learning"] & (s["aws"] | s["azure"]),
+        "Data Engineer": s["python"] & s["spark"],
+        "BI Analyst": s["sql"] & (s["tableau"] | s["power_bi"]),
+    }
+
+
+def stack_stats(df: DataFrame, skill_of, value: str = "salary_mid", min_count: int = 5,
+                stacks=stack_predicates) -> DataFrame:
     """Per stack: median, mean, Q25, Q75 of value and the number of matching rows."""
-    preds = stack_predicates(df, skill_of)
-    tagged = df.select(value, F.explode(F.filter(
-        F.array(*[F.when(p, F.lit(name)) for name, p in preds.items()]),
+    preds = stacks(df, skill_of)
+    counts = flag_counts(df, [p.cast("int") for p in preds.values()], value)
+    tagged = counts.select("v", "n", F.explode(F.filter(
+        F.array(*[F.when(F.shiftright("mask", i).bitwiseAND(1) == 1, F.lit(name)) for i, name in enumerate(preds)]),
         lambda x: x.isNotNull())).alias("stack"))
-    q = exact_quantiles(tagged, value, [0.5, 0.25, 0.75], ["stack"], ["median", "q25", "q75"])
-    agg = tagged.groupBy("stack").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    q = exact_quantiles(tagged, "v", [0.5, 0.25, 0.75], ["stack"], ["median", "q25", "q75"], weight="n")
+    known = F.when(F.col("v").isNotNull(), F.col("n"))
+    agg = tagged.groupBy("stack").agg((F.sum(F.col("v") * F.col("n")) / F.sum(known)).alias("mean"), F.sum("n").alias("n"))
     return (agg.where(F.col("n") >= min_count).join(q.drop("_count"), "stack", "left")
             .select("stack", "median", "mean", "q25", "q75", "n"))
 
@@ -394,13 +411,18 @@ def top_n_per_group(df: DataFrame, partition: list[str], order: list[Column], n:
 
 # --------------------------------------------------------------------------- T4
 def dedup_keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Keep the first row of each key by ``order``. Done as min(struct) in a hash
-    aggregate, so a key holding a third of the rows is reduced map-side (partial
-    aggregation) instead of being sorted in one window task."""
-    others = [c for c in df.columns if c != key and c not in order]
-    packed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in others])
-    return df.groupBy(key).agg(F.min(packed).alias("_r")).select(key, "_r.*") \
-        .select(*df.columns)
+    """Keep the first row of each key by ``order`` (numeric or date columns). The first order
+    values are a hash aggregate of a narrow table, so a key holding a third of the rows is
+    reduced map-side; the rows are picked by a semi join on key and order, which spreads a
+    hot key by its order values. Rows that agree in key and order count as one."""
+    narrow = df.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    if len(order) == 1:
+        first = narrow.groupBy("_key").agg(F.min("_o0").alias("_o0"))
+    else:
+        first = narrow.groupBy("_key").agg(F.min(F.struct(*[f"_o{i}" for i in range(len(order))])).alias("_r")).select("_key", "_r.*")
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(order)],
+                F.col(key).eqNullSafe(F.col("_key")))
+    return df.join(first, on, "left_semi").dropDuplicates([key, *order])
 
 
 # --------------------------------------------------------------------------- T5

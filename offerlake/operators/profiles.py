@@ -112,6 +112,8 @@ def similar_offers(profiles: DataFrame, offers: DataFrame, cols, stack_cols: lis
     radius = F.ceil((F.lit(SAME_SECTOR) - F.col("_t")) / EXP_W).cast("long")
     band = (pkeys.join(kth, key, "left")
             .withColumn("_full", F.coalesce(F.col("_n"), F.lit(0)) < k)
+            # nothing outside the own cell scores above the sector bonus
+            .where(F.col("_full") | (F.col("_t") <= SAME_SECTOR))
             .withColumn("_pb", F.floor("p_exp").cast("long"))
             .withColumn("_bucket", F.explode(F.sequence(
                 F.when(F.col("_full"), lo_b).otherwise(F.greatest(F.col("_pb") - radius - 1, lo_b)),
@@ -151,28 +153,34 @@ def percentile_rank(profiles: DataFrame, value_col: str, market: DataFrame, mark
 
 
 def position_label(pct: Column) -> Column:
+    """K4, five levels."""
     return (F.when(pct >= 90, "Top 10%").when(pct >= 75, "Top 25%").when(pct >= 50, "Above median")
             .when(pct >= 25, "Below median").otherwise("Bottom 25%"))
 
 
+def position_verdict(pct: Column) -> Column:
+    """K4, three levels: the reading shown with an estimate."""
+    return F.when(pct >= 75, "excellent").when(pct >= 50, "above average").otherwise("below median")
+
+
 # --------------------------------------------------------------------- J4, K5
 def peer_median(profiles: DataFrame, offers: DataFrame, cols, tolerance: float = 1.0) -> DataFrame:
     """Median salary of offers with the same job, city and sector and experience
     within +/- tolerance. Computed once per distinct profile key (job, city,
     sector, experience) - profiles sharing a key share the answer - by a band
-    join: each offer is copied to the neighbouring integer experience buckets,
-    then an equi-join on (job, city, sector, bucket) and the exact range test."""
-    span = int(tolerance) + 1
+    join: each key is copied to the integer experience buckets its range touches (3 for a
+    tolerance of 1) while every offer travels once, then an equi-join on (job, city,
+    sector, bucket) and the exact range test."""
     keys = ["_job", "_city", "_sector", "_pexp"]
     o = offers.where(F.col(cols.salary).isNotNull() & F.col(cols.experience).isNotNull()).select(
         F.col(cols.job).alias("_job"), F.col(cols.city).alias("_city"), F.col(cols.sector).alias("_sector"),
         F.col(cols.experience).alias("_oexp"), F.col(cols.salary).alias("_sal"),
-        F.explode(F.sequence(F.floor(F.col(cols.experience)).cast("int") - span,
-                             F.floor(F.col(cols.experience)).cast("int") + span)).alias("_b"))
+        F.floor(F.col(cols.experience)).cast("int").alias("_b"))
     p = profiles.where(F.col(cols.experience).isNotNull()).select(
         "profile_id", F.col(cols.job).alias("_job"), F.col(cols.city).alias("_city"),
         F.col(cols.sector).alias("_sector"), F.col(cols.experience).alias("_pexp"))
-    pk = p.select(*keys).distinct().withColumn("_b", F.floor(F.col("_pexp")).cast("int"))
+    pk = p.select(*keys).distinct().withColumn("_b", F.explode(F.sequence(
+        F.floor(F.col("_pexp") - tolerance).cast("int"), F.floor(F.col("_pexp") + tolerance).cast("int"))))
     peers = pk.join(o, ["_job", "_city", "_sector", "_b"]).where(
         F.abs(F.col("_oexp") - F.col("_pexp")) <= tolerance)
     med = exact_quantiles(peers, "_sal", [0.5], keys, ["peer_median"]).withColumnRenamed("_count", "n_peers")
@@ -208,13 +216,20 @@ def pair_compare(estimates: DataFrame, profiles: DataFrame, cols, order_within:
 # --------------------------------------------------------------------- A24, K7
 def peer_band(profiles: DataFrame, offers: DataFrame, cols, min_peers: int = 5) -> DataFrame:
     """P8 peers (same job and city): median of salary_min / salary_max and median
-    salary; profiles with fewer than min_peers peers get no band. Computed per
-    (job, city) cell once, then joined to profiles."""
+    salary; profiles with fewer than min_peers peers get no band. Without salary_min and
+    salary_max columns the band is 0.9 and 1.1 times the median salary. Computed per
+    (job, city) cell in one quantile pass over (cell, measure), then joined to profiles."""
     keys = [cols.job, cols.city]
-    q = [exact_quantiles(offers, c, [0.5], keys, [n]).drop("_count")
-         for c, n in ((cols.salary_min, "band_min"), (cols.salary_max, "band_max"), (cols.salary, "band_median"))]
+    ranges = cols.salary_min in offers.columns and cols.salary_max in offers.columns
+    measures = [("band_median", cols.salary)] + ([("band_min", cols.salary_min), ("band_max", cols.salary_max)] if ranges else [])
+    long = offers.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(n).alias("measure"), F.col(c).cast("double").alias("v")) for n, c in measures])).alias("_m")).select(*keys, "_m.*")
+    med = exact_quantiles(long, "v", [0.5], [*keys, "measure"], ["m"])
+    wide = med.groupBy(*keys).agg(*[F.max(F.when(F.col("measure") == n, F.col("m"))).alias(n) for n, _ in measures])
+    if not ranges:
+        wide = wide.withColumns({"band_min": F.col("band_median") * 0.9, "band_max": F.col("band_median") * 1.1})
     n = offers.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_peers"))
-    cell = reduce(lambda a, b: a.join(b, keys, "left"), q, n).where(F.col("n_peers") >= min_peers)
+    cell = n.join(wide, keys, "left").where(F.col("n_peers") >= min_peers)
     return profiles.select("profile_id", *keys).join(cell, keys).select(
         "profile_id", "n_peers", "band_min", "band_max", "band_median")
 
@@ -255,10 +270,12 @@ def role_gap(profiles: DataFrame, offers: DataFrame, cols, skills: list[tuple[st
     """J9 + A25: for each profile and each other role with enough offers, the skills
     the profile lacks that more than ``min_rate`` of the role's offers require."""
     demand = role_skill_demand(offers, cols, skills, min_offers)
-    roles = demand.select("role", "offer_count").distinct()
-    # one row per role (an aggregate): AQE measures it and broadcasts it when small
-    pr = profiles.select("profile_id", F.col(cols.job).alias("current_role")).join(
-        roles, F.col("role") != F.col("current_role"))
+    # the roles (a vocabulary) become one array, attached to each profile by explode: no join
+    roles = demand.select("role", "offer_count").distinct().agg(
+        F.sort_array(F.collect_list(F.struct("role", "offer_count")))).scalar()
+    pr = (profiles.select("profile_id", F.col(cols.job).alias("current_role"), roles.alias("_roles"))
+          .select("profile_id", "current_role", F.explode("_roles").alias("_r"))
+          .select("profile_id", "current_role", "_r.*").where(F.col("role") != F.col("current_role")).drop("current_role"))
     miss = missing_skills(profiles, skills)
     need = demand.where(F.col("rate") > min_rate).select("role", "skill", "rate")
     gaps = miss.join(need, "skill").select("profile_id", "role", "skill", "rate")

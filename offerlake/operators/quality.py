@@ -20,9 +20,11 @@ def completeness(df: DataFrame, columns: list[str], name: str = "profile_complet
 
 
 def fill_rates(df: DataFrame, columns: list[str], rows_in: Column | None = None) -> DataFrame:
-    """Q2: one row: rows, columns, % non-null per key column (single pass)."""
+    """Q2: one row: rows before cleaning (``rows_in``, a scalar subquery), rows, columns,
+    % non-null per key column (single pass)."""
     present = [c for c in columns if c in df.columns]
     return df.agg(
+        *([] if rows_in is None else [F.max(rows_in).alias("initial_rows")]),
         F.count(F.lit(1)).alias("final_rows"),
         F.lit(len(df.columns)).alias("final_columns"),
         *[(F.avg(F.col(c).isNotNull().cast("double")) * 100).alias(f"fill_rate_{c}") for c in present])

@@ -102,6 +102,12 @@ def effort_impact(roadmap: DataFrame, months: dict | None = None) -> DataFrame:
                     .when(F.col("effort") > 9, "Investissement").otherwise("Équilibré").alias("category"))
 
 
+def best_effort(effort: DataFrame) -> DataFrame:
+    """C3 recommendation: per profile the skill with the best gain per month (ties: smallest name)."""
+    w = Window.partitionBy("profile_id").orderBy(F.col("roi_per_month").desc(), "skill")
+    return effort.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
+
+
 def effort_impact_medians(effort: DataFrame) -> DataFrame:
     """Median effort and median impact over a profile's skills."""
     e = exact_quantiles(effort, "effort", [0.5], ["profile_id"], ["median_effort"]).drop("_count")

@@ -11,7 +11,7 @@ from offerlake.operators import market as A
 from offerlake.operators import quality as Q
 from offerlake.plans.registry import finish, query, with_offers
 from offerlake.sources.offers import FLAG_COLUMNS, OFFER_COLUMNS as C, offers_table
-from offerlake.sources.tables import read_table
+from offerlake.sources.tables import read_table, table_path
 
 SKILLS_SUM_SQL = "(" + " + ".join(FLAG_COLUMNS) + ")"
 
@@ -363,6 +363,18 @@ def stack_predicates_sql() -> dict[str, str]:
     }
 
 
+@query("export_stacks", with_offers("""
+SELECT stack, round(median(salary_mid), 4) AS median_salary, count(*) AS n FROM (
+  SELECT 'Data Scientist' AS stack, salary_mid FROM offers WHERE f_economy = 1 AND f_medium = 1 AND f_promo = 1
+  UNION ALL SELECT 'Data Engineer', salary_mid FROM offers WHERE f_economy = 1 AND f_small = 1
+  UNION ALL SELECT 'BI Analyst', salary_mid FROM offers WHERE f_large = 1 AND f_standard = 1)
+GROUP BY stack HAVING count(*) >= 5"""))
+def q_export_stacks(spark, sf_dir):
+    """A14, the three stacks of the market export."""
+    out = A.stack_stats(offers(spark, sf_dir), C.skill, C.salary, 5, A.export_stacks)
+    return finish(out.select("stack", F.col("median").alias("median_salary"), "n"))
+
+
 def _stack_sql():
     parts = [f"""SELECT '{name}' AS stack, {_r('median(salary_mid)')} AS median, {_r('avg(salary_mid)')} AS mean,
        {_r('quantile_cont(salary_mid, 0.25)')} AS q25, {_r('quantile_cont(salary_mid, 0.75)')} AS q75, count(*) AS n
@@ -403,7 +415,7 @@ def q_completeness(spark, sf_dir):
 
 
 @query("fill_rates", with_offers(f"""
-SELECT count(*) AS final_rows, CAST(17 AS BIGINT) AS final_columns,
+SELECT (SELECT count(*) FROM orders) AS initial_rows, count(*) AS final_rows, CAST(19 AS BIGINT) AS final_columns,
        {_r('avg(CAST(job_type IS NOT NULL AS DOUBLE)) * 100')} AS fill_rate_job_type,
        {_r('avg(CAST(salary_mid IS NOT NULL AS DOUBLE)) * 100')} AS fill_rate_salary_mid,
        {_r('avg(CAST(experience IS NOT NULL AS DOUBLE)) * 100')} AS fill_rate_experience,
@@ -411,7 +423,8 @@ SELECT count(*) AS final_rows, CAST(17 AS BIGINT) AS final_columns,
        {_r('avg(CAST(location IS NOT NULL AS DOUBLE)) * 100')} AS fill_rate_location FROM offers"""))
 def q_fill_rates(spark, sf_dir):
     off = offers(spark, sf_dir)
-    return finish(Q.fill_rates(off, [C.job, C.salary, C.experience, C.salary_min, C.city]))
+    rows_in = spark.read.parquet(table_path(sf_dir, "orders")).select(F.count(F.lit(1))).scalar()
+    return finish(Q.fill_rates(off, [C.job, C.salary, C.experience, C.salary_min, C.city], rows_in))
 
 
 @query("iqr_trim", with_offers(f"""

@@ -112,12 +112,14 @@ _PCT = ("CASE WHEN (SELECT count(salary_mid) FROM offers) = 0 THEN 50.0 ELSE lea
 @query("percentile_rank", _sql(f"""
 SELECT profile_id, {_r('pct')} AS percentile,
        CASE WHEN pct >= 90 THEN 'Top 10%' WHEN pct >= 75 THEN 'Top 25%' WHEN pct >= 50 THEN 'Above median'
-            WHEN pct >= 25 THEN 'Below median' ELSE 'Bottom 25%' END AS position
+            WHEN pct >= 25 THEN 'Below median' ELSE 'Bottom 25%' END AS position,
+       CASE WHEN pct >= 75 THEN 'excellent' WHEN pct >= 50 THEN 'above average' ELSE 'below median' END AS verdict
 FROM (SELECT profile_id, CASE WHEN salary_mid IS NULL THEN NULL ELSE {_PCT} END AS pct FROM profiles p)"""))
 def q_percentile_rank(spark, sf_dir):
     off, prof, _ = setup(spark, sf_dir)
     pr = K.percentile_rank(prof, C.salary, off, C.salary)
-    return finish(pr.select("profile_id", "percentile", K.position_label(F.col("percentile")).alias("position")))
+    return finish(pr.select("profile_id", "percentile", K.position_label(F.col("percentile")).alias("position"),
+                            K.position_verdict(F.col("percentile")).alias("verdict")))
 
 
 # --------------------------------------------------------------------- J4, K5
@@ -340,6 +342,14 @@ def q_skill_roadmap(spark, sf_dir):
     return finish(_roadmap(spark, sf_dir))
 
 
+@query("best_effort", _sql(f"""
+SELECT profile_id, skill, CAST(effort AS BIGINT) AS effort, {_r('impact')} AS impact,
+       {_r('roi_per_month')} AS roi_per_month, category FROM eff
+QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY roi_per_month DESC, skill) = 1""", _DEMAND, _MISS, _ROAD, _EFFORT))
+def q_best_effort(spark, sf_dir):
+    return finish(S.best_effort(S.effort_impact(_roadmap(spark, sf_dir))))
+
+
 @query("effort_impact", _sql(f"""
 SELECT profile_id, skill, CAST(effort AS BIGINT) AS effort, {_r('impact')} AS impact,
        {_r('roi_per_month')} AS roi_per_month, category FROM eff""", _DEMAND, _MISS, _ROAD, _EFFORT))
@@ -367,7 +377,7 @@ _TRANS = f"""asrole AS (
          g.offer_count, g.learning_months, g.missing_skills
   FROM (SELECT profile_id, role, offer_count,
                sum(CASE WHEN skill IS NULL THEN 0 ELSE coalesce(m.months, 6) END) AS learning_months,
-               array_to_string(list_sort(list(skill) FILTER (WHERE skill IS NOT NULL)), ',') AS missing_skills
+               coalesce(array_to_string(list_sort(list(skill) FILTER (WHERE skill IS NOT NULL)), ','), '') AS missing_skills
         FROM gaps LEFT JOIN (VALUES {_MONTHS_VALUES}) m(sk, months) ON gaps.skill = m.sk
         GROUP BY profile_id, role, offer_count) g JOIN profiles p ON g.profile_id = p.profile_id),
 trans AS (

@@ -1,15 +1,13 @@
 """Plan-shape guards: no registered query pairs rows with rows. The only
 nested-loop joins allowed are the documented ones: K1 skill masks (at most
-2^skills rows per side), the Shapley background sample, and J9's profile x
-other-role pairs, which are the operator's own output rows."""
+2^skills rows per side) and the Shapley background sample."""
 
 import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SF_SMALL
 
-BOUNDED_PAIRINGS = {"employability", "contributions", "contribution_rollup",
-                    "role_gap", "role_transitions", "career_plan"}
+BOUNDED_PAIRINGS = {"employability", "contributions", "contribution_rollup"}
 SKIP = {"train_and_predict", "model_ranking", "model_persistence", "stream_dedup", "sink_roundtrip",
         "roadmap_export"}   # MLlib fits / writes happen while the plan is built
 
