@@ -191,6 +191,44 @@ def expected_keyword_count(skills: Column, advanced: Column, exp: Column, d: dic
     return F.least(F.greatest(k, d["median"]), d["p90"]).cast("long")
 
 
+# F22. Defaults of the fields that a profile may lack.
+PROFILE_DEFAULTS = {
+    "job_type": "Data Analyst", "seniority": "Mid-level", "contract_type": "CDI", "education": "Bac+5",
+    "experience": 4.0, "location": "Paris", "sector": "Non spécifié",
+    "contient_sql": 1, "contient_python": 1, "contient_r": 0, "contient_tableau": 0, "contient_power_bi": 0,
+    "contient_aws": 0, "contient_azure": 0, "contient_gcp": 0, "contient_spark": 0, "contient_etl": 0,
+    "contient_machine_learning": 0, "skills_count": 3, "technical_score": 2, "benefits_score": 1,
+    "has_teletravail": 1, "has_mutuelle": 0, "has_tickets": 0, "has_prime": 0, "telework_numeric": 0.5,
+}
+
+
+def profile_feature_row(profiles: DataFrame, median_words: Column, median_keywords: Column) -> DataFrame:
+    """every field of a profile, by its own value or its default (a column that the table lacks
+    counts as null), then the features derived from them. ``median_words`` and
+    ``median_keywords`` are the defaults of the text sizes (scalar subqueries)."""
+    def own(name, default):
+        kind = "string" if isinstance(default, str) else ("double" if isinstance(default, float) else "int")
+        return F.coalesce(F.col(name).cast(kind), F.lit(default)) if name in profiles.columns else F.lit(default)
+
+    keep = [c for c in ("profile_id",) if c in profiles.columns]
+    words, keywords = (F.col(c).cast("int") if c in profiles.columns else F.lit(None).cast("int")
+                       for c in ("description_word_count", "nb_mots_cles_techniques"))
+    x = profiles.select(
+        *keep, *[own(n, d).alias(n) for n, d in PROFILE_DEFAULTS.items()],
+        F.coalesce(words, median_words.cast("int")).alias("description_word_count"),
+        F.coalesce(keywords, median_keywords.cast("int")).alias("nb_mots_cles_techniques"))
+    cloud = (F.col("contient_aws") + F.col("contient_azure") + F.col("contient_gcp")) > 0
+    return x.select(
+        "*", F.col("location").isin(list(MAJOR_CITIES)).cast("int").alias("is_grande_ville"),
+        (F.col("technical_score") * F.log1p("experience")).alias("tech_exp_interaction"),
+        F.contains("location", F.lit("Paris")).cast("int").alias("is_paris_region"),
+        (F.col("contient_machine_learning") + F.col("contient_spark") + F.col("contient_aws")).alias("advanced_data_score"),
+        is_high_paying_sector(F.col("sector")).alias("is_high_paying_sector"),
+        complexity_ordinal(F.col("nb_mots_cles_techniques")).alias("tech_complexity_encoded"),
+        ((F.col("contient_python") > 0) & cloud & (F.col("contient_spark") > 0)).cast("int").alias("has_modern_stack"),
+        seniority_ordinal(F.col("seniority")).alias("hierarchy_score"))
+
+
 # F24
 def telework_of_profile(label: Column | None = None, days: Column | None = None) -> Column:
     if days is not None:

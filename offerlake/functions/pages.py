@@ -41,11 +41,25 @@ TELEWORK_PHRASE = TELEWORK_PATTERN + r"[\s:]*[^\n.]+"
 PUBLICATION_PATTERN = r"(?:Publiée?|Postée?)\s*(?:le|il y a)?\s*([^\n]+)"
 
 
+# Place, card and card-field patterns of the listing extractor.
+LOCATION_PATTERN = r"([A-ZÀ-Ÿ][a-zà-ÿ\s-]+(?:\s*-\s*|\s+)\d{2,5})"
+CARD_CITY = r"(?i)Paris|Lyon|Marseille|Toulouse|Lille|Bordeaux|Nantes|Nice|Strasbourg|Montpellier|Rennes|Île-de-France"
+CARD_SALARY = r"(\d{2}\s?\d{3}(?:[\s-]+\d{2}\s?\d{3})?\s*€(?:/an|/mois)?)"
+CARD_DATE = r"(?:il y a|Publiée? il y a|Publiée?)\s+([^\n]+)"
+NOT_A_COMPANY = r"(?i)\d{2,5}|CDI|CDD|Stage|Alternance|€|Paris|Lyon|Marseille"
+OFFER_LINK = r"/emplois/(\d+)\.html"
+# Elements instead of the browser's selectors: cards, titles, links, company.
+CARD_PATTERN = r"(?is)<(?:article|li)[^>]*>.*?</(?:article|li)>"
+CARD_TITLE = r"(?is)<h[23][^>]*>(.*?)</h[23]>"
+CARD_LINK = r"(?is)<a\s[^>]*/emplois/[0-9]+\.html[^>]*>(.*?)</a>"
+CARD_COMPANY = r"(?is)<[a-z]+\s[^>]*class=\"company[^>]*>(.*?)</"
+
+
 def strip_tags(html: Column) -> Column:
     """Visible text: drop script/style/comments, tags -> newline, unescape &amp;, tidy spaces."""
     t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</p>|</h1>|</li>|</div>|</title>", "\n")
+    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</p>|</h[1-6]>|</li>|</div>|</title>|</article>", "\n")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
     t = F.regexp_replace(t, "&amp;", "&")
     t = F.regexp_replace(t, r"[ \t]+", " ")
@@ -55,7 +69,7 @@ def strip_tags(html: Column) -> Column:
 def strip_tags_sql(html: str) -> str:
     t = f"regexp_replace({html}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g')"
     t = f"regexp_replace({t}, '(?s)<!--.*?-->', ' ', 'g')"
-    t = f"regexp_replace({t}, '(?i)<br\\s*/?>|</p>|</h1>|</li>|</div>|</title>', '\n', 'g')"
+    t = f"regexp_replace({t}, '(?i)<br\\s*/?>|</p>|</h[1-6]>|</li>|</div>|</title>|</article>', '\n', 'g')"
     t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
     t = f"replace({t}, '&amp;', '&')"
     t = f"regexp_replace({t}, '[ \\t]+', ' ', 'g')"
@@ -77,7 +91,7 @@ def page_fields(url: Column, html: Column, text: Column | None = None) -> dict[s
     text = strip_tags(html) if text is None else text
     contract = None
     for c in CONTRACTS:
-        cond = text.rlike("(?i)" + JS_L + c + JS_R)
+        cond = text.rlike("(?iu)" + JS_L + c + JS_R)
         contract = F.when(cond, F.lit(c)) if contract is None else contract.when(cond, F.lit(c))
     salary = _first(text, SALARY_PATTERNS)
     return {
@@ -94,11 +108,85 @@ def page_fields(url: Column, html: Column, text: Column | None = None) -> dict[s
         "salary_text": salary,
         "experience_required": _first(text, EXPERIENCE_PATTERNS),
         "education_level": _first(text, EDUCATION_PATTERNS),
-        "telework": F.when(text.rlike("(?i)" + TELEWORK_PATTERN),
+        "telework": F.when(text.rlike("(?iu)" + TELEWORK_PATTERN),
                            F.coalesce(F.nullif(F.trim(F.regexp_extract(
-                               text, "(?i)" + TELEWORK_PHRASE, 0)), F.lit("")), F.lit("Oui")))
+                               text, "(?iu)" + TELEWORK_PHRASE, 0)), F.lit("")), F.lit("Oui")))
                     .otherwise(F.lit("Non spécifié")),
-        "publication_date": F.nullif(F.trim(F.regexp_extract(text, "(?i)" + PUBLICATION_PATTERN, 1)), F.lit("")),
+        "publication_date": F.nullif(F.trim(F.regexp_extract(text, "(?iu)" + PUBLICATION_PATTERN, 1)), F.lit("")),
+    }
+
+
+def detail_fields(text: Column) -> dict[str, Column]:
+    """E21 fields beyond ``page_fields`` from the visible text: salary bounds, place and department."""
+    amount = lambda p, g: F.regexp_replace(F.regexp_extract(text, p, g), r"\s", "")
+    euro = lambda c: F.when(c != "", F.concat(c, F.lit("€")))
+    place = F.nullif(F.trim(F.regexp_extract(text, LOCATION_PATTERN, 1)), F.lit(""))
+    return {
+        "salary_min": F.coalesce(euro(amount(SALARY_PATTERNS[0], 1)), euro(amount(SALARY_PATTERNS[1], 1))),
+        "salary_max": euro(amount(SALARY_PATTERNS[0], 2)),
+        "location_full": place,
+        "department": F.substring(F.nullif(F.regexp_extract(place, r"\d{2,5}", 0), F.lit("")), 1, 2),
+        "description": F.trim(text),
+    }
+
+
+def detail_fields_sql(text: str) -> dict[str, str]:
+    amount = lambda p, g: f"regexp_replace(regexp_extract({text}, {_sq(p)}, {g}), '\\s', '', 'g')"
+    euro = lambda c: f"CASE WHEN {c} <> '' THEN {c} || '€' END"
+    place = f"nullif(trim(regexp_extract({text}, {_sq(LOCATION_PATTERN)}, 1)), '')"
+    return {
+        "salary_min": f"coalesce({euro(amount(SALARY_PATTERNS[0], 1))}, {euro(amount(SALARY_PATTERNS[1], 1))})",
+        "salary_max": euro(amount(SALARY_PATTERNS[0], 2)),
+        "location_full": place,
+        "department": f"substring(nullif(regexp_extract({place}, '\\d{{2,5}}', 0), ''), 1, 2)",
+        "description": f"trim({text})",
+    }
+
+
+def cards(html: Column) -> Column:
+    """The cards of a listing page that link to an offer, one string each."""
+    return F.filter(F.regexp_extract_all(html, F.lit(CARD_PATTERN), 0), lambda c: c.rlike(OFFER_LINK))
+
+
+def card_fields(card: Column) -> dict[str, Column]:
+    """E20 record of one card. The company is its own element, or the line after the title unless that
+    line is long or looks like another field."""
+    text = strip_tags(card)
+    heading = F.trim(F.regexp_replace(F.regexp_extract(card, CARD_TITLE, 1), "<[^>]+>", " "))
+    title = F.when(heading != "", heading).otherwise(F.trim(F.regexp_replace(F.regexp_extract(card, CARD_LINK, 1), "<[^>]+>", " ")))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    after = F.try_element_at(lines, F.when(F.array_position(lines, title) > 0, (F.array_position(lines, title) + 1).cast("int")).otherwise(F.lit(10_000)))
+    named = F.trim(F.regexp_replace(F.regexp_extract(card, CARD_COMPANY, 1), "<[^>]+>", " "))
+    contract = F.coalesce(*[F.when(text.rlike("(?iu)" + JS_L + c + JS_R), F.lit(c)) for c in CONTRACTS])
+    return {
+        "offer_id": F.regexp_extract(card, OFFER_LINK, 1),
+        "title": title,
+        "company": F.when(named != "", named).when((F.length(after) < 60) & ~after.rlike(NOT_A_COMPANY), after).otherwise(F.lit("Non spécifié")),
+        "location": F.coalesce(F.nullif(F.trim(F.regexp_extract(text, LOCATION_PATTERN, 1)), F.lit("")),
+                               F.nullif(F.regexp_extract(text, CARD_CITY, 0), F.lit("")), F.lit("Non spécifié")),
+        "salary": F.nullif(F.trim(F.regexp_extract(text, CARD_SALARY, 1)), F.lit("")),
+        "contract": contract,
+        "date_posted": F.nullif(F.trim(F.regexp_extract(text, "(?iu)" + CARD_DATE, 0)), F.lit("")),
+    }
+
+
+def card_fields_sql(card: str) -> dict[str, str]:
+    text = strip_tags_sql(card)
+    bare = lambda p: f"trim(regexp_replace(regexp_extract({card}, {_sq(p)}, 1), '<[^>]+>', ' ', 'g'))"
+    title = f"CASE WHEN {bare(CARD_TITLE)} <> '' THEN {bare(CARD_TITLE)} ELSE {bare(CARD_LINK)} END"
+    lines = f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    after = f"{lines}[CASE WHEN list_position({lines}, {title}) > 0 THEN list_position({lines}, {title}) + 1 ELSE 10000 END]"
+    contract = "CASE " + " ".join(f"WHEN regexp_matches({text}, {_sq('(?i)' + JS_L + c + JS_R)}) THEN {_sq(c)}" for c in CONTRACTS) + " END"
+    return {
+        "offer_id": f"regexp_extract({card}, {_sq(OFFER_LINK)}, 1)",
+        "title": title,
+        "company": (f"CASE WHEN {bare(CARD_COMPANY)} <> '' THEN {bare(CARD_COMPANY)} WHEN length({after}) < 60 AND "
+                    f"NOT regexp_matches({after}, {_sq(NOT_A_COMPANY)}) THEN {after} ELSE 'Non spécifié' END"),
+        "location": (f"coalesce(nullif(trim(regexp_extract({text}, {_sq(LOCATION_PATTERN)}, 1)), ''), "
+                     f"nullif(regexp_extract({text}, {_sq(CARD_CITY)}, 0), ''), 'Non spécifié')"),
+        "salary": f"nullif(trim(regexp_extract({text}, {_sq(CARD_SALARY)}, 1)), '')",
+        "contract": contract,
+        "date_posted": f"nullif(trim(regexp_extract({text}, {_sq('(?i)' + CARD_DATE)}, 0)), '')",
     }
 
 
@@ -134,10 +222,10 @@ def page_sections(html: Column) -> dict[str, Column]:
     text = strip_tags(html)
     return {
         "missions": F.nullif(F.trim(F.regexp_extract(
-            text, r"(?is)(?:Missions?|Vos missions|Responsabilités)[:\s]+(.*?)(?=\n\n|Profil|Compétences|$)", 1)),
+            text, r"(?isu)(?:Missions?|Vos missions|Responsabilités)[:\s]+(.*?)(?=\n\n|Profil|Compétences|$)", 1)),
             F.lit("")),
         "profile_sought": F.nullif(F.trim(F.regexp_extract(
-            text, r"(?is)(?:Profil recherché|Profil|Vous êtes)[:\s]+(.*?)(?=\n\n|Nous offrons|Avantages|$)", 1)),
+            text, r"(?isu)(?:Profil recherché|Profil|Vous êtes)[:\s]+(.*?)(?=\n\n|Nous offrons|Avantages|$)", 1)),
             F.lit("")),
     }
 

@@ -10,6 +10,7 @@ PLAN_MODULES = (
     "offerlake.plans.profile_queries",
     "offerlake.plans.model_queries",
     "offerlake.plans.io_queries",
+    "offerlake.plans.built_queries",
 )
 
 
