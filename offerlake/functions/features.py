@@ -4,6 +4,7 @@ step, ``GroupMedianImputer`` (F6), as an MLlib Estimator/Model pair.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark import keyword_only
@@ -265,25 +266,38 @@ class GroupMedianImputer(Estimator, _ImputerParams, DefaultParamsReadable, Defau
 
     def _fit(self, df: DataFrame) -> "GroupMedianImputerModel":
         value, group = self.getInputCol(), self.getGroupCol()
-        g = exact_quantiles(df, value, [0.5], names=["m"]).select("m")
-        per = exact_quantiles(df, value, [0.5], [group], ["m"]).where(F.col("m").isNotNull())
-        # the fitted state is one number per group value (a bounded model, like
-        # MLlib keeps its coefficients on the driver)
-        medians = {r[group]: r["m"] for r in per.collect()}
-        rows = g.collect()
-        model = GroupMedianImputerModel(medians, rows[0]["m"] if rows else None)
-        return model._set(inputCol=value, outputCol=self.getOutputCol(), groupCol=group)
-
-
-class GroupMedianImputerModel(Model, _ImputerParams):
-    def __init__(self, medians: dict | None = None, global_median: float | None = None):
-        super().__init__()
-        self.medians = medians or {}
-        self.global_median = global_median
+        both = df.select(F.explode(F.array(F.struct(F.lit(True).alias("overall"), F.lit(None).cast(df.schema[group].dataType).alias("g")),
+                                           F.struct(F.lit(False).alias("overall"), F.col(group).alias("g")))).alias("_k"),
+                         F.col(value).alias("v")).select("_k.*", "v")
+        # one number per group value: the fitted state, kept and saved as a parameter
+        rows = exact_quantiles(both, "v", [0.5], ["overall", "g"], ["m"]).where(
+            F.col("overall") | F.col("g").isNotNull()).collect()
+        medians = [[r["g"], r["m"]] for r in rows if not r["overall"]]
+        overall = next((r["m"] for r in rows if r["overall"]), None)
+        return GroupMedianImputerModel()._set(inputCol=value, outputCol=self.getOutputCol(), groupCol=group,
+                                              fitted=json.dumps([overall, medians]))
+
+
+class GroupMedianImputerModel(Model, _ImputerParams, DefaultParamsReadable, DefaultParamsWritable):
+    """The fitted medians are a parameter, so the model is saved with its pipeline; they meet the
+    rows in a join with a table of one row per group."""
+
+    fitted = Param(Params._dummy(), "fitted", "[overall median, [[group, median], ...]] as JSON",
+                   typeConverter=TypeConverters.toString)
+
+    @property
+    def medians(self) -> dict:
+        return dict(map(tuple, json.loads(self.getOrDefault(self.fitted))[1]))
+
+    @property
+    def global_median(self) -> float | None:
+        return json.loads(self.getOrDefault(self.fitted))[0]
 
     def _transform(self, df: DataFrame) -> DataFrame:
         value, group = self.getInputCol(), self.getGroupCol()
-        lookup = (F.try_element_at(_lit_map({k: float(v) for k, v in self.medians.items()}), F.col(group))
-                  if self.medians else F.lit(None).cast("double"))
-        glob = F.lit(self.global_median).cast("double")
-        return df.withColumn(self.getOutputCol(), F.coalesce(F.col(value).cast("double"), lookup, glob))
+        kind = df.schema[group].dataType.simpleString()
+        table = df.sparkSession.createDataFrame(list(self.medians.items()), f"_group {kind}, _median double")
+        overall = F.lit(self.global_median).cast("double")
+        joined = df.join(table, F.col(group) == F.col("_group"), "left")
+        return joined.withColumn(self.getOutputCol(), F.coalesce(
+            F.col(value).cast("double"), F.col("_median"), overall)).drop("_group", "_median")

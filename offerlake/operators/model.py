@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -188,7 +188,31 @@ def fit_robust(df: DataFrame, columns: list[str]) -> RobustScale:
     return RobustScale(stats)
 
 
+class FitFrequent(Estimator, _JsonState):
+    """Estimator of ``FrequentCategories``: refitted on the fit rows of every fold."""
+
+    def __init__(self, columns: list[str] | None = None, max_categories: int = 20):
+        super().__init__()
+        self._set(state=json.dumps({"columns": columns or [], "max": max_categories}))
+
+    def _fit(self, df: DataFrame) -> FrequentCategories:
+        s = self._state()
+        return fit_frequent(df, s["columns"], s["max"])
+
+
+class FitRobust(Estimator, _JsonState):
+    """Estimator of ``RobustScale``: refitted on the fit rows of every fold."""
+
+    def __init__(self, columns: list[str] | None = None):
+        super().__init__()
+        self._set(state=json.dumps({"columns": columns or []}))
+
+    def _fit(self, df: DataFrame) -> RobustScale:
+        return fit_robust(df, self._state()["columns"])
+
+
 def build_regressor(kind: str):
+    """``linear`` with regParam and elasticNetParam is ridge (0), lasso (1) and elastic net (between)."""
     if kind == "gbt":
         return GBTRegressor(featuresCol="features", labelCol="label", seed=SEED)
     if kind == "rf":
@@ -196,31 +220,36 @@ def build_regressor(kind: str):
     return LinearRegression(featuresCol="features", labelCol="label")
 
 
-def build_pipeline(train: DataFrame, numeric: list[str], categorical: list[str], kind: str) -> tuple:
-    """Preprocessing learned on ``train`` rows only (frequent categories, exact
-    robust statistics) + index/one-hot/assemble + regressor."""
-    freq = fit_frequent(train, categorical)
-    robust = fit_robust(train, numeric)
+def preprocessing(numeric: list[str], categorical: list[str], imputer=None) -> list:
+    """Unfitted stages: optional group-median imputer (F6), frequent categories, exact robust
+    scaling, index, one-hot, assemble. All are estimators, so nothing is learned outside the
+    rows that a fit (or a cross-validation fold) is given."""
     indexers = [StringIndexer(inputCol=f"{c}_cat", outputCol=f"{c}_idx", handleInvalid="keep") for c in categorical]
     encoder = OneHotEncoder(inputCols=[f"{c}_idx" for c in categorical],
                             outputCols=[f"{c}_ohe" for c in categorical], handleInvalid="keep")
     assembler = VectorAssembler(inputCols=[f"{c}_scaled" for c in numeric] + [f"{c}_ohe" for c in categorical],
                                 outputCol="features", handleInvalid="keep")
+    return [*([imputer] if imputer is not None else []), FitFrequent(categorical), FitRobust(numeric),
+            *indexers, encoder, assembler]
+
+
+def build_pipeline(numeric: list[str], categorical: list[str], kind: str, imputer=None) -> tuple:
     reg = build_regressor(kind)
-    return Pipeline(stages=[freq, robust, *indexers, encoder, assembler, reg]), reg
+    return Pipeline(stages=[*preprocessing(numeric, categorical, imputer), reg]), reg
 
 
 def fit_pipeline(train: DataFrame, numeric: list[str], categorical: list[str], kind: str,
-                 params: dict | None = None) -> PipelineModel:
-    pipe, reg = build_pipeline(train, numeric, categorical, kind)
+                 params: dict | None = None, imputer=None) -> PipelineModel:
+    pipe, reg = build_pipeline(numeric, categorical, kind, imputer)
     return pipe.fit(train, {reg.getParam(k): v for k, v in (params or {}).items()})
 
 
 def train_model(train: DataFrame, numeric: list[str], categorical: list[str], kind: str = "gbt",
-                grid: dict | None = None, folds: int = 5, parallelism: int = 2):
+                grid: dict | None = None, folds: int = 5, parallelism: int = 2, imputer=None):
     """M2-M4: CrossValidator over ``grid`` (param name -> values) minimising MAE
-    on the deterministic ``fold`` column (see ``fold_column``)."""
-    pipe, reg = build_pipeline(train, numeric, categorical, kind)
+    on the deterministic ``fold`` column (see ``fold_column``). The model's ``avgMetrics`` and
+    ``stdMetrics`` are the mean and deviation over the folds."""
+    pipe, reg = build_pipeline(numeric, categorical, kind, imputer)
     pg = ParamGridBuilder()
     for name, values in (grid or {}).items():
         pg = pg.addGrid(reg.getParam(name), values)
@@ -236,7 +265,10 @@ def shapley_contributions(model: PipelineModel, rows: DataFrame, background: Dat
     """Permutation Shapley values, batched. For each (row, background row,
     ordering) the features are switched from background to row values one at a
     time in the ordering; the prediction change at each step is the marginal
-    contribution of that feature. One ``transform`` scores every coalition.
+    contribution of that feature. One ``transform`` scores every coalition. A prediction
+    counts once for the feature just switched and once, negated, for the next one, so
+    the marginals add up in a partial aggregate without ordering any path. For linear
+    models ``linear_contributions`` has the exact values without sampling.
     ``background`` must be small (the reference used 100 rows): it is the
     sampled part of the estimate and is broadcast."""
     nf = len(features)
@@ -255,12 +287,38 @@ def shapley_contributions(model: PipelineModel, rows: DataFrame, background: Dat
     mixed = steps.select(id_col, "_bg_id", "perm", "step", "order",
                          *[F.when(pos[f] < F.col("step"), F.col(f)).otherwise(F.col(f"_bg_{f}")).alias(f)
                            for f in features])
-    scored = model.transform(mixed).select(id_col, "_bg_id", "perm", "step", "order", "prediction")
-    w = Window.partitionBy(id_col, "_bg_id", "perm").orderBy("step")
-    marg = scored.withColumn("delta", F.col("prediction") - F.lag("prediction").over(w)).where(F.col("step") > 0)
+    scored = model.transform(mixed).select(id_col, "step", "order", "prediction")
     feat_names = F.array(*[F.lit(f) for f in features])
-    marg = marg.withColumn("feature", F.element_at(feat_names, F.element_at(F.col("order"), F.col("step")) + 1))
-    return marg.groupBy(id_col, "feature").agg(F.avg("delta").alias("contribution"))
+    switched = lambda at: F.element_at(feat_names, F.element_at(F.col("order"), at) + 1)
+    part = lambda cond, at, sign: F.when(cond, F.struct(
+        switched(F.when(cond, at).otherwise(1)).alias("feature"), (F.col("prediction") * sign).alias("d")))
+    parts = F.filter(F.array(part(F.col("step") > 0, F.col("step"), 1.0), part(F.col("step") < nf, F.col("step") + 1, -1.0)),
+                     lambda x: x.isNotNull())
+    split = scored.select(id_col, F.explode(parts).alias("p"))
+    # every feature has as many pluses as there are (background row, ordering) pairs, and as many minuses
+    return split.groupBy(id_col, F.col("p.feature").alias("feature")).agg(
+        (F.sum("p.d") * 2 / F.count(F.lit(1))).alias("contribution"))
+
+
+def linear_contributions(model: PipelineModel, rows: DataFrame, background: DataFrame, id_col: str,
+                         numeric: list[str], categorical: list[str]) -> DataFrame:
+    """Exact Shapley values of a linear pipeline: a feature's share of the prediction minus its
+    mean share over ``background``. One row per (row, feature), no coalition is scored."""
+    coefficients = [float(x) for x in model.stages[-1].coefficients]
+    sizes = next(s for s in model.stages if hasattr(s, "categorySizes")).categorySizes
+    shares, at = {}, len(numeric)
+    for i, c in enumerate(numeric):
+        shares[c] = F.col(f"{c}_scaled") * F.lit(coefficients[i])
+    for c, size in zip(categorical, sizes):        # the slots of one one-hot block; the last category has none
+        block = F.array(*[F.lit(x) for x in coefficients[at:at + size]])
+        index = F.col(f"{c}_idx").cast("int")
+        shares[c] = F.when(index < size, F.try_element_at(block, index + 1)).otherwise(F.lit(0.0))
+        at += size
+    features = [*numeric, *categorical]
+    mean = model.transform(background).agg(*[F.avg(shares[f]).alias(f) for f in features]).first()   # one row
+    stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), (shares[f] - F.lit(float(mean[f]))).alias("contribution"))
+                                  for f in features])).alias("_c")
+    return model.transform(rows).select(id_col, stacked).select(id_col, "_c.*")
 
 
 # --------------------------------------------------------------------- M10, A30, W1
@@ -282,5 +340,4 @@ def rollup_one_hot(contrib: DataFrame, id_col: str, source_of: dict[str, str]) -
     """Sum contributions of one-hot parts back to their source feature."""
     m = F.create_map(*[x for k, v in source_of.items() for x in (F.lit(k), F.lit(v))])
     src = F.coalesce(F.try_element_at(m, F.col("feature")), F.col("feature"))
-    return (contrib.groupBy(id_col, src.alias("source")).agg(F.sum("contribution").alias("contribution"))
-            .orderBy(id_col, F.abs("contribution").desc()))
+    return contrib.groupBy(id_col, src.alias("source")).agg(F.sum("contribution").alias("contribution"))

@@ -128,8 +128,7 @@ def q_stratified_split(spark, sf_dir):
 # --------------------------------------------------------------------- F6
 @query("median_impute", with_offers(f"""
 SELECT s.offer_id, {_r('coalesce(s.experience, grp.m, gm.g)')} AS experience_imputed
-FROM split s LEFT JOIN grp ON CAST(substring(s.sector, 1, 1) AS INTEGER) = grp.k CROSS JOIN gm
-WHERE s.is_test = 1""", _split_sql() + """,
+FROM split s LEFT JOIN grp ON CAST(substring(s.sector, 1, 1) AS INTEGER) = grp.k CROSS JOIN gm""", _split_sql() + """,
 gm AS (SELECT median(experience) AS g FROM train),
 grp AS (SELECT CAST(substring(sector, 1, 1) AS INTEGER) AS k, median(experience) AS m FROM train
         GROUP BY 1 HAVING median(experience) IS NOT NULL)"""))
@@ -137,7 +136,7 @@ def q_median_impute(spark, sf_dir):
     sp = split_offers(spark, sf_dir).withColumn("sector_ord", F.substring(C.sector, 1, 1).cast("int"))
     imp = FT.GroupMedianImputer(inputCol=C.experience, outputCol="experience_imputed", groupCol="sector_ord")
     model = imp.fit(sp.where(F.col("is_test") == 0))
-    return finish(model.transform(sp.where(F.col("is_test") == 1)).select(C.id, "experience_imputed"))
+    return finish(model.transform(sp).select(C.id, "experience_imputed"))
 
 
 # --------------------------------------------------------------------- F19-F21
@@ -249,72 +248,97 @@ CATEGORICAL = [C.job, C.city, C.sector, C.contract]
 
 
 def _train_test(spark, sf_dir):
-    sp = split_offers(spark, sf_dir).withColumnRenamed(C.salary, "label")
+    sp = split_offers(spark, sf_dir).withColumnRenamed(C.salary, "label").withColumn(
+        "sector_ord", F.substring(C.sector, 1, 1).cast("int"))
     train = materialize(M.fold_column(sp.where(F.col("is_test") == 0), C.id, 5))
     return train, sp.where(F.col("is_test") == 1)
 
 
+def _imputer():
+    """F6 as the first pipeline stage: experience by the ordinal of the sector."""
+    return FT.GroupMedianImputer(inputCol=C.experience, outputCol="experience_imputed", groupCol="sector_ord")
+
+
+IMPUTED = ["experience_imputed", *NUMERIC[1:]]
+
+
 @query("train_and_predict")
 def q_train_and_predict(spark, sf_dir):
-    """M2-M4: GBT pipeline tuned by 5-fold CV on MAE; test-set predictions."""
+    """M2-M4: GBT pipeline (imputer included) tuned by 5-fold CV on MAE; test-set predictions."""
     train, test = _train_test(spark, sf_dir)
-    cv = M.train_model(train, NUMERIC, CATEGORICAL, "gbt", {"maxDepth": [3, 4], "maxIter": [10]}, parallelism=4)
+    cv = M.train_model(train, IMPUTED, CATEGORICAL, "gbt", {"maxDepth": [3, 4], "maxIter": [10], "stepSize": [0.1, 0.2]},
+                       parallelism=4, imputer=_imputer())
     return cv.bestModel.transform(test).select(C.id, "label", "prediction")
 
 
+CANDIDATES = (("linear", "linear", {"regParam": 0.1}), ("ridge", "linear", {"regParam": 10.0}),
+              ("lasso", "linear", {"regParam": 10.0, "elasticNetParam": 1.0}),
+              ("elastic_net", "linear", {"regParam": 10.0, "elasticNetParam": 0.5}),
+              ("forest", "rf", {"numTrees": 20, "maxDepth": 5}), ("gbt", "gbt", {"maxDepth": 4, "maxIter": 10}))
+
+
 @query("model_ranking")
 def q_model_ranking(spark, sf_dir):
-    """M5 + M6: train / test metrics and 5-fold CV metrics (refit on the other
-    folds) of three candidate models, then the composite ranking."""
+    """M5 + M6: train / test metrics, mean and deviation of 5-fold CV metrics of six candidate
+    models, then the composite ranking. Preprocessing is fitted once per fold on that
+    fold's fit rows and shared by the candidates."""
     from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.ml import Pipeline
     train, test = _train_test(spark, sf_dir)
-    candidates = (("linear", "linear", {"regParam": 0.1}),
-                  ("ridge", "linear", {"regParam": 10.0}),
-                  ("gbt", "gbt", {"maxDepth": 4, "maxIter": 10}))
 
-    def fold_metrics(job):
-        kind, params, k = job
-        fit = M.fit_pipeline(train.where(F.col("fold") != k), NUMERIC, CATEGORICAL, kind, params)
-        return M.regression_metrics(fit.transform(train.where(F.col("fold") == k))).first()
+    def prepared(fit_rows, other):
+        prep = Pipeline(stages=M.preprocessing(IMPUTED, CATEGORICAL, _imputer())).fit(fit_rows)
+        return [materialize(prep.transform(x).select("features", "label")) for x in (fit_rows, other)]
 
-    rows = []
-    # fold fits are independent jobs: submitted concurrently, as CrossValidator(parallelism=n) does
+    def metrics(job):
+        (fit_rows, other), kind, params, both = job
+        reg = M.build_regressor(kind)
+        model = reg.fit(fit_rows, {reg.getParam(k): v for k, v in params.items()})
+        return [M.regression_metrics(model.transform(x)).first() for x in ((fit_rows, other) if both else (other,))]
+
+    # folds and fits are independent jobs: submitted concurrently, as CrossValidator(parallelism=n) does
     with ThreadPoolExecutor(max_workers=4) as pool:
-        for name, kind, params in candidates:
-            folds = list(pool.map(fold_metrics, [(kind, params, k) for k in range(5)]))
-            model = M.fit_pipeline(train, NUMERIC, CATEGORICAL, kind, params)
-            tr = M.regression_metrics(model.transform(train)).first()
-            te = M.regression_metrics(model.transform(test)).first()
-            rows.append((name, tr["r2"], te["r2"], te["mae"], sum(m["r2"] for m in folds) / 5,
-                         sum(m["mae"] for m in folds) / 5))
-    # five numbers per candidate model: a bounded result table
+        folds = list(pool.map(lambda k: prepared(train.where(F.col("fold") != k), train.where(F.col("fold") == k)), range(5)))
+        whole = prepared(train, test)
+        jobs = [(data, kind, params, data is whole) for _, kind, params in CANDIDATES for data in (*folds, whole)]
+        found = list(pool.map(metrics, jobs))
+    rows = []
+    for i, (name, _, _) in enumerate(CANDIDATES):
+        own = found[i * 6:i * 6 + 6]
+        (tr, te), cv = own[5], [m[0] for m in own[:5]]
+        mae = [m["mae"] for m in cv]
+        mean = sum(mae) / 5
+        rows.append((name, tr["r2"], te["r2"], te["mae"], sum(m["r2"] for m in cv) / 5, mean,
+                     (sum((x - mean) ** 2 for x in mae) / 5) ** 0.5))
+    # seven numbers per candidate model: a bounded result table
     res = spark.createDataFrame(rows, "model string, train_r2 double, test_r2 double, test_mae double, "
-                                      "cv_r2 double, cv_mae double")
+                                      "cv_r2 double, cv_mae double, cv_mae_std double")
     ranked = M.composite_ranking(res)
     return ranked.withColumn("verdict", generalisation_verdict(F.col("train_r2"), F.col("test_r2"),
                                                                F.col("test_mae"), F.col("cv_mae")))
 
 
-@query("contributions")
-def q_contributions(spark, sf_dir):
-    """M9 + M10 + A30 + W1: permutation Shapley contributions of a linear pipeline
-    for every test row against a 20-row background (sampled by hash rank), then
-    the top-10 report with boosters, main brake and running total."""
+BACKGROUND_ROWS = 100    # the sample size of the reference's explainer
+
+
+def _contributions(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
     model = M.fit_pipeline(train, NUMERIC, CATEGORICAL, "linear", {"regParam": 0.1})
     ranked = train.withColumn("_h", M.hash_key(F.col(C.id), 7))
-    bg = ranked.orderBy("_h").limit(20).drop("_h")   # the background sample is the sampling feature
-    feats = NUMERIC + CATEGORICAL
-    contrib = M.shapley_contributions(model, test, bg, C.id, feats, orderings=4)
-    return M.contribution_report(contrib, C.id, min_abs=100.0, k=10)
+    bg = ranked.orderBy("_h").limit(BACKGROUND_ROWS).drop("_h")   # the background sample is the sampling feature
+    return M.linear_contributions(model, test, bg, C.id, NUMERIC, CATEGORICAL)
+
+
+@query("contributions")
+def q_contributions(spark, sf_dir):
+    """M9 + M10 + W1: exact Shapley contributions of a linear pipeline for every test row
+    against 100 background rows, then the top-10 report with boosters, main brake and
+    running total."""
+    return M.contribution_report(_contributions(spark, sf_dir), C.id, min_abs=100.0, k=10)
 
 
 @query("contribution_rollup")
 def q_contribution_rollup(spark, sf_dir):
-    """Contributions of the individual skill flags rolled up into one 'skills'
-    source per row, ordered by absolute contribution."""
-    train, test = _train_test(spark, sf_dir)
-    model = M.fit_pipeline(train, NUMERIC, CATEGORICAL, "linear", {"regParam": 0.1})
-    bg = train.withColumn("_h", M.hash_key(F.col(C.id), 7)).orderBy("_h").limit(20).drop("_h")
-    contrib = M.shapley_contributions(model, test, bg, C.id, NUMERIC + CATEGORICAL, orderings=4)
-    return M.rollup_one_hot(contrib, C.id, {c: "skills" for c in FLAG_COLUMNS + ("skills_count",)})
+    """Contributions of the individual skill flags rolled up into one 'skills' source per row."""
+    return M.rollup_one_hot(_contributions(spark, sf_dir), C.id, {c: "skills" for c in FLAG_COLUMNS + ("skills_count",)})

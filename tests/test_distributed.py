@@ -121,6 +121,35 @@ def test_shapley_efficiency(spark):
         assert total[k] == pytest.approx(p - bg_mean, rel=1e-6, abs=1e-6)
 
 
+def test_linear_contributions_equal_the_permutation_values(spark):
+    """For a linear model every ordering gives the same marginals, so both forms agree."""
+    from offerlake.plans.model_queries import CATEGORICAL, NUMERIC, _train_test
+    train, test = _train_test(spark, SF_SMALL)
+    model = M.fit_pipeline(train, NUMERIC, CATEGORICAL, "linear", {"regParam": 0.1})
+    rows, bg = test.orderBy("offer_id").limit(4), train.orderBy("offer_id").limit(5)
+    key = lambda df: {(r["offer_id"], r["feature"]): r["contribution"] for r in df.collect()}
+    exact = key(M.linear_contributions(model, rows, bg, "offer_id", NUMERIC, CATEGORICAL))
+    sampled = key(M.shapley_contributions(model, rows, bg, "offer_id", NUMERIC + CATEGORICAL, orderings=2))
+    assert exact.keys() == sampled.keys()
+    assert all(exact[k] == pytest.approx(sampled[k], rel=1e-6, abs=1e-5) for k in exact)
+
+
+def test_preprocessing_is_refitted_per_fold(spark):
+    df = spark.createDataFrame([(1.0, "a", 0), (3.0, "a", 0), (100.0, "b", 1)], "x double, c string, fold int")
+    stages = M.preprocessing(["x"], ["c"])
+    fit = stages[1].fit(df.where("fold = 0"))
+    assert fit._state() == {"x": [2.0, 1.0]} and stages[0].fit(df.where("fold = 0"))._state() == {"c": ["a"]}
+
+
+def test_imputer_is_saved_with_its_medians(spark, tmp_path):
+    from offerlake.functions.features import GroupMedianImputer, GroupMedianImputerModel
+    df = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, None), (None, 9.0)], "g int, e double")
+    m = GroupMedianImputer(inputCol="e", outputCol="x", groupCol="g").fit(df)
+    m.write().save(str(tmp_path / "m"))
+    back = GroupMedianImputerModel.load(str(tmp_path / "m"))
+    assert sorted(r["x"] for r in back.transform(df).collect()) == [2.0, 4.0, 4.0, 9.0]
+
+
 def test_pipeline_roundtrip(spark, tmp_path):
     from pyspark.ml import PipelineModel
     from offerlake.plans.model_queries import CATEGORICAL, NUMERIC, _train_test
