@@ -5,6 +5,7 @@ the session's shared ``spark.checkpoint.dir`` and is read back."""
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -65,7 +66,10 @@ def _report_sql() -> str:
     return with_offers(f"""
 SELECT 'multipliers' AS section, location AS item, 'multiplier' AS field,
        {_r('median(salary_mid) / (SELECT median(salary_mid) FROM offers WHERE salary_mid IS NOT NULL)')} AS value
-FROM offers WHERE salary_mid IS NOT NULL AND location IS NOT NULL GROUP BY location
+FROM offers WHERE salary_mid IS NOT NULL AND location IN (SELECT location FROM offers WHERE {MQ._KPI_WHERE}) GROUP BY location
+UNION ALL SELECT 'multipliers', sector, 'multiplier',
+       {_r('median(salary_mid) / (SELECT median(salary_mid) FROM offers WHERE salary_mid IS NOT NULL)')}
+FROM offers WHERE salary_mid IS NOT NULL AND sector IN (SELECT sector FROM offers WHERE {MQ._KPI_WHERE}) GROUP BY sector
 UNION ALL SELECT 'skill_impacts', skill, 'impact', {_r('median_with - median_without')} FROM imp
   WHERE holders >= 5 AND median_with - median_without IS NOT NULL
 UNION ALL SELECT 'stacks', stack, 'median', {_r('median')} FROM stk
@@ -88,10 +92,15 @@ def q_market_report(spark, sf_dir):
     meta = off.agg(F.count(F.lit(1)).alias("n_offers"))
     # the one-row summary already holds scalar subqueries: checkpoint it before it is
     # nested as a scalar itself (nested scalar merging trips a Spark optimizer bug)
+    # multipliers of the groups that the filtered offers hold (T5)
+    from offerlake.plans import market_queries as MQ
+    _, chosen = MQ.filtered_offers(spark, sf_dir)
+    held = {g: chosen.where(F.col(g).isNotNull()).select(g).distinct() for g in (C.city, C.sector)}
     report = SK.market_report(meta, materialize(A.salary_summary(off, C.salary)),
-                              A.group_multiplier(off, C.city, C.salary).select(C.city, "multiplier"),
+                              {g: A.group_multiplier(off, g, C.salary).select(g, "multiplier") for g in (C.city, C.sector)},
                               A.skill_impact(off, list(C.skills), C.salary, 5),
-                              A.stack_stats(off, C.skill, C.salary, 5), C.city)
+                              A.stack_stats(off, C.skill, C.salary, 5), held)
+    report = SK.write_json(report, f"{shared_scratch(spark, 'market-report')}/json")
     return finish(SK.flatten_report(report).where(~F.col("field").isin("group_median")))
 
 
@@ -104,27 +113,38 @@ SELECT profile_id, 'transition', role, round(gain, 4) FROM (
   SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY gain DESC, role) AS k FROM trans) WHERE k <= 3
 UNION ALL
 SELECT profile_id, 'projection_year_4', strategy, round(prediction, 4) FROM (""" + PQ.rule_scorer_sql("proj") + """)
-  WHERE year = 4""", PQ._DEMAND, PQ._MISS, PQ._ROAD, PQ._GAPS, PQ._TRANS, PQ._PROJ))
+  WHERE year = 4
+UNION ALL SELECT profile_id, 'missing_skill', skill, CAST(skill_pos AS DOUBLE) FROM miss
+UNION ALL SELECT p.profile_id, 'owned_skill', sk.skill, 1.0 FROM profiles p, (VALUES """ + PQ._SKILL_VALUES + """) sk(skill, col, idx)
+  WHERE """ + PQ._FLAG_OF.format(t="p") + """ = 1
+UNION ALL SELECT profile_id, 'estimate', 'salary', round(base_prediction, 4) FROM base
+UNION ALL SELECT profile_id, 'estimate', 'gap_to_median', round(base_prediction - (SELECT median(salary_mid) FROM offers), 4) FROM base
+UNION ALL SELECT profile_id, 'estimate', 'percentile', round(100.0 * (SELECT count(*) FROM offers o WHERE o.salary_mid < base_prediction)
+  / (SELECT count(salary_mid) FROM offers), 4) FROM base""", PQ._DEMAND, PQ._MISS, PQ._ROAD, PQ._GAPS, PQ._TRANS, PQ._PROJ))
 def q_career_plan(spark, sf_dir):
     off, prof, scorer = PQ.setup(spark, sf_dir)
     road = S.skill_roadmap(prof, off, scorer, PQ.SKILLS)
     top_skills = A.top_n_per_group(road, ["profile_id"], [F.col("roi").desc(), F.col("skill")], 3)
     trans = S.role_transitions(prof, K.role_gap(prof, off, C, PQ.SKILLS), scorer, C)
     proj = S.projection(prof, scorer, C, PQ.SKILLS).where(F.col("year") == 4)
+    base = scorer(prof).select("profile_id", "prediction")
+    median = A.median_by(off, C.salary).select("median").scalar()
+    est = base.join(K.percentile_rank(base, "prediction", off, C.salary), "profile_id").select("profile_id", F.explode(F.array(
+        F.struct(F.lit("salary").alias("item"), F.col("prediction").alias("value")),
+        F.struct(F.lit("gap_to_median").alias("item"), (F.col("prediction") - median).alias("value")),
+        F.struct(F.lit("percentile").alias("item"), F.col("percentile").alias("value")))).alias("e")).select("profile_id", "e.*")
+    owned = prof.select("profile_id", F.explode(F.filter(F.array(*[
+        F.when(F.col(c) == 1, F.lit(n)) for n, c in PQ.SKILLS]), lambda x: x.isNotNull())).alias("item")).withColumn("value", F.lit(1.0))
+    miss = K.missing_skills(prof, PQ.SKILLS).select("profile_id", F.col("skill").alias("item"), F.col("skill_pos").cast("double").alias("value"))
     doc = SK.per_profile_document(prof.select("profile_id"), {
-        "top_skills": top_skills.select("profile_id", "skill", "roi"),
-        "transitions": trans.select("profile_id", "role", "gain"),
-        "projection_year_4": proj.select("profile_id", "strategy", "prediction")})
-    flat = (doc.select("profile_id", F.explode("top_skills").alias("e"))
-            .select("profile_id", F.lit("top_skill").alias("section"), F.col("e.skill").alias("item"),
-                    F.col("e.roi").alias("value"))
-            .unionByName(doc.select("profile_id", F.explode("transitions").alias("e")).select(
-                "profile_id", F.lit("transition").alias("section"), F.col("e.role").alias("item"),
-                F.col("e.gain").alias("value")))
-            .unionByName(doc.select("profile_id", F.explode("projection_year_4").alias("e")).select(
-                "profile_id", F.lit("projection_year_4").alias("section"), F.col("e.strategy").alias("item"),
-                F.col("e.prediction").alias("value"))))
-    return finish(flat)
+        "top_skill": top_skills.select("profile_id", F.col("skill").alias("item"), F.col("roi").alias("value")),
+        "transition": trans.select("profile_id", F.col("role").alias("item"), F.col("gain").alias("value")),
+        "projection_year_4": proj.select("profile_id", F.col("strategy").alias("item"), F.col("prediction").alias("value")),
+        "owned_skill": owned, "missing_skill": miss, "estimate": est})
+    doc = SK.write_json(doc, f"{shared_scratch(spark, 'career-plan')}/json")
+    sections = [c for c in doc.columns if c != "profile_id"]
+    flat = doc.select("profile_id", F.explode(F.array(*[F.struct(F.lit(c).alias("section"), F.col(c).alias("rows")) for c in sections])).alias("s"))
+    return finish(flat.select("profile_id", "s.section", F.explode("s.rows").alias("e")).select("profile_id", "section", "e.item", "e.value"))
 
 
 # --------------------------------------------------------------------- S10
@@ -134,17 +154,23 @@ SELECT s.profile_id, {_r('s.prediction')} AS prediction,
        {_r('(SELECT median(salary_mid) FROM offers)')} AS market_median,
        {_r('(SELECT quantile_cont(salary_mid, 0.25) FROM offers)')} AS market_q1,
        {_r('(SELECT quantile_cont(salary_mid, 0.75) FROM offers)')} AS market_q3,
-       (SELECT count(*) FROM offers) AS dataset_rows
+       (SELECT count(*) FROM offers) AS dataset_rows, s.job_type, s.location, s.sector, {_r('s.experience')} AS experience,
+       {_r('(SELECT avg(experience) FROM offers)')} AS mean_experience, {_r(f'(SELECT avg({PQ.STACK_SQL}) FROM offers)')} AS mean_skills
 FROM scored s""", f"scored AS ({PQ.rule_scorer_sql('profiles')})"))
 def q_prediction_report(spark, sf_dir):
     off, prof, scorer = PQ.setup(spark, sf_dir)
-    pred = scorer(prof).select("profile_id", "prediction")
+    pred = scorer(prof).select("profile_id", "prediction", C.job, C.city, C.sector, C.experience)
     pct = K.percentile_rank(pred, "prediction", off, C.salary)
     mq = A.market_quantiles(off, C.salary)
-    return finish(pred.join(pct, "profile_id").select(
-        "profile_id", "prediction", F.col("percentile").alias("market_percentile"),
+    skills = reduce(lambda a, b: a + b, [F.col(c) for c in C.skill_cols])
+    doc = pred.join(pct, "profile_id").select(
+        "profile_id", "prediction", F.struct(C.job, C.city, C.sector, C.experience).alias("profile"),
+        F.col("percentile").alias("market_percentile"),
         mq.select("median").scalar().alias("market_median"), mq.select("q1").scalar().alias("market_q1"),
-        mq.select("q3").scalar().alias("market_q3"), off.select(F.count(F.lit(1))).scalar().alias("dataset_rows")))
+        mq.select("q3").scalar().alias("market_q3"), off.select(F.count(F.lit(1))).scalar().alias("dataset_rows"),
+        off.select(F.avg(C.experience)).scalar().alias("mean_experience"), off.select(F.avg(skills)).scalar().alias("mean_skills"))
+    doc = SK.write_json(doc, f"{shared_scratch(spark, 'prediction-report')}/json")
+    return finish(doc.select(*[c for c in doc.columns if c != "profile"], "profile.*"))
 
 
 # --------------------------------------------------------------------- S11

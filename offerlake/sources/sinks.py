@@ -7,9 +7,13 @@ where the reference produced them); nested documents are built with
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerlake.operators.market import restrict_to
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> str:
     """Cleaned-table sink; CSV gets a header, UTF-8 (Spark's default)."""
@@ -25,6 +29,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     return path
 
 
+def write_json(df: DataFrame, path: str) -> DataFrame:
+    """Write nested documents as JSON lines and read them back with their schema."""
+    df.write.mode("overwrite").json(path)
+    return df.sparkSession.read.schema(df.schema).json(path)
+
+
 def read_csv_table(spark, path: str, schema) -> DataFrame:
     """CSV scan with an explicit schema (no inference), multi-line quoted fields."""
     return (spark.read.schema(schema).option("header", "true").option("multiLine", "true")
@@ -42,13 +52,19 @@ def roadmap_export(roadmap: DataFrame) -> DataFrame:
                           "roi", "rarity").orderBy("profile_id", F.col("roi").desc(), "skill")
 
 
-def market_report(meta: DataFrame, summary: DataFrame, multipliers: DataFrame, impacts: DataFrame,
-                  stacks: DataFrame, group: str) -> DataFrame:
-    """One nested row: metadata, summary statistics, multipliers, skill
-    impacts, stacks. Each list is an aggregate of a small table (bounded by the
-    vocabularies), gathered with collect_list."""
-    m = multipliers.agg(F.sort_array(F.collect_list(F.struct(F.col(group).alias("group"), "multiplier")))
-                        .alias("multipliers"))
+def market_report(meta: DataFrame, summary: DataFrame, multipliers: dict[str, DataFrame], impacts: DataFrame,
+                  stacks: DataFrame, selected: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One nested row: metadata, summary statistics, multipliers per group column
+    (those of the ``selected`` values only, where given), skill impacts, stacks. Each list
+    is an aggregate of a small table (bounded by the vocabularies), gathered with
+    collect_list."""
+    chosen = []
+    for group, table in multipliers.items():
+        if selected and group in selected:
+            table = restrict_to(table, selected[group], [group])
+        chosen.append(table.select(F.lit(group).alias("column"), F.col(group).cast("string").alias("group"), "multiplier"))
+    m = reduce(DataFrame.unionByName, chosen).agg(
+        F.sort_array(F.collect_list(F.struct("group", "multiplier", "column"))).alias("multipliers"))
     i = impacts.agg(F.sort_array(F.collect_list(F.struct("skill", "impact"))).alias("skill_impacts"))
     s = stacks.agg(F.sort_array(F.collect_list(F.struct("stack", "median", "n"))).alias("stacks"))
     return meta.select(F.struct(*meta.columns).alias("metadata"),
@@ -63,7 +79,7 @@ def flatten_report(report: DataFrame) -> DataFrame:
     for sec in ("multipliers", "skill_impacts", "stacks"):
         elem = report.select(F.explode(sec).alias("e")).select("e.*")
         key = elem.columns[0]
-        for fld in elem.columns[1:]:
+        for fld in [c for c in elem.columns[1:] if c != "column"]:
             parts.append(elem.select(F.lit(sec).alias("section"), F.col(key).cast("string").alias("item"),
                                      F.lit(fld).alias("field"), F.col(fld).cast("double").alias("value")))
     stats = report.select("statistics.*")
