@@ -55,6 +55,15 @@ CARD_LINK = r"(?is)<a\s[^>]*/emplois/[0-9]+\.html[^>]*>(.*?)</a>"
 CARD_COMPANY = r"(?is)<[a-z]+\s[^>]*class=\"company[^>]*>(.*?)</"
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space of any kind at both ends (SQL's trim only takes blanks)."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def trimmed_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
 def strip_tags(html: Column) -> Column:
     """Visible text: drop script/style/comments, tags -> newline, unescape &amp;, tidy spaces."""
     t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
@@ -126,7 +135,7 @@ def detail_fields(text: Column) -> dict[str, Column]:
         "salary_max": euro(amount(SALARY_PATTERNS[0], 2)),
         "location_full": place,
         "department": F.substring(F.nullif(F.regexp_extract(place, r"\d{2,5}", 0), F.lit("")), 1, 2),
-        "description": F.trim(text),
+        "description": trimmed(text),
     }
 
 
@@ -139,7 +148,7 @@ def detail_fields_sql(text: str) -> dict[str, str]:
         "salary_max": euro(amount(SALARY_PATTERNS[0], 2)),
         "location_full": place,
         "department": f"substring(nullif(regexp_extract({place}, '\\d{{2,5}}', 0), ''), 1, 2)",
-        "description": f"trim({text})",
+        "description": trimmed_sql(text),
     }
 
 
@@ -221,10 +230,10 @@ def page_sections(html: Column) -> dict[str, Column]:
     line or the next heading (whole text, no truncation)."""
     text = strip_tags(html)
     return {
-        "missions": F.nullif(F.trim(F.regexp_extract(
+        "missions": F.nullif(trimmed(F.regexp_extract(
             text, r"(?isu)(?:Missions?|Vos missions|Responsabilités)[:\s]+(.*?)(?=\n\n|Profil|Compétences|$)", 1)),
             F.lit("")),
-        "profile_sought": F.nullif(F.trim(F.regexp_extract(
+        "profile_sought": F.nullif(trimmed(F.regexp_extract(
             text, r"(?isu)(?:Profil recherché|Profil|Vous êtes)[:\s]+(.*?)(?=\n\n|Nous offrons|Avantages|$)", 1)),
             F.lit("")),
     }
@@ -234,12 +243,11 @@ def page_sections_sql(html: str) -> dict[str, str]:
     """Same sections for RE2 (no look-ahead): the stop words are consumed by a
     non-capturing group instead, which leaves capture group 1 unchanged."""
     text = strip_tags_sql(html)
-    return {
-        "missions": (f"nullif(trim(regexp_extract({text}, '(?is)(?:Missions?|Vos missions|Responsabilités)"
-                     f"[:\\s]+(.*?)(?:\n\n|Profil|Compétences|$)', 1)), '')"),
-        "profile_sought": (f"nullif(trim(regexp_extract({text}, '(?is)(?:Profil recherché|Profil|Vous êtes)"
-                           f"[:\\s]+(.*?)(?:\n\n|Nous offrons|Avantages|$)', 1)), '')"),
-    }
+    missions = (f"regexp_extract({text}, '(?is)(?:Missions?|Vos missions|Responsabilités)"
+                f"[:\\s]+(.*?)(?:\n\n|Profil|Compétences|$)', 1)")
+    profile = (f"regexp_extract({text}, '(?is)(?:Profil recherché|Profil|Vous êtes)"
+               f"[:\\s]+(.*?)(?:\n\n|Nous offrons|Avantages|$)', 1)")
+    return {"missions": f"nullif({trimmed_sql(missions)}, '')", "profile_sought": f"nullif({trimmed_sql(profile)}, '')"}
 
 
 def multi_card_links(html: Column) -> Column:

@@ -41,15 +41,13 @@ SENIORITY_YEARS = (
     ("expert", 10.0), ("lead", 10.0), ("manager", 10.0), ("chef", 10.0), ("responsable", 10.0),
 )
 # Company-from-title patterns and the suffixes stripped from a match.
-_UP = "A-ZÀ-Ÿ"
-_NAME = "[A-Za-zÀ-Ÿ0-9\\s&\\.\\-]+"
 COMPANY_PATTERNS = (
-    f"H/F\\s+([{_UP}]{_NAME})(?:\\s*Siège|\\s*Groupe|$)",
-    f"F/H\\s+([{_UP}]{_NAME})(?:\\s*Siège|\\s*Groupe|$)",
-    f"chez\\s+([{_UP}]{_NAME})(?:\\s*Siège|$)",
-    f"-\\s+([{_UP}]{_NAME})\\s*$",
-    f"H/F(?:.*H/F)?\\s*([{_UP}]{_NAME})\\s*$",
-    f"\\(([{_UP}]{_NAME})\\)",
+    r"H/F\s+([A-ZÀ-Ÿ][A-Za-zÀ-Ÿ0-9\s&\.\-]+)(?:\s*Siège|\s*Groupe|$)",
+    r"F/H\s+([A-ZÀ-Ÿ][A-Za-zÀ-Ÿ0-9\s&\.\-]+)(?:\s*Siège|\s*Groupe|$)",
+    r"chez\s+([A-ZÀ-Ÿ][A-Za-zÀ-Ÿ0-9\s&\.\-]+)(?:\s*Siège|$)",
+    r"-\s+([A-ZÀ-Ÿ][A-Za-zÀ-Ÿ0-9\s&\.\-]+)\s*$",
+    r"H/F(?:.*H/F)?\s*([A-ZÀ-Ÿ][A-Za-zÀ-Ÿ0-9\s&\.\-]+)\s*$",
+    r"\(([A-ZÀ-Ÿ][A-Za-zÀ-Ÿ0-9\s&\.\-]+)\)",
 )
 COMPANY_SUFFIX = r"\s*(?:Siège|Groupe|ESN|Cabinet|France|Company|Corp|Ltd)$"
 # City keywords (substring, in order) and postcode prefixes.
@@ -465,7 +463,9 @@ def parse_list(raw: Column) -> Column:
     """NULL -> []; '[...]' literal -> trimmed non-empty strings; '', '[]', 'nan',
     'NaN', 'None' -> []; anything else -> [value]."""
     s = F.trim(raw)
-    parsed = F.from_json(s, "array<string>", {"allowSingleQuotes": "true"})
+    # a Python literal: None and booleans are written as JSON strings, so that they stay elements
+    literal = F.regexp_replace(s, r"(?<=[\[,\s])(None|True|False)(?=\s*[,\]])", "'$1'")
+    parsed = F.from_json(literal, "array<string>", {"allowSingleQuotes": "true"})
     cleaned = F.filter(F.transform(parsed, lambda x: F.trim(x)), lambda x: x != "")
     empty = F.array().cast("array<string>")
     return (F.when(raw.isNull(), empty)
@@ -474,6 +474,12 @@ def parse_list(raw: Column) -> Column:
             .otherwise(F.array(s)))
 
 
+def split_joined(raw: Column) -> Column:
+    """The lists of a collected file, which its sink joined with commas: trimmed non-empty parts."""
+    empty = F.array().cast("array<string>")
+    return F.coalesce(F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != ""), empty)
+
+
 # --------------------------------------------------------------------- E22
 def dictionary_tags(text: Column, words=TAG_SKILLS) -> Column:
     """Words found in the text, case-insensitive substring, in dictionary order."""

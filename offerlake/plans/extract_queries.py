@@ -43,7 +43,7 @@ FROM part"""
 
 
 def built_text(spark, sf_dir):
-    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"])
+    p = spread_for_cpu(read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"]))
     form = F.col("p_partkey") % 4
     size = F.col("p_size")
 

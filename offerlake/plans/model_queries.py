@@ -19,7 +19,7 @@ from offerlake.operators.scoring import RuleScorer, rule_scorer_sql
 from offerlake.plans.market_queries import offers
 from offerlake.plans.registry import finish, query, with_offers
 from offerlake.sources.offers import FLAG_COLUMNS, OFFER_COLUMNS as C
-from offerlake.sources.tables import read_table
+from offerlake.sources.tables import read_table, spread_for_cpu
 from offerlake.session import materialize
 
 CONTIENT = {f"contient_{n}": c for n, c in C.skills}   # reference skill names -> proxy flags
@@ -160,12 +160,16 @@ _JOB_BONUS = ("CASE WHEN contains(job_type, 'Lead') OR contains(job_type, 'Manag
 @query("expected_text_size", with_offers(f"""
 SELECT offer_id,
   CAST(least(greatest({_interp_sql('experience', [0, 1, 3, 5, 8, 10, 30], _WORD_OUTS)}
-        + CAST(trunc((sk - 3) * 15.0) AS BIGINT) + {_JOB_BONUS}, d.p10), d.p90 + 100) AS BIGINT) AS expected_words,
+        + CAST(trunc((sk - 3) * sl.slope) AS BIGINT) + coalesce(a.adjustment, 0) + {_JOB_BONUS}, d.p10), d.p90 + 100) AS BIGINT) AS expected_words,
   CAST(least(greatest({_interp_sql('sk', [0, 2, 4, 6, 8, 15], _KW_OUTS)}
         + CASE WHEN adv >= 3 THEN 1 ELSE 0 END + CASE WHEN experience >= 8 THEN 1 ELSE 0 END, k.med), k.p90) AS BIGINT) AS expected_keywords
-FROM (SELECT offer_id, job_type, experience, {' + '.join(FLAG_COLUMNS)} AS sk,
+FROM (SELECT offer_id, job_type, experience, concat('src', substring(sector, 1, 1)) AS src, {' + '.join(FLAG_COLUMNS)} AS sk,
              coalesce({C.skill('machine_learning')}, 0) + coalesce({C.skill('spark')}, 0)
-             + CASE WHEN coalesce({C.skill('aws')}, 0) = 1 THEN 1 ELSE 0 END AS adv FROM offers) o,
+             + CASE WHEN coalesce({C.skill('aws')}, 0) = 1 THEN 1 ELSE 0 END AS adv FROM offers) o
+     LEFT JOIN (SELECT source, CAST(trunc(median({_WC}) - (SELECT median({_WC}) FROM documents)) AS BIGINT) AS adjustment
+                FROM documents GROUP BY source) a ON a.source = o.src,
+     (SELECT round(coalesce(CASE WHEN count(*) < 10 THEN 15.0 ELSE regr_slope(w, kw) END, 15.0), 6) AS slope
+      FROM (SELECT CAST({_WC} AS DOUBLE) AS w, CAST({_KW} AS DOUBLE) AS kw FROM documents)) sl,
      (SELECT CAST(trunc(quantile_cont(w, 0.1)) AS BIGINT) AS p10, CAST(trunc(quantile_cont(w, 0.25)) AS BIGINT) AS p25,
              CAST(trunc(median(w)) AS BIGINT) AS med, CAST(trunc(quantile_cont(w, 0.75)) AS BIGINT) AS p75,
              CAST(trunc(quantile_cont(w, 0.9)) AS BIGINT) AS p90 FROM (SELECT {_WC} AS w FROM documents)) d,
@@ -173,18 +177,24 @@ FROM (SELECT offer_id, job_type, experience, {' + '.join(FLAG_COLUMNS)} AS sk,
              CAST(trunc(quantile_cont(kw, 0.9)) AS BIGINT) AS p90 FROM (SELECT {_KW} AS kw FROM documents)) k"""))
 def q_expected_text_size(spark, sf_dir):
     off = offers(spark, sf_dir)
-    docs = read_table(spark, sf_dir, "documents", ["text"])
-    words = A.distribution_profile(docs.select(E.word_count(F.col("text")).alias("w")), "w")
-    kws = A.distribution_profile(docs.select(E.text_metrics(F.col("text"))["nb_mots_cles_techniques"].alias("k")), "k")
+    # word and keyword counts of every text, written once: five statistics read them
+    docs = materialize(spread_for_cpu(read_table(spark, sf_dir, "documents", ["source", "text"])).select(
+        "source", E.word_count(F.col("text")).alias("w"), E.text_metrics(F.col("text"))["nb_mots_cles_techniques"].alias("k")))
+    words, kws = A.distribution_profile(docs, "w"), A.distribution_profile(docs, "k")
     d = {n: words.select(n).scalar() for n in ("p10", "p25", "median", "p75", "p90")}
     k = {n: kws.select(n).scalar() for n in ("median", "p75", "p90")}
     sk = F.col("skills_count")
     adv = (FT._flag(off, C.skill("machine_learning")) + FT._flag(off, C.skill("spark"))
            + F.when(FT._flag(off, C.skill("aws")) == 1, 1).otherwise(0))
-    # no offer text exists in the proxy, so the skills slope takes its documented default
+    # Words per technical keyword (documented default 15); A20: adjustment of the text's source, which
+    # stands in for the sector (first digit of the priority)
+    slope = A.regression_slope(docs.select(F.col("w").cast("double").alias("w"), F.col("k").cast("double").alias("k")),
+                               "w", "k", 15.0, name="slope").select(F.round(F.coalesce("slope", F.lit(15.0)), 6)).scalar()
+    adjust = A.group_adjustments(docs, "source", "w").select(F.col("source").alias("_src"), "adjustment")
+    off = off.join(adjust, F.concat(F.lit("src"), F.substring(C.sector, 1, 1)) == F.col("_src"), "left")
     return off.select(
         C.id,
-        FT.expected_word_count(F.col(C.experience), sk, F.lit(0), F.col(C.job), d, F.lit(15.0)).alias("expected_words"),
+        FT.expected_word_count(F.col(C.experience), sk, F.col("adjustment"), F.col(C.job), d, slope).alias("expected_words"),
         FT.expected_keyword_count(sk, adv, F.col(C.experience), k).alias("expected_keywords"))
 
 

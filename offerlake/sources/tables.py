@@ -47,12 +47,8 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def spread_for_cpu(df: DataFrame) -> DataFrame:
     """CPU-heavy per-row work (regexes over whole texts) wants at least one task
-    per core. A large input already scans into many splits and is left alone;
-    only an input that arrives in fewer partitions than the default parallelism
-    (e.g. one small file with one row group) is round-robin repartitioned."""
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no JVM context (e.g. a Connect session): leave the plan as is
-        return df
-    return df.repartition(want) if have < want else df
+    per core. A large input already scans into many splits; an input of fewer files than
+    cores (e.g. one small file with one row group) is dealt out row by row first. The file
+    count is metadata of the scan: no job runs to decide, and rows are the same either way."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if len(df.inputFiles()) < want else df
