@@ -73,7 +73,9 @@ class MarketFilter:
         return [p for p in preds if p is not None]
 
     def active_count(self) -> int:
-        return sum(bool(x) for x in (self.jobs, self.cities, self.sectors, self.stacks))
+        """Filters that restrict anything: non-empty selections and given ranges."""
+        given = [bool(x) for x in (self.jobs, self.cities, self.sectors, self.stacks)]
+        return sum(given) + (self.salary_range is not None) + (self.experience_range is not None)
 
     def apply(self, df: DataFrame, cols, stack_preds: dict[str, Column]) -> DataFrame:
         preds = self.predicates(cols, stack_preds)
@@ -106,11 +108,6 @@ def numeric_bounds(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.min(col).alias("min"), F.max(col).alias("max"))
 
 
-def peer_filter(offers: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
-    """Offers with the same job AND city as a profile -> (profile_id, offer row)."""
-    return profiles.join(offers, keys)
-
-
 def title_length_filter(df: DataFrame, title: str, min_len: int = 5) -> DataFrame:
     """Keep titles longer than ``min_len`` characters."""
     return df.where(F.length(title) > min_len)

@@ -176,9 +176,10 @@ def best_groups(df: DataFrame, group: str, value: str = "salary_mid", min_count:
 # --------------------------------------------------------------------------- A10 / J6
 def city_sector_pivot(df: DataFrame, city: str = "location", sector: str = "sector",
                       value: str = "salary_mid", top_cities: int = 10, top_sectors: int = 8,
-                      min_rows: int = 20, wide: bool = False) -> DataFrame:
+                      min_rows: int = 20, wide: list | None = None) -> DataFrame:
     """Median per (city, sector) over the top cities by median x the most frequent
-    sectors; empty when fewer than ``min_rows`` rows remain. Long form by default."""
+    sectors; empty when fewer than ``min_rows`` rows remain. Long form by default; with
+    ``wide``, the sectors to show, one row per city and one column per sector."""
     cities = city_stats(df, city, value).orderBy(F.col("median").desc(), F.col(city)) \
         .limit(top_cities).select(city)
     sectors = (df.where(F.col(sector).isNotNull()).groupBy(sector).count()
@@ -190,7 +191,7 @@ def city_sector_pivot(df: DataFrame, city: str = "location", sector: str = "sect
     cells = median_by(kept.where(F.col(value).isNotNull()), value, [city, sector], name="median") \
         .where(n_kept >= min_rows).select(city, sector, "median")
     if wide:
-        return cells.groupBy(city).pivot(sector).agg(F.first("median"))
+        return cells.groupBy(city).pivot(sector, wide).agg(F.first("median"))
     return cells
 
 

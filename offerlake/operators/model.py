@@ -86,19 +86,6 @@ def error_profile(scored: DataFrame, label: str = "label", prediction: str = "pr
     return within.select("*", p75.scalar().alias("abs_error_p75"))
 
 
-def generalisation(train: DataFrame, test: DataFrame, cv: DataFrame) -> DataFrame:
-    """M5 + Q5 on three one-row metric tables (train, test, cv mean)."""
-    t = train.select(*[F.col(c).alias(f"train_{c}") for c in ("mae", "rmse", "r2")])
-    s = {c: test.select(c).scalar() for c in ("mae", "rmse", "r2")}
-    cvm = {c: cv.select(c).scalar() for c in ("mae", "r2")}
-    out = t.select("*", *[v.alias(f"test_{c}") for c, v in s.items()],
-                   cvm["mae"].alias("cv_mae"), cvm["r2"].alias("cv_r2"))
-    d = F.col("train_r2") - F.col("test_r2")
-    return out.withColumn("verdict", F.when(d > 0.2, "critical_overfit").when(d > 0.1, "moderate_overfit")
-                          .when(F.abs(F.col("test_mae") - F.col("cv_mae")) / F.col("cv_mae") > 0.15,
-                                "high_variance").otherwise("ok"))
-
-
 # --------------------------------------------------------------------- M6
 def composite_ranking(results: DataFrame) -> DataFrame:
     """results: model, test_r2, cv_r2, test_mae, cv_mae, train_r2 ->

@@ -104,11 +104,12 @@ SELECT (SELECT count(*) FROM f) AS n_offers,
        {_r('median(salary_mid)')} AS median_salary,
        {_r('median(salary_mid) - (SELECT median(salary_mid) FROM offers)')} AS median_delta,
        {_r('avg(salary_mid)')} AS mean_salary, {_r(f'avg({SKILLS_SUM_SQL})')} AS mean_skills,
-       {_r('avg(CASE WHEN telework > 0 THEN 1.0 ELSE 0.0 END) * 100')} AS telework_pct
+       {_r('avg(CASE WHEN telework > 0 THEN 1.0 ELSE 0.0 END) * 100')} AS telework_pct, CAST(5 AS BIGINT) AS active_filters
 FROM f""", extra=f"f AS (SELECT * FROM offers WHERE {_KPI_WHERE})"))
 def q_market_kpis(spark, sf_dir):
     off, filt = filtered_offers(spark, sf_dir)
-    return finish(A.market_kpis(filt, off, C.salary, "skills_count", C.telework))
+    return finish(A.market_kpis(filt, off, C.salary, "skills_count", C.telework).withColumn(
+        "active_filters", F.lit(KPI_FILTER.active_count())))
 
 
 @query("compound_filter", with_offers(f"""
@@ -256,6 +257,19 @@ def q_city_sector_pivot(spark, sf_dir):
     return finish(A.city_sector_pivot(offers(spark, sf_dir), C.city, C.sector, C.salary))
 
 
+@query("city_sector_wide", with_offers(f"""
+SELECT location, {_r("median(salary_mid) FILTER (WHERE sector = '1-URGENT')")} AS "1-URGENT",
+       {_r("median(salary_mid) FILTER (WHERE sector = '2-HIGH')")} AS "2-HIGH",
+       {_r("median(salary_mid) FILTER (WHERE sector = '5-LOW')")} AS "5-LOW" FROM offers
+WHERE location IN (SELECT location FROM offers WHERE location IS NOT NULL GROUP BY location HAVING count(salary_mid) >= 3
+                   ORDER BY median(salary_mid) DESC, location LIMIT 10)
+GROUP BY location"""))
+def q_city_sector_wide(spark, sf_dir):
+    """A10 as the pivot table that the page shows."""
+    return finish(A.city_sector_pivot(offers(spark, sf_dir), C.city, C.sector, C.salary,
+                                      wide=["1-URGENT", "2-HIGH", "5-LOW"]))
+
+
 # ----------------------------------------------------------------- A22
 @query("boxplot_stats", with_offers(f"""
 SELECT q.job_type, {_r('min(o.salary_mid)')} AS min, {_r('q.q1')} AS q1, {_r('q.med')} AS median,
