@@ -31,6 +31,8 @@ from pyspark.sql.window import Window
 
 #: Labelled rows per language that the model is fitted on, at most.
 SAMPLE = 500
+#: Range of the hash by which the sample is drawn.
+DRAW = 1 << 40
 #: Longest character n-gram of the backoff.
 LONGEST = 5
 #: log10 frequency that stands for a word or n-gram that a language lacks.
@@ -44,12 +46,16 @@ LETTERS = r"\p{L}+"
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        sample: int = SAMPLE) -> tuple[list[str], list[tuple[int, str, list[float]]]]:
-    """Languages and (length, string, log10 frequency per language); length 0 marks words."""
+        sample: int = SAMPLE) -> tuple[list[str], int, list[str], np.ndarray]:
+    """Languages, the number of words, words and then n-grams, and their log10 frequencies (a row each)."""
     labelled = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    drawn = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = labelled.select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id")).withColumn(
-        "_n", F.row_number().over(drawn)).where(F.col("_n") <= sample).select("_lang", "_id").distinct()
+    # a hash threshold per language leaves about twice the sample; the window only sees those
+    ids = labelled.select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"),
+                          F.pmod(F.xxhash64(id_col), F.lit(DRAW)).alias("_draw"))
+    below = ids.groupBy("_lang").agg((F.lit(2.0 * sample * DRAW) / F.count(F.lit(1))).alias("_below")).withColumnRenamed("_lang", "_l")
+    near = ids.join(F.broadcast(below), F.col("_lang") == F.col("_l")).where(F.col("_draw") < F.col("_below"))  # a row per language
+    drawn = Window.partitionBy("_lang").orderBy("_draw", "_id")
+    chosen = near.withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= sample).select("_lang", "_id").distinct()
     texts = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("_i"), F.col(text_col).alias("_text")).join(
         F.broadcast(chosen), (F.col("_i") == F.col("_id")) & (F.col("lang") == F.col("_lang")))  # sample rows per language
     words = texts.select("lang", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(f"({LETTERS})"))).alias("s")).groupBy(
@@ -65,24 +71,24 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     rows = scored.groupBy("size", "s").agg(
         F.map_from_entries(F.collect_list(F.struct("lang", F.log10(F.col("n") / F.col("_all"))))).alias("by")).collect()
     langs = sorted({lang for r in rows for lang in r["by"]})
-    return langs, [(r["size"], r["s"], [r["by"].get(x, PENALTY) for x in langs]) for r in rows]
+    rows.sort(key=lambda r: (r["size"] > 0, r["size"], r["s"]))
+    table = np.array([[r["by"].get(x, PENALTY) for x in langs] for r in rows], np.float32).reshape(len(rows), len(langs))
+    return langs, sum(r["size"] == 0 for r in rows), [r["s"] for r in rows], table
 
 
 class Scorer:
     """Scores texts with a fitted model; one per Python worker."""
 
-    def __init__(self, langs: list[str], table: list[tuple[int, str, list[float]]]):
+    def __init__(self, langs: list[str], words: int, strings: list[str], table: np.ndarray):
         import regex
 
         self.langs, self.letters = langs, regex.compile(LETTERS).findall
         self.plain = re.compile(r"[a-z]+").findall
-        words = [(s, v) for size, s, v in table if size == 0]
-        self.known = {s: i for i, (s, _) in enumerate(words)}
-        self.fixed = len(words)
-        self.grams = {s: np.array(v) for size, s, v in table if size}
-        self.rows = np.zeros((self.fixed + MEMO_SIZE, len(langs)))
-        if words:
-            self.rows[:self.fixed] = [v for _, v in words]
+        self.known = {s: i for i, s in enumerate(strings[:words])}
+        self.fixed = words
+        self.grams, self.table = {s: words + i for i, s in enumerate(strings[words:])}, table
+        self.rows = np.zeros((words + MEMO_SIZE, len(langs)))
+        self.rows[:words] = table[:words]
         self.valid = np.ones(len(self.rows), bool)
 
     def back_off(self, word: str) -> int:
@@ -96,7 +102,7 @@ class Scorer:
         for size in range(LONGEST, 0, -1):
             found = [g for i in range(len(padded) - size + 1) if (g := self.grams.get(padded[i:i + size])) is not None]
             if found:
-                self.rows[at], self.valid[at] = np.sum(found, axis=0) / len(found), True
+                self.rows[at], self.valid[at] = self.table[found].mean(axis=0, dtype=np.float64), True
                 break
         self.known[word] = at
         return at

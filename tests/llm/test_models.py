@@ -106,8 +106,8 @@ def test_language_of_odd_texts(spark, docs, no_docs):
 
 
 def test_backoff_goes_from_words_to_shorter_grams():
-    table = [(0, "the", [-1.0, -7.0]), (3, "abc", [-2.0, -7.0]), (1, "a", [-7.0, -0.5])]
-    s = langid.Scorer(["x", "y"], table)
+    table = np.array([[-1.0, -7.0], [-2.0, -7.0], [-7.0, -0.5]], np.float32)
+    s = langid.Scorer(["x", "y"], 1, ["the", "abc", "a"], table)
     assert s.predict("THE the")[0] == "x" and s.predict("zabcz")[0] == "x" and s.predict("za")[0] == "y"
     assert s.predict("zzz") == ("und", 0.0) and s.predict("1 2") == ("und", 0.0)
     assert s.predict("the")[1] == pytest.approx(1 / (1 + 10 ** -6))
