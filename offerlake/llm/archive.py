@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import scratch_path
+from offerlake.llm.common import scratch_path, written
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
@@ -47,9 +47,11 @@ def make_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "_bytes": F.octet_length("payload").cast("long"),
                              "_sha1": base32_sha1(F.col("payload"))})
-    # the digests of all rows are hashed again for the small side: no payload is shuffled to find the responses
-    first = rows.where(F.col("_bytes") >= min_bytes).groupBy("digest").agg(F.max("_id").alias("_first")).select(
-        F.col("digest").alias("_of"), "_first")
+    # the responses of repeated payloads, found without moving a payload; a table of its own, so that the
+    # join with it can split the copies of one payload over tasks
+    first = written(rows.where(F.col("_bytes") >= min_bytes).groupBy("digest").agg(
+        F.max("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(
+        F.col("digest").alias("_of"), "_first"), "archive")
     rows = rows.join(first, F.col("digest") == F.col("_of"), "left").drop("_of")
     revisit = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("_id"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
@@ -149,7 +151,8 @@ def archive_pages(pages: DataFrame, path: str | None = None, min_bytes: int = 0)
         base32_sha1(F.col("payload")).alias("_sha1"))
     own = fields.where(F.col("record_type") == "response")
     # a revisit has the size and digest of the payload that its response keeps
-    kept = own.select(F.col("digest").alias("_key"), F.col("_bytes").alias("_b"), F.col("_sha1").alias("_s")).dropDuplicates(["_key"])
+    kept = written(own.select(F.col("digest").alias("_key"), F.col("_bytes").alias("_b"), F.col("_sha1").alias("_s")).dropDuplicates(
+        ["_key"]), "archive")
     rest = fields.where(F.col("record_type") == "revisit").drop("_bytes", "_sha1").join(
         kept, F.col("digest") == F.col("_key"), "left").select(
         "page_id", F.col("_b").alias("payload_bytes"), F.col("_s").alias("payload_digest"), "record_type", "refers_to")

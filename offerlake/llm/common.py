@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offerlake.session import checkpoint_dir
+from offerlake.session import scratch_root
 
 #: Words of a text: maximal runs of bytes that are not ASCII white space (fixed by the contracts).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -19,8 +19,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
-    """A new folder name below the shared ``spark.checkpoint.dir``."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/offerlake/{kind}/{uuid.uuid4().hex}"
+    """A new folder name in this application's part of the shared ``spark.checkpoint.dir``."""
+    return f"{scratch_root(spark)}/{kind}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, kind: str = "step") -> DataFrame:
