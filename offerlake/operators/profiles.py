@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlake.operators.quantiles import count_below, exact_quantiles
+from offerlake.operators.quantiles import count_below, exact_quantiles, number_bucket
 from offerlake.session import materialize
 
 ERROR_P75 = 7417.0  # fixed value: P75 absolute error of the reference model (EUR)
@@ -201,12 +201,21 @@ def profile_estimate(profiles: DataFrame, offers: DataFrame, cols, scorer, min_p
 # --------------------------------------------------------------------- K6
 def pair_compare(estimates: DataFrame, profiles: DataFrame, cols, order_within: str) -> DataFrame:
     """Pairs each profile with the next profile (by id) of the same ``order_within``
-    value; difference, 'equivalent' below 2000."""
-    w = Window.partitionBy(order_within).orderBy("profile_id")
-    j = profiles.select("profile_id", order_within).join(estimates, "profile_id")
-    pairs = j.select(F.col("profile_id").alias("profile_a"), F.col("estimate").alias("salary_a"),
-                     F.lead("profile_id").over(w).alias("profile_b"),
-                     F.lead("estimate").over(w).alias("salary_b")).where(F.col("profile_b").isNotNull())
+    value; difference, 'equivalent' below 2000. A value that most profiles share is spread
+    over buckets of the id: inside a bucket the next row follows, and the last row of a bucket
+    gets the first of the next one from a table of bucket heads."""
+    j = (profiles.select("profile_id", F.col(order_within).alias("_g")).join(estimates, "profile_id")
+         .select("profile_id", "_g", "estimate", number_bucket(F.col("profile_id").cast("double")).alias("_b")))
+    w = Window.partitionBy("_g", "_b").orderBy("profile_id")
+    heads = j.groupBy("_g", "_b").agg(F.min("profile_id").alias("_id"), F.min_by("estimate", "profile_id").alias("_e"))
+    across = Window.partitionBy("_g").orderBy("_b")
+    following = heads.select(F.col("_g").alias("_hg"), F.col("_b").alias("_hb"), F.lead("_id").over(across).alias("_next"),
+                             F.lead("_e").over(across).alias("_next_e"))
+    inside = j.withColumns({"_lead": F.lead("profile_id").over(w), "_lead_e": F.lead("estimate").over(w)})
+    pairs = inside.join(following, F.col("_g").eqNullSafe(F.col("_hg")) & (F.col("_b") == F.col("_hb"))).select(
+        F.col("profile_id").alias("profile_a"), F.col("estimate").alias("salary_a"), F.coalesce("_lead", "_next").alias("profile_b"),
+        F.when(F.col("_lead").isNotNull(), F.col("_lead_e")).otherwise(F.col("_next_e")).alias("salary_b")).where(
+        F.col("profile_b").isNotNull())
     diff = F.col("salary_b") - F.col("salary_a")
     return pairs.select("profile_a", "profile_b", "salary_a", "salary_b", diff.alias("difference"),
                         F.when(F.abs(diff) < 2000, "equivalent").when(diff > 0, "b_higher")
