@@ -82,7 +82,7 @@ def _words(data: np.ndarray, starts: np.ndarray, lower: bool) -> tuple[np.ndarra
 
 def words_of(texts: pa.Array, lower: bool = True, piece: int = PIECE) -> Iterator[Words]:
     """Words of a string column, for runs of rows of about ``piece`` bytes. Null: no words."""
-    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    texts = (pc.fill_null(texts, "") if texts.null_count else texts).cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     held = texts.buffers()[2]
     whole = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)

@@ -153,12 +153,12 @@ def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     current, bases = None, []
     for batch in batches:
         out = {"a": [], "b": [], "common": [], "total": []}
-        for rep, part, i, blob in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-            own = _hashes(blob)
+        for at_row, (rep, part, i) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            own = _hashes(batch.column(3)[at_row].as_buffer())  # no copy
             if current != (rep, part):
                 current, bases = (rep, part), []
             if i == rep:
-                bases.append(own)  # more than one only if the id is repeated
+                bases.append(own.copy())  # outlives the batch; more than one only if the id is repeated
                 continue
             for base in bases:
                 at = np.minimum(np.searchsorted(base, own), len(base) - 1)
@@ -256,13 +256,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(_signed(texts, bands, band_rows))
     known = signed.where("id is not null and n_shingles > 0")
-    equal = known.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
+    equal = known.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("keys").alias("keys"))
+    # small tables of group facts are written, so that joins with them can split a large group over tasks
+    many = written(equal.where("rep <> last").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.col("n_shingles").alias("_n"), "rep"))
     copies = known.select("id", "d1", "d2", "n_shingles").join(
-        equal.select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.col("n_shingles").alias("_n"), "rep"),
+        many,
         (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")) & (F.col("n_shingles") == F.col("_n"))).where(
         "id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     keyed = equal.select(F.explode("keys").alias("key"), F.col("rep").alias("id"))
-    # small tables of group facts are written, so that joins with them can split a large group over tasks
     heads = written(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select(
         F.col("key").alias("_key"), "rep"))
     buckets = written(keyed.join(heads, F.col("key") == F.col("_key")).select("key", "id", "rep"))
@@ -283,7 +284,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     firsts = written(components(near))
     more = _rest(buckets, stars, firsts, sets, percent, block)
     links = written(firsts.select(F.col("component").alias("a"), F.col("id").alias("b")).where("a <> b").unionByName(more).unionByName(copies))
-    for done in (heads, buckets, sets, pairs, loads, stars, firsts):
+    for done in (many, heads, buckets, sets, pairs, loads, stars, firsts):
         remove(docs.sparkSession, done)
     labels = components(links).withColumnRenamed("id", "_id")
     return signed.join(labels, F.col("id") == F.col("_id"), "left").select(
