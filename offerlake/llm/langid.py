@@ -86,7 +86,7 @@ class Scorer:
         self.plain = re.compile(r"[a-z]+").findall
         self.known = {s: i for i, s in enumerate(strings[:words])}
         self.fixed = words
-        self.grams, self.table = {s: words + i for i, s in enumerate(strings[words:])}, table
+        self.grams, self.table = {s: words + i for i, s in enumerate(strings[words:])}, table.astype(np.float64)
         self.rows = np.zeros((words + MEMO_SIZE, len(langs)))
         self.rows[:words] = table[:words]
         self.valid = np.ones(len(self.rows), bool)
@@ -97,12 +97,12 @@ class Scorer:
         if at == len(self.rows):
             self.known = {w: i for w, i in self.known.items() if i < self.fixed}
             at = self.fixed
-        padded = f" {word} "
+        padded, get = f" {word} ", self.grams.get
         self.valid[at] = False
         for size in range(LONGEST, 0, -1):
-            found = [g for i in range(len(padded) - size + 1) if (g := self.grams.get(padded[i:i + size])) is not None]
+            found = [g for i in range(len(padded) - size + 1) if (g := get(padded[i:i + size])) is not None]
             if found:
-                self.rows[at], self.valid[at] = self.table[found].mean(axis=0, dtype=np.float64), True
+                self.rows[at], self.valid[at] = np.add.reduce(self.table.take(found, 0), 0) / len(found), True
                 break
         self.known[word] = at
         return at
