@@ -143,16 +143,17 @@ def archive_pages(pages: DataFrame, path: str | None = None, min_bytes: int = 0)
     store(make_records(pages, min_bytes=min_bytes), path)
     read = load(spark, path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    fields = read.select(
+    # what is needed of the records, so that the join with the payloads runs once
+    fields = written(read.select(
         number(header_field(F.col("header"), "WARC-Record-ID")).alias("page_id"),
         header_field(F.col("header"), "WARC-Type").alias("record_type"),
         number(header_field(F.col("header"), "WARC-Refers-To")).alias("refers_to"),
         "digest", F.octet_length("payload").cast("long").alias("_bytes"),
-        base32_sha1(F.col("payload")).alias("_sha1"))
+        base32_sha1(F.col("payload")).alias("_sha1")), "archive")
     own = fields.where(F.col("record_type") == "response")
     # a revisit has the size and digest of the payload that its response keeps
     kept = written(own.select(F.col("digest").alias("_key"), F.col("_bytes").alias("_b"), F.col("_sha1").alias("_s")).dropDuplicates(
-        ["_key"]), "archive")
+        ["_key"]), "archive")  # a table of its own, so that the join can split the revisits of one payload
     rest = fields.where(F.col("record_type") == "revisit").drop("_bytes", "_sha1").join(
         kept, F.col("digest") == F.col("_key"), "left").select(
         "page_id", F.col("_b").alias("payload_bytes"), F.col("_s").alias("payload_digest"), "record_type", "refers_to")
