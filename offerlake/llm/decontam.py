@@ -3,21 +3,25 @@
 A text holds an item if some run of its words is within ``(1 - similarity) * words of
 the item`` word edits of it (insertions, deletions, substitutions).
 
-1. Windows as long as an item start at every word. A window that lacks too many of the
-   words of the items of its length, repeats beyond those in any item not counted, cannot
+1. Items of more than ``SEGMENT`` words are cut into segments of nearly the same length, as
+   walks drift apart with the number of edits; a shorter item is one segment. Some segment has
+   at most its share of the edits, so it is enough to look for segments.
+2. Windows as long as a segment start at every word. A window that lacks too many of the
+   words of the segments of its length, repeats beyond those in any segment not counted, cannot
    be within the edits of any of them (a count filter: it loses nothing) and goes no further.
-2. The CGK embedding reads a sequence by a random walk: it writes the current word and
+3. The CGK embedding reads a sequence by a random walk: it writes the current word and
    steps on or not by a random bit of (word, step). After edits the walks over window
    and item fall back into step, so few places of the embedding differ. Past the end it
    writes a blank.
-3. Each of ``WALKS`` walks is sampled at ``PLACES`` places for each of ``TABLES`` tables; a
-   window whose words agree with an item's at all places of a table is a candidate.
-4. Candidates are verified by the exact edit distance of the item to the best run of
-   words around the window.
+4. Each walk is sampled at ``PLACES`` places for each of ``TABLES`` tables; a window whose words
+   agree with a segment's at all places of a table is a candidate. ``WALKS`` has the number of
+   walks for a segment's length, by which ``TARGET_RECALL`` is reached at the most edits allowed.
+5. Candidates are verified by the exact edit distance of the whole item to the best run of
+   words around the place that the window gives it.
 
 Items are taken in blocks of at most ``BLOCK_ITEMS``, so what is broadcast is bounded;
 each block reads the texts once. Verbatim items are always candidates; README has the
-measured recall for edited ones.
+measured recall for edited ones of up to 1,500 words.
 
 Defined results
     One row per text row and item found, with the fewest edits (then the earliest place);
@@ -41,7 +45,11 @@ from offerlake.llm.common import written
 from offerlake.llm.hashing import U64, Words, mix, words_of
 
 SIMILARITY_PERCENT = 80
-WALKS, TABLES, PLACES = 12, 8, 3
+#: Share of the items with the most edits allowed that the tables are to find, whatever the length and the kind of edits.
+TARGET_RECALL = 0.99
+#: Walks for segments of up to so many words.
+WALKS = {40: 12, 48: 16}
+SEGMENT, TABLES, PLACES = max(WALKS), 8, 3
 MIN_WORDS = 5
 BLOCK_ITEMS = 20_000
 #: Words back that the count filter looks for repeats.
@@ -57,10 +65,14 @@ def allowed_edits(size, percent: int = SIMILARITY_PERCENT):
     return size * (100 - percent) // 100
 
 
+def walks_of(size: int) -> int:
+    return next(walks for longest, walks in WALKS.items() if size <= longest)
+
+
 def sampled_places(size: int) -> np.ndarray:
     """Steps (walks x tables x places) at which embeddings of ``size`` words are read; a
     walk moves on at every other step, so it is about at the end after 2 * size steps."""
-    draw = np.random.default_rng(size).random((WALKS, TABLES, PLACES))
+    draw = np.random.default_rng(size).random((walks_of(size), TABLES, PLACES))
     return np.sort((draw * 2 * size).astype(np.int64), axis=2)
 
 
@@ -118,36 +130,45 @@ class Items:
             bounds = np.append(0, np.cumsum(w.counts()))
             self.items += [(ids[w.low + r], w.hash[bounds[r]:bounds[r + 1]]) for r in range(w.high - w.low)
                            if bounds[r + 1] - bounds[r] >= MIN_WORDS]
-        self.sizes = sorted({len(t) for _, t in self.items})
+        self.seeds: list[tuple[int, int]] = []  # item and first word of each segment
+        segments = []
+        for k, (_, text) in enumerate(self.items):
+            pieces = -(-len(text) // SEGMENT)
+            cuts = [len(text) * p // pieces for p in range(pieces + 1)]
+            self.seeds += [(k, low) for low in cuts[:-1]]
+            segments += [text[low:high] for low, high in zip(cuts, cuts[1:], strict=False)]
+        self.sizes = sorted({len(t) for t in segments})
         self.places = {s: sampled_places(s) for s in self.sizes}
         # which sizes a word belongs to: up to 64 classes of neighbouring sizes, a bit each
         self.classes = [list(c) for c in np.array_split(self.sizes, min(len(self.sizes), 64))] if self.sizes else []
         of = {int(size): k for k, c in enumerate(self.classes) for size in c}
-        flat = np.concatenate([t for _, t in self.items]) if self.items else np.zeros(0, U64)
-        bits = np.concatenate([np.full(len(t), 1 << of[len(t)], U64) for _, t in self.items]) if self.items else flat
+        flat = np.concatenate(segments) if segments else np.zeros(0, U64)
+        bits = np.concatenate([np.full(len(t), 1 << of[len(t)], U64) for t in segments]) if segments else flat
         order = np.argsort(flat, kind="stable")
         self.vocabulary, at = np.unique(flat[order], return_index=True)
         self.bits = np.bitwise_or.reduceat(bits[order], at) if len(at) else bits
-        # how often an item has the word at most
+        # how often a segment has the word at most
         self.most = np.ones(len(self.vocabulary), np.int64)
-        for _, text in self.items:
+        for text in segments:
             own, often = np.unique(text, return_counts=True)
             at = np.searchsorted(self.vocabulary, own)
             self.most[at] = np.maximum(self.most[at], often)
         # a first cheap test of words: 16 bits of the hash
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.vocabulary >> U64(48)).astype(np.int64)] = True
-        size = np.array([len(t) for _, t in self.items], np.int64)
+        size = np.array([len(t) for t in segments], np.int64)
         start = np.append(0, np.cumsum(size))[:-1].astype(np.int64)
+        self.walks = np.array([walks_of(k) if k in self.places else 0 for k in range(SEGMENT + 1)])
         self.keys: list[tuple[np.ndarray, np.ndarray]] = []
-        for walk in range(WALKS if self.items else 0):
-            keys = table_keys(flat, start, size, start + size, walk, self.places)
+        for walk in range(int(self.walks.max())):
+            own = np.flatnonzero(self.walks[size] > walk)
+            keys = table_keys(flat, start[own], size[own], (start + size)[own], walk, self.places)
             order = np.argsort(keys, axis=None, kind="stable")
-            self.keys.append((keys.reshape(-1)[order], np.repeat(np.arange(len(size)), TABLES)[order]))
+            self.keys.append((keys.reshape(-1)[order], np.repeat(own, TABLES)[order]))
 
     def classes_of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of the size classes whose items have the word; the same only where the word has
-        come up more often within the last ``NEAR`` words than in any item."""
+        """Bits of the size classes whose segments have the word; the same only where the word has
+        come up more often within the last ``NEAR`` words than in any segment."""
         out, again = np.zeros(len(tokens), U64), np.zeros(len(tokens), U64)
         at = np.flatnonzero(self.seen[(tokens >> U64(48)).astype(np.int64)])
         place = np.minimum(np.searchsorted(self.vocabulary, tokens[at]), len(self.vocabulary) - 1)
@@ -190,7 +211,7 @@ class Items:
         return np.concatenate(starts), np.concatenate(sizes)
 
     def candidates(self, tokens: np.ndarray, stop: np.ndarray) -> set[tuple[int, int]]:
-        """(item, start) of the windows that share a table key with an item."""
+        """(segment, start) of the windows that share a table key with a segment."""
         out: set[tuple[int, int]] = set()
         starts, sizes = self.windows(tokens, stop)
         order = np.argsort(starts, kind="stable")  # neighbours together: few words under a chunk of windows
@@ -204,9 +225,13 @@ class Items:
             used = np.cumsum(under[:-1]) > 0
             place = np.append(0, np.cumsum(used))
             part, begin, limit = tokens[used], place[start], place[np.minimum(start + size, stop[start])]
-            for walk in range(WALKS):
+            for walk, (known, owner) in enumerate(self.keys):
+                own = self.walks[size] > walk
+                if not own.all():
+                    start, size, begin, limit = start[own], size[own], begin[own], limit[own]
+                if not len(start):
+                    break
                 keys = table_keys(part, begin, size, limit, walk, self.places)
-                known, owner = self.keys[walk]
                 at = np.searchsorted(known, keys)
                 for row, table in np.argwhere(known[np.minimum(at, len(known) - 1)] == keys):
                     k, key = at[row, table], keys[row, table]
@@ -221,18 +246,23 @@ class Items:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         if len(words.hash) == 0 or not self.items:
             return []
-        found = sorted(self.candidates(words.hash, bounds[words.row + 1]))
+        # (row, item, place of the item's first word if there are no edits before the segment)
+        found = sorted({(int(words.row[start]), self.seeds[k][0], start - self.seeds[k][1])
+                        for k, start in self.candidates(words.hash, bounds[words.row + 1])})
         i = 0
         while i < len(found):
-            item, start = found[i]
-            row, text = int(words.row[start]), self.items[item][1]
+            row, item, start = found[i]
+            text = self.items[item][1]
             edits = allowed_edits(len(text), self.percent)
             last = start  # windows that overlap are verified together
-            while i + 1 < len(found) and found[i + 1][0] == item and found[i + 1][1] <= last + edits + 1 and found[i + 1][1] < bounds[row + 1]:
+            while i + 1 < len(found) and found[i + 1][:2] == (row, item) and found[i + 1][2] <= last + edits + 1:
                 i += 1
-                last = found[i][1]
+                last = found[i][2]
             i += 1
-            low, high = max(start - edits, bounds[row]), min(last + len(text) + edits, bounds[row + 1])
+            # a window may begin beside its segment's run, as far as the edits of a segment go
+            beside = allowed_edits(min(len(text), SEGMENT), self.percent)
+            low = max(start - edits - beside, bounds[row])
+            high = min(last + len(text) + edits + beside, bounds[row + 1])
             cost, a, b = best_run(text, words.hash[low:high])
             if cost <= edits:
                 new = (cost, int(low + a - bounds[row]), int(low + b - bounds[row]))

@@ -114,3 +114,24 @@ def test_nulls_and_empty_tables(spark, docs, no_docs):
     assert decontam.find_items(docs, bench.limit(0)).collect() == []
     assert decontam.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
     assert decontam.drop_contaminated(docs, more).columns == docs.columns
+
+
+def changed(item, kind, edits, rng):
+    out = list(item)
+    for _ in range(edits):
+        at = rng.randrange(len(out))
+        out[at:at + (kind != "insert")] = [] if kind == "delete" else [f"new{rng.random()}"]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["insert", "delete", "substitute"])
+@pytest.mark.parametrize("size, trials", [(48, 60), (200, 24), (500, 10), (1500, 4)])
+def test_target_recall_with_the_most_edits_at_every_length(size, trials, kind):
+    rng = random.Random(size)
+    items = [[f"{i}_{rng.randrange(400)}" for _ in range(size)] for i in range(trials)]
+    around = lambda: [f"other{rng.random()}" for _ in range(30)]
+    texts = [" ".join(around() + changed(item, kind, decontam.allowed_edits(size), rng) + around()) for item in items]
+    block = decontam.Items(list(range(trials)), [" ".join(x) for x in items], 80)
+    found = {(words.low + row, item): edits for words in words_of(pa.array(texts)) for row, item, _, _, edits, _ in block.find(words)}
+    assert set(found) <= {(i, i) for i in range(trials)}
+    assert len(found) >= int(decontam.TARGET_RECALL * trials)
