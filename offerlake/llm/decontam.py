@@ -19,8 +19,9 @@ the item`` word edits of it (insertions, deletions, substitutions).
 5. Candidates are verified by the exact edit distance of the whole item to the best run of
    words around the place that the window gives it.
 
-Items are taken in blocks of at most ``BLOCK_ITEMS``, so what is broadcast is bounded;
-each block reads the texts once. Verbatim items are always candidates; README has the
+Items are taken in blocks of about ``BLOCK_ITEMS`` items and at most ``BLOCK_WORDS`` words and
+one item more. One block at a time is on the driver and broadcast: of several, the result of
+each is written before the next is read. Each block reads the texts once. Verbatim items are always candidates; README has the
 measured recall for edited ones of up to 1,500 words.
 
 Defined results
@@ -33,7 +34,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offerlake.llm.common import written
+from offerlake.llm.common import remove, scratch_path, word_count, written
 from offerlake.llm.hashing import U64, Words, mix, words_of
 
 SIMILARITY_PERCENT = 80
@@ -51,7 +52,7 @@ TARGET_RECALL = 0.99
 WALKS = {40: 12, 48: 16}
 SEGMENT, TABLES, PLACES = max(WALKS), 8, 3
 MIN_WORDS = 5
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_WORDS = 20_000, 1_000_000
 #: Words back that the count filter looks for repeats.
 NEAR = 8
 #: Windows embedded at once.
@@ -276,35 +277,61 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     benchmark item that a text holds."""
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-    out = None
-    for shared in _blocks(items, item_id_col, item_text_col):
-        found = texts.mapInArrow(_finder(shared, percent, id_col, item_id_col),
-                                 f"`{id_col}` {kinds[0]}, `{item_id_col}` {kinds[1]}, start_word long, end_word long, edits long, item_words long")
-        out = found if out is None else out.unionByName(found)
+    rows = _rows(items, item_id_col, item_text_col)
+
+    def search(shared) -> DataFrame:
+        return texts.mapInArrow(_finder(shared, percent, id_col, item_id_col),
+                                f"`{id_col}` {kinds[0]}, `{item_id_col}` {kinds[1]}, start_word long, end_word long, edits long, item_words long")
+
+    out = search(_shared(rows)) if _is_one_block(rows) else _block_after_block(rows, search)
     return out.withColumn("similarity", F.lit(1.0) - F.col("edits") / F.col("item_words"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
                       item_text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item."""
-    place = docs.columns.index(text_col)
-    for shared in _blocks(items, item_id_col, item_text_col):
-        docs = docs.mapInArrow(_cleaner(shared, percent, place), docs.schema)
-    return docs
-
-
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> list:
-    """The items in broadcast blocks of at most ``BLOCK_ITEMS`` each; one empty block if there are none."""
-    rows = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
-    count, spark = rows.count(), items.sparkSession
-    if count <= BLOCK_ITEMS:
-        parts = [rows]
-    else:
-        number = F.row_number().over(Window.orderBy("i", "t")) - 1
-        numbered = written(rows.withColumn("block", F.floor(number / BLOCK_ITEMS)))
-        parts = [numbered.where(F.col("block") == k) for k in range(-(-count // BLOCK_ITEMS))]
-    held = [part.select("i", "t").collect() for part in parts]
-    return [spark.sparkContext.broadcast(([r["i"] for r in h], [r["t"] for r in h])) for h in held]
+    rows = _rows(items, item_id_col, item_text_col)
+    if _is_one_block(rows):
+        return docs.mapInArrow(_cleaner(_shared(rows), percent, docs.columns.index(text_col)), docs.schema)
+    # whether a text holds an item is a matter of the text alone, so its digest names it
+    digest = F.sha2(F.col(text_col).cast("binary"), 256)
+    texts = docs.select(digest.alias("_held"), F.col(text_col).alias("_text"))
+    held = find_items(texts, items, "_held", "_text", item_id_col, item_text_col, percent).select("_held").distinct()
+    return docs.join(held, digest == F.col("_held"), "left_anti")
+
+
+def _rows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
+
+
+def _is_one_block(rows: DataFrame) -> bool:
+    count, words = rows.agg(F.count(F.lit(1)), F.sum(word_count(F.col("t")))).first()
+    return count <= BLOCK_ITEMS and (words or 0) <= BLOCK_WORDS
+
+
+def _shared(block: DataFrame):
+    held = block.select("i", "t").collect()
+    return block.sparkSession.sparkContext.broadcast(([r["i"] for r in held], [r["t"] for r in held]))
+
+
+def _block_after_block(rows: DataFrame, search: Callable[..., DataFrame]) -> DataFrame:
+    """``search`` over blocks of the items, each written before the next is read. Items are dealt
+    to buckets of about ``BLOCK_ITEMS`` by a hash of their place, copies too; a bucket is cut by words."""
+    spark = rows.sparkSession
+    buckets = -(-rows.count() // BLOCK_ITEMS)
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    dealt = placed.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets)))
+    before = Window.partitionBy("bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    words = F.coalesce(F.sum(word_count(F.col("t"))).over(before), F.lit(0))
+    numbered = written(dealt.withColumn("cut", F.floor(words / BLOCK_WORDS)), "benchmark")
+    path = scratch_path(spark, "decontamination")
+    for k, (bucket, cut) in enumerate(numbered.select("bucket", "cut").distinct().orderBy("bucket", "cut").collect()):
+        shared = _shared(numbered.where((F.col("bucket") == bucket) & (F.col("cut") == cut)))
+        found = search(shared)
+        found.write.parquet(f"{path}/block={k}")
+        shared.destroy()
+    remove(spark, numbered)
+    return spark.read.schema(found.schema).parquet(*[f"{path}/block={j}" for j in range(k + 1)])
 
 
 def _cleaner(shared, percent: int, place: int):

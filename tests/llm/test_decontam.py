@@ -77,6 +77,27 @@ def test_item_blocks_give_the_same_result(spark, case, monkeypatch):
     assert sorted(tuple(r) for r in decontam.find_items(docs, bench).collect()) == whole
 
 
+def test_one_bounded_block_of_items_at_a_time(spark, case, monkeypatch):
+    items, texts = case
+    docs = spark.createDataFrame(list(enumerate([*texts, None, texts[1]])), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    find = lambda: sorted(tuple(r) for r in decontam.find_items(docs, bench).collect())
+    clean = lambda: sorted(r.doc_id for r in decontam.drop_contaminated(docs, bench).collect())
+    whole = find(), clean()
+    context, shared = type(spark.sparkContext), []
+
+    def broadcast(self, value, plain=context.broadcast):
+        shared.append((sum(len(t.split()) for t in value[1]), sum(b._jbroadcast.isValid() for _, _, b in shared), plain(self, value)))
+        return shared[-1][2]
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 25)
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 100, raising=False)
+    assert (find(), clean()) == whole
+    assert len(shared) > 12 and max(words for words, _, _ in shared) <= 100 + 47
+    assert all(alive == 0 for _, alive, _ in shared)
+
+
 def test_count_filter_loses_nothing(case):
     items, texts = case
     block = decontam.Items(list(range(len(items))), [" ".join(x) for x in items], 80)
