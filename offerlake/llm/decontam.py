@@ -26,8 +26,9 @@ measured recall for edited ones of up to 1,500 words.
 
 Defined results
     One row per text row and item found, with the fewest edits (then the earliest place);
-    clean texts have no row. Items of fewer than ``MIN_WORDS`` words are too short to tell
-    from chance and are not looked for. Null and empty texts and items match nothing. Texts of
+    clean texts have no row. Items of fewer than ``min_words`` words are not
+    looked for; by default those of fewer than ``MIN_WORDS``, which are too short to tell from
+    chance (README has figures). Below ``MIN_WORDS`` words no edit is allowed: they match verbatim. Null and empty texts and items match nothing. Texts of
     any length are read whole. Repeated rows give repeated result rows; repeated items give
     a row each. An empty table gives no rows. Extra columns are not read.
 """
@@ -49,7 +50,7 @@ SIMILARITY_PERCENT = 80
 #: Share of the items with the most edits allowed that the tables are to find, whatever the length and the kind of edits.
 TARGET_RECALL = 0.99
 #: Walks for segments of up to so many words.
-WALKS = {40: 12, 48: 16}
+WALKS = {4: 1, 40: 12, 48: 16}  # of up to 4 words no edits are allowed, and one walk finds what is equal
 SEGMENT, TABLES, PLACES = max(WALKS), 8, 3
 MIN_WORDS = 5
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 1_000_000
@@ -123,14 +124,14 @@ def best_run(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 class Items:
     """A block of items, ready to be looked for."""
 
-    def __init__(self, ids: list, texts: list[str | None], percent: int):
+    def __init__(self, ids: list, texts: list[str | None], percent: int, min_words: int = MIN_WORDS):
         self.percent = percent
         self.items: list[tuple[object, np.ndarray]] = []
         words = list(words_of(pa.array(texts, pa.string()))) if texts else []
         for w in words:
             bounds = np.append(0, np.cumsum(w.counts()))
             self.items += [(ids[w.low + r], w.hash[bounds[r]:bounds[r + 1]]) for r in range(w.high - w.low)
-                           if bounds[r + 1] - bounds[r] >= MIN_WORDS]
+                           if bounds[r + 1] - bounds[r] >= max(min_words, 1)]
         self.seeds: list[tuple[int, int]] = []  # item and first word of each segment
         segments = []
         for k, (_, text) in enumerate(self.items):
@@ -272,7 +273,8 @@ class Items:
 
 
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               item_id_col: str = "item_id", item_text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
+               item_id_col: str = "item_id", item_text_col: str = "text", percent: int = SIMILARITY_PERCENT,
+               min_words: int = MIN_WORDS) -> DataFrame:
     """``id_col``, ``item_id_col``, start_word, end_word, edits, item_words, similarity of every
     benchmark item that a text holds."""
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
@@ -280,7 +282,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     rows = _rows(items, item_id_col, item_text_col)
 
     def search(shared) -> DataFrame:
-        return texts.mapInArrow(_finder(shared, percent, id_col, item_id_col),
+        return texts.mapInArrow(_finder(shared, percent, min_words, id_col, item_id_col),
                                 f"`{id_col}` {kinds[0]}, `{item_id_col}` {kinds[1]}, start_word long, end_word long, edits long, item_words long")
 
     out = search(_shared(rows)) if _is_one_block(rows) else _block_after_block(rows, search)
@@ -288,15 +290,16 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
-                      item_text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
+                      item_text_col: str = "text", percent: int = SIMILARITY_PERCENT,
+                      min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item."""
     rows = _rows(items, item_id_col, item_text_col)
     if _is_one_block(rows):
-        return docs.mapInArrow(_cleaner(_shared(rows), percent, docs.columns.index(text_col)), docs.schema)
+        return docs.mapInArrow(_cleaner(_shared(rows), percent, min_words, docs.columns.index(text_col)), docs.schema)
     # whether a text holds an item is a matter of the text alone, so its digest names it
     digest = F.sha2(F.col(text_col).cast("binary"), 256)
     texts = docs.select(digest.alias("_held"), F.col(text_col).alias("_text"))
-    held = find_items(texts, items, "_held", "_text", item_id_col, item_text_col, percent).select("_held").distinct()
+    held = find_items(texts, items, "_held", "_text", item_id_col, item_text_col, percent, min_words).select("_held").distinct()
     return docs.join(held, digest == F.col("_held"), "left_anti")
 
 
@@ -334,9 +337,9 @@ def _block_after_block(rows: DataFrame, search: Callable[..., DataFrame]) -> Dat
     return spark.read.schema(found.schema).parquet(*[f"{path}/block={j}" for j in range(k + 1)])
 
 
-def _cleaner(shared, percent: int, place: int):
+def _cleaner(shared, percent: int, min_words: int, place: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(*shared.value, percent)
+        items = Items(*shared.value, percent, min_words)
         for batch in batches:
             clean_rows = np.ones(batch.num_rows, bool)
             for words in words_of(batch.column(place), piece=1 << 22):
@@ -346,9 +349,9 @@ def _cleaner(shared, percent: int, place: int):
     return clean
 
 
-def _finder(shared, percent: int, id_col: str, item_id_col: str):
+def _finder(shared, percent: int, min_words: int, id_col: str, item_id_col: str):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(*shared.value, percent)
+        items = Items(*shared.value, percent, min_words)
         for batch in batches:
             for words in words_of(batch.column(1), piece=1 << 22):
                 found = items.find(words)

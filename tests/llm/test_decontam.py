@@ -156,3 +156,17 @@ def test_target_recall_with_the_most_edits_at_every_length(size, trials, kind):
     found = {(words.low + row, item): edits for words in words_of(pa.array(texts)) for row, item, _, _, edits, _ in block.find(words)}
     assert set(found) <= {(i, i) for i in range(trials)}
     assert len(found) >= int(decontam.TARGET_RECALL * trials)
+
+
+def test_short_items_are_found_exactly_where_asked_for(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 14))) for _ in range(80)]
+    items = [" ".join(rng.choice("abcdef") for _ in range(n)) for n in (1, 2, 2, 3, 3, 4, 4, 4)] + ["", "g"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    expected = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if x and f" {x} " in f" {t} "}
+    got = decontam.find_items(docs, bench, min_words=1).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == expected and len(got) == len(expected) > 50
+    assert all(r.edits == 0 and " ".join(texts[r.doc_id].split()[r.start_word:r.end_word]) == items[r.item_id] for r in got)
+    clean = {r.doc_id for r in decontam.drop_contaminated(docs, bench, min_words=1).collect()}
+    assert clean == set(range(len(texts))) - {d for d, _ in expected}
