@@ -9,7 +9,8 @@ of their bucket without gaps.
 
 Defined results
     A text's length is its words plus one end token, so null and empty texts have length
-    1. A text longer than the budget is a batch by itself, whole. Rows of a bucket are
+    1. With ``length_col`` it is that column's number (real tokens, as ``tokens.token_counts``
+    gives them) plus one end token, null and negative counting as 0, and no text is read. A text longer than the budget is a batch by itself, whole. Rows of a bucket are
     ordered by a hash slice, then id and length; rows that agree in all are
     interchangeable. Repeated rows are packed as often as they occur. An empty table
     gives no rows. Extra columns are not read.
@@ -62,9 +63,10 @@ def bin_of(length: Column) -> Column:
 
 
 def pack_batches(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """``id_col``, n_tokens, bucket, bucket_length, batch_id, slot, padding of every row."""
-    rows = written(docs.select(F.col(id_col).alias("_id"), (word_count(F.col(text_col)) + 1).alias("n_tokens")), "packing")
+    held = F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(0)), F.lit(0)) if length_col else word_count(F.col(text_col))
+    rows = written(docs.select(F.col(id_col).alias("_id"), (held + 1).cast("long").alias("n_tokens")), "packing")
     bins = rows.groupBy(bin_of(F.col("n_tokens")).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.max("n_tokens").alias("top"), F.sum("n_tokens").alias("sum")).orderBy("bin").collect()
     count, top, total = (np.array([b[k] for b in bins], np.int64) for k in ("n", "top", "sum"))

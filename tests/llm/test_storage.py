@@ -156,6 +156,19 @@ def test_batches(spark, docs):
     assert total == brute_padding([r.n_tokens for r in rows], 5)
 
 
+def test_batches_of_given_lengths(spark):
+    from offerlake.llm import tokens
+    docs = spark.createDataFrame([(i, "文字" * (20 + i)) for i in range(12)] + [(12, None), (13, "one two")], "doc_id long, text string")
+    counted = tokens.token_counts(docs)
+    real = {r.doc_id: r.n_tokens for r in counted.collect()}
+    rows = packing.pack_batches(counted, buckets=3, budget=200, length_col="n_tokens").collect()
+    assert {r.doc_id: r.n_tokens - 1 for r in rows} == real and real[0] > 2
+    held = Counter(r.batch_id for r in rows)
+    assert all(held[r.batch_id] * r.bucket_length <= 200 or held[r.batch_id] == 1 for r in rows)
+    odd = spark.createDataFrame([(1, None), (2, -5), (3, 4)], "doc_id long, size int")
+    assert {r.doc_id: r.n_tokens for r in packing.pack_batches(odd, length_col="size").collect()} == {1: 1, 2: 1, 3: 5}
+
+
 def test_bins_hold_what_they_say(spark):
     df = spark.createDataFrame([(n,) for n in (1, 5, 4095, 4096, 4097, 8191, 8192, 8195, 8196, 1 << 40)], "n long")
     got = {r.n: r.b for r in df.select("n", packing.bin_of(F.col("n")).alias("b")).collect()}
