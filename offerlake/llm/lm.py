@@ -38,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import scratch_path
+from offerlake.llm.common import scratch_path, text_bytes
 from offerlake.llm.hashing import U64, Words, mix, words_of
 
 #: Hashes of the sentence's begin (a context only) and end (a token).
 BEGIN, END = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
 #: Tokens a task holds before it hands on their counts.
 HELD_TOKENS = 2_000_000
+#: Bytes of text to a part, about 4 million words: what a task merges stays bounded at every size.
+PART_BYTES = 24_000_000
 #: Parts that the followers of one context go to.
 SLOTS = 8
 
@@ -328,7 +330,8 @@ class Model:
 def fit(docs: DataFrame, text_col: str = "text", model_dir: str | None = None) -> tuple[str, int, dict[str, int]]:
     """Count the texts of ``docs`` into a model folder: (folder, parts, sums)."""
     spark = docs.sparkSession
-    folder, parts = model_dir or model_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(text_bytes(F.col(text_col)))).first()[0] or 0
+    folder, parts = model_dir or model_folder(spark), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     counted = docs.select(text_col).mapInArrow(_count(parts), "part int, blob binary")
     facts = counted.groupBy("part").applyInPandas(_merge_bigrams(folder, parts), "part int, blob binary")
     sums = facts.groupBy("part").applyInPandas(_merge_words(folder), ", ".join(f"{c} long" for c in SUMS))

@@ -74,6 +74,16 @@ def test_scores_of_no_rows_and_without_training(spark, docs, no_docs):
     assert len(rows) == 20 and all(r.score == 0 and r.held_out and r.train_tokens == 0 for r in rows)
 
 
+def test_parts_grow_with_the_input(spark, docs, monkeypatch):
+    texts = docs.where("doc_id < 60")
+    scores = lambda: sorted((r.doc_id, r.n_known, round(r.score, 6)) for r in lm.score_texts(texts, F.col("doc_id") % 3 != 0).collect())
+    usual = scores()
+    monkeypatch.setattr(lm, "PART_BYTES", 400, raising=False)
+    size = sum(len((r.text or "").encode()) for r in texts.collect())
+    assert lm.fit(texts)[1] == -(-size // 400) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert scores() == usual
+
+
 def test_packed_arrays():
     arrays = [np.array([], np.uint64), np.array([1, 2, 255]), np.array([1 << 63], np.uint64), np.array([70_000])]
     back = lm.unpacked(lm.packed(*arrays))
