@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm import ann, archive, decontam, langid, lm, neardup, packing, sharding, tokens, urls
+from offerlake.llm import ann, archive, bestfit, decontam, hardneg, langid, lm, neardup, packing, sharding, tokens, trie, urls
 from offerlake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_pruned_graph_ann")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
+@query("op11_four_russians_negatives", hardneg.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(rows.withColumn("label", moved))
+
+
+@query("op12_best_fit_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = bestfit.tokenized(read(spark, sf_dir, "documents"))
+    return bestfit.pack_best_fit(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op13_prefix_trie", trie.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(read(spark, sf_dir, "conversations")))
