@@ -109,24 +109,30 @@ def q_profile_defaults(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- listing and detail pages
-CARDS_HTML = """concat('<!DOCTYPE html><html><body><ul>',
-  '<li><h3>Data Scientist ', page_id, '</h3><div class="company-name">Société ', page_id % 7, '</div><p>Lyon - 69003</p><p>CDI</p>',
-  '<p>', 30 + page_id % 60, ' 000 - ', 40 + page_id % 60, ' 500 €/an</p><p>Publiée il y a ', page_id % 20, ' jours</p>',
+# Pages are built from the id; the oracles say what each holds, by the id too, without reading any HTML.
+CARDS_HTML = """concat('<!DOCTYPE html><html><head><title>Offres</title></head><body><!-- <li> --><ul>',
+  '<li class="offer"><ul><li>Nouveau</li><li>&Agrave; la une</li></ul><h3>Data&nbsp;Scientist (H/F) n&deg;', page_id,
+  '</h3><div class="big company-name">Soci&eacute;t&eacute; <b>', page_id % 7, '</b></div><p>Lyon - 69003</p><p>CDI</p>',
+  '<p>', 30 + page_id % 60, '&nbsp;000 - ', 40 + page_id % 60, ' 500 &#8364;/an</p><p>Publi&#xe9;e il y a ', page_id % 20, ' jours</p>',
   '<a href="/emplois/', page_id * 10 + 1, '.html">Voir</a></li>',
-  CASE page_id % 3 WHEN 0 THEN concat('<article class="job-card"><a href="https://x.fr/emplois/', page_id * 10 + 2,
-      '.html"><b>Analyste BI</b> H/F</a><p>Atelier Nord</p><p>Île-de-France</p><p>Stage</p></article>')
-    WHEN 1 THEN concat('<li><h2>Dev</h2><a href="/emplois/', page_id * 10 + 3, '.html">court</a></li><li>Sans lien</li>')
-    ELSE concat('<li><a href="/emplois/', page_id * 10 + 4, '.html">Ingénieur Data</a><p>CDD 12 mois</p><p>2500 €/mois</p></li>') END,
+  CASE page_id % 3 WHEN 0 THEN concat('<article class="job-card"><a class="x" href="https://x.fr/emplois/', page_id * 10 + 2,
+      '.html"><b>Analyste BI</b> H/F</a><article><p>Atelier Nord</p></article><p>Île-de-France</p><p>Stage</p></article>')
+    WHEN 1 THEN concat('<li><h2>Dev</h2><a href="/emplois/', page_id * 10 + 3, '.html">court</a></li><li>Sans lien</li>',
+      '<div data-testid="job-item"><div><div>Hybride</div></div><a href="/emplois/', page_id * 10 + 5,
+      '.html">T&eacute;l&eacute;conseiller
+  data</a><div>Studio &amp;amp; Co</div></div>')
+    ELSE concat('<li><a href="/emplois/', page_id * 10 + 4, '.html">Ingénieur Data</a><ul><li><a href=''/emplois/', page_id * 10 + 6,
+      '.html''>Voir l&rsquo;offre</a></li></ul><p>CDD 12 mois</p><p>2500 &euro;/mois</p></li>') END,
   '</ul></body></html>')"""
-DETAIL_HTML = """concat('<html><body><h1>Offre ', page_id, '</h1><script>var x = "CDI";</script>',
-  CASE page_id % 5 WHEN 0 THEN '<p>CDI</p><p>Paris - 75009</p><p>45 000 - 55 000 €</p><p>3 à 5 ans</p><p>Bac + 5</p>'
-    WHEN 1 THEN '<p>CDD</p><p>Nantes 44000</p><p>38 500 €</p><p>2 ans d''expérience</p><p>Master</p>'
-    WHEN 2 THEN '<p>STAGE</p><p>à Lille</p><p>Junior</p><p>Ingénieur</p>'
-    WHEN 3 THEN '<p>Alternance</p><p>Saint-Étienne - 42</p><p>CONFIRMÉ</p>' ELSE '<p>Aucun détail</p>' END,
-  CASE page_id % 4 WHEN 0 THEN '<p>TÉLÉTRAVAIL : 2 jours par semaine</p>' WHEN 1 THEN '<p>Hybride</p>' WHEN 2 THEN '<p>full remote possible.</p>' ELSE '' END,
-  CASE page_id % 3 WHEN 0 THEN '<p>Banque</p><p>50 à 100 salariés</p>' WHEN 1 THEN '<p>SANTÉ</p><p>PME</p>' ELSE '' END,
+DETAIL_HTML = """concat('<html><head><title>CDI</title></head><body><h1>Offre n°', page_id, '</h1><script>var x = "CDI <p>";</script>',
+  CASE page_id % 5 WHEN 0 THEN '<p>CDI</p><p>Paris&nbsp;- 75009</p><p>45&nbsp;000 - 55&#160;000&nbsp;&euro;</p><p>3 &agrave; 5&nbsp;ans</p><p>Bac + 5</p>'
+    WHEN 1 THEN '<p>CDD</p><p>Nantes 44000</p><p>38 500 €</p><p>2&#x202f;ans d&#39;exp&eacute;rience</p><p>Master</p>'
+    WHEN 2 THEN '<p>STAGE</p><p>à Lille</p><p>Junior</p><p>Ing&eacute;nieur</p>'
+    WHEN 3 THEN '<p>Alter<b>nance</b></p><p>Saint-&Eacute;tienne - 42</p><p>CONFIRM&Eacute;</p>' ELSE '<p>Aucun détail</p>' END,
+  CASE page_id % 4 WHEN 0 THEN '<p>T&Eacute;L&Eacute;TRAVAIL : 2 jours par semaine</p>' WHEN 1 THEN '<p>Hybride</p>' WHEN 2 THEN '<p>full remote possible.</p>' ELSE '' END,
+  CASE page_id % 3 WHEN 0 THEN '<p>Banque</p><p>50 à 100 salariés</p>' WHEN 1 THEN '<p>SANT&#201;</p><p>PME</p>' ELSE '' END,
   '<p>Publiée le ', 1 + page_id % 28, ' mars</p>',
-  CASE WHEN page_id % 2 = 0 THEN concat('<p>Missions : construire ', page_id, ' tables Python, SQL et Spark</p><p>Profil recherché : curieux</p><p>Avantages : Mutuelle, RTT</p>')
+  CASE WHEN page_id % 2 = 0 THEN concat('<p>Missions&nbsp;: construire ', page_id, ' tables Python, SQL et Spark</p><p>Profil recherch&eacute; : curieux</p><p>Avantages : Mutuelle, RTT</p>')
        ELSE '<p>Vous êtes : autonome</p><p>Nous offrons : Tickets restaurant et Prime, Power BI, Docker</p>' END,
   '</body></html>')"""
 
@@ -135,36 +141,67 @@ def _built_pages(spark, sf_dir, html: str):
     return spread_for_cpu(read_table(spark, sf_dir, "pages", ["page_id"])).select("page_id", F.expr(html).alias("html"))
 
 
-_CARD_SQL = PG.card_fields_sql("card")
-
-
-@query("offer_cards", f"""
-SELECT * FROM (SELECT page_id, {', '.join(f'{v} AS {k}' for k, v in _CARD_SQL.items())}
-  FROM (SELECT page_id, unnest(regexp_extract_all({CARDS_HTML}, '{PG.CARD_PATTERN}')) AS card FROM pages)
-  WHERE regexp_matches(card, '{PG.OFFER_LINK}')) WHERE length(title) BETWEEN 5 AND 200""")
+@query("offer_cards", """
+WITH cards AS (
+  SELECT page_id, 1 AS ref, 'Data' || chr(160) || 'Scientist (H/F) n°' || page_id AS title, 'Société ' || page_id % 7 AS company,
+    'Lyon - 69003' AS location, (30 + page_id % 60) || chr(160) || '000 - ' || (40 + page_id % 60) || ' 500 €/an' AS salary,
+    'CDI' AS contract, 'Publiée il y a ' || page_id % 20 || ' jours' AS date_posted FROM pages
+  UNION ALL SELECT page_id, 2, 'Analyste BI H/F', 'Atelier Nord', 'Île-de-France', NULL, 'Stage', NULL FROM pages WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id, 5, 'Téléconseiller data', 'Studio &amp; Co', 'Non spécifié', NULL, NULL, NULL FROM pages WHERE page_id % 3 = 1
+  UNION ALL SELECT page_id, 4, 'Ingénieur Data', 'Voir l’offre', 'Non spécifié', NULL, 'CDD', NULL FROM pages WHERE page_id % 3 = 2
+  UNION ALL SELECT page_id, 6, 'Voir l’offre', 'Non spécifié', 'Non spécifié', NULL, NULL, NULL FROM pages WHERE page_id % 3 = 2)
+SELECT page_id, CAST(page_id * 10 + ref AS VARCHAR) AS offer_id, title, company, location, salary, contract, date_posted FROM cards""")
 def q_offer_cards(spark, sf_dir):
-    """One record per card of a listing page."""
-    card = _built_pages(spark, sf_dir, CARDS_HTML).select("page_id", F.explode(PG.cards(F.col("html"))).alias("card"))
-    out = card.select("page_id", *[v.alias(k) for k, v in PG.card_fields(F.col("card")).items()])
-    return out.where(F.length("title").between(5, 200))
-
-
-_TEXT = PG.strip_tags_sql("html")
-_DETAIL_SQL = {k: v for k, v in PG.page_fields_sql("''", "html").items() if k in (
-    "contract_type", "company_sector", "company_size", "salary_text", "experience_required", "education_level", "telework",
-    "publication_date")} | PG.detail_fields_sql(_TEXT) | PG.page_sections_sql("html")
-
-
-@query("offer_details", f"""
-SELECT page_id, {', '.join(f'{v} AS {k}' for k, v in _DETAIL_SQL.items())}, array_to_string({E.dictionary_tags_sql(_TEXT)}, ',') AS skills,
-       array_to_string({E.dictionary_tags_sql(_TEXT, E.TAG_BENEFITS)}, ',') AS benefits
-FROM (SELECT page_id, {DETAIL_HTML} AS html FROM pages)""")
+    """One record per offer link of a listing page, with nested elements and entities in its cards."""
+    pages = _built_pages(spark, sf_dir, CARDS_HTML)
+    return PG.card_fields(PG.listing_cards(pages, ["page_id"]), ["page_id"])
+
+
+@query("offer_details", """
+WITH p AS (SELECT page_id, page_id % 5 AS kind, 1 + page_id % 28 AS day, chr(160) AS nb, chr(10) || chr(10) AS gap FROM pages),
+d AS (
+  SELECT *, ['Offre n°' || page_id,
+      CASE kind WHEN 0 THEN concat_ws(chr(10) || chr(10), 'CDI', 'Paris' || nb || '- 75009', '45' || nb || '000 - 55' || nb || '000' || nb || '€',
+                                      '3 à 5' || nb || 'ans', 'Bac + 5')
+        WHEN 1 THEN concat_ws(chr(10) || chr(10), 'CDD', 'Nantes 44000', '38 500 €', '2' || chr(8239) || 'ans d''expérience', 'Master')
+        WHEN 2 THEN concat_ws(chr(10) || chr(10), 'STAGE', 'à Lille', 'Junior', 'Ingénieur')
+        WHEN 3 THEN concat_ws(chr(10) || chr(10), 'Alternance', 'Saint-Étienne - 42', 'CONFIRMÉ') ELSE 'Aucun détail' END,
+      CASE page_id % 4 WHEN 0 THEN 'TÉLÉTRAVAIL : 2 jours par semaine' WHEN 1 THEN 'Hybride' WHEN 2 THEN 'full remote possible.' END,
+      CASE page_id % 3 WHEN 0 THEN concat_ws(chr(10) || chr(10), 'Banque', '50 à 100 salariés') WHEN 1 THEN concat_ws(chr(10) || chr(10), 'SANTÉ', 'PME') END,
+      'Publiée le ' || day || ' mars',
+      CASE WHEN page_id % 2 = 0 THEN concat_ws(chr(10) || chr(10), 'Missions' || nb || ': construire ' || page_id || ' tables Python, SQL et Spark',
+                                               'Profil recherché : curieux', 'Avantages : Mutuelle, RTT')
+           ELSE concat_ws(chr(10) || chr(10), 'Vous êtes : autonome', 'Nous offrons : Tickets restaurant et Prime, Power BI, Docker') END] AS parts,
+    CASE kind WHEN 0 THEN 'Paris' || nb || '- 75009' WHEN 1 THEN 'Nantes 44000' WHEN 3 THEN 'Étienne - 42'
+      ELSE CASE WHEN page_id % 3 = 0 THEN 'Banque' || gap || '50' WHEN day >= 10 THEN 'Publiée le ' || day END END AS place
+  FROM p)
+SELECT page_id, CASE kind WHEN 0 THEN 'CDI' WHEN 1 THEN 'CDD' WHEN 2 THEN 'Stage' WHEN 3 THEN 'Alternance' END AS contract_type,
+  CASE page_id % 3 WHEN 0 THEN 'Banque' WHEN 1 THEN 'SANTÉ' END AS company_sector,
+  CASE page_id % 3 WHEN 0 THEN '50 à 100 salariés' WHEN 1 THEN 'PME' END AS company_size,
+  CASE kind WHEN 0 THEN '45' || nb || '000 - 55' || nb || '000' || nb || '€' WHEN 1 THEN '44000' || gap || '38 500 €' END AS salary_text,
+  CASE kind WHEN 0 THEN '3 à 5' || nb || 'ans' WHEN 1 THEN '2' || chr(8239) || 'ans d''expérience' WHEN 2 THEN 'Junior' WHEN 3 THEN 'CONFIRMÉ' END
+    AS experience_required,
+  CASE kind WHEN 0 THEN 'Bac + 5' WHEN 1 THEN 'Master' WHEN 2 THEN 'Ingénieur' END AS education_level,
+  CASE page_id % 4 WHEN 0 THEN 'TÉLÉTRAVAIL : 2 jours par semaine' WHEN 2 THEN 'remote possible'
+    WHEN 1 THEN 'Hybride' || gap || CASE page_id % 3 WHEN 0 THEN 'Banque' WHEN 1 THEN 'SANTÉ' ELSE 'Publiée le ' || day || ' mars' END
+    ELSE 'Non spécifié' END AS telework,
+  day || ' mars' AS publication_date,
+  CASE kind WHEN 0 THEN '45000€' WHEN 1 THEN '44000€' END AS salary_min, CASE kind WHEN 0 THEN '55000€' WHEN 1 THEN '38500€' END AS salary_max,
+  place AS location_full, right(regexp_extract(place, '[0-9]+'), 5)[1:2] AS department,
+  array_to_string(list_filter(parts, lambda x: x IS NOT NULL), chr(10) || chr(10)) AS description,
+  CASE WHEN page_id % 2 = 0 THEN 'construire ' || page_id || ' tables Python, SQL et Spark' END AS missions,
+  CASE WHEN page_id % 2 = 0 THEN 'curieux' ELSE 'autonome' END AS profile_sought,
+  CASE WHEN page_id % 2 = 0 THEN 'Python,SQL,R,Spark' ELSE 'R,Power BI,Docker' END AS skills,
+  CASE WHEN page_id % 2 = 1 THEN 'Tickets restaurant,Prime' WHEN page_id % 4 = 0 THEN 'Mutuelle,RTT,Télétravail' ELSE 'Mutuelle,RTT' END AS benefits
+FROM d""")
 def q_offer_details(spark, sf_dir):
-    """E21 and E22 over detail pages that hold every kind of field."""
-    p = _built_pages(spark, sf_dir, DETAIL_HTML).withColumn("_text", PG.strip_tags(F.col("html")))
+    """E21 and E22 over detail pages that hold every kind of field, with entities and odd white space."""
+    p = _built_pages(spark, sf_dir, DETAIL_HTML).withColumn("_text", PG.visible_text(F.col("html")))
     text = F.col("_text")
-    fields = PG.page_fields(F.lit(""), F.col("html"), text) | PG.detail_fields(text) | PG.page_sections(F.col("html"))
-    return p.select("page_id", *[fields[k].alias(k) for k in _DETAIL_SQL], F.array_join(E.dictionary_tags(text), ",").alias("skills"),
+    fields = PG.page_fields(F.lit(""), F.col("html"), text) | PG.detail_fields(text) | PG.page_sections(text)
+    names = ("contract_type company_sector company_size salary_text experience_required education_level telework publication_date "
+             "salary_min salary_max location_full department description missions profile_sought").split()
+    return p.select("page_id", *[fields[k].alias(k) for k in names], F.array_join(E.dictionary_tags(text), ",").alias("skills"),
                     F.array_join(E.dictionary_tags(text, E.TAG_BENEFITS), ",").alias("benefits"))
 
 

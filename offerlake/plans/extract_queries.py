@@ -277,32 +277,33 @@ def q_group_adjustments(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- E20, E21
-_PAGE_SQL = PG.page_fields_sql("url", "html")
+_PAGE_SQL = PG.page_fields_sql("url", "html", "t")
+_TEXT_SQL = f"(SELECT *, {PG.visible_text_sql('html')} AS t FROM pages)"
 
 
 @query("page_records", "SELECT page_id, " + ", ".join(
     (f"CAST({v} AS BIGINT) AS {k}" if k in ("text_chars", "n_links") else f"{v} AS {k}")
-    for k, v in _PAGE_SQL.items()) + " FROM pages WHERE length(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))) BETWEEN 5 AND 200")
+    for k, v in _PAGE_SQL.items()) + f" FROM {_TEXT_SQL} WHERE length(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))) BETWEEN 5 AND 200")
 def q_page_records(spark, sf_dir):
     p = spread_for_cpu(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])) \
-        .withColumn("_text", PG.strip_tags(F.col("html")))
+        .withColumn("_text", PG.visible_text(F.col("html")))
     fields = PG.page_fields(F.col("url"), F.col("html"), F.col("_text"))
     out = p.select("page_id", *[v.alias(k) for k, v in fields.items()])
     return finish(out.where(F.length("title").between(5, 200)))
 
 
-_SECTIONS_SQL = PG.page_sections_sql("html")
+_SECTIONS_SQL = PG.page_sections_sql("t")
 
 
 @query("page_sections", f"""
 SELECT page_id, CAST(length({_SECTIONS_SQL['missions']}) AS BIGINT) AS missions_chars,
        CAST(length({_SECTIONS_SQL['profile_sought']}) AS BIGINT) AS profile_chars,
        CAST(len(regexp_extract_all(html, '/emplois/(\\d+)\\.html', 1)) AS BIGINT) AS n_offer_links
-FROM pages""")
+FROM {_TEXT_SQL}""")
 def q_page_sections(spark, sf_dir):
     """E21 sections (missions, profile sought) and listing links per page."""
-    p = spread_for_cpu(read_table(spark, sf_dir, "pages", ["page_id", "html"]))
-    s = PG.page_sections(F.col("html"))
+    p = spread_for_cpu(read_table(spark, sf_dir, "pages", ["page_id", "html"])).withColumn("_text", PG.visible_text(F.col("html")))
+    s = PG.page_sections(F.col("_text"))
     return finish(p.select("page_id", F.length(s["missions"]).alias("missions_chars"),
                            F.length(s["profile_sought"]).alias("profile_chars"),
                            F.size(PG.multi_card_links(F.col("html"))).alias("n_offer_links")))

@@ -12,25 +12,30 @@ from offerlake.operators import scenarios as S
 
 
 def fields(spark, html, names):
-    df = spark.createDataFrame([("http://h/1", html)], "url string, html string")
-    cols = PG.page_fields(F.col("url"), F.col("html")) | PG.detail_fields(PG.strip_tags(F.col("html"))) | PG.page_sections(F.col("html"))
+    df = spark.createDataFrame([("http://h/1", html)], "url string, html string").withColumn("text", PG.visible_text(F.col("html")))
+    cols = PG.page_fields(F.col("url"), F.col("html"), F.col("text")) | PG.detail_fields(F.col("text")) | PG.page_sections(F.col("text"))
     return df.select(*[cols[n].alias(n) for n in names]).first().asDict()
 
 
 @pytest.mark.parametrize("html,expected", [
     ("<p>TÉLÉTRAVAIL : 2 jours</p>", {"telework": "TÉLÉTRAVAIL : 2 jours"}),
+    ("<p>T&eacute;l&eacute;travail partiel</p>", {"telework": "Télétravail partiel"}),
     ("<p>Télétravail</p>", {"telework": "Oui"}),
     ("<p>sur site</p>", {"telework": "Non spécifié", "contract_type": None, "salary_min": None, "salary_max": None}),
     ("<p>poste en cdi, ou CDD</p>", {"contract_type": "CDI"}),
     ("<p>cdiste</p>", {"contract_type": None}),
+    ("<p>C<b>D</b>I</p>", {"contract_type": "CDI"}),
     ("<p>45 000 - 55 000 €</p>", {"salary_text": "45 000 - 55 000 €", "salary_min": "45000€", "salary_max": "55000€"}),
+    ("<p>45&nbsp;000 &euro;</p>", {"salary_text": "45\u00a0000 €", "salary_min": "45000€", "salary_max": None}),
+    ("<p>45\u00a0000\u202f-\u00a055&#160;000&#xA0;&#8364;</p>", {"salary_min": "45000€", "salary_max": "55000€"}),
     ("<p>38500 €</p>", {"salary_min": "38500€", "salary_max": None}),
     ("<p>Saint-Étienne - 42</p>", {"location_full": "Étienne - 42", "department": "42"}),
-    ("<p>à Paris - 75009</p>", {"location_full": "Paris - 75009", "department": "75"}),
-    ("<p>SANTÉ</p>", {"company_sector": "SANTÉ"}),
-    ("<p>3 à 5 ans</p><p>Bac + 5</p>", {"experience_required": "3 à 5 ans", "education_level": "Bac + 5"}),
+    ("<p>à Paris&nbsp;-&nbsp;75009</p>", {"location_full": "Paris\u00a0-\u00a075009", "department": "75"}),
+    ("<p>SANT&Eacute;</p>", {"company_sector": "SANTÉ"}),
+    ("<p>3 à 5&nbsp;ans</p><p>Bac&nbsp;+ 5</p>", {"experience_required": "3 à 5\u00a0ans", "education_level": "Bac\u00a0+ 5"}),
     ("<p>MISSIONS : tout</p><p>Profil recherché : vous</p>", {"missions": "tout", "profile_sought": "vous"}),
-    ("<script>CDI 45 000 €</script><p>x</p>", {"contract_type": None, "salary_text": None, "description": "x"}),
+    ("<div>MISSIONS : tout<br>et plus</div><div>Profil : vous</div>", {"missions": "tout\net plus", "profile_sought": "vous"}),
+    ("<head><title>CDD</title></head><script>CDI 45 000 €</script><p>x</p>", {"contract_type": None, "salary_text": None, "description": "x"}),
 ])
 def test_detail_fields(spark, html, expected):
     got = fields(spark, html, list(expected))
@@ -39,23 +44,84 @@ def test_detail_fields(spark, html, expected):
     assert got == expected
 
 
+SHOWN = [
+    ("a  <b>b</b>\n c", "a b c"), ("a<p>b</p><p>c</p>d", "a\n\nb\n\nc\n\nd"), ("<div>a</div><div>b</div>", "a\nb"),
+    ("<div><div>a</div></div>\n<div>b</div>", "a\nb"), ("a<br>b<br/>c", "a\nb\nc"), ("<h2>t</h2><p>x</p>", "t\n\nx"),
+    ("<style>p{}</style>a<!-- <p>b</p> --><script>1 < 2 > 0</script>", "a"), ("<header>a</header>b", "a\nb"), ("1 < 2 &lt; 3", "1 < 2 < 3"),
+    ("&eacute;&#233;&#xe9;&#XE9;", "éééé"), ("&amp;eacute; &amp;amp;", "&eacute; &amp;"), ("&nbsp;x&nbsp;", "\u00a0x\u00a0"),
+    ("&unknown; &#0; &#x110000; &#xD800; &", "&unknown; \ufffd \ufffd \ufffd &"), ("&#128512;&apos;&#146;&#x92;", "😀'’\x92"), ("", ""), (None, None),
+    ("<ul><li>a<li>b</ul>", "a\nb"), ("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>", "a\tb\t\nc"),
+]
+
+
+def test_visible_text(spark, duck):
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(SHOWN)], "i int, html string")
+    got = [r[0] for r in df.orderBy("i").select(PG.visible_text(F.col("html"))).collect()]
+    assert got == [t for _, t in SHOWN]
+    values = ", ".join("(NULL)" if h is None else "('" + h.replace("'", "''") + "')" for h, _ in SHOWN)
+    twin = duck.execute(f"SELECT {PG.visible_text_sql('html')} FROM (VALUES {values}) t(html)").fetchall()
+    assert [r[0] for r in twin] == got
+
+
+def cards(spark, html):
+    df = spark.createDataFrame([(1, html)], "page_id int, html string")
+    return sorted((r.asDict() for r in PG.card_fields(PG.listing_cards(df, ["page_id"]), ["page_id"]).drop("page_id").collect()),
+                  key=lambda r: r["offer_id"])
+
+
 def test_cards(spark):
     html = ('<ul><li><h3>Data  Scientist</h3><div class="company">ACME</div><p>Lyon - 69003</p><p>40 000 - 45 000 €/an</p>'
             '<p>Publiée il y a 3 jours</p><a href="/emplois/12.html">Voir</a></li>'
             '<li><a href="/emplois/13.html">Analyste <b>BI</b></a><p>Petite boîte</p><p>stage à lille</p></li>'
             '<li><a href="/emplois/14.html">Ingénieur data</a><p>CDI 12345</p></li><li>sans lien</li></ul>')
-    df = spark.createDataFrame([(html,)], "html string")
-    card = df.select(F.explode(PG.cards(F.col("html"))).alias("card"))
-    rows = [r.asDict() for r in card.select(*[v.alias(k) for k, v in PG.card_fields(F.col("card")).items()]).collect()]
-    assert rows == [
-        {"offer_id": "12", "title": "Data  Scientist", "company": "ACME", "location": "Lyon - 69003", "salary": "40 000 - 45 000 €/an",
+    assert cards(spark, html) == [
+        {"offer_id": "12", "title": "Data Scientist", "company": "ACME", "location": "Lyon - 69003", "salary": "40 000 - 45 000 €/an",
          "contract": None, "date_posted": "Publiée il y a 3 jours"},
-        {"offer_id": "13", "title": "Analyste  BI", "company": "Non spécifié", "location": "lille", "salary": None,
+        {"offer_id": "13", "title": "Analyste BI", "company": "Petite boîte", "location": "lille", "salary": None,
          "contract": "Stage", "date_posted": None},
         {"offer_id": "14", "title": "Ingénieur data", "company": "Non spécifié", "location": "Non spécifié", "salary": None,
          "contract": "CDI", "date_posted": None}]
 
 
+def only(**more):
+    return {"offer_id": "2", "title": None, "company": "Non spécifié", "location": "Non spécifié", "salary": None, "contract": None,
+            "date_posted": None} | more
+
+
+@pytest.mark.parametrize("html,expected", [
+    # an inner item does not end the article
+    ("<article><ul><li>CDD</li></ul><a href='/emplois/2.html'>Analyste</a><p>CDI</p></article>", [only(title="Analyste", contract="CDI")]),
+    # the closest container: the inner item alone
+    ("<article>CDI<li><a href='/emplois/2.html'>Analyste</a></li></article>", [only(title="Analyste")]),
+    # end tags left out, a stray end tag, an image in between
+    ("</li><ul><li>CDI<li><img src=x><a href=/emplois/2.html>Analyste</a>Acme</ul>", [only(title="Analyste")]),
+    # marked containers, own title and company elements in them
+    ("<section class='x job-card y'><div><span class=job-title>Le titre</span></div><a href='/emplois/2.html'>Voir</a>"
+     "<b data-testid='the-company'>Acme &amp; fils</b></section>", [only(title="Le titre", company="Acme & fils")]),
+    ("<div data-testid='job-1'><div>CDD</div><a href='https://h/emplois/2.html?x=1&amp;y'>Analyste</a><div>Acme</div></div>",
+     [only(title="Analyste", company="Acme", contract="CDD")]),
+    # no container: the parent
+    ("<div>CDI<span><a href='/emplois/2.html'>Analyste</a></span></div>", [only(title="Analyste")]),
+    # short and long titles, links elsewhere, links in comments
+    ("<li><a href='/emplois/2.html'>Abc</a></li><li><a href='/emplois/x.html'>Analyste</a></li>"
+     "<!--<li><a href='/emplois/2.html'>Analyste</a></li>-->", []),
+    ("<li><a href='/emplois/2.html'>" + "x" * 201 + "</a></li>", []),
+    ("", []), (None, []),
+])
+def test_nested_cards(spark, html, expected):
+    assert cards(spark, html) == expected
+
+
+def test_two_links_in_a_card(spark):
+    html = "<li><h2>Un poste</h2><a href='/emplois/2.html'>a</a><a href='/emplois/3.html'>b</a></li>"
+    assert [r["offer_id"] for r in cards(spark, html)] == ["2", "3"]
+
+
+def test_equal_pages_stay_apart(spark):
+    df = spark.createDataFrame([(1, "<li><a href='/emplois/2.html'>Analyste</a></li>")] * 3, "page_id int, html string")
+    assert PG.card_fields(PG.listing_cards(df, ["page_id"]), ["page_id"]).count() == 3
+
+
 @pytest.mark.parametrize("raw,expected", [
     ("['Python', 'SQL']", ["Python", "SQL"]), ("['a', None]", ["a", "None"]), ("[]", []), (None, []), ("nan", []), ("x", ["x"]),
 ])
