@@ -171,7 +171,7 @@ def interpolate(value: Column, knots: list, outputs: list[Column]) -> Column:
     return out.when(value >= knots[-1], outputs[-1].cast("long")).otherwise(outputs[0].cast("long"))
 
 
-# F20
+# F20. The knots of experience and, below, of skills (F21), with the bonuses of job words.
 def expected_word_count(exp: Column, skills: Column, sector_adj: Column, job: Column, d: dict,
                         skills_slope: Column) -> Column:
     """``d`` holds Columns p10, p25, median, p75, p90 of the word-count distribution."""
@@ -192,7 +192,8 @@ def expected_keyword_count(skills: Column, advanced: Column, exp: Column, d: dic
     return F.least(F.greatest(k, d["median"]), d["p90"]).cast("long")
 
 
-# F22. Defaults of the fields that a profile may lack.
+# F22. Defaults of the fields that a profile may lack, the experience that stands for an unknown
+# one, and the levels of the serving form (its map differs from those of F5 and F14).
 PROFILE_DEFAULTS = {
     "job_type": "Data Analyst", "seniority": "Mid-level", "contract_type": "CDI", "education": "Bac+5",
     "experience": 4.0, "location": "Paris", "sector": "Non spécifié",
@@ -201,12 +202,29 @@ PROFILE_DEFAULTS = {
     "contient_machine_learning": 0, "skills_count": 3, "technical_score": 2, "benefits_score": 1,
     "has_teletravail": 1, "has_mutuelle": 0, "has_tickets": 0, "has_prime": 0, "telework_numeric": 0.5,
 }
+UNKNOWN_EXPERIENCE = 8.0
+SERVING_LEVELS = {
+    "Stage/Alternance": 1, "Débutant (<1 an)": 1, "Junior (1-3 ans)": 2, "Mid-level": 4, "Mid confirmé (3-5 ans)": 3,
+    "Senior (5-8 ans)": 4, "Senior": 5, "Expert (8-12 ans)": 5, "Lead/Manager (12-20 ans)": 6, "Lead/Manager": 7,
+    "Directeur/VP (>20 ans)": 7, "Freelance/Consultant": 3, "Non spécifié": 0,
+}
+
+
+# F4, F11 (serving form): membership in a list that the data give (A19's first cities, A18's groups)
+def flag_members(df: DataFrame, column: str, members: DataFrame, out: str) -> DataFrame:
+    """1 where ``column`` is among the first column of ``members``, else 0. The table of members can be a whole
+    vocabulary, so the planner decides by its size how to join."""
+    listed = members.select(F.col(members.columns[0]).alias("_member")).where("_member is not null").distinct()
+    return df.join(listed, F.col(column) == F.col("_member"), "left").withColumn(
+        out, F.col("_member").isNotNull().cast("int")).drop("_member")
 
 
-def profile_feature_row(profiles: DataFrame, median_words: Column, median_keywords: Column) -> DataFrame:
+def profile_feature_row(profiles: DataFrame, median_words: Column, median_keywords: Column, cities: DataFrame,
+                        sectors: DataFrame) -> DataFrame:
     """every field of a profile, by its own value or its default (a column that the table lacks
-    counts as null), then the features derived from them. ``median_words`` and
-    ``median_keywords`` are the defaults of the text sizes (scalar subqueries)."""
+    counts as null), then the features derived from them. ``median_words`` and ``median_keywords`` are the
+    defaults of the text sizes (scalar subqueries); ``cities`` and ``sectors`` the lists of A19 and A18, as
+    tables. An experience that is not a number is unknown: flagged, and set to ``UNKNOWN_EXPERIENCE``."""
     def own(name, default):
         kind = "string" if isinstance(default, str) else ("double" if isinstance(default, float) else "int")
         return F.coalesce(F.col(name).cast(kind), F.lit(default)) if name in profiles.columns else F.lit(default)
@@ -218,16 +236,17 @@ def profile_feature_row(profiles: DataFrame, median_words: Column, median_keywor
         *keep, *[own(n, d).alias(n) for n, d in PROFILE_DEFAULTS.items()],
         F.coalesce(words, median_words.cast("int")).alias("description_word_count"),
         F.coalesce(keywords, median_keywords.cast("int")).alias("nb_mots_cles_techniques"))
+    x = x.withColumn("experience_missing", F.isnan("experience").cast("int")).withColumn(
+        "experience", F.nanvl("experience", F.lit(UNKNOWN_EXPERIENCE)))
+    x = flag_members(flag_members(x, "location", cities, "is_grande_ville"), "sector", sectors, "is_high_paying_sector")
     cloud = (F.col("contient_aws") + F.col("contient_azure") + F.col("contient_gcp")) > 0
     return x.select(
-        "*", F.col("location").isin(list(MAJOR_CITIES)).cast("int").alias("is_grande_ville"),
-        (F.col("technical_score") * F.log1p("experience")).alias("tech_exp_interaction"),
+        "*", (F.col("technical_score") * F.log1p("experience")).alias("tech_exp_interaction"),
         F.contains("location", F.lit("Paris")).cast("int").alias("is_paris_region"),
         (F.col("contient_machine_learning") + F.col("contient_spark") + F.col("contient_aws")).alias("advanced_data_score"),
-        is_high_paying_sector(F.col("sector")).alias("is_high_paying_sector"),
         complexity_ordinal(F.col("nb_mots_cles_techniques")).alias("tech_complexity_encoded"),
         ((F.col("contient_python") > 0) & cloud & (F.col("contient_spark") > 0)).cast("int").alias("has_modern_stack"),
-        seniority_ordinal(F.col("seniority")).alias("hierarchy_score"))
+        F.coalesce(F.try_element_at(_lit_map(SERVING_LEVELS), F.col("seniority")), F.lit(0)).alias("hierarchy_score"))
 
 
 # F24

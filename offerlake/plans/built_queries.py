@@ -76,9 +76,21 @@ def q_feature_rules(spark, sf_dir):
 _WORDS = "(SELECT CAST(trunc(median(len(regexp_extract_all(text, '\\S+')))) AS INTEGER) FROM documents)"
 
 
-@query("profile_defaults", f"""WITH {_BUILT}, f AS (
+# Profiles for the serving form: every level of its map, the default one, and an experience that is not a number.
+SERVING_SELECT = PROFILE_SELECT.replace("""WHEN 4 THEN 'Lead/Manager (12-20 ans)' WHEN 5 THEN 'Autre' END AS seniority""",
+                                        """WHEN 4 THEN 'Lead/Manager (12-20 ans)' WHEN 5 THEN 'Autre' ELSE
+    CASE p_partkey % 8 WHEN 0 THEN 'Débutant (<1 an)' WHEN 1 THEN 'Mid-level' WHEN 2 THEN 'Senior' WHEN 3 THEN 'Expert (8-12 ans)'
+      WHEN 4 THEN 'Lead/Manager' WHEN 5 THEN 'Directeur/VP (>20 ans)' WHEN 6 THEN 'Freelance/Consultant' END END AS seniority""").replace(
+    "CASE WHEN p_partkey % 9 <> 0 THEN CAST(p_size AS DOUBLE) / 2 END AS experience",
+    "CASE p_partkey % 9 WHEN 0 THEN NULL WHEN 4 THEN CAST('NaN' AS DOUBLE) ELSE CAST(p_size AS DOUBLE) / 2 END AS experience") + """,
+  p_retailprice AS salary"""
+
+
+@query("profile_defaults", f"""WITH built AS (SELECT {SERVING_SELECT} FROM part), f AS (
   SELECT profile_id, 'Data Analyst' AS job_type, coalesce(seniority, 'Mid-level') AS seniority, 'CDI' AS contract_type, 'Bac+5' AS education,
-    coalesce(experience, 4.0) AS experience, coalesce(location, 'Paris') AS location, coalesce(sector, 'Non spécifié') AS sector,
+    CASE WHEN isnan(experience) THEN 8.0 ELSE coalesce(experience, 4.0) END AS experience,
+    CAST(coalesce(isnan(experience), FALSE) AS BIGINT) AS experience_missing,
+    coalesce(location, 'Paris') AS location, coalesce(sector, 'Non spécifié') AS sector,
     coalesce(CAST(contient_sql AS BIGINT), 1) AS contient_sql, coalesce(CAST(contient_python AS BIGINT), 1) AS contient_python,
     CAST(0 AS BIGINT) AS contient_r, CAST(0 AS BIGINT) AS contient_tableau, CAST(0 AS BIGINT) AS contient_power_bi,
     coalesce(CAST(contient_aws AS BIGINT), 0) AS contient_aws, CAST(0 AS BIGINT) AS contient_azure, CAST(0 AS BIGINT) AS contient_gcp,
@@ -87,25 +99,35 @@ _WORDS = "(SELECT CAST(trunc(median(len(regexp_extract_all(text, '\\S+')))) AS I
     CAST(2 AS BIGINT) AS technical_score, CAST(1 AS BIGINT) AS benefits_score, coalesce(CAST(has_teletravail AS BIGINT), 1) AS has_teletravail,
     coalesce(CAST(has_mutuelle AS BIGINT), 0) AS has_mutuelle, coalesce(CAST(has_tickets AS BIGINT), 0) AS has_tickets,
     coalesce(CAST(has_prime AS BIGINT), 0) AS has_prime, 0.5::DOUBLE AS telework_numeric,
-    CAST({_WORDS} AS BIGINT) AS description_word_count, coalesce(CAST(nb_mots_cles_techniques AS BIGINT), 5) AS nb_mots_cles_techniques
-  FROM built)
-SELECT *, CAST(location IN ('Paris', 'Lyon', 'Marseille', 'Toulouse', 'Bordeaux', 'Lille', 'Nice', 'Nantes', 'Strasbourg', 'Rennes',
-                            'Grenoble', 'Toulon', 'Montpellier') AS BIGINT) AS is_grande_ville,
+    (SELECT CAST(trunc(median(len(regexp_extract_all(text, '\\S+')))) AS BIGINT) FROM documents) AS description_word_count,
+    coalesce(CAST(nb_mots_cles_techniques AS BIGINT), (SELECT CAST(trunc(median(nb_mots_cles_techniques)) AS BIGINT) FROM built)) AS nb_mots_cles_techniques
+  FROM built),
+medians AS (SELECT sector, median(salary) AS m FROM built WHERE sector IS NOT NULL GROUP BY sector)
+SELECT *, CAST(location IN (SELECT location FROM built WHERE location IS NOT NULL GROUP BY location ORDER BY count(*) DESC, location LIMIT 3)
+            AS BIGINT) AS is_grande_ville,
   round(2 * ln(1 + experience), 4) AS tech_exp_interaction, CAST(location LIKE '%Paris%' AS BIGINT) AS is_paris_region,
   contient_machine_learning + contient_spark + contient_aws AS advanced_data_score,
-  CAST(sector IN ('Banque', 'Finance', 'Tech', 'Consulting', 'Assurance', 'Pharma') AS BIGINT) AS is_high_paying_sector,
+  CAST(sector IN (SELECT sector FROM medians WHERE m >= (SELECT quantile_cont(m, 0.75) FROM medians)) AS BIGINT) AS is_high_paying_sector,
   CAST(CASE WHEN nb_mots_cles_techniques <= 2 THEN 0 WHEN nb_mots_cles_techniques <= 5 THEN 1
             WHEN nb_mots_cles_techniques <= 10 THEN 2 ELSE 3 END AS BIGINT) AS tech_complexity_encoded,
   CAST(contient_python > 0 AND contient_aws > 0 AND contient_spark > 0 AS BIGINT) AS has_modern_stack,
-  CAST(CASE seniority WHEN 'Stage/Alternance' THEN 1 WHEN 'Junior (1-3 ans)' THEN 2 WHEN 'Mid confirmé (3-5 ans)' THEN 3
-       WHEN 'Senior (5-8 ans)' THEN 4 WHEN 'Lead/Manager (12-20 ans)' THEN 6 ELSE 0 END AS BIGINT) AS hierarchy_score
+  CAST(CASE WHEN seniority IN ('Stage/Alternance', 'Débutant (<1 an)') THEN 1 WHEN seniority = 'Junior (1-3 ans)' THEN 2
+       WHEN seniority IN ('Mid confirmé (3-5 ans)', 'Freelance/Consultant') THEN 3 WHEN seniority IN ('Mid-level', 'Senior (5-8 ans)') THEN 4
+       WHEN seniority IN ('Senior', 'Expert (8-12 ans)') THEN 5 WHEN seniority = 'Lead/Manager (12-20 ans)' THEN 6
+       WHEN seniority IN ('Lead/Manager', 'Directeur/VP (>20 ans)') THEN 7 ELSE 0 END AS BIGINT) AS hierarchy_score
 FROM f""")
 def q_profile_defaults(spark, sf_dir):
-    """F22 over built profiles; the default text size is the median over ``documents``."""
+    """F22 over built profiles; the lists of A18 and A19 and the default text sizes (A15, A16) come from the data."""
+    from offerlake.operators.market import high_paying_groups, top_groups
     from offerlake.operators.quantiles import exact_quantiles
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_size", "p_retailprice"])
+    built = spark.sql(f"SELECT {SERVING_SELECT} FROM {{part}}", part=part)
     docs = spread_for_cpu(read_table(spark, sf_dir, "documents", ["text"]))
     words = exact_quantiles(docs, E.word_count(F.col("text")), [0.5], names=["m"]).select("m").scalar()
-    return finish(FT.profile_feature_row(built_profiles(spark, sf_dir), words, F.lit(5)))
+    keywords = exact_quantiles(built, "nb_mots_cles_techniques", [0.5], names=["m"]).select("m").scalar()
+    cities = top_groups(built, "location", "salary", 3)
+    sectors = high_paying_groups(built.where("sector is not null"), "sector", "salary")
+    return finish(FT.profile_feature_row(built, words, keywords, cities, sectors))
 
 
 # --------------------------------------------------------------------- listing and detail pages

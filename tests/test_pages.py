@@ -142,13 +142,40 @@ def test_position_verdict_and_lead(spark):
                                         ("below median", "Stage/Alternance")]
 
 
+def feature_rows(spark, rows, schema):
+    cities = spark.createDataFrame([("Paris", 9), ("Lyon", 5)], "city string, n int")
+    sectors = spark.createDataFrame([("Tech", 1.0), (None, 2.0), ("Tech", 3.0)], "sector string, median double")
+    df = spark.createDataFrame(rows, schema)
+    return FT.profile_feature_row(df, F.lit(500), F.lit(5), cities, sectors).orderBy("profile_id").collect()
+
+
 def test_profile_defaults_fill_every_field(spark):
-    df = spark.createDataFrame([(1, "Paris 75001", 1, 3.0), (2, None, None, None)],
-                               "profile_id long, location string, contient_spark int, experience double")
-    one, two = FT.profile_feature_row(df, F.lit(500), F.lit(5)).orderBy("profile_id").collect()
+    one, two, three = feature_rows(spark, [(1, "Paris 75001", 1, 3.0), (2, None, None, None), (3, "Lyon", 0, float("nan"))],
+                                   "profile_id int, location string, contient_spark int, experience double")
     assert (two.location, two.experience, two.contient_sql, two.has_teletravail, two.description_word_count) == ("Paris", 4.0, 1, 1, 500)
     assert (two.is_grande_ville, two.is_paris_region, two.tech_complexity_encoded, two.seniority) == (1, 1, 1, "Mid-level")
+    assert (two.hierarchy_score, two.experience_missing, two.is_high_paying_sector) == (4, 0, 0)
     assert (one.is_grande_ville, one.is_paris_region, one.advanced_data_score) == (0, 1, 1)
+    assert (three.is_grande_ville, three.experience, three.experience_missing) == (1, 8.0, 1)
+
+
+@pytest.mark.parametrize("level,score", [
+    ("Stage/Alternance", 1), ("Débutant (<1 an)", 1), ("Junior (1-3 ans)", 2), ("Mid-level", 4), ("Mid confirmé (3-5 ans)", 3),
+    ("Senior (5-8 ans)", 4), ("Senior", 5), ("Expert (8-12 ans)", 5), ("Lead/Manager (12-20 ans)", 6), ("Lead/Manager", 7),
+    ("Directeur/VP (>20 ans)", 7), ("Freelance/Consultant", 3), ("Non spécifié", 0), ("Autre", 0), (None, 4)])
+def test_levels_of_the_serving_form(spark, level, score):
+    row, = feature_rows(spark, [(1, level, "Tech")], "profile_id int, seniority string, sector string")
+    assert (row.hierarchy_score, row.is_high_paying_sector) == (score, 1)
+
+
+def test_a_served_profile(spark):
+    """A profile with every field given keeps them, and its derived features follow."""
+    row, = feature_rows(spark, [(1, "Data Scientist", 4.0, "Master", "Paris", "Tech", 0.4, 1, 1, 1, 0, 1, 4, 7, 1)],
+                        "profile_id int, job_type string, experience double, education string, location string, sector string, "
+                        "telework_numeric double, contient_python int, contient_sql int, contient_aws int, contient_spark int, "
+                        "contient_machine_learning int, skills_count int, technical_score int, benefits_score int")
+    assert row.tech_exp_interaction == pytest.approx(7 * 1.6094379124341003)
+    assert (row.job_type, row.telework_numeric, row.advanced_data_score, row.has_modern_stack) == ("Data Scientist", 0.4, 2, 0)
 
 
 def test_fill_rates_with_rows_in(spark):
