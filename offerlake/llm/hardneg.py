@@ -300,23 +300,24 @@ def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = 5, nega
 def oracle() -> str:
     return """
     WITH rows AS (
-        SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
-        FROM embeddings
-        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        SELECT *, row_number() OVER () AS row FROM (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
     scored AS (
-        SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
-               list_inner_product(a.v, c.v)::BIGINT AS score
-        FROM rows a JOIN rows c ON len(a.v) = len(c.v) AND (a.vec_id <> c.vec_id OR a.label <> c.label OR a.v <> c.v)
+        SELECT a.row, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+               CASE WHEN len(a.v) = 0 THEN 0 ELSE list_inner_product(a.v, c.v) END::BIGINT AS score
+        FROM rows a JOIN rows c ON len(a.v) = len(c.v) AND a.row <> c.row
         WHERE a.vec_id % 50 = 0),
     positives AS (
-        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
-        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        SELECT row, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS n
+        FROM scored WHERE same QUALIFY n <= 5),
     ranked AS (
         SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
-               row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
-        FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+               row_number() OVER (PARTITION BY p.row, p.n ORDER BY s.score DESC, s.vec_id) AS rank
+        FROM positives p JOIN scored s ON s.row = p.row AND NOT s.same
          AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
     SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
     FROM ranked WHERE rank <= 3"""
