@@ -41,7 +41,7 @@ from offerlake.llm.tokens import byte_alphabet
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces numbered by one task at a time, about.
-CELL_ROWS = 20_000
+CELL_ROWS = 1_000
 #: Characters cut at once, and distinct pre-tokens that a worker remembers; emptied when full.
 PIECE, MEMO_SIZE = 1 << 20, 1_000_000
 
