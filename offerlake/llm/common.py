@@ -23,10 +23,27 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{scratch_root(spark)}/{kind}/{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch between Spark and Python, and of a row group of an intermediate table.
+BATCH_BYTES, GROUP_BYTES = 8 << 20, 16 << 20
+#: Rows that the Parquet reader decodes at once: texts of a whole batch lie in one array.
+READ_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lower the session's bounds on batches, where they are higher: an Arrow batch (``BATCH_BYTES``) is held by
+    the JVM and by Python at once, a Parquet batch (``READ_ROWS``) by the JVM, and rows may be long."""
+    arrow, parquet = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(arrow)) > BATCH_BYTES:
+        spark.conf.set(arrow, str(BATCH_BYTES))
+    if int(spark.conf.get(parquet)) > READ_ROWS:
+        spark.conf.set(parquet, str(READ_ROWS))
+    return spark
+
+
 def written(df: DataFrame, kind: str = "step") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back (lineage is cut there)."""
-    path = scratch_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    path = scratch_path(small_batches(df.sparkSession), kind)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -37,6 +54,14 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores in front as keep it apart from all columns of ``frames``."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 length; null counts as empty."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offerlake.llm.common import remove, scratch_path, word_count, written
+from offerlake.llm.common import remove, scratch_path, small_batches, unused, word_count, written
 from offerlake.llm.hashing import U64, Words, mix, words_of
 
 SIMILARITY_PERCENT = 80
@@ -298,9 +298,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
         return docs.mapInArrow(_cleaner(_shared(rows), percent, min_words, docs.columns.index(text_col)), docs.schema)
     # whether a text holds an item is a matter of the text alone, so its digest names it
     digest = F.sha2(F.col(text_col).cast("binary"), 256)
-    texts = docs.select(digest.alias("_held"), F.col(text_col).alias("_text"))
-    held = find_items(texts, items, "_held", "_text", item_id_col, item_text_col, percent, min_words).select("_held").distinct()
-    return docs.join(held, digest == F.col("_held"), "left_anti")
+    key = unused("_held", docs, items)
+    texts = docs.select(digest.alias(key), F.col(text_col).alias("_text"))
+    held = find_items(texts, items, key, "_text", item_id_col, item_text_col, percent, min_words).select(key).distinct()
+    return docs.join(held, digest == F.col(key), "left_anti")
 
 
 def _rows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -314,7 +315,7 @@ def _is_one_block(rows: DataFrame) -> bool:
 
 def _shared(block: DataFrame):
     held = block.select("i", "t").collect()
-    return block.sparkSession.sparkContext.broadcast(([r["i"] for r in held], [r["t"] for r in held]))
+    return small_batches(block.sparkSession).sparkContext.broadcast(([r["i"] for r in held], [r["t"] for r in held]))
 
 
 def _block_after_block(rows: DataFrame, search: Callable[..., DataFrame]) -> DataFrame:
@@ -342,7 +343,7 @@ def _cleaner(shared, percent: int, min_words: int, place: int):
         items = Items(*shared.value, percent, min_words)
         for batch in batches:
             clean_rows = np.ones(batch.num_rows, bool)
-            for words in words_of(batch.column(place), piece=1 << 22):
+            for words in words_of(batch.column(place)):
                 for found in items.find(words):
                     clean_rows[words.low + found[0]] = False
             yield batch.filter(pa.array(clean_rows))
@@ -353,7 +354,7 @@ def _finder(shared, percent: int, min_words: int, id_col: str, item_id_col: str)
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*shared.value, percent, min_words)
         for batch in batches:
-            for words in words_of(batch.column(1), piece=1 << 22):
+            for words in words_of(batch.column(1)):
                 found = items.find(words)
                 if found:
                     ids = batch.column(0).take(pa.array([words.low + f[0] for f in found]))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerlake.llm.common import small_batches
+
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -116,7 +118,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  path: str | None = None, limit: int = 1024, batch_bytes: int = 1 << 20) -> DataFrame:
     """``id_col``, n_bytes, n_tokens, over_limit (n_tokens > ``limit``) of every row."""
     path = path or tokenizer_path()
-    spark: SparkSession = docs.sparkSession
+    spark: SparkSession = small_batches(docs.sparkSession)
     shared = spark.sparkContext.broadcast(whole_tokens(path))  # at most the vocabulary
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

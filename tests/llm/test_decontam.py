@@ -170,3 +170,11 @@ def test_short_items_are_found_exactly_where_asked_for(spark):
     assert all(r.edits == 0 and " ".join(texts[r.doc_id].split()[r.start_word:r.end_word]) == items[r.item_id] for r in got)
     clean = {r.doc_id for r in decontam.drop_contaminated(docs, bench, min_words=1).collect()}
     assert clean == set(range(len(texts))) - {d for d, _ in expected}
+
+
+def test_dropping_with_clashing_columns_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 1)
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"a b {item} c", "x"), (2, "clean text of some words", "y"), (3, None, "z")], "doc_id long, text string, _held string")
+    items = spark.createDataFrame([(1, item), (2, "other words that are nowhere to be found")], "item_id long, text string")
+    assert sorted(r._held for r in decontam.drop_contaminated(docs, items).collect()) == ["y", "z"]
