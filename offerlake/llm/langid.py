@@ -7,7 +7,8 @@ text's score per language is the mean over its words; the highest wins.
 
 The model is fitted on a bounded sample of labelled rows: per language the ``sample``
 rows with the smallest hash of their id. Its counts are made in Spark. The sample bounds
-the tables that are broadcast.
+the tables that are broadcast: they hold every different word and n-gram of these whole texts, those
+seen once too.
 
 Defined results
     ``und`` with score 0 for a null text, one without a letter, or without anything
@@ -29,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from offerlake.llm.common import small_batches, written
+
 #: Labelled rows per language that the model is fitted on, at most.
 SAMPLE = 500
 #: Range of the hash by which the sample is drawn.
@@ -46,7 +49,7 @@ LETTERS = r"\p{L}+"
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        sample: int = SAMPLE) -> tuple[list[str], int, list[str], np.ndarray]:
+        sample: int = SAMPLE) -> tuple[list[str], int, pa.ChunkedArray, np.ndarray]:
     """Languages, the number of words, words and then n-grams, and their log10 frequencies (a row each)."""
     labelled = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     # a hash threshold per language leaves about twice the sample; the window only sees those
@@ -66,27 +69,33 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
             F.sequence(F.lit(1), F.length("p") - F.col("size") + 1), lambda i: F.substring("p", i, F.col("size")))).alias("s"))
     counts = words.select("lang", F.lit(0).alias("size"), "s", "n").unionByName(
         grams.groupBy("lang", "size", "s").agg(F.sum("n").alias("n")))
-    sums = counts.groupBy("lang", "size").agg(F.sum("n").alias("_all")).select(F.col("lang").alias("_l"), F.col("size").alias("_k"), "_all")
-    scored = counts.join(sums, (F.col("lang") == F.col("_l")) & (F.col("size") == F.col("_k"))).where("n > 1")
-    rows = scored.groupBy("size", "s").agg(
-        F.map_from_entries(F.collect_list(F.struct("lang", F.log10(F.col("n") / F.col("_all"))))).alias("by")).collect()
-    langs = sorted({lang for r in rows for lang in r["by"]})
-    rows.sort(key=lambda r: (r["size"] > 0, r["size"], r["s"]))
-    table = np.array([[r["by"].get(x, PENALTY) for x in langs] for r in rows], np.float32).reshape(len(rows), len(langs))
-    return langs, sum(r["size"] == 0 for r in rows), [r["s"] for r in rows], table
+    sums = written(counts.groupBy("lang", "size").agg(F.sum("n").alias("_all")).select(
+        F.col("lang").alias("_l"), F.col("size").alias("_k"), "_all"), "langid")
+    langs = [r[0] for r in sums.select("_l").distinct().orderBy("_l").collect()]
+    if not langs:
+        return [], 0, pa.chunked_array([], pa.string()), np.empty((0, 0), np.float32)
+    share = F.log10(F.col("n") / F.col("_all")).cast("float")
+    scored = counts.join(sums, (F.col("lang") == F.col("_l")) & (F.col("size") == F.col("_k")))
+    rows = scored.groupBy("size", "s").agg(*[
+        F.max(F.when(F.col("lang") == x, share)).alias(f"f{i}") for i, x in enumerate(langs)]).toArrow()
+    rows = rows.sort_by("size")  # words first
+    table = np.empty((rows.num_rows, len(langs)), np.float32)
+    for i in range(len(langs)):
+        table[:, i] = rows.column(2 + i).fill_null(PENALTY).to_numpy()
+    return langs, int(np.sum(rows.column(0).to_numpy() == 0)), rows.column(1), table
 
 
 class Scorer:
     """Scores texts with a fitted model; one per Python worker."""
 
-    def __init__(self, langs: list[str], words: int, strings: list[str], table: np.ndarray):
+    def __init__(self, langs: list[str], words: int, strings: pa.ChunkedArray, table: np.ndarray):
         import regex
 
         self.langs, self.letters = langs, regex.compile(LETTERS).findall
         self.plain = re.compile(r"[a-z]+").findall
-        self.known = {s: i for i, s in enumerate(strings[:words])}
+        self.known = {s: i for i, s in enumerate(strings[:words].to_pylist())}
         self.fixed = words
-        self.grams, self.table = {s: words + i for i, s in enumerate(strings[words:])}, table.astype(np.float64)
+        self.grams, self.table = {s: words + i for i, s in enumerate(strings[words:].to_pylist())}, table
         self.rows = np.zeros((words + MEMO_SIZE, len(langs)))
         self.rows[:words] = table[:words]
         self.valid = np.ones(len(self.rows), bool)
@@ -102,7 +111,7 @@ class Scorer:
         for size in range(LONGEST, 0, -1):
             found = [g for i in range(len(padded) - size + 1) if (g := get(padded[i:i + size])) is not None]
             if found:
-                self.rows[at], self.valid[at] = np.add.reduce(self.table.take(found, 0), 0) / len(found), True
+                self.rows[at], self.valid[at] = np.add.reduce(self.table.take(found, 0), 0, np.float64) / len(found), True
                 break
         self.known[word] = at
         return at
@@ -140,7 +149,7 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
              sample: int = SAMPLE) -> DataFrame:
     """``id_col``, held_out, lang_pred, score of every row; learned from the rows where ``train`` holds."""
     train = F.coalesce(train, F.lit(True))
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     shared = spark.sparkContext.broadcast(fit(docs, train, id_col, text_col, lang_col, sample))  # bounded by the sample
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +168,7 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
 def keep_identified(docs: DataFrame, train: Column, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
                     lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is found with at least ``min_score``."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     shared = spark.sparkContext.broadcast(fit(docs, F.coalesce(train, F.lit(True)), id_col, text_col, lang_col, sample))
     place = docs.columns.index(text_col)
 
