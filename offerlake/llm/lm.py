@@ -13,7 +13,8 @@
 
 The model folder must be a path that all machines mount: by default it lies below
 ``spark.checkpoint.dir`` if that is a ``file:`` path; otherwise it is a parameter.
-Files get their name only when complete, so a repeated task does no harm.
+Files get their name only when complete, so a repeated task does no harm. Which parts have
+files is known from the counts, and a missing one is an error.
 
 p(w|v) = max(c(vw) - D(c(vw)), 0) / c(v) + g(v) p(w), with p(w) from the numbers of
 different predecessors, discounted in the same way and interpolated with 1 / (V + 1);
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from urllib.parse import urlparse
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import scratch_path, text_bytes
+from offerlake.llm.common import scratch_path, small_batches, text_bytes
 from offerlake.llm.hashing import U64, Words, mix, words_of
 
 #: Hashes of the sentence's begin (a context only) and end (a token).
@@ -190,7 +191,7 @@ def _merge_bigrams(folder: str, parts: int):
         bounds = np.searchsorted(to, np.arange(parts + 1))
         out = [(p, packed(word[a:b], *(f[a:b] for f in facts))) for p in range(parts)
                if (a := bounds[p]) < (b := bounds[p + 1])]
-        found = np.array([(count == k).sum() for k in (1, 2, 3, 4)])
+        found = np.array([*((count == k).sum() for k in (1, 2, 3, 4)), part])
         out.append((part, packed(found)))
         return pd.DataFrame(out, columns=["part", "blob"]).astype({"part": "int32"})
 
@@ -210,7 +211,8 @@ def _merge_words(folder: str):
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         part = int(rows["part"].iloc[0])
         pieces = [unpacked(b) for b in rows["blob"]]
-        found = sum((p[0].astype(np.int64) for p in pieces if len(p) == 1), np.zeros(4, np.int64))
+        counted = [p[0].astype(np.int64) for p in pieces if len(p) == 1]
+        found = sum((c[:4] for c in counted), np.zeros(4, np.int64))
         pieces = [p for p in pieces if len(p) > 1]
         sums = np.zeros(7, np.int64)
         if pieces:
@@ -222,12 +224,13 @@ def _merge_words(folder: str):
             real = word != BEGIN
             before = facts[4][real]
             sums = np.array([real.sum(), facts[0][real].sum(), before.sum(), *((before == k).sum() for k in (1, 2, 3, 4))])
-        return pd.DataFrame([[*found.tolist(), *sums.tolist()]], columns=SUMS)
+        return pd.DataFrame([[*found.tolist(), *sums.tolist(), [int(c[4]) for c in counted], [part] if pieces else []]], columns=SUMS + PARTS)
 
     return merge
 
 
 SUMS = ["b1", "b2", "b3", "b4", "types", "tokens", "before", "w1", "w2", "w3", "w4"]
+PARTS = ["bigram_parts", "word_parts"]
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -240,23 +243,28 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 def model_folder(spark: SparkSession) -> str:
-    path = urlparse(scratch_path(spark, "lm"))
-    if path.scheme not in ("", "file"):
-        raise ValueError("spark.checkpoint.dir is no mounted path: give model_dir, a folder that all machines mount")
-    return path.path
+    """A new folder below ``spark.checkpoint.dir``, as Hadoop resolves that path; it has to be a ``file:`` one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "lm"))
+    whole = urlparse(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
+    if whole.scheme != "file":
+        raise ValueError(f"spark.checkpoint.dir is on {whole.scheme}:, no mounted path: give model_dir, a folder that all machines mount")
+    return unquote(whole.path)
 
 
 class Model:
-    """A model folder mapped into memory; one per Python worker."""
+    """A model folder mapped into memory; one per Python worker. ``sums`` also lists the parts
+    that have bigrams and words: a file of theirs that is not there raises an error."""
 
-    def __init__(self, folder: str, parts: int, sums: dict[str, int]):
-        def mapped(kind: str) -> list[np.ndarray | None]:
-            names = [f"{folder}/{kind}-{p}.npy" for p in range(parts)]
-            return [np.load(n, mmap_mode="r") if os.path.exists(n) else None for n in names]
+    def __init__(self, folder: str, parts: int, sums: dict):
+        def mapped(kind: str, filled: list[int]) -> list[np.ndarray | None]:
+            out: list[np.ndarray | None] = [None] * parts
+            for p in filled:
+                out[p] = np.load(f"{folder}/{kind}-{p}.npy", mmap_mode="r")
+            return out
 
         self.parts, self.sums = parts, sums
-        self.bigrams, self.counts, self.large = mapped("bigrams"), mapped("counts"), mapped("large")
-        self.words, self.total, self.facts = mapped("words"), mapped("total"), mapped("facts")
+        self.bigrams, self.counts, self.large = (mapped(k, sums["bigram_parts"]) for k in ("bigrams", "counts", "large"))
+        self.words, self.total, self.facts = (mapped(k, sums["word_parts"]) for k in ("words", "total", "facts"))
         self.d2 = discounts([sums[f"b{k}"] for k in (1, 2, 3, 4)])
         self.d1 = discounts([sums[f"w{k}"] for k in (1, 2, 3, 4)])
 
@@ -327,15 +335,18 @@ class Model:
         return np.bincount(row, minlength=rows), known.astype(np.int64), np.bincount(row, base, rows), np.bincount(row, log, rows)
 
 
-def fit(docs: DataFrame, text_col: str = "text", model_dir: str | None = None) -> tuple[str, int, dict[str, int]]:
+def fit(docs: DataFrame, text_col: str = "text", model_dir: str | None = None) -> tuple[str, int, dict]:
     """Count the texts of ``docs`` into a model folder: (folder, parts, sums)."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     size = docs.agg(F.sum(text_bytes(F.col(text_col)))).first()[0] or 0
     folder, parts = model_dir or model_folder(spark), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     counted = docs.select(text_col).mapInArrow(_count(parts), "part int, blob binary")
     facts = counted.groupBy("part").applyInPandas(_merge_bigrams(folder, parts), "part int, blob binary")
-    sums = facts.groupBy("part").applyInPandas(_merge_words(folder), ", ".join(f"{c} long" for c in SUMS))
-    total = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in SUMS]).first().asDict()
+    kinds = ", ".join([f"{c} long" for c in SUMS] + [f"{c} array<long>" for c in PARTS])
+    sums = facts.groupBy("part").applyInPandas(_merge_words(folder), kinds)
+    # numbers of parts, as many as there are files for each kind
+    total = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in SUMS],
+                     *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in PARTS]).first().asDict()
     return folder, parts, total
 
 
