@@ -42,7 +42,7 @@ def base32_sha1(payload: Column) -> Column:
 
 def make_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
                  min_bytes: int = 0) -> DataFrame:
-    """record_id, header (binary), digest, has_payload, payload (binary; null for revisits)."""
+    """record_id, header (binary), digest, has_payload, payload (binary), record_digest."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"").cast("binary"))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "_bytes": F.octet_length("payload").cast("long"),
@@ -71,13 +71,19 @@ def make_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", (F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("_bytes"))).cast("string")),
         F.lit("\r\n"), http)
-    return rows.select(F.col("_id").alias("record_id"), header.cast("binary").alias("header"), "digest",
+    made = rows.select(F.col("_id").alias("record_id"), header.cast("binary").alias("header"), "digest",
                        (~revisit).alias("has_payload"), "payload")
+    return made.withColumn("record_digest", F.sha2(whole_record(F.when(F.col("has_payload"), F.col("payload"))), 256))
+
+
+def whole_record(payload: Column) -> Column:
+    """Bytes of a record: ``header``, the payload unless null, and the end."""
+    return F.concat("header", F.coalesce(payload, F.lit(b"")), F.lit(END.encode()))
 
 
 def store(records: DataFrame, path: str) -> None:
     """Write the archive: exact headers per record, each different payload once."""
-    records.select("record_id", "header", "digest", "has_payload").write.parquet(f"{path}/headers")
+    records.select("record_id", "header", "digest", "has_payload", "record_digest").write.parquet(f"{path}/headers")
     payloads = records.where("has_payload").select("digest", "payload").dropDuplicates(["digest"])
     payloads.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
@@ -91,11 +97,13 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         F.when(found == F.col("digest"), F.col("payload")).otherwise(
             F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.col("digest")))).alias("payload"))
     own = headers.where("has_payload").join(payloads, F.col("digest") == F.col("_key"), "left").select(
-        "record_id", "header", "digest", F.coalesce("payload", F.raise_error(F.lit("payload missing"))).alias("payload"))
-    rest = headers.where(~F.col("has_payload")).select("record_id", "header", "digest", F.lit(None).cast("binary").alias("payload"))
-    end = F.lit(END.encode())
-    return own.unionByName(rest).withColumn(
-        "record", F.when(F.col("payload").isNull(), F.concat("header", end)).otherwise(F.concat("header", "payload", end)))
+        "record_id", "header", "digest", "record_digest", F.coalesce("payload", F.raise_error(F.lit("payload missing"))).alias("payload"))
+    rest = headers.where(~F.col("has_payload")).select(
+        "record_id", "header", "digest", "record_digest", F.lit(None).cast("binary").alias("payload"))
+    both = own.unionByName(rest).withColumn("record", whole_record(F.col("payload")))
+    checked = F.when(F.sha2("record", 256) == F.col("record_digest"), F.col("record")).otherwise(
+        F.raise_error(F.concat(F.lit("record differs from its digest: "), F.col("record_digest"))))
+    return both.withColumn("record", checked).drop("record_digest")
 
 
 def header_field(header: Column, name: str) -> Column:
@@ -143,13 +151,16 @@ def archive_pages(pages: DataFrame, path: str | None = None, min_bytes: int = 0)
     store(make_records(pages, min_bytes=min_bytes), path)
     read = load(spark, path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    # a record is its WARC header, the HTTP header and the block, each ended by an empty line
+    parts = read.select("digest", F.split(F.col("record").cast("string"), END, 3).alias("part")).select(
+        "digest", F.concat(F.col("part")[0], F.lit("\r\n")).alias("head"), F.col("part")[2].cast("binary").alias("block"))
+    body = F.substring("block", 1, F.octet_length("block") - len(END))
     # what is needed of the records, so that the join with the payloads runs once
-    fields = written(read.select(
-        number(header_field(F.col("header"), "WARC-Record-ID")).alias("page_id"),
-        header_field(F.col("header"), "WARC-Type").alias("record_type"),
-        number(header_field(F.col("header"), "WARC-Refers-To")).alias("refers_to"),
-        "digest", F.octet_length("payload").cast("long").alias("_bytes"),
-        base32_sha1(F.col("payload")).alias("_sha1")), "archive")
+    fields = written(parts.select(
+        number(header_field(F.col("head"), "WARC-Record-ID")).alias("page_id"),
+        header_field(F.col("head"), "WARC-Type").alias("record_type"),
+        number(header_field(F.col("head"), "WARC-Refers-To")).alias("refers_to"),
+        "digest", (F.octet_length("block") - len(END)).cast("long").alias("_bytes"), base32_sha1(body).alias("_sha1")), "archive")
     own = fields.where(F.col("record_type") == "response")
     # a revisit has the size and digest of the payload that its response keeps
     kept = written(own.select(F.col("digest").alias("_key"), F.col("_bytes").alias("_b"), F.col("_sha1").alias("_s")).dropDuplicates(

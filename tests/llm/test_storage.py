@@ -66,6 +66,20 @@ def test_archive_notices_a_changed_payload(spark, pages, tmp_path):
         archive.load(spark, str(tmp_path / "b")).collect()
 
 
+def test_archive_notices_a_changed_header(spark, pages, tmp_path):
+    archive.store(archive.make_records(pages), str(tmp_path / "a"))
+    bad = spark.read.parquet(str(tmp_path / "a/headers")).withColumn("header", F.regexp_replace(F.col("header").cast("string"), "1970", "1971").cast("binary"))
+    bad.write.parquet(str(tmp_path / "b/headers"))
+    spark.read.parquet(str(tmp_path / "a/payloads")).write.parquet(str(tmp_path / "b/payloads"))
+    with pytest.raises(Exception, match="record differs from its digest"):
+        archive.load(spark, str(tmp_path / "b")).collect()
+
+
+def test_archive_columns_come_from_the_records(spark, pages):
+    plan = archive.archive_pages(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "html" not in plan
+
+
 def test_archive_of_no_pages(spark, pages):
     assert archive.archive_pages(pages.limit(0)).collect() == []
 
