@@ -12,9 +12,10 @@
    compared within itself. Jaccard distance is a metric, so a text at distance d from
    the bucket's smallest id can only link with texts between d - t and d + t; cells of
    width t leave only equal and neighbouring cells to compare, in blocks of bounded
-   size, and each block returns a spanning forest of its links, never all pairs. The
-   first cell is linked through the smallest id, so the bulk of a large group of copies
-   never meets itself.
+   size, and each block returns a spanning forest of its links, never all pairs. A cell
+   that is one component, as the first is by the smallest id, is not compared with
+   itself but only with a neighbour that holds another one, so the bulk of a large group of copies never
+   meets itself. A cell of n texts in several components is compared within itself, n * n / 256 sets.
 
 Links are confirmed on full sets in exact integers. A pair is missed only if no band of
 its signatures agrees: at a similarity of 0.85 with 30 bands of 5 that is 3e-8, at 0.8
@@ -22,7 +23,7 @@ it is 7e-6.
 
 Defined results
     A null or empty text, or one of white space only, has an empty set and is linked with
-    nothing. A text of fewer words than the shingle has its whole sequence as one. Rows
+    nothing. A text of fewer words than the shingle has its whole sequence as one. Ids are integers. Rows
     that share an id count as one document with the links of all its texts; a row with a
     null id is linked with nothing, its component is null and it is kept. Repeated rows give repeated
     result rows. An empty table gives no rows. Extra columns are not read.
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import remove, written
+from offerlake.llm.common import remove, unused, written
 from offerlake.llm.graph import components
 from offerlake.llm.hashing import U64, long_array, mix, shingles, words_of
 
@@ -46,7 +47,7 @@ BANDS, BAND_ROWS = 30, 5
 #: Texts in a block of step 4; a task holds two blocks.
 BLOCK = 256
 #: Texts verified against one bucket's smallest id by one task.
-STAR = 512
+STAR = 128
 
 _ODD = U64(0x9E3779B97F4A7C15)
 
@@ -231,13 +232,15 @@ def _rest(buckets: DataFrame, stars: DataFrame, firsts: DataFrame, sets: DataFra
     # a pair of neighbouring cells, or a cell with itself, is needed if it holds two components
     pairs = around.groupBy("_k", "lower").agg(F.min("low").alias("low"), F.max("high").alias("high"),
                                               F.max(F.when(F.col("cell") == F.col("lower"), F.col("parts"))).alias("mine"),
+                                              F.max((F.col("cell") == F.col("lower")) & (F.col("low") != F.col("high"))).alias("mixed"),
                                               F.max(F.when(F.col("cell") == F.col("lower") + 1, F.col("parts"))).alias("next"))
     pairs = written(pairs.where("low <> high and mine is not null").select(
-        "_k", "lower", "mine", F.coalesce("next", F.lit(0)).alias("next")))
-    # texts of cell c go into slots (c, c) with its own blocks and (c, c + 1), (c - 1, c) with those of the neighbour
+        "_k", "lower", "mine", F.coalesce("next", F.lit(0)).alias("next"), "mixed"))
+    # texts of cell c go into slots with its own blocks, if it holds several components, and with those of the neighbours
     hashed = F.xxhash64("id", "key")
     here = scored.join(pairs, (F.col("key") == F.col("_k")) & (F.col("cell") == F.col("lower"))).withColumn("_p", F.pmod(hashed, "mine").cast("int"))
-    one = here.select("key", "lower", F.explode(F.sequence(F.lit(0), (F.col("mine") + F.col("next") - 1).cast("int"))).alias("q"),
+    one = here.select("key", "lower", F.explode(F.sequence(
+        F.when(F.col("mixed"), F.lit(0)).otherwise(F.col("mine").cast("int")), (F.col("mine") + F.col("next") - 1).cast("int"))).alias("q"),
                       F.col("_p").alias("p"), "id", "component")
     above = scored.join(pairs, (F.col("key") == F.col("_k")) & (F.col("cell") == F.col("lower") + 1)).withColumn(
         "_p", (F.col("mine") + F.pmod(hashed, "next")).cast("int"))
@@ -294,8 +297,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 def deduplicate(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with one document of each group of near-duplicates: that with the
-    smallest id. Of rows that share an id one stays; rows with a null id all stay."""
+    smallest id. Of rows that share an id the one whose text has the smallest SHA-256 stays (no text first; of equal
+    texts any one); rows with a null id all stay."""
     labels = near_duplicates(docs, percent, id_col, text_col)
-    kept = labels.where("kept").select(F.col(id_col).cast("long").alias("_kept")).where("_kept is not null").distinct()
-    one = docs.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    key = unused("_kept", docs)
+    kept = labels.where("kept").select(F.col(id_col).cast("long").alias(key)).where(F.col(key).isNotNull()).distinct()
+    # ids that are there once, nearly all, need no second look at their rows
+    often = written(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias(key)).agg(
+        F.count(F.lit(1)).alias("n")).where("n > 1").select(key))
+    same = F.col(id_col).cast("long") == F.col(key)
+    stay = docs.join(kept, same, "left_semi")
+    row, order = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.sha2(F.col(text_col).cast("binary"), 256), F.lit(""))
+    repeated = stay.join(often, same, "left_semi").groupBy(F.col(id_col).alias(key)).agg(F.min_by(row, order).alias("row")).select("row.*")
+    return stay.join(often, same, "left_anti").unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -105,3 +106,31 @@ def test_connected_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and got[7] == got[9] == got[5] == 5
     assert all(got[k] == 1000 for k in range(1000, 1400)) and 200 not in got
+
+
+def test_deduplicate_with_clashing_columns_and_repeated_ids(spark):
+    words = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, words(1), 5, "a"), (2, words(1), 5, "b"), (3, words(2), 5, "c"), (3, words(3), 5, "d"), (3, None, 5, "e"), (None, words(1), 5, "f"),
+            (None, None, 5, "g"), (4, words(3) + " tail", 5, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept int, row string")
+    kept = neardup.deduplicate(docs)
+    assert kept.columns == docs.columns
+    # ids 3 and 4 are one group; of the rows of id 3 the one without a text comes first
+    assert sorted(r["row"] for r in kept.collect()) == ["a", "e", "f", "g"]
+    assert neardup.deduplicate(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_a_hot_bucket_of_several_components(spark, block):
+    """One bucket holds a large component around its smallest id, and others at every distance from it."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for edits in [0] * 4 + [1] * 30 + list(range(2, 60)) * 2:
+        words = list(base)
+        for at in rng.sample(range(120), edits):
+            words[at] = f"c{rng.randrange(12)}"
+        rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, percent=80, bands=20, band_rows=1, block=block).collect()}
+    assert got == brute(rows, 80)
