@@ -5,15 +5,17 @@ Equal vectors collapse to one. The distinct ones are dealt by a hash into shards
 beam search for every vector proposes neighbours, and pruning keeps a neighbour only if no
 kept one is nearer to it by the factor ``alpha`` than the vector itself is (first 1, then
 relaxed). The index is a table with a row per shard. Queries go in blocks of
-``QUERY_BLOCK`` (the bound of what is broadcast); each shard answers a block by beam
-search from its entry point, and the answers are scored again in double precision on the
-original vectors and merged.
+``QUERY_BLOCK``, one at a time: a block is on the driver and broadcast, each shard answers it by beam
+search from its entry point, the answers are scored again in double precision on the
+original vectors, and the best of them are written before the next block is read.
+Every query searches every shard, so the work grows with queries times shards.
 
 Defined results
     Null and zero vectors and those with null or non-finite components take no part, nor
     does a row without an id. Vectors meet only vectors of their own dimension. Every copy
     of a vector is a candidate of its own: of equal vectors the smallest ids come first, and
-    a query leaves out its own id only. Repeated rows count once. An empty table gives
+    a query leaves out its own row only. Rows that agree in id and vector count once; rows that share an id
+    but not the vector are candidates, and queries with five answers, each. An empty table gives
     no rows. Extra columns are not read.
 """
 
@@ -28,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offerlake.llm.common import written
+from offerlake.llm.common import scratch_path, written
 
-SHARD_ROWS = 4096
+SHARD_ROWS = 16384
 QUERY_BLOCK = 8192
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
 #: Vectors that search the graph in step.
@@ -132,11 +134,11 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def _index(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard: its vectors, graph and entry point as one row."""
-    rows = rows.sort_values("uid")
+    rows = rows.sort_values(["first", "uid"])
     vectors = np.stack(rows["embedding"]).astype(np.float64)
     graph, entry = build(_unit(vectors))
-    return pd.DataFrame([(len(vectors[0]), rows["uid"].to_numpy(np.int64).tobytes(), vectors.tobytes(),
-                          graph.astype(np.int32).tobytes(), entry)], columns=["dim", "uids", "vectors", "graph", "entry"])
+    return pd.DataFrame([(len(vectors[0]), *(rows[c].to_numpy(np.int64).tobytes() for c in ("uid", "first")), vectors.tobytes(),
+                          graph.astype(np.int32).tobytes(), entry)], columns=["dim", "uids", "firsts", "vectors", "graph", "entry"])
 
 
 def _searcher(shared, keep: int, beam: int):
@@ -148,7 +150,7 @@ def _searcher(shared, keep: int, beam: int):
                 if not len(own):
                     continue
                 vectors = np.frombuffer(shard["vectors"]).reshape(-1, shard["dim"])
-                uids = np.frombuffer(shard["uids"], np.int64)
+                uids, firsts = (np.frombuffer(shard[c], np.int64) for c in ("uids", "firsts"))
                 graph = np.frombuffer(shard["graph"], np.int32).reshape(len(uids), -1)
                 unit, length = _unit(vectors), np.linalg.norm(vectors, axis=1)
                 for low in range(0, len(own), TOGETHER):
@@ -158,54 +160,57 @@ def _searcher(shared, keep: int, beam: int):
                     row, place = np.nonzero(found >= 0)
                     ids = found[row, place]
                     score = np.einsum("nd,nd->n", vectors[ids], queries[row]) / (length[ids] * np.linalg.norm(queries, axis=1)[row])
-                    order = np.lexsort((uids[ids], -score, row))
+                    order = np.lexsort((firsts[ids], -score, row))
                     row, ids, score = row[order], ids[order], score[order]
                     rank = np.arange(len(row)) - np.searchsorted(row, row)
                     best = rank < keep
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(asked[part][row[best]]), pa.array(uids[ids[best]]), pa.array(score[best])],
-                        names=["asked", "uid", "score"])
+                        [pa.array(asked[part][row[best]]), pa.array(uids[ids[best]]), pa.array(firsts[ids[best]]), pa.array(score[best])],
+                        names=["asked", "uid", "first", "score"])
 
     return search
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-            shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
+            shard_rows: int = SHARD_ROWS, beam: int = BEAM, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(
         "embedding", lambda x: x != 0)
-    rows = rows.where("id is not null").where(fine).dropDuplicates(["id"])
-    rows = written(rows.withColumn("mark", F.xxhash64("embedding")), "ann")
+    rows = rows.where("id is not null").where(fine).withColumn("mark", F.xxhash64("embedding"))
+    rows = written(rows.dropDuplicates(["id", "mark", "embedding"]), "ann")
     # of equal vectors the k + 1 smallest ids can be among the k nearest of some query
     smallest = rows.withColumn("n", F.row_number().over(Window.partitionBy("mark", "embedding").orderBy("id"))).where(F.col("n") <= k + 1)
-    distinct = written(smallest.groupBy("mark", "embedding").agg(F.min("id").alias("uid"), F.collect_list("id").alias("ids")), "ann")
+    # the numbers of the vectors are fixed by being written
+    distinct = written(smallest.groupBy("mark", "embedding").agg(F.min("id").alias("first"), F.collect_list("id").alias("ids")).withColumn(
+        "uid", F.monotonically_increasing_id()), "ann")
     shards = max(1, -(-distinct.count() // shard_rows))
-    dealt = distinct.select("uid", "embedding", F.size("embedding").alias("_dim"), F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard"))
+    dealt = distinct.select("uid", "first", "embedding", F.size("embedding").alias("_dim"), F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard"))
     index = written(dealt.groupBy("_dim", "shard").applyInPandas(
-        lambda g: _index(g), "dim int, uids binary, vectors binary, graph binary, entry int"), "ann")
+        lambda g: _index(g), "dim int, uids binary, firsts binary, vectors binary, graph binary, entry int"), "ann")
     asked = written(rows.where(F.col("id") % every == 0).select("id", "mark", "embedding").join(
         distinct.select(F.col("mark").alias("_m"), F.col("embedding").alias("_e"), "uid"),
         (F.col("mark") == F.col("_m")) & (F.col("embedding") == F.col("_e"))).select("id", "uid"), "ann")
     wanted = written(distinct.join(asked.select(F.col("uid").alias("_u")).distinct(), F.col("uid") == F.col("_u"), "left_semi").select(
         "uid", "embedding", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(1 << 30)).alias("place")), "ann")
-    blocks = max(1, -(-wanted.count() * 5 // (4 * QUERY_BLOCK)))  # hashed blocks come out a little uneven
-    found = None
+    blocks = max(1, -(-wanted.count() * 5 // (4 * query_block)))  # hashed blocks come out a little uneven
+    per_asked, answered = Window.partitionBy("asked").orderBy(F.desc("score"), "first", "uid"), scratch_path(spark, "ann")
     for b in range(blocks):
         held = wanted.where(F.pmod("place", F.lit(blocks)) == b).select("uid", "embedding").collect()
         shared = spark.sparkContext.broadcast((np.array([r["uid"] for r in held], np.int64), [list(r["embedding"]) for r in held]))
-        answers = index.mapInArrow(_searcher(shared, k + 1, max(beam, k + 1)), "asked long, uid long, score double")
-        found = answers if found is None else found.unionByName(answers)
-    per_asked = Window.partitionBy("asked").orderBy(F.desc("score"), "uid")
-    found = written(found.withColumn("n", F.row_number().over(per_asked)).where(F.col("n") <= k + 1).select("asked", "uid", "score"), "ann")
-    copies = found.join(distinct.select(F.col("uid").alias("_u"), F.explode("ids").alias("vec_id")), F.col("uid") == F.col("_u")).select(
-        F.col("asked").alias("_a"), "vec_id", "score")
+        answers = index.mapInArrow(_searcher(shared, k + 1, max(beam, k + 1)), "asked long, uid long, first long, score double")
+        answers.withColumn("n", F.row_number().over(per_asked)).where(F.col("n") <= k + 1).select("asked", "uid", "score").write.mode(
+            "append").parquet(answered)
+        shared.destroy()
+    copies = spark.read.parquet(answered).join(
+        distinct.select(F.col("uid").alias("_u"), F.explode("ids").alias("vec_id")), F.col("uid") == F.col("_u")).select(
+        F.col("asked").alias("_a"), "uid", "vec_id", "score")
     # k + 1 of all copies per asked vector suffice for every query that asks with it
-    top = Window.partitionBy("_a").orderBy(F.desc("score"), "vec_id")
+    top = Window.partitionBy("_a").orderBy(F.desc("score"), "vec_id", "uid")
     best = written(copies.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1).groupBy("_a").agg(
-        F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near")), "ann")
-    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    answered = asked.select(F.col("id").alias("query_id"), "uid").join(best, F.col("uid") == F.col("_a"))
-    return answered.select("query_id", F.posexplode(others).alias("at", "x")).select(
+        F.sort_array(F.collect_list(F.struct("n", "vec_id", "score", "uid"))).alias("near")), "ann")
+    others = F.slice(F.filter("near", lambda x: (x["vec_id"] != F.col("query_id")) | (x["uid"] != F.col("uid"))), 1, k)
+    found = asked.select(F.col("id").alias("query_id"), "uid").join(best, F.col("uid") == F.col("_a"))
+    return found.select("query_id", F.posexplode(others).alias("at", "x")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,12 +118,99 @@ def test_language_of_odd_texts(spark, docs, no_docs):
 
 def test_backoff_goes_from_words_to_shorter_grams():
     table = np.array([[-1.0, -7.0], [-2.0, -7.0], [-7.0, -0.5]], np.float32)
-    s = langid.Scorer(["x", "y"], 1, ["the", "abc", "a"], table)
+    s = langid.Scorer(["x", "y"], 1, pa.chunked_array([["the", "abc", "a"]]), table)
     assert s.predict("THE the")[0] == "x" and s.predict("zabcz")[0] == "x" and s.predict("za")[0] == "y"
     assert s.predict("zzz") == ("und", 0.0) and s.predict("1 2") == ("und", 0.0)
     assert s.predict("the")[1] == pytest.approx(1 / (1 + 10 ** -6))
 
 
+def plain_langid(rows, longest=5, penalty=-7.0, weight=10):
+    """Predictions of every text from the labelled ones, with dicts only."""
+    words = defaultdict(Counter)
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            words[lang].update(re.findall(r"[^\W\d_]+", text.lower()))
+    langs = sorted(lang for lang in words if words[lang])
+    counts = [{lang: Counter() for lang in langs} for _ in range(longest + 1)]
+    for lang in langs:
+        for w, n in words[lang].items():
+            counts[0][lang][w] += n
+            padded = f" {w} "
+            for k in range(1, longest + 1):
+                for i in range(len(padded) - k + 1):
+                    counts[k][lang][padded[i:i + k]] += n
+    known = [set().union(*(c.keys() for c in by.values())) for by in counts]
+    all_ = [{lang: sum(c.values()) for lang, c in by.items()} for by in counts]
+
+    def logs(k, s):
+        return [math.log10(counts[k][lang][s] / all_[k][lang]) if counts[k][lang][s] else penalty for lang in langs]
+
+    def scores(w):
+        if w in known[0]:
+            return logs(0, w)
+        for k in range(longest, 0, -1):
+            grams = [g for i in range(len(w) + 3 - k) if (g := f" {w} "[i:i + k]) in known[k]]
+            if grams:
+                return [sum(x) / len(grams) for x in zip(*(logs(k, g) for g in grams), strict=True)]
+        return None
+
+    out = []
+    for _, text, _ in rows:
+        found = [(n, x) for w, n in Counter(re.findall(r"[^\W\d_]+", (text or "").lower())).items() if (x := scores(w)) is not None]
+        total = sum(n for n, _ in found)
+        if not total:
+            out.append(("und", 0.0))
+            continue
+        mean = [sum(n * x[i] for n, x in found) / total for i in range(len(langs))]
+        best = max(range(len(langs)), key=lambda i: (mean[i], -i))
+        out.append((langs[best], 1 / sum(10 ** ((m - mean[best]) * min(total, weight)) for m in mean)))
+    return out
+
+
+def test_language_scores_equal_plain_python(spark):
+    source = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    extra = spark.createDataFrame([(90_001, "abc", "e1"), (90_002, "xyz", "f1"), (90_003, "xyz", None), (90_004, "zzy abd", None), (90_005, "", "e1"),
+                                   (90_006, "the été ß", None), (90_007, "the the", "g1"), (90_008, None, "h1")], source.schema)
+    docs = source.unionByName(extra)
+    rows = [tuple(r) for r in docs.collect()]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, F.lit(True)).collect()}
+    for (i, text, _), (lang, score) in zip(rows, plain_langid(rows), strict=True):
+        assert got[i][1] == pytest.approx(score, abs=1e-4) and (got[i][0] == lang or score < 0.51), (i, got[i], lang, score)
+    assert got[90_003][0] == "f1"  # a word seen once
+
+
+def test_keep_identified_on_odd_rows(spark, docs, no_docs):
+    clash = docs.withColumnsRenamed({"id": "held_out", "n": "lang_pred", "hash": "_text"})
+    found = langid.identify(clash, F.lit(True)).select("doc_id", "lang_pred", "score").collect()
+    want = Counter(r.doc_id for r in found if r.lang_pred != "und" and r.score >= 0.5)
+    kept = langid.keep_identified(clash, F.lit(True))
+    assert kept.columns == clash.columns and Counter(r.doc_id for r in kept.collect()) == want
+    assert langid.keep_identified(no_docs, F.lit(True)).collect() == []
+
+
+def test_a_missing_model_file_is_an_error(spark, docs, tmp_path):
+    texts = docs.where("doc_id < 40")
+    folder, parts, sums = lm.fit(texts, model_dir=str(tmp_path / "m"))
+    lm.Model(folder, parts, sums)
+    (tmp_path / "m" / f"words-{sums['word_parts'][0]}.npy").unlink()
+    with pytest.raises(FileNotFoundError):
+        lm.Model(folder, parts, sums)
+
+
+def test_model_folder_has_to_be_mounted(spark, monkeypatch):
+    assert lm.model_folder(spark).startswith("/")
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    monkeypatch.setattr(lm, "scratch_path", lambda *_: "/shared/folder")
+    try:
+        conf.set("fs.defaultFS", "viewfs://cluster/")
+        conf.set("fs.viewfs.mounttable.cluster.link./shared", "file:///tmp")
+        with pytest.raises(ValueError, match="no mounted path"):
+            lm.model_folder(spark)
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
 def vectors(n=1500, dim=24, seed=0):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(12, dim))
@@ -174,6 +262,21 @@ def test_few_vectors(spark):
     assert ann.nearest(df.where("vec_id = 1")).collect() == []
 
 
+def test_rows_that_share_an_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(50, 1, 1), (50, 1, 2), (50, 2, 1), (50, 2, 2)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5).collect()
+    assert sorted(r.vec_id for r in got) == [1, 1, 2, 2, 50, 50]
+
+
+def test_blocks_of_queries_give_the_same(spark):
+    rows, _ = vectors(n=700)
+    df = spark.createDataFrame(rows, VECTORS)
+    one, many = (sorted(map(tuple, ann.nearest(df, query_block=b).collect())) for b in (8192, 3))
+    assert [r[:3] for r in one] == [r[:3] for r in many]
+
+
 def test_pruning_keeps_diverse_edges():
     unit = np.array([[1, 0], [0.999, 0.04], [0.998, 0.06], [0, -1]], float)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)

@@ -55,7 +55,7 @@ def test_run_gives_the_last_stage(spark, stages):
 
 
 def test_a_query_of_each_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_on_no_rows(spark):
