@@ -21,6 +21,8 @@ from offerlake.plans.registry import finish, query, with_offers
 from offerlake.sources import sinks as SK
 from offerlake.sources.offers import OFFER_COLUMNS as C
 from offerlake.session import materialize
+from offerlake.sources.tables import read_table
+from offerlake.streaming import collect as CO
 from offerlake.streaming.dedup import collect_offers, offer_records, shared_scratch
 
 
@@ -200,3 +202,63 @@ SELECT DISTINCT md5(concat_ws('_', coalesce(text, ''), coalesce(source, ''), coa
 def q_stream_dedup(spark, sf_dir):
     out = collect_offers(spark, sf_dir, "documents", offer_records, "fingerprint")
     return out.select("fingerprint", "source", "lang")
+
+
+#: Files that the collected documents come in, and events' days to a file.
+TURNS, EVENT_DAYS = 6, 5
+_FOUND = f"""found AS (SELECT md5(concat_ws('_', coalesce(text, ''), coalesce(source, ''), coalesce(lang, ''))) AS fingerprint,
+  source, lang, doc_id % {TURNS} AS turn FROM documents WHERE length(text) > 5),
+goal AS (SELECT CAST(count(*) // 2 AS BIGINT) AS target FROM documents),
+firsts AS (SELECT fingerprint, source, lang, min(turn) AS turn FROM found GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (ORDER BY turn, fingerprint) AS n FROM firsts)"""
+
+
+def _collected(spark, sf_dir):
+    """Documents as they come in, a file per turn, collected until half as many as there are documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    base = shared_scratch(spark, "collect")
+    rows = offer_records(docs).select("doc_id", "source", "lang", "fingerprint")
+    CO.write_in_turn(rows.withColumn("turn", F.col("doc_id") % TURNS), "turn", f"{base}/incoming")
+    stream = CO.read_files(spark, f"{base}/incoming", rows.schema)
+    return CO.collect_to_target(stream, CO.Collected(f"{base}/out"), "fingerprint", "source", docs.count() // 2, snapshot_every=100)
+
+
+@query("collect_to_target", f"WITH {_FOUND} SELECT fingerprint, source, lang, n FROM numbered WHERE n <= (SELECT target FROM goal)")
+def q_collect_to_target(spark, sf_dir):
+    """The collection loop with its seen-set, running number and target."""
+    return CO.collected_rows(spark, _collected(spark, sf_dir)).select("fingerprint", "source", "lang", F.col("n").cast("long").alias("n"))
+
+
+@query("collect_counters", f"""WITH {_FOUND},
+last AS (SELECT coalesce(min(turn), {TURNS}) AS turn FROM numbered WHERE n >= (SELECT target FROM goal)),
+seen AS (SELECT source, count(*) AS seen FROM found WHERE turn <= (SELECT turn FROM last) GROUP BY source),
+new AS (SELECT source, count(*) AS fresh, count(*) FILTER (WHERE n <= (SELECT target FROM goal)) AS collected
+        FROM numbered WHERE turn <= (SELECT turn FROM last) GROUP BY source)
+SELECT source, seen, coalesce(collected, 0) AS collected, seen - coalesce(fresh, 0) AS duplicates
+FROM seen LEFT JOIN new USING (source)""")
+def q_collect_counters(spark, sf_dir):
+    """A27 while collecting: rows seen, collected and met before, per source, when the target is reached."""
+    return CO.counters(spark, _collected(spark, sf_dir), "source")
+
+
+@query("stream_event_time", f"""
+WITH e AS (SELECT *, CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / {EVENT_DAYS}) AS BIGINT) AS turn FROM events),
+d AS (SELECT * EXCLUDE (turn), turn + CASE WHEN event_id % 50 = 0 THEN 3 ELSE 0 END AS turn FROM e
+      UNION ALL SELECT * EXCLUDE (turn), turn + 1 FROM e WHERE event_id % 10 = 3),
+tops AS (SELECT turn, max(ts) AS top FROM d GROUP BY turn),
+marks AS (SELECT turn, max(top) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL {EVENT_DAYS} DAY AS mark FROM tops),
+late AS (SELECT d.*, coalesce(ts <= date_trunc('millisecond', mark), FALSE) AS late FROM d JOIN marks USING (turn))
+SELECT event_id, user_id, event_type, (SELECT count(*) FROM late WHERE late) AS late_rows
+FROM (SELECT DISTINCT event_id, user_id, event_type FROM late WHERE NOT late)""")
+def q_stream_event_time(spark, sf_dir):
+    """R1 in event time: events come in files of five days, some again in the next file and some three
+    files late (rows of a batch are held against the watermark that the batch before it started with)."""
+    events = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
+    turn = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / EVENT_DAYS)
+    sent = events.withColumn("turn", turn + F.when(F.col("event_id") % 50 == 0, 3).otherwise(0)).unionByName(
+        events.where(F.col("event_id") % 10 == 3).withColumn("turn", turn + 1))
+    base = shared_scratch(spark, "events")
+    CO.write_in_turn(sent, "turn", f"{base}/incoming")
+    stream = CO.read_files(spark, f"{base}/incoming", events.schema)
+    kept, late = CO.dedup_events(stream, ["event_id"], "ts", f"{EVENT_DAYS} days", f"{base}/out")
+    return kept.select("event_id", "user_id", "event_type", F.lit(late).cast("long").alias("late_rows"))
