@@ -6,17 +6,21 @@
 * M2-M4: an MLlib Pipeline (median imputation + robust scaling of numeric
   columns with exact medians, frequency-capped one-hot of categoricals, a
   regressor) tuned by CrossValidator on deterministic folds.
-* M9: permutation Shapley values, batch: rows x background x orderings become
-  one DataFrame, one ``transform`` call scores every coalition, and a groupBy
-  averages the marginal contributions. Sum of contributions = prediction minus
-  the mean background prediction.
+* M3, M4 for linear candidates: ``ridge_path`` solves every fold and penalty from one
+  pass of sums; ``grid_search`` and ``successive_halving`` share folds that were prepared once.
+* M9: exact contributions of linear pipelines here and of tree models in ``trees``;
+  ``shapley_contributions`` samples orderings for any other model. Sum of contributions =
+  prediction minus the mean background prediction.
 """
 
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from itertools import product
 
+import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -28,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlake.operators.quantiles import exact_quantiles, rank_within
+from offerlake.session import materialize
 
 SEED = 42
 
@@ -246,6 +251,103 @@ def train_model(train: DataFrame, numeric: list[str], categorical: list[str], ki
     return cv.fit(train)
 
 
+def prepare_folds(train: DataFrame, numeric: list[str], categorical: list[str], imputer=None, folds: int = 5,
+                  parallelism: int = 4) -> list[tuple[DataFrame, DataFrame]]:
+    """(fit rows, other rows) of every fold with the assembled features, written: preprocessing is fitted once
+    per fold, on its fit rows, for all settings and candidates. Folds are independent jobs."""
+    def one(k: int) -> tuple[DataFrame, DataFrame]:
+        parts = train.where(F.col("fold") != k), train.where(F.col("fold") == k)
+        prep = Pipeline(stages=preprocessing(numeric, categorical, imputer)).fit(parts[0])
+        return tuple(materialize(prep.transform(x).select("features", "label")) for x in parts)
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(one, range(folds)))
+
+
+def _settings(grid: dict) -> list[dict]:
+    return [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+
+
+def fold_scores(folds, kind: str, settings: list[dict], parallelism: int = 4) -> list[list[float]]:
+    """MAE on the held-out rows of every fold, for each setting."""
+    def one(job) -> float:
+        (fit_rows, other), params = job
+        reg = build_regressor(kind)
+        scored = reg.fit(fit_rows, {reg.getParam(k): v for k, v in params.items()}).transform(other)
+        return scored.agg(F.avg(F.abs(F.col("prediction") - F.col("label")))).first()[0]
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        found = list(pool.map(one, [(fold, s) for s in settings for fold in folds]))
+    return [found[i * len(folds):(i + 1) * len(folds)] for i in range(len(settings))]
+
+
+def grid_search(folds, kind: str, grid: dict, parallelism: int = 4) -> tuple[dict, list[tuple[dict, float, float]]]:
+    """M4 over prepared folds: the setting with the smallest mean MAE (the first of equals), and (setting, mean, deviation) of all."""
+    settings = _settings(grid)
+    scores = fold_scores(folds, kind, settings, parallelism)
+    table = [(s, float(np.mean(x)), float(np.std(x))) for s, x in zip(settings, scores, strict=True)]
+    return min(table, key=lambda r: r[1])[0], table
+
+
+def successive_halving(folds, kind: str, grid: dict, resource: str = "maxIter", rungs: tuple[int, ...] = (2, 6, 20), keep: int = 3,
+                       parallelism: int = 4) -> tuple[dict, list[tuple[int, dict, float]]]:
+    """M4 over a large grid: all settings with a small ``resource`` (trees) on one fold, one in ``keep`` of the best with more
+    on two, and so on; the last rung uses all folds. Returns the winner and (rung, setting, mean MAE) of all fits."""
+    left, log = _settings({k: v for k, v in grid.items() if k != resource}), []
+    for i, amount in enumerate(rungs):
+        last = i == len(rungs) - 1
+        some = folds if last else folds[:min(len(folds), i + 1)]
+        settings = [{**s, resource: amount} for s in left]
+        means = [float(np.mean(x)) for x in fold_scores(some, kind, settings, parallelism)]
+        log += [(i, s, m) for s, m in zip(settings, means, strict=True)]
+        order = sorted(range(len(left)), key=lambda k: (means[k], k))
+        if last:
+            return settings[order[0]], log
+        left = [left[k] for k in order[:max(1, -(-len(left) // keep))]]
+    raise ValueError("no rungs")
+
+
+# --------------------------------------------------------------------- M3, M4 by sufficient statistics
+def fold_sums(df: DataFrame, features: list[str], label: str, fold: str = "fold") -> list[tuple[int, np.ndarray]]:
+    """Per fold the sums of all products of (1, features, label): one pass, a partial aggregate. Rows with a null among
+    them are left out. (features + 2)^2 numbers a fold reach the driver."""
+    names = ["_one", *features, label]
+    rows = df.withColumn("_one", F.lit(1.0)).dropna(subset=[*features, label])
+    x = [F.col(n).cast("double") for n in names]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    out = []
+    for r in rows.groupBy(fold).agg(*[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs]).orderBy(fold).collect():
+        m = np.zeros((len(names), len(names)))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = r[f"s{i}_{j}"]
+        out.append((r[fold], m))
+    return out
+
+
+def ridge_fit(sums: np.ndarray, penalty: float) -> np.ndarray:
+    """Intercept and coefficients that minimise SSE / 2n + penalty / 2 * sum((deviation * coefficient)^2)."""
+    n, mean = sums[0, 0], sums[0] / sums[0, 0]
+    centred = sums / n - np.outer(mean, mean)
+    xx, xy = centred[1:-1, 1:-1], centred[1:-1, -1]
+    b = np.linalg.lstsq(xx + penalty * np.diag(np.diag(xx)), xy, rcond=None)[0]
+    return np.concatenate([[mean[-1] - b @ mean[1:-1]], b])
+
+
+def ridge_path(df: DataFrame, features: list[str], label: str, penalties: list[float], fold: str = "fold") -> DataFrame:
+    """Held-out mean squared error and R2 of every fold and penalty, with the coefficients, all from one scan: the sums of a
+    fold's fit rows are the total less its own, and squared errors of the held-out rows follow from theirs."""
+    per_fold = fold_sums(df, features, label, fold)
+    total = sum((m for _, m in per_fold), np.zeros((len(features) + 2,) * 2))
+    rows = []
+    for k, held in per_fold:
+        for penalty in penalties:
+            w = np.concatenate([ridge_fit(total - held, penalty), [-1.0]])
+            sse, n = float(w @ held @ w), float(held[0, 0])
+            spread = float(held[-1, -1] - held[0, -1] ** 2 / n)
+            rows.append((k, float(penalty), sse / n, 1 - sse / spread if spread > 0 else None, [float(x) for x in w[:-1]]))
+    return df.sparkSession.createDataFrame(rows, "fold int, penalty double, mse double, r2 double, coefficients array<double>")
+
+
 # --------------------------------------------------------------------- M9
 def shapley_contributions(model: PipelineModel, rows: DataFrame, background: DataFrame, id_col: str,
                           features: list[str], orderings: int = 8, seed: int = SEED) -> DataFrame:

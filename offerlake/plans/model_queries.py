@@ -7,20 +7,27 @@ contributions are rows-only for the driver and have invariant tests.
 
 from __future__ import annotations
 
+import os
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from offerlake.functions import features as FT
 from offerlake.functions import text as E
 from offerlake.operators import market as A
 from offerlake.operators import model as M
+from offerlake.operators import trees as TR
 from offerlake.operators.profiles import representative_profiles
 from offerlake.operators.quality import generalisation_verdict
 from offerlake.operators.scoring import RuleScorer, rule_scorer_sql
 from offerlake.plans.market_queries import offers
 from offerlake.plans.registry import finish, query, with_offers
+from offerlake.sources import sinks as SK
 from offerlake.sources.offers import FLAG_COLUMNS, OFFER_COLUMNS as C
 from offerlake.sources.tables import read_table, spread_for_cpu
 from offerlake.session import materialize
+from offerlake.streaming.dedup import shared_scratch
 
 CONTIENT = {f"contient_{n}": c for n, c in C.skills}   # reference skill names -> proxy flags
 
@@ -257,11 +264,39 @@ NUMERIC = [C.experience, "skills_count", *FLAG_COLUMNS]
 CATEGORICAL = [C.job, C.city, C.sector, C.contract]
 
 
+_ONCE: dict[tuple, object] = {}
+
+
+def once(spark, sf_dir, name: str, build):
+    """What several model queries share (split, prepared folds, the fitted trees), made once per application."""
+    key = (spark.conf.get("spark.app.id", "app"), os.path.abspath(sf_dir), name)
+    if key not in _ONCE:
+        _ONCE[key] = build()
+    return _ONCE[key]
+
+
 def _train_test(spark, sf_dir):
-    sp = split_offers(spark, sf_dir).withColumnRenamed(C.salary, "label").withColumn(
-        "sector_ord", F.substring(C.sector, 1, 1).cast("int"))
-    train = materialize(M.fold_column(sp.where(F.col("is_test") == 0), C.id, 5))
-    return train, sp.where(F.col("is_test") == 1)
+    def build():
+        sp = split_offers(spark, sf_dir).withColumnRenamed(C.salary, "label").withColumn(
+            "sector_ord", F.substring(C.sector, 1, 1).cast("int"))
+        train = materialize(M.fold_column(sp.where(F.col("is_test") == 0), C.id, 5))
+        return train, sp.where(F.col("is_test") == 1)
+
+    return once(spark, sf_dir, "split", build)
+
+
+def _folds(spark, sf_dir):
+    return once(spark, sf_dir, "folds", lambda: M.prepare_folds(_train_test(spark, sf_dir)[0], IMPUTED, CATEGORICAL, _imputer()))
+
+
+def _whole(spark, sf_dir):
+    """(train, test) with the features that preprocessing learns from all train rows, with ids and labels."""
+    def build():
+        train, test = _train_test(spark, sf_dir)
+        prep = Pipeline(stages=M.preprocessing(IMPUTED, CATEGORICAL, _imputer())).fit(train)
+        return [materialize(prep.transform(x).select(C.id, "features", "label")) for x in (train, test)]
+
+    return once(spark, sf_dir, "whole", build)
 
 
 def _imputer():
@@ -274,11 +309,42 @@ IMPUTED = ["experience_imputed", *NUMERIC[1:]]
 
 @query("train_and_predict")
 def q_train_and_predict(spark, sf_dir):
-    """M2-M4: GBT pipeline (imputer included) tuned by 5-fold CV on MAE; test-set predictions."""
-    train, test = _train_test(spark, sf_dir)
-    cv = M.train_model(train, IMPUTED, CATEGORICAL, "gbt", {"maxDepth": [3, 4], "maxIter": [10], "stepSize": [0.1, 0.2]},
-                       parallelism=4, imputer=_imputer())
-    return cv.bestModel.transform(test).select(C.id, "label", "prediction")
+    """M2-M4: a boosted model tuned by 5-fold CV on MAE over folds that are prepared once (imputer, categories and
+    scaling learned from each fold's fit rows), refitted on all train rows; test-set predictions."""
+    best, _ = M.grid_search(_folds(spark, sf_dir), "gbt", {"maxDepth": [3, 4], "maxIter": [10], "stepSize": [0.1, 0.2]})
+    train, test = _whole(spark, sf_dir)
+    reg = M.build_regressor("gbt")
+    return reg.fit(train, {reg.getParam(k): v for k, v in best.items()}).transform(test).select(C.id, "label", "prediction")
+
+
+RIDGE_FEATURES, PENALTIES = ("experience", "skills_count"), (0.0, 0.01, 0.1, 1.0, 10.0)
+
+
+@query("ridge_path", with_offers(f"""
+SELECT CAST(fold AS BIGINT) AS fold, penalty, round((hyy - 2 * (c * hy + b1 * h1y + b2 * h2y) + c * c * hn + b1 * b1 * h11 + b2 * b2 * h22
+         + 2 * (c * b1 * h1 + c * b2 * h2 + b1 * b2 * h12)) / hn / 1e6, 4) AS mse_millions, round(b1, 4) AS experience_coefficient,
+       round(b2, 4) AS skills_coefficient
+FROM (SELECT *, my - b1 * m1 - b2 * m2 AS c FROM (
+  SELECT *, (v1y * a22 - v2y * v12) / (a11 * a22 - v12 * v12) AS b1, (v2y * a11 - v1y * v12) / (a11 * a22 - v12 * v12) AS b2 FROM (
+    SELECT *, v11 * (1 + penalty) AS a11, v22 * (1 + penalty) AS a22 FROM (
+      SELECT *, s1 / n AS m1, s2 / n AS m2, sy / n AS my, s11 / n - s1 * s1 / n / n AS v11, s22 / n - s2 * s2 / n / n AS v22,
+             s12 / n - s1 * s2 / n / n AS v12, s1y / n - s1 * sy / n / n AS v1y, s2y / n - s2 * sy / n / n AS v2y
+      FROM (SELECT h.fold, {', '.join(f'sum(t.{x}) AS {x}' for x in 'n s1 s2 sy s11 s22 s12 s1y s2y'.split())},
+                   any_value(h.n) AS hn, any_value(h.s1) AS h1, any_value(h.s2) AS h2, any_value(h.sy) AS hy, any_value(h.s11) AS h11,
+                   any_value(h.s22) AS h22, any_value(h.s12) AS h12, any_value(h.s1y) AS h1y, any_value(h.s2y) AS h2y, any_value(h.syy) AS hyy
+            FROM sums h JOIN sums t ON t.fold <> h.fold GROUP BY h.fold),
+           (SELECT unnest([0.0, 0.01, 0.1, 1.0, 10.0]::DOUBLE[]) AS penalty)))))""", _split_sql() + """,
+folds AS (SELECT CAST((row_number() OVER (ORDER BY md5(concat(CAST(offer_id AS VARCHAR), ':42'))) - 1) % 5 AS INTEGER) AS fold,
+                 experience::DOUBLE AS x1, (""" + " + ".join(FLAG_COLUMNS) + """)::DOUBLE AS x2, salary_mid::DOUBLE AS y FROM train),
+sums AS (SELECT fold, count(*)::DOUBLE AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1 * x1) AS s11, sum(x2 * x2) AS s22, sum(x1 * x2) AS s12,
+                sum(x1 * y) AS s1y, sum(x2 * y) AS s2y, sum(y * y) AS syy
+         FROM folds WHERE x1 IS NOT NULL AND x2 IS NOT NULL GROUP BY fold)"""))
+def q_ridge_path(spark, sf_dir):
+    """M3, M4: five folds and five ridge penalties from one pass of sums."""
+    train, _ = _train_test(spark, sf_dir)
+    path = M.ridge_path(train, list(RIDGE_FEATURES), "label", list(PENALTIES))
+    return finish(path.select("fold", "penalty", (F.col("mse") / 1e6).alias("mse_millions"), F.col("coefficients")[1].alias("experience_coefficient"),
+                              F.col("coefficients")[2].alias("skills_coefficient")))
 
 
 CANDIDATES = (("linear", "linear", {"regParam": 0.1}), ("ridge", "linear", {"regParam": 10.0}),
@@ -292,15 +358,6 @@ def q_model_ranking(spark, sf_dir):
     """M5 + M6: train / test metrics, mean and deviation of 5-fold CV metrics of six candidate
     models, then the composite ranking. Preprocessing is fitted once per fold on that
     fold's fit rows and shared by the candidates."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml import Pipeline
-    train, test = _train_test(spark, sf_dir)
-
-    def prepared(fit_rows, other):
-        prep = Pipeline(stages=M.preprocessing(IMPUTED, CATEGORICAL, _imputer())).fit(fit_rows)
-        return [materialize(prep.transform(x).select("features", "label")) for x in (fit_rows, other)]
-
     def metrics(job):
         (fit_rows, other), kind, params, both = job
         reg = M.build_regressor(kind)
@@ -308,9 +365,8 @@ def q_model_ranking(spark, sf_dir):
         return [M.regression_metrics(model.transform(x)).first() for x in ((fit_rows, other) if both else (other,))]
 
     # folds and fits are independent jobs: submitted concurrently, as CrossValidator(parallelism=n) does
+    folds, whole = _folds(spark, sf_dir), _whole(spark, sf_dir)
     with ThreadPoolExecutor(max_workers=4) as pool:
-        folds = list(pool.map(lambda k: prepared(train.where(F.col("fold") != k), train.where(F.col("fold") == k)), range(5)))
-        whole = prepared(train, test)
         jobs = [(data, kind, params, data is whole) for _, kind, params in CANDIDATES for data in (*folds, whole)]
         found = list(pool.map(metrics, jobs))
     rows = []
@@ -330,25 +386,44 @@ def q_model_ranking(spark, sf_dir):
 
 
 BACKGROUND_ROWS = 100    # the sample size of the reference's explainer
+GBT_PARAMS = {"maxDepth": 4, "maxIter": 10}
 
 
 def _contributions(spark, sf_dir):
-    train, test = _train_test(spark, sf_dir)
-    model = M.fit_pipeline(train, NUMERIC, CATEGORICAL, "linear", {"regParam": 0.1})
-    ranked = train.withColumn("_h", M.hash_key(F.col(C.id), 7))
-    bg = ranked.orderBy("_h").limit(BACKGROUND_ROWS).drop("_h")   # the background sample is the sampling feature
-    return M.linear_contributions(model, test, bg, C.id, NUMERIC, CATEGORICAL)
+    """(contributions per slot, (name, source) of the slots) of a boosted model for every test row, written once."""
+    def build():
+        train, test = _whole(spark, sf_dir)
+        reg = M.build_regressor("gbt")
+        model = reg.fit(train, {reg.getParam(k): v for k, v in GBT_PARAMS.items()})
+        named = TR.slots(train, IMPUTED, CATEGORICAL)
+        ranked = train.withColumn("_h", M.hash_key(F.col(C.id), 7))
+        bg = ranked.orderBy("_h").limit(BACKGROUND_ROWS)   # the background sample is the sampling feature
+        return materialize(TR.tree_contributions(model, test, bg, C.id, [n for n, _ in named])), named
+
+    return once(spark, sf_dir, "contributions", build)
 
 
 @query("contributions")
 def q_contributions(spark, sf_dir):
-    """M9 + M10 + W1: exact Shapley contributions of a linear pipeline for every test row
-    against 100 background rows, then the top-10 report with boosters, main brake and
-    running total."""
-    return M.contribution_report(_contributions(spark, sf_dir), C.id, min_abs=100.0, k=10)
+    """M9 + M10 + W1: exact Shapley contributions of a boosted model for every test row against 100 background
+    rows, rolled up to the source columns, then the top-10 report with boosters, main brake and running total."""
+    parts, named = _contributions(spark, sf_dir)
+    rolled = M.rollup_one_hot(parts, C.id, dict(named)).withColumnRenamed("source", "feature")
+    return M.contribution_report(rolled, C.id, min_abs=100.0, k=10)
 
 
 @query("contribution_rollup")
 def q_contribution_rollup(spark, sf_dir):
-    """Contributions of the individual skill flags rolled up into one 'skills' source per row."""
-    return M.rollup_one_hot(_contributions(spark, sf_dir), C.id, {c: "skills" for c in FLAG_COLUMNS + ("skills_count",)})
+    """Contributions of the one-hot slots rolled up to the columns that they come from, by the vector's attributes."""
+    parts, named = _contributions(spark, sf_dir)
+    return M.rollup_one_hot(parts, C.id, dict(named))
+
+
+@query("prediction_contributions")
+def q_prediction_contributions(spark, sf_dir):
+    """The document of each prediction with its ten largest contributions, written as JSON and read back."""
+    report = q_contributions(spark, sf_dir)
+    entry = F.struct("rank", "feature", "contribution", "running_total", "is_booster", "is_main_brake")
+    doc = report.groupBy(C.id).agg(F.sort_array(F.collect_list(entry)).alias("contributions"))  # at most ten a row
+    doc = SK.write_json(doc, f"{shared_scratch(spark, 'contributions')}/json")
+    return doc.select(C.id, F.explode("contributions").alias("c")).select(C.id, "c.*")

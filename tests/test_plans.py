@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SF_SMALL
 
-BOUNDED_PAIRINGS = {"employability", "contributions", "contribution_rollup"}
+BOUNDED_PAIRINGS = {"employability"}
 SKIP = {"train_and_predict", "model_ranking", "model_persistence", "stream_dedup", "sink_roundtrip",
         "roadmap_export"}   # MLlib fits / writes happen while the plan is built
 
