@@ -8,13 +8,17 @@ before the vocabulary: the longest rule that fits decides.
 Defined results
     null urls and urls without ``://`` have an empty host and path, so no rule fits; a
     null url holds no term and is allowed. Letters are lower-cased within ASCII only.
-    Repeated rows give repeated result rows; an empty table gives none. Extra columns
-    are not read.
+    Urls of any length are read whole. Repeated rows give repeated result rows; an empty table gives
+    none. Extra columns are not read. Vocabulary rows without a term count for nothing, terms are
+    lower-cased within ASCII, and a term that is both strict and soft is strict.
+
+The lists below are small defaults; ``vocabulary`` reads others from a table of (term, weight). They are
+broadcast with the query, so they should fit a worker many times over.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,24 +56,34 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     return out
 
 
+def vocabulary(terms: DataFrame, term_col: str = "term", weight_col: str = "weight", strict_weight: float = 1.0) -> tuple[list[str], list[str]]:
+    """(strict, soft) terms of a table: strict from ``strict_weight`` on, soft below it. The table is a vocabulary, collected whole."""
+    low = F.translate(F.trim(F.col(term_col)), UPPER, LOWER)
+    rows = terms.select(low.alias("t"), F.col(weight_col).cast("double").alias("w")).where("t <> ''").groupBy("t").agg(F.max("w").alias("w"))
+    found = sorted((r["t"], r["w"] or 0.0) for r in rows.collect())
+    return [t for t, w in found if w >= strict_weight], [t for t, w in found if w < strict_weight]
+
+
 def term_hits(url: Column, strict: Sequence[str], soft: Sequence[str]) -> Column:
     """struct(strict, soft): how many different strict and soft terms a lower-cased text holds."""
 
     @F.pandas_udf("strict int, soft int")
-    def hits(texts: pd.Series) -> pd.DataFrame:
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
-        for term in (*strict, *soft):
+        automaton, kinds = ahocorasick.Automaton(), set(strict)  # once per task
+        for term in {*strict, *soft}:
             automaton.add_word(term, term)
         automaton.make_automaton()
-        kinds, out = set(strict), []
+        some = len(automaton) > 0
         alone = lambda t, i: i < 0 or i >= len(t) or not (t[i].isascii() and t[i].isalnum())
-        for text in texts:
-            found = {term for end, term in automaton.iter(text)
-                     if alone(text, end + 1) and alone(text, end - len(term))}
-            out.append((len(found & kinds), len(found - kinds)))
-        return pd.DataFrame(out, columns=["strict", "soft"], dtype="int32")
+        for texts in batches:
+            out = []
+            for text in texts:
+                found = {term for end, term in (automaton.iter(text) if some else ())
+                         if alone(text, end + 1) and alone(text, end - len(term))}
+                out.append((len(found & kinds), len(found - kinds)))
+            yield pd.DataFrame(out, columns=["strict", "soft"], dtype="int32")
 
     return hits(url)
 

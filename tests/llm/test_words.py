@@ -104,3 +104,15 @@ def test_url_rules_and_terms(spark):
 def test_long_array_keeps_all_bits():
     values = np.array([0, 1, (1 << 64) - 1], np.uint64)
     assert hashing.long_array(values).to_pylist() == [0, 1, -1]
+
+
+def test_vocabulary_from_a_table(spark):
+    table = spark.createDataFrame([("Casino", 1.0), ("win", 0.3), ("win", 0.5), (" bonus ", 0.4), (None, 1.0), ("", 1.0), ("both", 0.2), ("BOTH", 2.0), ("loose", None)],
+                                  "term string, weight double")
+    strict, soft = urls.vocabulary(table)
+    assert (strict, soft) == (["both", "casino"], ["bonus", "loose", "win"])
+    pages = spark.createDataFrame([(1, "http://a.b/CASINO"), (2, "http://a.b/win"), (3, "http://a.b/win-bonus?" + "x" * 300_000), (4, None), (5, "http://a.b/casinos"),
+                                   (6, "http://a.b/" + "y" * 300_000 + "/both")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.strict_hits, r.soft_hits) for r in urls.judge_urls(pages, strict=strict, soft=soft).collect()}
+    assert got == {1: ("block", 1, 0), 2: ("allow", 0, 1), 3: ("block", 0, 2), 4: ("allow", 0, 0), 5: ("allow", 0, 0), 6: ("block", 1, 0)}
+    assert {r.verdict for r in urls.judge_urls(pages, strict=[], soft=[]).collect()} == {"allow"}
