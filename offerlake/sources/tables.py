@@ -45,10 +45,15 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+#: Bytes up to which an input counts as small enough to be dealt out row by row.
+SPREAD_BYTES = 256 << 20
+
+
 def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """CPU-heavy per-row work (regexes over whole texts) wants at least one task
-    per core. A large input already scans into many splits; an input of fewer files than
-    cores (e.g. one small file with one row group) is dealt out row by row first. The file
-    count is metadata of the scan: no job runs to decide, and rows are the same either way."""
+    """CPU-heavy per-row work (regexes over whole texts) wants at least one task per core. A small input of
+    fewer files than cores (one file with one row group, say) is dealt out row by row first; anything above ``SPREAD_BYTES``, by
+    the planner's estimate, is read in the splits that it has and never shuffled. No job runs to decide, and
+    rows are the same either way."""
     want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if len(df.inputFiles()) < want else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(want) if size <= SPREAD_BYTES and len(df.inputFiles()) < want else df
