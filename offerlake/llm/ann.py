@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from offerlake.llm.common import scratch_path, written
 
-SHARD_ROWS = 16384
+SHARD_ROWS = 4096
 QUERY_BLOCK = 8192
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
 #: Vectors that search the graph in step.
@@ -187,7 +187,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
         "uid", F.monotonically_increasing_id()), "ann")
     shards = max(1, -(-distinct.count() // shard_rows))
     dealt = distinct.select("uid", "first", "embedding", F.size("embedding").alias("_dim"), F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard"))
-    index = written(dealt.groupBy("_dim", "shard").applyInPandas(
+    # a task for every shard or two: shards are small in bytes, and would be put together otherwise
+    index = written(dealt.repartition(2 * shards, "_dim", "shard").groupBy("_dim", "shard").applyInPandas(
         lambda g: _index(g), "dim int, uids binary, firsts binary, vectors binary, graph binary, entry int"), "ann")
     asked = written(rows.where(F.col("id") % every == 0).select("id", "mark", "embedding").join(
         distinct.select(F.col("mark").alias("_m"), F.col("embedding").alias("_e"), "uid"),
