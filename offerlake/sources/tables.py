@@ -55,5 +55,5 @@ def spread_for_cpu(df: DataFrame) -> DataFrame:
     the planner's estimate, is read in the splits that it has and never shuffled. No job runs to decide, and
     rows are the same either way."""
     want = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(want) if size <= SPREAD_BYTES and len(df.inputFiles()) < want else df
