@@ -9,6 +9,7 @@ from tests.conftest import SF_SMALL
 
 BOUNDED_PAIRINGS = {"employability"}
 SKIP = {"train_and_predict", "model_ranking", "model_persistence", "stream_dedup", "sink_roundtrip",
+        "collect_to_target", "collect_counters", "stream_event_time", "prediction_contributions",
         "roadmap_export"}   # MLlib fits / writes happen while the plan is built
 
 
