@@ -28,11 +28,15 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
 
 
 def read_offer_stream(spark: SparkSession, folder: str, table: str, max_files: int | None = None) -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    """``table`` of ``folder`` as a stream: a folder of Parquet files, or a single file beside the other tables."""
+    path = f"{folder}/{table}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
 def dedup_stream(stream: DataFrame, key: str, event_time: str | None = None,

@@ -1,11 +1,14 @@
 """The collection loop: restarts, target, snapshots, earlier runs, counters after each batch; event time."""
 
+import shutil
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from offerlake.streaming import collect as CO
+from offerlake.streaming.dedup import collect_offers, offer_records
+from tests.conftest import SF_SMALL
 
 SCHEMA = "id long, source string, fingerprint string"
 
@@ -92,3 +95,16 @@ def test_event_time_state_is_bounded(spark, tmp_path):
     CO.write_in_turn(df, "turn", str(tmp_path / "in"))
     kept, late = CO.dedup_events(CO.read_files(spark, str(tmp_path / "in"), df.drop("turn").schema), ["id"], "ts", "2 days", str(tmp_path / "out"))
     assert sorted(r.id for r in kept.collect()) == list(range(100)) and late == 1
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_may_be_one_file_or_a_folder_of_files(spark, tmp_path, files):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    if files == 1:
+        shutil.copy(f"{SF_SMALL}/documents.parquet", tmp_path / "documents.parquet")
+    else:
+        docs.repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
+    docs.limit(3).write.parquet(str(tmp_path / "others.parquet"))  # another table beside it
+    found = collect_offers(spark, str(tmp_path), "documents", offer_records, "fingerprint")
+    want = {r.fingerprint for r in offer_records(docs).select("fingerprint").collect()}
+    assert sorted(r.fingerprint for r in found.collect()) == sorted(want)
