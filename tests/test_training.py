@@ -7,6 +7,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from offerlake.operators import model as M
+from offerlake.session import materialize, materialize_for_fit
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +71,21 @@ def test_halving_finds_the_winner_of_the_full_search(folds):
     full, _ = M.grid_search(folds, "gbt", {**grid, "maxIter": [8]})
     assert best == full
     assert [sum(1 for i, _, _ in log if i == rung) for rung in (0, 1)] == [4, 2]
+
+
+def test_no_task_reads_many_rows_of_a_table_to_fit_on(spark, table):
+    """The file is compact (three values), its rows are not: splits go by rows, whatever the bytes."""
+    wide = table.crossJoin(spark.range(100)).coalesce(2).select("label", "fold", F.array(F.lit(0.0), "c").alias("x"))
+    per_task = lambda df: df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert max(per_task(materialize(wide))) >= 20_000
+    read = materialize_for_fit(wide, rows=2_000)
+    assert max(per_task(read)) <= 4_000 and read.count() == 40_000
+    assert read.groupBy("label").count().exceptAll(wide.groupBy("label").count().withColumnRenamed("n", "count")).isEmpty()
+
+
+def test_fit_rows_of_folds_are_read_in_bounded_tasks(table, monkeypatch):
+    monkeypatch.setattr(M, "materialize_for_fit", lambda df: materialize_for_fit(df, rows=50))
+    for fit_rows, other in M.prepare_folds(table.coalesce(1), ["a", "b", "c"], ["k"], folds=2):
+        sizes = fit_rows.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert max(sizes) <= 100 and sum(sizes) + other.count() == table.count()
+        assert "ml_attr" in fit_rows.schema["features"].metadata
