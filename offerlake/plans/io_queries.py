@@ -204,7 +204,7 @@ def q_stream_dedup(spark, sf_dir):
     return out.select("fingerprint", "source", "lang")
 
 
-#: Files that the collected documents come in, and events' days to a file.
+#: Turns that the collected documents come in, and events' days to a turn.
 TURNS, EVENT_DAYS = 6, 5
 _FOUND = f"""found AS (SELECT md5(concat_ws('_', coalesce(text, ''), coalesce(source, ''), coalesce(lang, ''))) AS fingerprint,
   source, lang, doc_id % {TURNS} AS turn FROM documents WHERE length(text) > 5),
@@ -214,12 +214,12 @@ numbered AS (SELECT *, row_number() OVER (ORDER BY turn, fingerprint) AS n FROM
 
 
 def _collected(spark, sf_dir):
-    """Documents as they come in, a file per turn, collected until half as many as there are documents."""
+    """Documents as they come in, turn by turn, collected until half as many as there are documents."""
     docs = read_table(spark, sf_dir, "documents")
     base = shared_scratch(spark, "collect")
     rows = offer_records(docs).select("doc_id", "source", "lang", "fingerprint")
-    CO.write_in_turn(rows.withColumn("turn", F.col("doc_id") % TURNS), "turn", f"{base}/incoming")
-    stream = CO.read_files(spark, f"{base}/incoming", rows.schema)
+    files = CO.write_in_turn(rows.withColumn("turn", F.col("doc_id") % TURNS), "turn", f"{base}/incoming")
+    stream = CO.read_files(spark, f"{base}/incoming", rows.schema, files)
     return CO.collect_to_target(stream, CO.Collected(f"{base}/out"), "fingerprint", "source", docs.count() // 2, snapshot_every=100)
 
 
@@ -258,7 +258,7 @@ def q_stream_event_time(spark, sf_dir):
     sent = events.withColumn("turn", turn + F.when(F.col("event_id") % 50 == 0, 3).otherwise(0)).unionByName(
         events.where(F.col("event_id") % 10 == 3).withColumn("turn", turn + 1))
     base = shared_scratch(spark, "events")
-    CO.write_in_turn(sent, "turn", f"{base}/incoming")
-    stream = CO.read_files(spark, f"{base}/incoming", events.schema)
+    files = CO.write_in_turn(sent, "turn", f"{base}/incoming")
+    stream = CO.read_files(spark, f"{base}/incoming", events.schema, files)
     kept, late = CO.dedup_events(stream, ["event_id"], "ts", f"{EVENT_DAYS} days", f"{base}/out")
     return kept.select("event_id", "user_id", "event_type", F.lit(late).cast("long").alias("late_rows"))

@@ -14,6 +14,7 @@ watermark has passed it by the delay, and rows behind the watermark are dropped
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.operators.quantiles import rank_within
-from offerlake.session import materialize
+from offerlake.session import materialize, scratch_root
 
 
 class Collected(NamedTuple):
@@ -130,7 +131,23 @@ def read_files(spark: SparkSession, folder: str, schema, files: int = 1) -> Data
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(folder)
 
 
-def write_in_turn(df: DataFrame, turn: str, folder: str) -> None:
-    """One file per value of the small column ``turn``, in its order: files as a collector leaves them behind."""
-    for (value,) in df.select(turn).distinct().orderBy(turn).collect():
-        df.where(F.col(turn) == value).drop(turn).coalesce(1).write.parquet(f"{folder}/turn={value}")
+#: Rows of a file that ``write_in_turn`` leaves.
+FILE_ROWS = 250_000
+
+
+def write_in_turn(df: DataFrame, turn: str, folder: str, rows: int = FILE_ROWS) -> int:
+    """Files as a collector leaves them behind, in the order of the small column ``turn``: for every value of it as many
+    as the largest one needs, at about ``rows`` rows each. Returns that number: a micro-batch of so many files is one
+    turn, so a turn with fewer is filled up with empty ones. ``df`` is computed once, and dealt out by turn as it is written."""
+    spark = df.sparkSession
+    held = f"{scratch_root(spark)}/turns/{uuid.uuid4().hex}"
+    df.withColumn("_turn", F.col(turn)).drop(turn).write.partitionBy("_turn").parquet(held)
+    dealt = spark.read.parquet(held)
+    turns = dealt.where(F.col("_turn").isNotNull()).groupBy("_turn").count().orderBy("_turn").collect()  # a row per turn
+    files = max([1, *(-(-n // rows) for _, n in turns)])
+    for value, _ in turns:
+        path, part = f"{folder}/turn={value}", dealt.where(F.col("_turn") == value).drop("_turn")
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.parquet(path)
+        for _ in range(files - len(spark.read.parquet(path).inputFiles())):
+            part.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return files

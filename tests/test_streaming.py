@@ -108,3 +108,32 @@ def test_a_table_may_be_one_file_or_a_folder_of_files(spark, tmp_path, files):
     found = collect_offers(spark, str(tmp_path), "documents", offer_records, "fingerprint")
     want = {r.fingerprint for r in offer_records(docs).select("fingerprint").collect()}
     assert sorted(r.fingerprint for r in found.collect()) == sorted(want)
+
+
+def test_a_turn_may_come_in_several_files(spark, tmp_path):
+    """Turns of 60 rows in files of at most some 20; the last turn has one row, and empty files beside it."""
+    rows = [(*r, f) for f, batch in enumerate(arrivals()) for r in batch] + [(999, "a", "f" * 32, 5)]
+    df = spark.createDataFrame(rows, SCHEMA + ", turn int").repartition(4)
+    files = CO.write_in_turn(df, "turn", str(tmp_path / "in"), rows=20)
+    assert files == 3
+    for turn in range(6):
+        sizes = [spark.read.parquet(str(f)).count() for f in (tmp_path / "in" / f"turn={turn}").glob("*.parquet")]
+        assert len(sizes) == 3 and max(sizes) <= 25 and sum(sizes) == (60 if turn < 5 else 1)
+    out = CO.collect_to_target(CO.read_files(spark, str(tmp_path / "in"), df.drop("turn").schema, files), CO.Collected(str(tmp_path / "out")),
+                               "fingerprint", "source", 75)
+    assert sorted((r.fingerprint, r.n) for r in CO.collected_rows(spark, out).collect()) == sorted(expected(75)[0])
+    assert spark.read.parquet(out.counters).select("batch").distinct().count() == len(expected(75)[1])
+
+
+def test_what_comes_in_is_computed_once(spark, tmp_path):
+    """Not once per turn, and not by one task: the rows pass the accumulator one time each."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(600, numPartitions=4).selectExpr("id", "id % 6 AS turn")
+    CO.write_in_turn(df.mapInArrow(count, df.schema), "turn", str(tmp_path / "in"))
+    assert passed.value == 600
